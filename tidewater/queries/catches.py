@@ -246,7 +246,7 @@ def tonnes_by_division(spark, sf):
 @query("biomass_share_by_age", f"""WITH {SAMPLING_SQL},
 p AS (SELECT ageorlength, sum(canum) AS canum, sum(canum * weca) AS sop, sum(noagereadings) AS noagereadings
   FROM samples GROUP BY ALL)
-SELECT *, sop / sum(sop) OVER () AS prop FROM p""", digits={"sop": 0, "prop": 9})
+SELECT *, sop / sum(sop) OVER () AS prop FROM p""", digits={"sop": 2, "prop": 9})
 def biomass_share_by_age(spark, sf):
     return catch.sop_share(sampling(spark, sf))
 

@@ -172,7 +172,7 @@ mine AS (SELECT year, round_even(sum(catch), 0) AS dataset FROM scoped WHERE fle
 SELECT 'ASIA' AS fleet, CAST(y.year AS INTEGER) AS year, coalesce(dataset, 0) AS dataset, totalcatch,
   100 * coalesce(dataset, 0) / totalcatch AS percentage
 FROM generate_series({FIRST}, 2003) y(year) LEFT JOIN mine USING (year) LEFT JOIN totals USING (year)""",
-       digits={"totalcatch": 3, "percentage": 6})
+       digits={"totalcatch": 5, "percentage": 6})
 def catch_coverage(spark, sf):
     totals = table(spark, sf, "orders").groupBy(F.year("o_orderdate").alias("year")).agg(
         (F.sum("o_totalprice") / 1000).alias("totalcatch"))

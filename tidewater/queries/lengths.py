@@ -116,14 +116,14 @@ raised AS (SELECT f.*, catch * prop AS number FROM freqs f LEFT JOIN landings US
 
 
 @query("raised_lengths", f"""WITH {RAISED_SQL}
-SELECT source, area, year, length, sum(number) AS number FROM raised GROUP BY ALL""", digits={"number": 3})
+SELECT source, area, year, length, sum(number) AS number FROM raised GROUP BY ALL""", digits={"number": 5})
 def raised_lengths(spark, sf):
     return raised(spark, sf).groupBy("source", "area", "year", "length").agg(F.sum("number").alias("number"))
 
 
 @query("raised_length_totals", f"""WITH {RAISED_SQL}
 SELECT year, length, CASE WHEN count(*) = count(number) THEN sum(number) END AS number FROM raised GROUP BY ALL""",
-       digits={"number": 3})
+       digits={"number": 5})
 def raised_length_totals(spark, sf):
     return lengths.raised_total(raised(spark, sf))
 
