@@ -1,7 +1,9 @@
-"""Gamma-family functions as Column expressions.
+"""Gamma-family functions as Column expressions over a column name.
 
 Spark has none of them. Each one shifts its argument up by the recurrence and then
-sums the asymptotic series, which at ``x + 8`` is exact to about 1e-13.
+sums the asymptotic series, which at ``x + 8`` is exact to about 1e-13. They are
+written as SQL text because the expressions are long; pass the name of a column, so
+that the argument is worked out once.
 """
 
 from __future__ import annotations
@@ -13,35 +15,36 @@ from pyspark.sql import Column, functions as F
 SHIFT = 8
 
 
-def lgamma(x: Column) -> Column:
+def _series(x: str, coefs: tuple[str, ...]) -> str:
+    """Alternating Horner sum in 1 / z^2 with z = x + SHIFT."""
+    r = f"(1D / (({x} + {SHIFT}D) * ({x} + {SHIFT}D)))"
+    out = coefs[-1]
+    for c in reversed(coefs[:-1]):
+        out = f"({c} - {r} * {out})"
+    return out
+
+
+def _shifted(x: str, term: str, join: str) -> str:
+    return "(" + join.join(term.format(x=f"({x} + {k}D)") for k in range(SHIFT)) + ")"
+
+
+def lgamma(x: str) -> Column:
     """log of the gamma function, x > 0."""
-    product = x
-    for k in range(1, SHIFT):
-        product = product * (x + float(k))
-    z = x + float(SHIFT)
-    r = 1.0 / (z * z)
-    series = (1.0 / 12 - r * (1.0 / 360 - r * (1.0 / 1260 - r * (1.0 / 1680 - r * (1.0 / 1188))))) / z
-    return (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + series - F.log(product)
+    z = f"({x} + {SHIFT}D)"
+    series = _series(x, ("(1D/12D)", "(1D/360D)", "(1D/1260D)", "(1D/1680D)", "(1D/1188D)"))
+    half_log_2pi = 0.5 * math.log(2 * math.pi)
+    return F.expr(f"({z} - 0.5D) * ln({z}) - {z} + {half_log_2pi!r}D + {series} / {z} - ln({_shifted(x, '{x}', ' * ')})")
 
 
-def digamma(x: Column) -> Column:
+def digamma(x: str) -> Column:
     """Derivative of :func:`lgamma`, x > 0."""
-    head = 1.0 / x
-    for k in range(1, SHIFT):
-        head = head + 1.0 / (x + float(k))
-    z = x + float(SHIFT)
-    r = 1.0 / (z * z)
-    series = r * (1.0 / 12 - r * (1.0 / 120 - r * (1.0 / 252 - r * (1.0 / 240 - r * (1.0 / 132)))))
-    return F.log(z) - 0.5 / z - series - head
+    z = f"({x} + {SHIFT}D)"
+    series = _series(x, ("(1D/12D)", "(1D/120D)", "(1D/252D)", "(1D/240D)", "(1D/132D)"))
+    return F.expr(f"ln({z}) - 0.5D / {z} - {series} / ({z} * {z}) - {_shifted(x, '1D / {x}', ' + ')}")
 
 
-def trigamma(x: Column) -> Column:
+def trigamma(x: str) -> Column:
     """Derivative of :func:`digamma`, x > 0."""
-    head = 1.0 / (x * x)
-    for k in range(1, SHIFT):
-        y = x + float(k)
-        head = head + 1.0 / (y * y)
-    z = x + float(SHIFT)
-    r = 1.0 / (z * z)
-    series = (1.0 + r * (1.0 / 6 - r * (1.0 / 30 - r * (1.0 / 42 - r * (1.0 / 30 - r * (5.0 / 66)))))) / z
-    return series + 0.5 * r + head
+    z = f"({x} + {SHIFT}D)"
+    series = _series(x, ("(1D/6D)", "(1D/30D)", "(1D/42D)", "(1D/30D)", "(5D/66D)"))
+    return F.expr(f"1D / {z} + 0.5D / ({z} * {z}) + {series} / ({z} * {z} * {z}) + {_shifted(x, '1D / ({x} * {x})', ' + ')}")
