@@ -23,13 +23,13 @@ def query(name: str, sql: str | None = None, digits: dict[str, int] | None = Non
     def register(fn: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             df = fn(spark, sf_dir)
-            return df.withColumns({c: F.round(c, d) for c, d in digits.items()}) if digits else df
+            return df.withColumns({c: F.round(F.col(f"`{c}`"), d) for c, d in digits.items()}) if digits else df
 
         if name in QUERIES:
             raise ValueError(f"{name} is registered twice")
         QUERIES[name] = run
         if sql is not None:
-            rounded = ", ".join(f"round({c}, {d}) AS {c}" for c, d in digits.items())
+            rounded = ", ".join(f'round("{c}", {d}) AS "{c}"' for c, d in digits.items())
             ORACLES[name] = f"SELECT * REPLACE ({rounded}) FROM ({sql})" if digits else sql
         return fn
 
@@ -39,5 +39,5 @@ def query(name: str, sql: str | None = None, digits: dict[str, int] | None = Non
 def load_all() -> None:
     """Import every query module, which fills the registry."""
     from tidewater.queries import (  # noqa: F401
-        catches, columns, cpue, joins, lengths, models, shapes,
+        catches, columns, cpue, joins, lengths, models, runs, shapes,
     )
