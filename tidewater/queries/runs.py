@@ -26,14 +26,14 @@ def rbya(spark, sf, run=True):
         df, keys = df.join(orders, F.col("l_orderkey") == F.col("o_orderkey")), ["file", *keys]
     return df.groupBy(*keys).agg(
         F.sum("l_quantity").alias("n"), F.avg("l_discount").alias("f"), F.lit(0.1).alias("m"),
-        F.count(F.lit(1)).cast("double").alias("oC"), (F.avg("l_extendedprice") / 1e5).alias("cW"))
+        F.count(F.lit(1)).cast("double").alias("oC"), (F.avg("l_extendedprice") / 3e4).alias("cW"))
 
 
 def _rbya_sql(name, run):
     keys = "o_orderpriority AS file, " if run else ""
     join = "JOIN orders ON l_orderkey = o_orderkey" if run else ""
     return f"""{name} AS (SELECT {keys}CAST(year(l_shipdate) AS INTEGER) AS year, p_size AS age, sum(l_quantity) AS n,
-  avg(l_discount) AS f, 0.1::DOUBLE AS m, count(*)::DOUBLE AS oC, avg(l_extendedprice) / 1e5 AS cW
+  avg(l_discount) AS f, 0.1::DOUBLE AS m, count(*)::DOUBLE AS oC, avg(l_extendedprice) / 3e4 AS cW
   FROM lineitem JOIN part ON l_partkey = p_partkey {join} GROUP BY ALL)"""
 
 
@@ -46,12 +46,12 @@ def rby(spark, sf):
         F.sum(F.col("n") * F.col("cW")).alias("ssb"), F.avg("f").alias("fbar"),
         F.max(F.when(F.col("age") == 1, F.col("n"))).alias("rec"), F.sum(F.col("oC") * F.col("cW")).alias("catch"))
     long = per.unpivot(["file", "year"], ["ssb", "fbar", "rec", "catch"], "variable", "est")
-    return long.withColumns({"low": F.col("est") * 0.5, "high": F.col("est") * 2})
+    return long.withColumns({"low": F.col("est") / 3, "high": F.col("est") * 2})
 
 
 RBY_SQL = f"""{RBYA_SQL},
 rby0 AS (SELECT file, year, sum(n * cW) AS ssb, avg(f) AS fbar, max(CASE WHEN age = 1 THEN n END) AS rec, sum(oC * cW) AS catch FROM rbya GROUP BY ALL),
-rby AS (SELECT file, year, variable, est, est * 0.5 AS low, est * 2 AS high FROM rby0 UNPIVOT (est FOR variable IN (ssb, fbar, rec, catch)))"""
+rby AS (SELECT file, year, variable, est, est / 3 AS low, est * 2 AS high FROM rby0 UNPIVOT (est FOR variable IN (ssb, fbar, rec, catch)))"""
 
 
 def opr(spark, sf):
@@ -73,7 +73,7 @@ OPR_SQL = """opr AS (SELECT o_orderpriority AS file, r_name AS fleet, CAST(year(
 
 
 @query("observed_catch_biomass", f"""WITH {RBYA_SQL} SELECT year, file, sum(oC * cW) AS est, 'catch' AS variable FROM rbya GROUP BY ALL""",
-       digits={"est": 8})
+       digits={"est": 6})
 def observed_catch_biomass(spark, sf):
     return a.observed_catch(rbya(spark, sf))
 
@@ -97,7 +97,7 @@ def yearly_residuals(spark, sf):
 
 
 @query("catch_difference_percent", f"""WITH {RBYA1_SQL}, x AS (SELECT year, sum(n * cW) AS assessment, sum(oC * cW) * 25 AS intercatch FROM rbya GROUP BY year)
-SELECT *, 100 * (assessment / intercatch - 1) AS rel_diff FROM x""", digits={"assessment": 8, "intercatch": 8, "rel_diff": 8})
+SELECT *, 100 * (assessment / intercatch - 1) AS rel_diff FROM x""", digits={"assessment": 6, "intercatch": 6, "rel_diff": 6})
 def catch_difference_percent(spark, sf):
     r = rbya(spark, sf, run=False)
     return a.rel_diff({
@@ -122,7 +122,7 @@ IN_OUT_SQL = f"""{RBYA1_SQL}, io AS (SELECT year, age >= 5 AS inassessment, sum(
 
 
 @query("biomass_outside_assessment", f"""WITH {IN_OUT_SQL}, s AS (SELECT *, 100 * sop / sum(sop) OVER (PARTITION BY year) AS prop FROM io)
-SELECT * FROM s WHERE NOT inassessment""", digits={"sop": 8, "prop": 8})
+SELECT * FROM s WHERE NOT inassessment""", digits={"sop": 6, "prop": 6})
 def biomass_outside_assessment(spark, sf):
     return a.outside_share(in_out(spark, sf))
 
@@ -184,7 +184,7 @@ RETRO_SQL = f"""{RBY_SQL}, retro AS (SELECT *, CAST(substr(file, 1, 1) AS INTEGE
 
 @query("retrospective_table", f"""WITH {RETRO_SQL} SELECT file, year, variable, est, low, high, CAST(finalyear AS VARCHAR) AS finalyear,
   CASE WHEN finalyear = (SELECT max(finalyear) FROM retro) THEN 'last' END AS plottype FROM retro WHERE variable IN ('ssb', 'fbar', 'rec')""",
-       digits={"est": 8, "low": 8, "high": 8})
+       digits={"est": 6, "low": 6, "high": 6})
 def retrospective_table(spark, sf):
     return a.retro_table(retro(spark, sf))
 
@@ -207,7 +207,7 @@ def peels_tagged(spark, sf):
 @query("leave_one_out", f"""WITH {RBY_SQL}, full_run AS (SELECT year, variable, est AS full FROM rby WHERE file = '1-URGENT')
 SELECT r.file, r.year, r.variable, r.est, r.low, r.high, CASE r.file WHEN '2-HIGH' THEN 'summer' ELSE 'cpue' END AS leftout, f.full
 FROM rby r LEFT JOIN full_run f USING (year, variable) WHERE file IN ('2-HIGH', '3-MEDIUM')""",
-       digits={"est": 8, "low": 8, "high": 8, "full": 8})
+       digits={"est": 6, "low": 6, "high": 6, "full": 6})
 def leave_one_out(spark, sf):
     r = rby(spark, sf)
     return a.loo_table({"summer": r.where(F.col("file") == "2-HIGH"), "cpue": r.where(F.col("file") == "3-MEDIUM")},
@@ -216,14 +216,14 @@ def leave_one_out(spark, sf):
 
 @query("compared_runs", f"""WITH {RBY_SQL} SELECT source, file, variable, year, est FROM (
   SELECT 'assessment' AS source, file, variable, year, est FROM rby WHERE variable IN ('catch', 'ssb', 'fbar', 'rec')
-  UNION ALL SELECT 'observed', file, 'catch', year, sum(oC * cW) FROM rbya GROUP BY file, year)""", digits={"est": 8})
+  UNION ALL SELECT 'observed', file, 'catch', year, sum(oC * cW) FROM rbya GROUP BY file, year)""", digits={"est": 6})
 def compared_runs(spark, sf):
     indexed = rby(spark, sf).withColumn("year", F.when(F.col("variable") == "catch", F.col("year") - 1994).otherwise(F.col("year")))
     return a.compare_runs(indexed, a.observed_catch(rbya(spark, sf))).select("source", "file", "variable", "year", "est")
 
 
 @query("reference_points", f"""WITH {RBY_SQL}, p(variable, refpoint, value) AS (VALUES ('fbar', 'fmsy', 0.24::DOUBLE), ('ssb', 'msybtrigger', 82999::DOUBLE))
-SELECT file, year, r.variable, refpoint, value, est FROM rby r LEFT JOIN p ON p.variable = r.variable""", digits={"est": 8})
+SELECT file, year, r.variable, refpoint, value, est FROM rby r LEFT JOIN p ON p.variable = r.variable""", digits={"est": 6})
 def reference_points(spark, sf):
     return a.with_refpoints(rby(spark, sf), a.refpoints(spark), "msy").select("file", "year", "variable", "refpoint", "value", "est")
 
@@ -241,7 +241,7 @@ def process_error(spark, sf):
 
 
 @query("process_error_biomass", f"""WITH {PE_SQL} SELECT file, year, 'PE' AS var, sum(n_d * cW) AS b FROM pe GROUP BY ALL
-UNION ALL SELECT file, year, 'Catches', sum(oC * cW) FROM pe GROUP BY ALL""", digits={"b": 8})
+UNION ALL SELECT file, year, 'Catches', sum(oC * cW) FROM pe GROUP BY ALL""", digits={"b": 6})
 def process_error_biomass(spark, sf):
     return a.process_error_biomass(a.process_error(rbya(spark, sf), keys=["file"]), ["file"])
 
@@ -274,7 +274,7 @@ _SUMMARY = ", ".join(f"max(CASE WHEN variable = '{v}' THEN {e} END) AS {e}_{v}"
 
 
 @query("summary_table", f"WITH {RBY_SQL} SELECT year, {_SUMMARY} FROM rby WHERE file = '5-LOW' GROUP BY year",
-       digits={f"{e}_{v}": 8 for e in ("est", "low", "high") for v in ("rec", "ssb", "fbar", "catch")})
+       digits={f"{e}_{v}": 6 for e in ("est", "low", "high") for v in ("rec", "ssb", "fbar", "catch")})
 def summary_table(spark, sf):
     return a.summary_table(rby(spark, sf).where(F.col("file") == "5-LOW"))
 
