@@ -39,5 +39,5 @@ def query(name: str, sql: str | None = None, digits: dict[str, int] | None = Non
 def load_all() -> None:
     """Import every query module, which fills the registry."""
     from tidewater.queries import (  # noqa: F401
-        catches, columns, cpue, forecasts, joins, lengths, models, runs, shapes,
+        catches, columns, cpue, forecasts, joins, lengths, models, runs, shapes, texts,
     )
