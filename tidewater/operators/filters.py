@@ -22,7 +22,7 @@ def filter_in(df: DataFrame, col: str, values: Iterable | DataFrame) -> DataFram
         values = list(values)
         if len(values) <= INLINE_VALUES:
             return df.where(F.col(col).isin(values))
-        values = df.sparkSession.createDataFrame([(v,) for v in values], df.select(col).schema)
+        values = F.broadcast(df.sparkSession.createDataFrame([(v,) for v in values], df.select(col).schema))
     keys = values.select(F.col(values.columns[0]).alias(col))
     return df.join(keys, col, "left_semi")
 

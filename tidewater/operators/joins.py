@@ -1,9 +1,9 @@
 """Joins in the shapes the fishery tables need.
 
 A side is broadcast only when it has been counted: :func:`small_table` looks at no
-more than ``limit + 1`` rows and hands back a local table, which Spark then sizes and
-broadcasts by itself. A larger side stays distributed and is joined by shuffle, where
-adaptive execution splits hot keys.
+more than ``limit + 1`` rows and hands back a local table marked for broadcast. A
+larger side stays distributed and is joined by shuffle, where adaptive execution
+splits hot keys.
 """
 
 from __future__ import annotations
@@ -18,9 +18,9 @@ PRODUCT_BUCKETS = 64
 
 
 def small_table(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
-    """Materialise a table of at most ``limit`` rows; a larger one is returned unchanged."""
+    """Materialise and broadcast a table of at most ``limit`` rows; a larger one is returned unchanged."""
     rows = df.limit(limit + 1).collect()
-    return df if len(rows) > limit else df.sparkSession.createDataFrame(rows, df.schema)
+    return df if len(rows) > limit else F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
 def left_join(df: DataFrame, dim: DataFrame, keys: Sequence[str], null_safe: bool = False) -> DataFrame:

@@ -11,7 +11,7 @@ from tidewater.operators.joins import left_join
 
 # Fixed value: characters dropped from column headers.
 HEADER_NOISE = r"[?\s._()]"
-# Fixed value: the survey files keep single brackets and drop only ")/".
+# Fixed value: the survey headers lose a closing bracket only before a slash.
 SURVEY_HEADER_NOISE = r"\?|\s+|\.+|_+|\(|\)/"
 # Fixed value: first calendar year behind a year index counted from 1.
 YEAR_INDEX_BASE = 1994

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidewater.operators.aggregates import quantiles
 from tidewater.operators.joins import left_join, small_table
@@ -55,8 +55,12 @@ def fbar(state: DataFrame, keys: Sequence[str], ages: tuple[int, int] = FBAR_AGE
 
 def selectivity(state: DataFrame, keys: Sequence[str], ages: tuple[int, int] = FBAR_AGES) -> DataFrame:
     """F relative to the mean F of the same draw and year."""
-    return left_join(state, fbar(state, keys, ages, out="__fb"), keys).withColumn(
-        "sel", safe_ratio(F.col("f"), F.col("__fb"))).drop("__fb")
+    return state.withColumn("sel", safe_ratio(F.col("f"), _own_fbar(keys, ages)))
+
+
+def _own_fbar(keys: Sequence[str], ages: tuple[int, int]) -> Column:
+    """Mean F beside every age of a draw; a window fits, since a group is one row per age."""
+    return F.avg(F.when(in_fbar(*ages), F.col("f"))).over(W.partitionBy(*keys))
 
 
 def fixed_selection(f_table: DataFrame, years: Sequence[int], ages: tuple[int, int] = FBAR_AGES) -> DataFrame:
@@ -68,8 +72,8 @@ def fixed_selection(f_table: DataFrame, years: Sequence[int], ages: tuple[int, i
 
 def apply_selection(state: DataFrame, selection: DataFrame, keys: Sequence[str], ages: tuple[int, int] = FBAR_AGES) -> DataFrame:
     """Replace F at age by a selection pattern at the draw's own mean F."""
-    both = left_join(state, fbar(state, keys, ages, out="__fb"), keys).join(small_table(selection), "age", "left")
-    return both.withColumn("f", F.col("sel") * F.col("__fb")).drop("__fb", "sel")
+    own = state.withColumn("__fb", _own_fbar(keys, ages)).join(small_table(selection), "age", "left")
+    return own.withColumn("f", F.col("sel") * F.col("__fb")).drop("__fb", "sel")
 
 
 def weighted_f(state: DataFrame, weights: DataFrame, keys: Sequence[str], out: str = "cwf") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def save_table(df: DataFrame, path: str, partition_by: Sequence[str] = ("run_id",), mode: str = "overwrite") -> None:
@@ -28,5 +28,5 @@ def write_result(df: DataFrame, path: str, kind: str = "csv") -> None:
 
 
 def lookup(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
-    """Small inline table; Spark knows its size and broadcasts it."""
-    return spark.createDataFrame(list(rows), schema)
+    """Inline table, written out in the program and so small enough to broadcast."""
+    return F.broadcast(spark.createDataFrame(list(rows), schema))
