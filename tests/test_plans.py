@@ -41,7 +41,7 @@ def test_raw_hauls_are_typed_and_limited(spark):
         ("v", "2020", "4", "43929", "930", "0", "1500", "350", "99X9")],
         "Vessel string, Year string, Month string, Day string, `Shoot_time` string, Hours string, `GSS (kg)` string, `Depth (m)` string, `ICES rect` string")
     rect = lookup(spark, [("52E0", -10.0, 61.0)], "rect string, long double, lat double")
-    out = hauls.prepare_hauls([hauls.read_raw_hauls(raw, "faroer")], rect).collect()
+    out = hauls.prepare_hauls([hauls.read_raw_hauls(raw, "north")], rect).collect()
     assert len(out) == 1
     r = out[0]
     assert (r.date, r.week, r.catch, r.hset_cat, r.depth_cat, r.cpue_hour) == (dt.date(2020, 4, 8), 15, 1.5, "(8,10]", "[300,400)", 0.6)
@@ -152,6 +152,13 @@ def test_deviance_and_model_comparison(spark):
     assert 0 <= full.p <= 1
 
 
+def test_index_model_without_extra_spread_is_the_poisson_limit(spark):
+    rows = [("2005", float(v)) for v in (9, 10, 11, 10)] * 20 + [("2006", float(v)) for v in (19, 20, 21)] * 20
+    fit = glm.nb_glm(spark.createDataFrame(rows, "year string, y double"), "y", ["year"])[0]
+    assert fit.converged and fit.steps < 15 and fit.theta == glm.THETA_MAX
+    assert math.exp(fit.beta[0]) == pytest.approx(10.0, rel=1e-6)
+
+
 def test_chi_square_tail():
     assert glm.chi_square_tail(3.841458820694124, 1) == pytest.approx(0.05, rel=1e-9)
     assert glm.chi_square_tail(18.307038053275146, 10) == pytest.approx(0.05, rel=1e-9)
@@ -172,7 +179,7 @@ def test_survey_and_length_helpers(spark):
     df = spark.createDataFrame([(2000, 5, 1.0), (2000, 5, None), (2001, 5, 2.0)], "year int, length int, number double")
     assert values(lengths.raised_total(df)) == [(2000, 5, None), (2001, 5, 2.0)]
     wide = spark.createDataFrame([(10, 1.0, 2.0)], "Length_cm int, X1994 double, X1995 double")
-    out = lengths.proportions_long(wide, ["Length_cm"], "5b", "wg", [(F.col("year") == 1995, {"prop": F.col("prop") / 2})])
+    out = lengths.proportions_long(wide, ["Length_cm"], "5b", "group", [(F.col("year") == 1995, {"prop": F.col("prop") / 2})])
     assert values(out, "year", "prop") == [(1994, 1.0), (1995, 1.0)]
     assert catch.order_by_total(spark.createDataFrame([("a", 2.0), ("b", 1.0)], "k string, v double"), "k", "v").first().k == "b"
 

@@ -65,12 +65,13 @@ def rel_diff(parts: Mapping[str, DataFrame], value: str, first: str, second: str
     return wide.withColumn("rel_diff", 100 * (safe_ratio(F.col(first), F.col(second)) - 1))
 
 
-def log_number_diff(sam: DataFrame, ic: DataFrame) -> DataFrame:
-    """Summed log numbers of two sources by year and their difference as percent text."""
-    stacked = union_tagged({"sam": sam.select("year", "obs"), "ic": ic.select("year", F.log("canum").alias("obs"))}, "source")
+def log_number_diff(model: DataFrame, reported: DataFrame) -> DataFrame:
+    """Summed log numbers of the model's input and of the reported catch by year, and their difference in percent."""
+    stacked = union_tagged({"model": model.select("year", "obs"),
+                            "reported": reported.select("year", F.log("canum").alias("obs"))}, "source")
     per = stacked.groupBy("year", "source").agg(sum0("obs").alias("obs"))
-    wide = widen(per, ["year"], "source", "obs", ["sam", "ic"])
-    return wide.withColumn("perc_diff", fmt_percent(safe_ratio(F.col("sam"), F.col("ic")) - 1, 1))
+    wide = widen(per, ["year"], "source", "obs", ["model", "reported"])
+    return wide.withColumn("perc_diff", fmt_percent(safe_ratio(F.col("model"), F.col("reported")) - 1, 1))
 
 
 def biomass_in_out(numbers: DataFrame, weights: DataFrame, first_age: int = FIRST_AGE) -> DataFrame:

@@ -27,6 +27,8 @@ from tidewater.operators.sets import union_all
 from tidewater.session import cut_lineage
 
 EPSILON, MAX_STEPS = 1e-8, 100
+# Spread at which the model is the Poisson limit for all practical purposes.
+THETA_MAX = 1e6
 MAX_LEVELS = 1500
 # Fixed value: normal quantile of the published intervals.
 Z95 = 1.96
@@ -192,10 +194,14 @@ def _with_theta(values: DataFrame, fits: Sequence[Fit]) -> DataFrame:
 def _theta_step(model: _Model, fits: Sequence[Fit]) -> None:
     """One Newton step of the spread parameter, from value sums and cell sums."""
     if any(math.isinf(f.theta) for f in fits):
+        n, mu, sy, syy = (F.col(c) for c in ("n", "mu", "sy", "syy"))
         for r in _means(model.cells, fits).groupBy("g").agg(
-                F.sum("n").alias("n"),
-                F.sum(F.col("syy") / F.pow("mu", F.lit(2)) - 2 * F.col("sy") / F.col("mu") + F.col("n")).alias("d")).collect():
-            fits[r["g"]].theta = r["n"] / max(r["d"], 1e-12)
+                F.sum("n").alias("n"), F.sum(syy / (mu * mu) - 2 * sy / mu + n).alias("d"),
+                F.sum(syy - 2 * mu * sy + n * mu * mu - sy).alias("excess")).collect():
+            # Without more spread than a Poisson sample has, the best fit is the limit itself.
+            fits[r["g"]].theta = r["n"] / max(r["d"], 1e-12) if r["excess"] > 0 else THETA_MAX
+        return
+    if all(f.theta >= THETA_MAX for f in fits):
         return
     n, mu, th = F.col("n"), F.col("mu"), F.col("th")
     single = {r["g"]: r for r in _with_theta(model.values, fits).groupBy("g").agg(
@@ -208,7 +214,8 @@ def _theta_step(model: _Model, fits: Sequence[Fit]) -> None:
     for g, f in enumerate(fits):
         score, info = single[g]["s"] + cell[g]["s"], single[g]["i"] + cell[g]["i"]
         new = f.theta + score / info if info > 0 else f.theta * 2
-        f.theta = new if new > 0 else f.theta / 2
+        if f.theta < THETA_MAX:
+            f.theta = min(new if new > 0 else f.theta / 2, THETA_MAX)
 
 
 def _figures(model: _Model, fits: Sequence[Fit]) -> None:

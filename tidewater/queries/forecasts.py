@@ -8,7 +8,7 @@ from tidewater.operators.aggregates import quantiles
 from tidewater.operators.joins import small_table
 from tidewater.plans import forecast as fc, population as pop
 from tidewater.queries import query
-from tidewater.queries.bindings import table
+from tidewater.queries.bindings import since, table
 from tidewater.queries.runs import RBYA1_SQL, rbya
 from tidewater.session import cut_lineage
 from tidewater.sources.tables import lookup
@@ -21,9 +21,10 @@ KEYS = ["draw", "year"]
 def states(spark, sf, year=None):
     """Numbers and F per draw, year and age."""
     li = table(spark, sf, "lineitem").select(
-        F.col("l_suppkey").alias("draw"), "l_partkey", "l_quantity", "l_discount", F.year("l_shipdate").alias("year"))
+        F.col("l_suppkey").alias("draw"), "l_partkey", "l_quantity", "l_discount", "l_shipdate")
     if year is not None:
-        li = li.where(F.col("year") == year)
+        li = li.where(since(F.col("l_shipdate"), year, year))
+    li = li.withColumn("year", F.year("l_shipdate"))
     part = table(spark, sf, "part").select("p_partkey", F.col("p_size").alias("age"))
     return li.join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy("draw", "year", "age").agg(
         F.sum("l_quantity").alias("n"), (F.avg("l_discount") + 0.01).alias("f"))

@@ -90,28 +90,28 @@ def raised(spark, sf):
     freqs = s.select(F.col("catchcategory").alias("species"), "year",
                      F.concat(F.lit("27."), F.regexp_replace("fleet", " ", "")).alias("division"),
                      F.col("ageorlength").alias("length"), F.col("canum").alias("catchnumber"))
-    pfa = lengths.length_proportions(freqs, "pfa")
+    trips = lengths.length_proportions(freqs, "trips")
     per = s.where(F.col("fleet") == "ASIA").groupBy(F.col("ageorlength").alias("length"), "year").agg(
         (F.sum("canum") / 1000).alias("prop"))
     wide = widen(per, ["length"], "year", "prop", YEARS).withColumnsRenamed({str(y): f"X{y}" for y in YEARS})
     halved = [(F.col("year") == 1995, {"prop": F.col("prop") / 2})]
-    wg = lengths.proportions_long(wide, ["length"], "ASIA", "wg", halved)
-    other = lengths.proportions_long(wide, ["length"], "NOWHERE", "wg").where(F.col("year") == 1996)
-    return lengths.raise_lengths([wg, pfa, other], lengths.landings_by_area(landings_wide(spark, sf)).drop("type"))
+    group = lengths.proportions_long(wide, ["length"], "ASIA", "group", halved)
+    other = lengths.proportions_long(wide, ["length"], "NOWHERE", "group").where(F.col("year") == 1996)
+    return lengths.raise_lengths([group, trips, other], lengths.landings_by_area(landings_wide(spark, sf)).drop("type"))
 
 
 RAISED_SQL = f"""{LANDINGS_SQL},
 n AS (SELECT catchcategory AS species, year, replace(fleet, ' ', '') AS area, ageorlength AS length, sum(canum) AS number
   FROM samples GROUP BY ALL),
-pfa AS (SELECT species, year, area, length, 100 * number / sum(number) OVER (PARTITION BY species, year, area) AS prop,
-  'pfa' AS source FROM n),
+trips AS (SELECT species, year, area, length, 100 * number / sum(number) OVER (PARTITION BY species, year, area) AS prop,
+  'trips' AS source FROM n),
 wgp AS (SELECT year, ageorlength AS length, sum(canum) / 1000 AS prop FROM samples WHERE fleet = 'ASIA' GROUP BY ALL),
 cells AS (SELECT CAST(y AS INTEGER) AS year, l AS length FROM (SELECT DISTINCT length AS l FROM wgp) a
   CROSS JOIN generate_series(1995, 2001) t(y)),
 wg0 AS (SELECT c.year, c.length, prop FROM cells c LEFT JOIN wgp USING (year, length)),
-freqs AS (SELECT species, year, area, length, prop, source FROM pfa
-  UNION ALL SELECT NULL, year, 'ASIA', length, CASE WHEN year = 1995 THEN prop / 2 ELSE prop END, 'wg' FROM wg0
-  UNION ALL SELECT NULL, year, 'NOWHERE', length, prop, 'wg' FROM wg0 WHERE year = 1996),
+freqs AS (SELECT species, year, area, length, prop, source FROM trips
+  UNION ALL SELECT NULL, year, 'ASIA', length, CASE WHEN year = 1995 THEN prop / 2 ELSE prop END, 'group' FROM wg0
+  UNION ALL SELECT NULL, year, 'NOWHERE', length, prop, 'group' FROM wg0 WHERE year = 1996),
 raised AS (SELECT f.*, catch * prop AS number FROM freqs f LEFT JOIN landings USING (year, area))"""
 
 

@@ -96,18 +96,18 @@ def yearly_residuals(spark, sf):
     return a.yearly_residuals(opr(spark, sf))
 
 
-@query("catch_difference_percent", f"""WITH {RBYA1_SQL}, x AS (SELECT year, sum(n * cW) AS assessment, sum(oC * cW) * 25 AS intercatch FROM rbya GROUP BY year)
-SELECT *, 100 * (assessment / intercatch - 1) AS rel_diff FROM x""", digits={"assessment": 6, "intercatch": 6, "rel_diff": 6})
+@query("catch_difference_percent", f"""WITH {RBYA1_SQL}, x AS (SELECT year, sum(n * cW) AS assessment, sum(oC * cW) * 25 AS reported FROM rbya GROUP BY year)
+SELECT *, 100 * (assessment / reported - 1) AS rel_diff FROM x""", digits={"assessment": 6, "reported": 6, "rel_diff": 6})
 def catch_difference_percent(spark, sf):
     r = rbya(spark, sf, run=False)
     return a.rel_diff({
         "assessment": r.groupBy("year").agg(F.sum(F.col("n") * F.col("cW")).alias("estimate")),
-        "intercatch": r.groupBy("year").agg((F.sum(F.col("oC") * F.col("cW")) * 25).alias("estimate"))},
-        "estimate", "assessment", "intercatch")
+        "reported": r.groupBy("year").agg((F.sum(F.col("oC") * F.col("cW")) * 25).alias("estimate"))},
+        "estimate", "assessment", "reported")
 
 
-@query("log_number_difference", f"""WITH {RBYA1_SQL}, x AS (SELECT year, sum(ln(n)) AS sam, sum(ln(oC * 20)) AS ic FROM rbya GROUP BY year)
-SELECT year, sam, ic, printf('%.1f', round_even((sam / ic - 1) * 100, 1)) || '%' AS perc_diff FROM x""", digits={"sam": 6, "ic": 6})
+@query("log_number_difference", f"""WITH {RBYA1_SQL}, x AS (SELECT year, sum(ln(n)) AS model, sum(ln(oC * 20)) AS reported FROM rbya GROUP BY year)
+SELECT year, model, reported, printf('%.1f', round_even((model / reported - 1) * 100, 1)) || '%' AS perc_diff FROM x""", digits={"model": 6, "reported": 6})
 def log_number_difference(spark, sf):
     r = rbya(spark, sf, run=False)
     return a.log_number_diff(r.select("year", F.log("n").alias("obs")), r.select("year", (F.col("oC") * 20).alias("canum")))
