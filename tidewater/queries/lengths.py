@@ -94,8 +94,8 @@ def raised(spark, sf):
     per = s.where(F.col("fleet") == "ASIA").groupBy(F.col("ageorlength").alias("length"), "year").agg(
         (F.sum("canum") / 1000).alias("prop"))
     wide = widen(per, ["length"], "year", "prop", YEARS).withColumnsRenamed({str(y): f"X{y}" for y in YEARS})
-    halved = [(F.col("year") == 1995, {"prop": F.col("prop") / 2})]
-    group = lengths.proportions_long(wide, ["length"], "ASIA", "group", halved)
+    smaller = [(F.col("year") == 1995, {"prop": F.col("prop") / 3})]
+    group = lengths.proportions_long(wide, ["length"], "ASIA", "group", smaller)
     other = lengths.proportions_long(wide, ["length"], "NOWHERE", "group").where(F.col("year") == 1996)
     return lengths.raise_lengths([group, trips, other], lengths.landings_by_area(landings_wide(spark, sf)).drop("type"))
 
@@ -110,20 +110,20 @@ cells AS (SELECT CAST(y AS INTEGER) AS year, l AS length FROM (SELECT DISTINCT l
   CROSS JOIN generate_series(1995, 2001) t(y)),
 wg0 AS (SELECT c.year, c.length, prop FROM cells c LEFT JOIN wgp USING (year, length)),
 freqs AS (SELECT species, year, area, length, prop, source FROM trips
-  UNION ALL SELECT NULL, year, 'ASIA', length, CASE WHEN year = 1995 THEN prop / 2 ELSE prop END, 'group' FROM wg0
+  UNION ALL SELECT NULL, year, 'ASIA', length, CASE WHEN year = 1995 THEN prop / 3 ELSE prop END, 'group' FROM wg0
   UNION ALL SELECT NULL, year, 'NOWHERE', length, prop, 'group' FROM wg0 WHERE year = 1996),
 raised AS (SELECT f.*, catch * prop AS number FROM freqs f LEFT JOIN landings USING (year, area))"""
 
 
 @query("raised_lengths", f"""WITH {RAISED_SQL}
-SELECT source, area, year, length, sum(number) AS number FROM raised GROUP BY ALL""", digits={"number": 5})
+SELECT source, area, year, length, sum(number) AS number FROM raised GROUP BY ALL""", digits={"number": 3})
 def raised_lengths(spark, sf):
     return raised(spark, sf).groupBy("source", "area", "year", "length").agg(F.sum("number").alias("number"))
 
 
 @query("raised_length_totals", f"""WITH {RAISED_SQL}
 SELECT year, length, CASE WHEN count(*) = count(number) THEN sum(number) END AS number FROM raised GROUP BY ALL""",
-       digits={"number": 5})
+       digits={"number": 3})
 def raised_length_totals(spark, sf):
     return lengths.raised_total(raised(spark, sf))
 
