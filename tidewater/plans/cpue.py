@@ -11,7 +11,7 @@ from tidewater.functions.dates import count_bits, day_bit
 from tidewater.operators.aggregates import concat_agg, n_distinct, ratio, sum0
 from tidewater.operators.joins import left_join, natural_left
 from tidewater.operators.reshape import melt
-from tidewater.operators.sets import add_zero_rows, union_all, union_tagged
+from tidewater.operators.sets import add_zero_rows, union_tagged
 from tidewater.operators.shaping import safe_ratio
 from tidewater.operators.windows import share
 
@@ -28,7 +28,7 @@ def vessel_cells(hauls: DataFrame, keys: Sequence[str] = CELL, vessel: str = "ve
     """
     return hauls.withColumn("__d", day_bit(F.col("date"), F.col("year"))).groupBy(*keys, vessel).agg(
         sum0("catch").alias("catch"), sum0("duration").alias("duration"), F.count(F.lit(1)).alias("nhauls"),
-        count_bits(F.bit_or("__d")).alias("ndays"), F.avg("depth").alias("depth"))
+        F.bit_or("__d").alias("days"), F.avg("depth").alias("depth")).withColumn("ndays", count_bits(F.col("days")))
 
 
 def cpue_by_day(hauls: DataFrame, keys: Sequence[str] = CELL) -> DataFrame:
@@ -79,16 +79,21 @@ def species_catch(hauls: DataFrame, shares: DataFrame, keys: Sequence[str]) -> D
     })
 
 
-def fleet_metrics(hauls: DataFrame, byday: DataFrame) -> DataFrame:
-    """Vessels, vessel-days, hauls, hours, catch and catch per day, one row per fleet, year and metric."""
-    vessel = hauls.groupBy("fleet", "year", "vesselid").agg(
-        F.count(F.lit(1)).alias("nhauls"), n_distinct("date").alias("ndays"),
-        sum0("catch").alias("catch"), sum0("duration").alias("nhours"))
-    wide = vessel.groupBy("fleet", "year").agg(
-        F.count(F.lit(1)).cast("double").alias("nvessels"), F.sum("ndays").cast("double").alias("ndays"),
-        F.sum("nhauls").cast("double").alias("nhauls"), F.sum("catch").alias("catch"), F.sum("nhours").alias("nhours"))
-    per_day = byday.groupBy("fleet", "year").agg(ratio("catch", "ndays").alias("catch_day"))
-    return union_all(melt(wide, ["fleet", "year"]), melt(per_day, ["fleet", "year"]))
+def fleet_metrics(hauls: DataFrame) -> DataFrame:
+    """Vessels, vessel-days, hauls, hours, catch and catch per day, one row per fleet, year and metric.
+
+    One pass over the hauls. A vessel's days are joined over its rectangles week by week
+    (a day in two rectangles is one day at sea); catch per day is over the days in each
+    rectangle, as in the CPUE table.
+    """
+    weeks = vessel_cells(hauls).groupBy("fleet", "year", "vesselid", "week").agg(
+        F.bit_or("days").alias("days"), F.sum("ndays").alias("celldays"), F.sum("nhauls").alias("nhauls"),
+        F.sum("catch").alias("catch"), F.sum("duration").alias("nhours"))
+    wide = weeks.groupBy("fleet", "year").agg(
+        n_distinct("vesselid").cast("double").alias("nvessels"), F.sum(count_bits(F.col("days"))).cast("double").alias("ndays"),
+        F.sum("nhauls").cast("double").alias("nhauls"), F.sum("catch").alias("catch"), F.sum("nhours").alias("nhours"),
+        ratio("catch", "celldays").alias("catch_day"))
+    return melt(wide, ["fleet", "year"])
 
 
 def effort_table(hauls: DataFrame, first: int, last: int, day: str = "day") -> DataFrame:

@@ -204,15 +204,14 @@ def _theta_step(model: _Model, fits: Sequence[Fit]) -> None:
     if all(f.theta >= THETA_MAX for f in fits):
         return
     n, mu, th = F.col("n"), F.col("mu"), F.col("th")
-    single = {r["g"]: r for r in _with_theta(model.values, fits).groupBy("g").agg(
-        F.sum(n * (digamma("yt") - digamma("th"))).alias("s"),
-        F.sum(n * (trigamma("th") - trigamma("yt"))).alias("i")).collect()}
     yt = F.col("sy") + n * th
-    cell = {r["g"]: r for r in _means(model.cells, fits).withColumn("th", _per_group(fits, lambda f: f.theta)).groupBy("g").agg(
-        F.sum(n * (F.log(th) + 1 - F.log(mu + th)) - yt / (mu + th)).alias("s"),
-        F.sum(n * (2 / (mu + th) - 1 / th) - yt / F.pow(mu + th, F.lit(2))).alias("i")).collect()}
-    for g, f in enumerate(fits):
-        score, info = single[g]["s"] + cell[g]["s"], single[g]["i"] + cell[g]["i"]
+    single = _with_theta(model.values, fits).select(
+        "g", (n * (digamma("yt") - digamma("th"))).alias("s"), (n * (trigamma("th") - trigamma("yt"))).alias("i"))
+    cell = _means(model.cells, fits).withColumn("th", _per_group(fits, lambda f: f.theta)).select(
+        "g", (n * (F.log(th) + 1 - F.log(mu + th)) - yt / (mu + th)).alias("s"),
+        (n * (2 / (mu + th) - 1 / th) - yt / ((mu + th) * (mu + th))).alias("i"))
+    for r in single.unionByName(cell).groupBy("g").agg(F.sum("s").alias("s"), F.sum("i").alias("i")).collect():
+        f, score, info = fits[r["g"]], r["s"], r["i"]
         new = f.theta + score / info if info > 0 else f.theta * 2
         if f.theta < THETA_MAX:
             f.theta = min(new if new > 0 else f.theta / 2, THETA_MAX)
@@ -221,16 +220,15 @@ def _theta_step(model: _Model, fits: Sequence[Fit]) -> None:
 def _figures(model: _Model, fits: Sequence[Fit]) -> None:
     """Deviance and log-likelihood of the fitted groups."""
     n, y, mu, sy, th, yt = (F.col(c) for c in ("n", "y", "mu", "sy", "th", "yt"))
-    single = {r["g"]: r for r in _with_theta(model.values, fits).groupBy("g").agg(
-        F.sum(n).alias("n"),
-        F.sum(n * (y * F.log(F.greatest(y, F.lit(1.0))) - yt * F.log(yt))).alias("d"),
-        F.sum(n * (lgamma("yt") - lgamma("th") - lgamma("y1") + th * F.log(th))).alias("l")).collect()}
-    cell = {r["g"]: r for r in _means(model.cells, fits).withColumn("th", _per_group(fits, lambda f: f.theta)).groupBy("g").agg(
-        F.sum(-sy * F.log(mu) + (sy + n * th) * F.log(mu + th)).alias("d"),
-        F.sum(sy * F.log(mu) - (sy + n * th) * F.log(mu + th)).alias("l")).collect()}
-    for g, f in enumerate(fits):
-        s, c = single[g], cell[g]
-        f.n, f.deviance, f.twologlik = int(s["n"]), 2 * (s["d"] + c["d"]), 2 * (s["l"] + c["l"])
+    single = _with_theta(model.values, fits).select(
+        "g", n.alias("n"), (n * (y * F.log(F.greatest(y, F.lit(1.0))) - yt * F.log(yt))).alias("d"),
+        (n * (lgamma("yt") - lgamma("th") - lgamma("y1") + th * F.log(th))).alias("l"))
+    of_mean = sy * F.log(mu) - (sy + n * th) * F.log(mu + th)
+    cell = _means(model.cells, fits).withColumn("th", _per_group(fits, lambda f: f.theta)).select(
+        "g", F.lit(0.0).alias("n"), (-of_mean).alias("d"), of_mean.alias("l"))
+    for r in single.unionByName(cell).groupBy("g").agg(*[F.sum(c).alias(c) for c in ("n", "d", "l")]).collect():
+        f = fits[r["g"]]
+        f.n, f.deviance, f.twologlik = int(r["n"]), 2 * r["d"], 2 * r["l"]
 
 
 def _run(model: _Model, factors: Sequence[str], theta: dict | None = None) -> list[Fit]:

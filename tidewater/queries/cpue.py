@@ -153,7 +153,7 @@ d AS (SELECT fleet, year, sum(catch) / sum(ndays) AS catch_day FROM byday GROUP
 SELECT fleet, year, variable, value FROM w UNPIVOT (value FOR variable IN (nvessels, ndays, nhauls, catch, nhours))
 UNION ALL SELECT fleet, year, 'catch_day', catch_day FROM d""", digits={"value": 6})
 def fleet_metrics(spark, sf):
-    return cpue.fleet_metrics(scoped_hauls(spark, sf), byday(spark, sf))
+    return cpue.fleet_metrics(scoped_hauls(spark, sf))
 
 
 @query("effort_table", f"""WITH {SCOPED_SQL}, e AS (SELECT fleet, year, count(DISTINCT vesselid) AS nvessels,
