@@ -120,10 +120,8 @@ def quantiles(df: DataFrame, keys: Sequence[str], x: str, probs: Sequence[float]
     )
     grid = [i / slices for i in range(1, slices)]
     cuts = vc.groupBy(*gkeys).agg(
-        F.array_distinct(F.percentile_approx("__x", grid, 20 * slices)).alias("__cuts"), F.sum("__n").alias("__total"))
-    # Place of a value among the group's sorted cut points.
-    place = F.size(F.filter("__cuts", lambda c: c < F.col("__x")))
-    sliced = left_join(vc, cuts, gkeys, null_safe=True).withColumn("__slice", place).drop("__cuts")
+        F.percentile_approx("__x", grid, 20 * slices).alias("__cuts"), F.sum("__n").alias("__total"))
+    sliced = left_join(vc, cuts, gkeys, null_safe=True).withColumn("__slice", F.expr(_place(0, slices - 1))).drop("__cuts")
 
     per_slice = sliced.groupBy(*gkeys, "__slice").agg(F.sum("__n").alias("__m"), F.max("__total").alias("__total"))
     before = W.partitionBy(*gkeys).orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)
@@ -155,6 +153,14 @@ def quantiles(df: DataFrame, keys: Sequence[str], x: str, probs: Sequence[float]
     return out if keys else out.drop("__g")
 
 
+def _place(first: int, last: int) -> str:
+    """How many of the sorted cut points lie below a value: a binary search spelled out as conditions."""
+    if first == last:
+        return str(first)
+    mid = (first + last) // 2
+    return f"CASE WHEN __x <= __cuts[{mid}] THEN {_place(first, mid)} ELSE {_place(mid + 1, last)} END"
+
+
 def _null_safe(keys: Sequence[str]) -> Column:
     cond = F.lit(True)
     for k in keys:
