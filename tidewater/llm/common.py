@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Bytes of text that the vectorised operators handle at once, unless one text is longer.
 SLICE_BYTES = 1 << 20
@@ -66,3 +66,19 @@ def row_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int
         last = max(first + 1, int(np.searchsorted(sizes, done + limit, "right")))
         yield first, last, column.slice(first, last - first).to_pylist()
         first = last
+
+
+def text_key() -> F.Column:
+    """Hash that tells apart rows of one ``doc_id``; a missing text counts as empty."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def keep_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``doc_id`` and text hash are in ``keys`` (doc_id, text_key), one for each key.
+
+    Of rows that repeat a key, the one with the greatest columns stays. All columns of ``docs`` are kept.
+    """
+    own = docs.select(F.col("doc_id").alias("_id"), text_key().alias("_key"), F.struct(*[f"`{c}`" for c in docs.columns]).alias("_row"))
+    wanted = keys.select(F.col("doc_id").alias("_want"), F.col("text_key").alias("_want_key"))
+    held = own.join(wanted, (F.col("_key") == F.col("_want_key")) & F.col("_id").eqNullSafe(F.col("_want")), "left_semi")
+    return held.groupBy("_key", "_id").agg(F.max("_row").alias("_row")).select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])

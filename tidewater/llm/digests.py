@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewater.llm.common import shared_folder, written
+from tidewater.llm.common import keep_rows, shared_folder, text_key, written
 
 #: Characters that do not count when texts are compared.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -47,7 +47,7 @@ class DigestIndex:
             docs.select(
                 "doc_id", digest(F.col("text")).alias("digest"),
                 F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"),
-                F.monotonically_increasing_id().alias("row"),
+                F.monotonically_increasing_id().alias("row"), text_key().alias("text_key"),
             ), "digests")
         best = F.max(F.struct("n_chars", (-F.col("doc_id")).alias("low"), (-F.col("row")).alias("row")))
         groups = written(
@@ -62,7 +62,7 @@ class DigestIndex:
             .withColumn("keep_row", F.when(F.col("batch") == batch, F.col("keep_row"))).drop("batch"), "digest-verdicts")
         return rows.join(verdicts, "digest").select(
             "doc_id", "keep_id", "group_size", F.coalesce(F.col("row") == F.col("keep_row"), F.lit(False)).alias("kept"),
-            F.col("digest").alias("text_sha256"), "row")
+            F.col("digest").alias("text_sha256"), "text_key")
 
 
 def open_index(spark: SparkSession, name: str = "digest_index", buckets: int = 64) -> DigestIndex:
@@ -71,16 +71,5 @@ def open_index(spark: SparkSession, name: str = "digest_index", buckets: int = 6
 
 
 def drop_repeats(docs: DataFrame, index: DigestIndex) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
-
-    ``doc_id`` and digest name the row that stays. Rows that agree in both are reduced to the one with the most code
-    points, then the greatest text and other columns.
-    """
-    held = index.absorb(docs).where("kept").select(F.col("doc_id").alias("_keep_id"), F.col("text_sha256").alias("_held"))
-    ordered = ["text", *[c for c in docs.columns if c != "text"]]
-    own = docs.select(
-        F.col("doc_id").alias("_id"), digest(F.col("text")).alias("_digest"),
-        F.char_length(F.coalesce("text", F.lit(""))).alias("_n"), F.struct(*[f"`{c}`" for c in ordered]).alias("_row"))
-    kept = own.join(held, (F.col("_digest") == F.col("_held")) & F.col("_id").eqNullSafe(F.col("_keep_id")), "left_semi")
-    return (kept.groupBy("_id", "_digest").agg(F.max(F.struct("_n", "_row")).alias("_best"))
-            .select(*[F.col("_best._row").getField(c).alias(c) for c in docs.columns]))
+    """The rows of ``docs`` that stay, with all their columns. Of rows that repeat ``doc_id`` and text, one stays."""
+    return keep_rows(docs, index.absorb(docs).where("kept"))

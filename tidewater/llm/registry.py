@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import digests, packing
+from tidewater.llm import digests, packing, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests.open_index(spark).absorb(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row")
+    return digests.open_index(spark).absorb(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_key")
 
 
 OP3_SQL = r"""
@@ -24,12 +24,17 @@ WINDOW same AS (PARTITION BY h ORDER BY n DESC, doc_id)
 """
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=4, radius=4).drop("text_key")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
 QUERIES: dict[str, Query] = {
     "op3_exact_dedup": op3_exact_dedup,
+    "op5_simhash": op5_simhash,
     "op9_packing": op9_packing,
 }
 ORACLES: dict[str, str] = {"op3_exact_dedup": OP3_SQL}
