@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import digests, packing, simhash
+from tidewater.llm import digests, packing, simhash, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=4, radius=4).drop("text_key")
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_counts(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
@@ -35,6 +39,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op5_simhash": op5_simhash,
+    "op7_token_counts": op7_token_counts,
     "op9_packing": op9_packing,
 }
 ORACLES: dict[str, str] = {"op3_exact_dedup": OP3_SQL}
