@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import io
+import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+import zipfile
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Bytes of text that the vectorised operators handle at once, unless one text is longer.
 SLICE_BYTES = 1 << 20
 
 _own_folder: str | None = None
+_shipped: set[str] = set()
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -38,6 +43,32 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def open_folder(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI and the path in it."""
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+
+
+def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` whose workers can import this package: its sources are sent once for each application."""
+    sc = df.sparkSession.sparkContext
+    if sc.applicationId not in _shipped:
+        package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        packed = io.BytesIO()
+        with zipfile.ZipFile(packed, "w") as z:
+            for folder, _, names in os.walk(package):
+                for name in names:
+                    if name.endswith(".py"):
+                        z.write(os.path.join(folder, name), os.path.relpath(os.path.join(folder, name), os.path.dirname(package)))
+        path = shared_folder(df.sparkSession, "sources")
+        system, root = open_folder(path)
+        system.create_dir(root, recursive=True)
+        with system.open_output_stream(f"{root}/tidewater.zip") as out:
+            out.write(packed.getvalue())
+        sc.addPyFile(f"{path}/tidewater.zip")
+        _shipped.add(sc.applicationId)
+    return df.mapInArrow(fn, schema)
+
+
 def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a text column into runs of rows of about ``limit`` bytes.
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewater.llm import digests, packing, simhash, token_files
+from tidewater.llm import digests, packing, repeats, simhash, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,10 +36,16 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = repeats.remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), min_bytes=50)
+    return cleaned.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op5_simhash": op5_simhash,
     "op7_token_counts": op7_token_counts,
     "op9_packing": op9_packing,
+    "op10_repeats": op10_repeats,
 }
 ORACLES: dict[str, str] = {"op3_exact_dedup": OP3_SQL}

@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tidewater.llm.common import keep_rows, row_slices, text_key, written
+from tidewater.llm.common import keep_rows, map_arrow, row_slices, text_key, written
 from tidewater.llm.graphs import components
 
 SEED = 42
@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame, n: int = 4) -> DataFrame:
                 names=["doc_id", "text_key", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long"), text_key().alias("text_key"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, text_key long, fp long")
+    return map_arrow(rows, run, "doc_id long, text_key long, fp long")
 
 
 def populations(fps: np.ndarray) -> np.ndarray:
@@ -142,7 +142,8 @@ def _tiles(classes: DataFrame) -> DataFrame:
         if n:
             yield tile()
 
-    tiles = keyed.repartitionByRange(count, *order).sortWithinPartitions(*order).select("fp").mapInArrow(gather, "low int, high int, fps binary")
+    ranged = keyed.repartitionByRange(count, *order).sortWithinPartitions(*order).select("fp")
+    tiles = map_arrow(ranged, gather, "low int, high int, fps binary")
     return written(tiles.withColumn("tile", F.monotonically_increasing_id()), "tiles")
 
 
@@ -171,7 +172,7 @@ def links(classes: DataFrame, radius: int) -> DataFrame:
                 i, j = tile_links(left, right, radius)
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[i].view(np.int64)), pa.array(nodes[j].view(np.int64))], names=["a", "b"])
 
-    return spread.mapInArrow(compare, "a long, b long")
+    return map_arrow(spread, compare, "a long, b long")
 
 
 def near_groups(docs: DataFrame, n: int = 4, radius: int = 4) -> DataFrame:

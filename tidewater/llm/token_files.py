@@ -9,17 +9,13 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from tidewater.llm.common import row_slices, shared_folder, written
+from tidewater.llm.common import map_arrow, open_folder, row_slices, shared_folder, written
 from tidewater.llm.tokens import encoder
 
 #: Bytes read at once by the scan; a multiple of every width.
 BLOCK_BYTES = 4 << 20
 
 
-def _open(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
-
-
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int, width: int = 2) -> DataFrame:
     """Write the token ids of ``docs``, each document followed by ``end_id``, to flat little-endian files in ``folder``.
 
@@ -29,7 +25,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
     """
 
     def run(batches):
-        system, root = _open(folder)
+        system, root = open_folder(folder)
         system.create_dir(root, recursive=True)
         enc, end, name, ordinal, size, out = encoder(tokenizer, special_as_text=True), np.array([end_id], f"<u{width}").tobytes(), f"{uuid.uuid4().hex}.bin", 0, 0, None
         try:
@@ -52,7 +48,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
                 [pa.array([name]), pa.array([None], pa.int64()), pa.array([-1]), pa.array([size])], names=["file", "doc_id", "ordinal", "n_bytes"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return written(rows.mapInArrow(run, "file string, doc_id long, ordinal long, n_bytes long"), "token-manifest")
+    return written(map_arrow(rows, run, "file string, doc_id long, ordinal long, n_bytes long"), "token-manifest")
 
 
 def scan_blocks(files: DataFrame, folder: str, end_id: int, width: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -64,7 +60,7 @@ def scan_blocks(files: DataFrame, folder: str, end_id: int, width: int = 2, bloc
         raise ValueError("a block must hold whole ids")
 
     def run(batches):
-        system, root = _open(folder)
+        system, root = open_folder(folder)
         for batch in batches:
             for name, block in zip(batch.column("file").to_pylist(), batch.column("block").to_pylist(), strict=True):
                 with system.open_input_file(f"{root}/{name}") as f:
@@ -78,7 +74,7 @@ def scan_blocks(files: DataFrame, folder: str, end_id: int, width: int = 2, bloc
 
     blocks = files.where("n_bytes > 0").select("file", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_bytes") - 1) / block_bytes))).alias("block"))
     tasks = files.sparkSession.sparkContext.defaultParallelism * 4
-    return blocks.repartition(tasks, "file", "block").mapInArrow(run, "file string, block long, n_tokens long, ends array<long>")
+    return map_arrow(blocks.repartition(tasks, "file", "block"), run, "file string, block long, n_tokens long, ends array<long>")
 
 
 def count_documents(blocks: DataFrame) -> DataFrame:
@@ -112,7 +108,7 @@ def token_counts(spark: SparkSession, docs: DataFrame, tokenizer: str = "word_bp
     folder = shared_folder(spark, "token-files")
     manifest = write_token_files(docs, folder, tokenizer, end_id, width)
     blocks = written(scan_blocks(manifest.where("ordinal = -1").select("file", "n_bytes"), folder, end_id, width), "token-blocks")
-    system, root = _open(folder)
+    system, root = open_folder(folder)
     if system.get_file_info(root).type == fs.FileType.Directory:
         system.delete_dir(root)
     counts = count_documents(blocks).select("file", "ordinal", "n_tokens")
