@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 #: Bytes of text that the vectorised operators handle at once, unless one text is longer.
 SLICE_BYTES = 1 << 20
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own_folder: str | None = None
 _shipped: set[str] = set()
 
@@ -37,10 +38,18 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: a cut of the lineage that survives lost executors."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` to the shared folder and read it back: a cut of the lineage that survives lost executors.
+
+    The shuffle files of the write are given up when it ends, as nothing reads them again.
+    """
+    spark = df.sparkSession
+    path, before = shared_folder(spark, name), spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def open_folder(path: str) -> tuple[fs.FileSystem, str]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewater.llm import digests, packing, repeats, simhash, token_files
+from tidewater.llm import decontaminate, digests, packing, repeats, simhash, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_counts(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    return decontaminate.contaminated(docs, benchmark, similarity=0.8).drop("text_key")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
@@ -45,6 +50,7 @@ QUERIES: dict[str, Query] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op5_simhash": op5_simhash,
     "op7_token_counts": op7_token_counts,
+    "op8_decontamination": op8_decontamination,
     "op9_packing": op9_packing,
     "op10_repeats": op10_repeats,
 }
