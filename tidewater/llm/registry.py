@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewater.llm import decontaminate, digests, packing, repeats, simhash, token_files
+from tidewater.llm import decontaminate, digests, packing, repeats, simhash, token_files, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,12 @@ WINDOW same AS (PARTITION BY h ORDER BY n DESC, doc_id)
 """
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    scored = toxicity.score(docs, toxicity.fit(docs, labels.where(~toxicity.held_out())))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=4, radius=4).drop("text_key")
 
@@ -48,6 +54,7 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_toxicity": op4_toxicity,
     "op5_simhash": op5_simhash,
     "op7_token_counts": op7_token_counts,
     "op8_decontamination": op8_decontamination,
