@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewater.llm import chat, decontaminate, digests, language, packing, repeats, simhash, token_files, toxicity
+from tidewater.llm import chat, decontaminate, digests, language, packing, repeats, simhash, token_files, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,6 +47,14 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=4, radius=4).drop("text_key")
 
 
+#: Host, path and verdict of the rules that op6 is asked for.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_counts(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -71,6 +79,7 @@ QUERIES: dict[str, Query] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_simhash": op5_simhash,
+    "op6_url_filter": op6_url_filter,
     "op7_token_counts": op7_token_counts,
     "op8_decontamination": op8_decontamination,
     "op9_packing": op9_packing,
