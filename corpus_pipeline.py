@@ -7,21 +7,43 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import digests, packing
+from tidewater.llm import decontaminate, digests, packing, simhash, toxicity
 from tidewater.llm.common import written
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below 0.3 stay; the scores are learned from the labels that are not held out."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~toxicity.held_out())
+    return toxicity.drop_toxic(docs, toxicity.fit(docs, labels), threshold=0.3)
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts stays."""
     return digests.drop_repeats(docs, digests.open_index(spark))
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by SimHash fingerprints of 4-word shingles at 4 bits or fewer stays."""
+    return simhash.drop_near_copies(docs, n=4, radius=4)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item at a similarity of 0.8 or more stay."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), similarity=0.8)
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences without padding, each within one document."""
     return packing.digests(packing.pack(docs))
 
 
-STAGES = [("exact dedup", drop_exact_copies), ("packing", pack_sequences)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_exact_copies),
+    ("SimHash near-dedup", drop_near_copies),
+    ("benchmark decontamination", drop_contaminated),
+    ("packing", pack_sequences),
+]
 
 #: Token ids and the learned scores cannot be written in SQL.
 ORACLE_SQL = None

@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of text that the vectorised operators handle at once, unless one text is longer.
 SLICE_BYTES = 1 << 20
@@ -57,7 +58,7 @@ def open_folder(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
 
 
-def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, fn: Callable, schema: str | StructType) -> DataFrame:
     """``mapInArrow`` whose workers can import this package: its sources are sent once for each application."""
     sc = df.sparkSession.sparkContext
     if sc.applicationId not in _shipped:
@@ -118,7 +119,21 @@ def keep_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
     Of rows that repeat a key, the one with the greatest columns stays. All columns of ``docs`` are kept.
     """
-    own = docs.select(F.col("doc_id").alias("_id"), text_key().alias("_key"), F.struct(*[f"`{c}`" for c in docs.columns]).alias("_row"))
-    wanted = keys.select(F.col("doc_id").alias("_want"), F.col("text_key").alias("_want_key"))
-    held = own.join(wanted, (F.col("_key") == F.col("_want_key")) & F.col("_id").eqNullSafe(F.col("_want")), "left_semi")
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id")  # plain equality, so texts are shuffled once
+    own = docs.select(name, text_key().alias("_key"), F.struct(*[f"`{c}`" for c in docs.columns]).alias("_row"))
+    held = own.join(keys.select(name, F.col("text_key").alias("_key")), ["_key", "_id"], "left_semi")
     return held.groupBy("_key", "_id").agg(F.max("_row").alias("_row")).select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
+
+
+def filter_rows(docs: DataFrame, keep: Callable) -> DataFrame:
+    """The rows of ``docs`` for which ``keep`` is true, with all their columns, in one pass.
+
+    ``keep`` is called once for each task and gives a function from Arrow batches to lists of booleans.
+    """
+
+    def run(batches):
+        decide = keep()
+        for batch in batches:
+            yield batch.filter(pa.array(decide(batch), pa.bool_()))
+
+    return map_arrow(docs, run, docs.schema)

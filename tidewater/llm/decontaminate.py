@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from tidewater.llm.common import map_arrow, text_key, text_slices
+from tidewater.llm.common import filter_rows, map_arrow, text_key, text_slices
 from tidewater.llm.hashing import mix, prefix_hashes
 
 #: Random walks, tables for each walk and size of window, sampled steps of a table, longest walk.
@@ -231,40 +231,48 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8)
     in blocks of bounded size, one pass over the documents each. Gives doc_id, text_key, item_id, distance, similarity.
     Missing texts hold nothing; repeated rows give repeated rows; other columns are ignored.
     """
-    items = benchmark.where("text is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, math.ceil(size / BLOCK_BYTES))
     rows = docs.select(F.col("doc_id").cast("long"), text_key().alias("text_key"), F.col("text").cast("string"))
-    parts = []
-    for b in range(blocks):
-        held = items.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(blocks)) == b).collect()  # about BLOCK_BYTES
-        tables = docs.sparkSession.sparkContext.broadcast(ItemTables(sorted((r.item_id if r.item_id is not None else -1, r.text) for r in held), similarity))
-        parts.append(map_arrow(rows, _search(tables), "doc_id long, text_key long, item_id long, distance int, similarity double"))
+    parts = [map_arrow(rows, _search(tables), "doc_id long, text_key long, item_id long, distance int, similarity double") for tables in _blocks(benchmark, similarity)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+def _blocks(benchmark: DataFrame, similarity: float) -> list:
+    """Tables of the items, in broadcast blocks of about ``BLOCK_BYTES``."""
+    items = benchmark.where("text is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string"))
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    blocks, out = max(1, math.ceil(size / BLOCK_BYTES)), []
+    for b in range(blocks):
+        held = items.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(blocks)) == b).collect()  # about BLOCK_BYTES
+        tables = ItemTables(sorted((r.item_id if r.item_id is not None else -1, r.text) for r in held), similarity)
+        out.append(benchmark.sparkSession.sparkContext.broadcast(tables))
+    return out
+
+
+def _found(tables: ItemTables, batch: pa.RecordBatch) -> dict[tuple[int, int], int]:
+    """Least distance of each row of a batch and item that it holds."""
+    overlap = 4 * max([len(t.encode()) for _, t, _, _ in tables.items], default=0) + 1024
+    out: dict[tuple[int, int], int] = {}
+    for first, last, data, offsets in text_slices(pc.utf8_lower(pc.fill_null(batch.column("text"), "")), 1 << 19):
+        step = PIECE if last - first == 1 else max(1, len(data))  # a long text is searched piece by piece
+        for begin in range(0, len(data), step):
+            part = data[begin : begin + step + overlap]
+            for row, item, distance in matches(tables, part, offsets if step >= len(data) else np.array([0, len(part)])):
+                out[first + row, item] = min(distance, out.get((first + row, item), distance))
+    return out
+
+
 def _search(shared):
     def run(batches):
         tables = shared.value
-        overlap = 4 * max([len(t.encode()) for _, t, _, _ in tables.items], default=0) + 1024
         for batch in batches:
-            ids, keys = batch.column("doc_id"), batch.column("text_key")
-            out: dict[tuple[int, int], int] = {}
-            for first, last, data, offsets in text_slices(pc.utf8_lower(pc.fill_null(batch.column("text"), "")), 1 << 19):
-                step = PIECE if last - first == 1 else max(1, len(data))  # a long text is searched piece by piece
-                for begin in range(0, len(data), step):
-                    part = data[begin : begin + step + overlap]
-                    for row, item, distance in matches(tables, part, offsets if step >= len(data) else np.array([0, len(part)])):
-                        out[first + row, item] = min(distance, out.get((first + row, item), distance))
-            if out:
-                rows = pa.array([r for r, _ in out])
-                found = [tables.items[i] for _, i in out]
+            if out := _found(tables, batch):
+                rows, found = pa.array([r for r, _ in out]), [tables.items[i] for _, i in out]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(rows), keys.take(rows), pa.array([i[0] for i in found], pa.int64()), pa.array(list(out.values()), pa.int32()),
-                     pa.array([1 - d / len(i[1]) for d, i in zip(out.values(), found, strict=True)])],
+                    [batch.column("doc_id").take(rows), batch.column("text_key").take(rows), pa.array([i[0] for i in found], pa.int64()),
+                     pa.array(list(out.values()), pa.int32()), pa.array([1 - d / len(i[1]) for d, i in zip(out.values(), found, strict=True)])],
                     names=["doc_id", "text_key", "item_id", "distance", "similarity"])
 
     return run
@@ -272,5 +280,17 @@ def _search(shared):
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with all their columns."""
-    bad = contaminated(docs, benchmark, similarity).select(F.col("doc_id").alias("_bad"), F.col("text_key").alias("_bad_key")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")) & (text_key() == F.col("_bad_key")), "left_anti")
+    for shared in _blocks(benchmark, similarity):
+        docs = filter_rows(docs, _clean(shared))
+    return docs
+
+
+def _clean(shared):
+    def keep():
+        def decide(batch):
+            bad = {row for row, _ in _found(shared.value, batch)}
+            return [row not in bad for row in range(batch.num_rows)]
+
+        return decide
+
+    return keep

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidewater.llm.common import map_arrow, row_slices, text_key, written
+from tidewater.llm.common import filter_rows, map_arrow, row_slices, text_key, written
 
 #: Labelled documents that the model is fitted on, about, and features that it weighs, at most.
 MAX_DOCS, MAX_FEATURES = 20_000, 3_000
@@ -249,5 +249,10 @@ def held_out() -> F.Column:
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, with all their columns."""
-    bad = score(docs, model).where(F.col("score") >= threshold).select(F.col("doc_id").alias("_bad"), F.col("text_key").alias("_bad_key")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")) & (text_key() == F.col("_bad_key")), "left_anti")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep():
+        memory = _Memory(shared.value)
+        return lambda batch: [-math.expm1(_log_clean(memory, t)) < threshold for _, _, texts in row_slices(batch.column("text")) for t in texts]
+
+    return filter_rows(docs, keep)
