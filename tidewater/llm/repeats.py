@@ -20,45 +20,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidewater.llm.common import map_arrow, text_slices, written
+from tidewater.llm.hashing import mix, powers, prefix_sums
 
 #: Bytes of an anchor.
 K = 18
 #: Anchors that a task holds before it sends them on.
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 #: Bytes of one text that are searched at once.
 PIECE = 4 << 20
 #: Contexts that a suffix array is built over at once, if no anchor has more.
-GATHERED = 1 << 17
+GATHERED = 1 << 15
 #: Differing contexts of one anchor beyond which its strings are matched one by one over the cluster.
 CROWD = 1 << 19
 
-_rng = np.random.default_rng(20)
-_BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
 SPAN = "d long, ver long, start int, stop int"
 
 
-def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
-    if len(_powers[0]) < n:
-        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            p = np.full(1 << (n - 1).bit_length(), base, np.uint64)
-            p[0] = 1
-            _powers[i] = np.multiply.accumulate(p)
-    return _powers[0][:n], _powers[1][:n]
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = h ^ (h >> np.uint64(32))
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xCA5A826395121157)
-    h ^= h >> np.uint64(32)
-    return h
-
-
 def _slide(fn, x: np.ndarray, width: int) -> np.ndarray:
     """``fn`` over every run of ``width`` values."""
     step = 1
@@ -71,10 +48,8 @@ def _slide(fn, x: np.ndarray, width: int) -> np.ndarray:
 def find_anchors(data: np.ndarray, offsets: np.ndarray, min_bytes: int):
     """Anchors of joined texts: hash, context hash, row, place in the text, bytes of context from the anchor on."""
     reach, n = min_bytes - K, len(data)
-    power, inverse = _pow(n + 1)
-    prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * power[:n], out=prefix[1:])
-    grams = _mix((prefix[K:] - prefix[:-K]) * inverse[: n - K + 1])
+    prefix, inverse = prefix_sums(data), powers(n + 1)[1]
+    grams = mix((prefix[K:] - prefix[:-K]) * inverse[: n - K + 1])
     least = _slide(np.minimum, grams, reach + 1)
     start, stop = offsets[:-1], offsets[1:]
     whole = stop - start >= min_bytes
@@ -88,7 +63,7 @@ def find_anchors(data: np.ndarray, offsets: np.ndarray, min_bytes: int):
     row = np.searchsorted(offsets, at, "right") - 1
     left, right = np.maximum(at - reach, start[row]), np.minimum(at + min_bytes, stop[row])
     shape = ((at - left).astype(np.uint64) << np.uint64(32)) + (right - at).astype(np.uint64)
-    context = _mix((prefix[right] - prefix[left]) * inverse[left] + _mix(shape))
+    context = mix((prefix[right] - prefix[left]) * inverse[left] + mix(shape))
     return grams[at], context, row, at - start[row], (right - at)
 
 
@@ -125,7 +100,7 @@ def _sizes(begin: np.ndarray, n: int) -> np.ndarray:
 
 def _combined(h, c, d, ver, pos, tail, reach):
     """Anchors of a task that must travel, and the spans of those that a smaller document of the task covers."""
-    order = np.argsort(_mix(h + (c << np.uint64(1))))
+    order = np.argsort(mix(h + (c << np.uint64(1))))
     begin = _runs(h[order], c[order])
     least = np.empty(len(h), np.int64)
     least[order] = np.repeat(np.minimum.reduceat(d[order], begin), _sizes(begin, len(h)))
@@ -143,7 +118,9 @@ def anchor_blobs(docs: DataFrame, min_bytes: int, buckets: int) -> DataFrame:
         held, n = [], 0
 
         def flush():
-            (h, c, d, ver, pos, tail), spans = _combined(*[np.concatenate(x) for x in zip(*held, strict=True)], reach)
+            columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+            held.clear()
+            (h, c, d, ver, pos, tail), spans = _combined(*columns, reach)
             bucket = (h % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -152,14 +129,14 @@ def anchor_blobs(docs: DataFrame, min_bytes: int, buckets: int) -> DataFrame:
             for b in range(buckets):
                 o, s = order[bounds[b] : bounds[b + 1]], slice(share[b], share[b + 1])
                 if len(o) or share[b + 1] > share[b]:
-                    rows.append((b, len(o), _planes(h[o], c[o], d[o], ver[o], pos[o].astype(np.int32), tail[o].astype(np.uint8)),
+                    rows.append((b, len(o), _planes(h[o], c[o], d[o], ver[o], pos[o], tail[o]),
                                  int(share[b + 1] - share[b]), _planes(spans[0][s], spans[1][s], spans[2][s].astype(np.int32), spans[3][s].astype(np.int32))))
             kinds = (pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds, strict=True)], names=["bucket", "n", "anchors", "m", "spans"])
 
         for batch in batches:
             d, ver = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("d", "ver"))
-            for first, _, data, offsets in text_slices(batch.column("text"), 1 << 19):
+            for first, _, data, offsets in text_slices(batch.column("text"), 1 << 18):
                 if len(data) < min_bytes:
                     continue
                 step = PIECE if len(offsets) == 2 else len(data)  # a long text is searched piece by piece
@@ -173,11 +150,11 @@ def anchor_blobs(docs: DataFrame, min_bytes: int, buckets: int) -> DataFrame:
                         own = (pos >= begin) & (pos < begin + step)
                         h, c, row, pos, tail = (x[own] for x in (h, c, row, pos, tail))
                     row += first
-                    held.append((h, c, d[row], ver[row], pos, tail))
+                    held.append((h, c, d[row], ver[row], pos.astype(np.int32), tail.astype(np.uint8)))
                     n += len(h)
-            if n >= FLUSH:
-                yield flush()
-                held, n = [], 0
+                if n >= FLUSH:
+                    yield flush()
+                    n = 0
         if n:
             yield flush()
 
@@ -379,7 +356,8 @@ def contexts(texts: DataFrame, asked: DataFrame, min_bytes: int) -> DataFrame:
                     [pa.array(h[s]), pa.array(d[row[s]]), pa.array(ver[row[s]]), pa.array(start[s]), pa.array(raw[s], pa.binary()), pa.array(crowded[s])],
                     names=["h", "d", "ver", "start", "bytes", "crowded"])
 
-    rows = texts.join(lists, ["d", "ver"]).select("d", "ver", "text", "asked")
+    # doc_id goes along so that both joins of the texts read the same shuffle.
+    rows = texts.join(lists, ["d", "ver"]).select("d", "ver", "text", "asked", "doc_id")
     return map_arrow(rows, run, "h long, d long, ver long, start int, bytes binary, crowded int")
 
 
