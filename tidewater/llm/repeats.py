@@ -69,7 +69,7 @@ def find_anchors(data: np.ndarray, offsets: np.ndarray, min_bytes: int):
 
 def _planes(*columns: np.ndarray) -> bytes:
     """Columns as planes of bytes, which compress well."""
-    return b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T).tobytes() for c in columns)
+    return b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), c.itemsize).T).tobytes() for c in columns)
 
 
 def _columns(raw: bytes, n: int, *types) -> list[np.ndarray]:
