@@ -28,12 +28,19 @@ _WORD = np.zeros(256, bool)
 _WORD[[*b"0123456789abcdefghijklmnopqrstuvwxyz", *range(128, 256)]] = True
 
 
-def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first byte and end of the words of lower-case UTF-8: runs of a-z, 0-9 and all beyond ASCII."""
+def words(data: np.ndarray, offsets: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first byte and end of the words of lower-case UTF-8: runs of a-z, 0-9 and all beyond ASCII.
+
+    With ``offsets`` the data are joined texts, and no word runs from one into the next.
+    """
     inside = np.zeros(len(data) + 2, np.int8)
     inside[1:-1] = _WORD[data]
     edge = np.diff(inside)
     first, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    if offsets is not None and len(offsets) > 2:
+        cuts = np.unique(offsets[(offsets > 0) & (offsets < len(data))])
+        cuts = cuts[_WORD[data[cuts - 1]] & _WORD[data[cuts]]]
+        first, end = np.sort(np.concatenate([first, cuts])), np.sort(np.concatenate([end, cuts]))
     return prefix_hashes(data, first, end), first, end
 
 
@@ -188,14 +195,20 @@ class ItemTables:
         for size in np.unique(sizes):
             k = np.flatnonzero(sizes == size)
             own, places = self.embedding(self.joined, self.begin[item[k]] + offset[k], size)
-            met = np.sort(np.where(own == self.embedding(padded, at[k], size)[0], places, -1), axis=1)
-            keep[k] = (met[:, :1] >= 0).sum(axis=1) + (np.diff(met, axis=1) > 0).sum(axis=1) >= min(AGREE, size)
+            met = _distinct(np.where(own == self.embedding(padded, at[k], size)[0], places, -1))
+            keep[k] = met >= np.minimum(AGREE, _distinct(places))
         return np.unique(np.stack([item, at - offset], axis=1)[keep], axis=0)
 
 
+def _distinct(places: np.ndarray) -> np.ndarray:
+    """How many different places, -1 left out, each row has."""
+    row = np.sort(places, axis=1)
+    return (row[:, 0] >= 0) + ((np.diff(row, axis=1) > 0) & (row[:, 1:] >= 0)).sum(axis=1)
+
+
 def matches(tables: ItemTables, data: np.ndarray, offsets: np.ndarray):
     """Items found in joined lower-case texts: (row, item, distance), the least distance of each row and item."""
-    h, first, end = words(data)
+    h, first, end = words(data, offsets)
     if not len(h):
         return
     bounds = np.searchsorted(first, offsets)
