@@ -48,7 +48,11 @@ def test_pretty_steps():
     assert bins.pretty(0.13, 0.97, 4) == [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]
 
 
-def test_log_breaks_cover_the_range():
+def test_log_breaks():
+    assert bins.log_breaks(1, 300, 7) == [1, 3, 10, 30, 100, 300, 1000]
+    assert bins.log_breaks(1, 1e6, 7) == [10.0**k for k in range(7)]
+    assert bins.log_breaks(20, 900, 7) == [10, 30, 50, 100, 300, 500, 1000]
+    assert bins.log_breaks(10, 10, 7) == [10]
     for hi in (3, 50, 700, 12345):
         b = bins.log_breaks(1, hi, 7)
         assert b[0] <= 1 and b[-1] >= hi and b == sorted(set(b))
@@ -81,20 +85,6 @@ def test_serial_dates_and_set_times(spark):
     assert got[3].t is None
 
 
-def test_day_bits_count_distinct_days_even_across_record_years(spark):
-    rows = [(1, dt.date(2020, 4, 10), 2020), (1, dt.date(2020, 4, 10), 2020), (1, dt.date(2020, 4, 11), 2020),
-            (1, dt.date(2019, 4, 10), 2020), (2, None, 2020)]
-    df = spark.createDataFrame(rows, "g int, date date, year int")
-    got = df.groupBy("g").agg(dates.count_bits(F.bit_or(dates.day_bit(F.col("date"), F.col("year")))).alias("n"))
-    assert values(got) == [(1, 3), (2, 1)]
-
-
-def test_day_bits_refuse_far_apart_years(spark):
-    df = spark.createDataFrame([(dt.date(2010, 4, 10), 2020)], "date date, year int")
-    with pytest.raises(Exception, match="four years"):
-        df.select(dates.day_bit(F.col("date"), F.col("year"))).collect()
-
-
 def test_unit_labels(spark):
     got = mapped(spark, [12.0, 0.25, 999.0, 1500.0, 2500.0, 3500.0, 2.4e6, 7e9, 3e12, 1e15], text.add_units)
     assert got == ["12", "0.25", "999", "2k", "2k", "4k", "2M", "7B", "3T", "too big!"]

@@ -311,6 +311,37 @@ def test_biology_falls_back_to_the_mean(spark):
     assert values(pop.biology_for(gap, 2030, [2018, 2020]), "stock_weight")[0] == (None,)
 
 
+def test_every_draw_gets_recruits(spark):
+    state = spark.createDataFrame([(1, 2020, 2, 5.0, 0.1), (1, 2020, 3, 4.0, 0.2), (2, 2020, 1, 1.0, 0.3)], STATE)
+    got = {(r.draw, r.age): (r.n, r.f) for r in pop.advance(state, bio_rows(spark), ["draw"], 3, 1, F.lit(9.0)).collect()}
+    assert got[1, 1] == (9.0, None) and got[2, 1] == (9.0, 0.3) and got[1, 2] == (None, 0.1)
+    table = spark.createDataFrame([(1, 7.0), (2, 8.0)], "draw int, rec double")
+    got = {(r.draw, r.age): r.n for r in pop.advance(state, bio_rows(spark), ["draw"], 3, 1, table).collect()}
+    assert got[1, 1] == 7.0 and got[2, 1] == 8.0
+
+
+def test_days_and_vessels_are_counted_as_they_are(spark):
+    import datetime as dt
+
+    d = dt.date(2020, 4, 10)
+    rows = [("F", 2020, 15, "r", "v", day, date, 1.0, 2.0, 10.0) for day, date in (
+        (10, d), (10, d), (74, d + dt.timedelta(days=7)), (None, None))] + [("F", 2020, 15, "r", None, 10, d, 1.0, 2.0, 10.0)]
+    hauls = spark.createDataFrame(rows, "fleet string, year int, week int, rect string, vesselid string, day int, date date, catch double, duration double, depth double")
+    effort = cpue.effort_table(hauls, 2020, 2020).first()
+    assert (effort.nvessels, effort.ndays) == (2, 3)
+    assert sorted(r.ndays for r in cpue.vessel_cells(hauls).collect()) == [1, 3]
+    assert [r.ndays for r in cpue.vessel_cells(hauls, ("fleet", "year")).where("vesselid is not null").collect()] == [3]
+    metrics = {r.variable: r.value for r in cpue.fleet_metrics(hauls).collect()}
+    assert (metrics["nvessels"], metrics["ndays"], metrics["nhauls"], metrics["catch_day"]) == (2.0, 4.0, 5.0, 1.25)
+
+
+def test_first_species_is_listed_in_every_year(spark):
+    rows = [("A", 2000, 50.0, 3000.0), ("B", 2000, 51.0, 1000.0), ("B", 2001, 52.0, 5000.0)]
+    df = spark.createDataFrame(rows, "species string, year int, lat double, catch double")
+    got = {(r.species, r.year): r.catch for r in catch.catch_by_year(df, ["A", "B"], [2000, 2001, 2002]).collect()}
+    assert got == {("A", 2000): 3, ("A", 2001): 0, ("A", 2002): 0, ("B", 2000): 1, ("B", 2001): 5}
+
+
 def test_recruit_draws_come_from_the_pool(spark):
     pool = spark.createDataFrame([(2000, 1.0), (2001, 2.0), (2002, 3.0)], "year int, rec double")
     draws = spark.range(300).toDF("draw")
@@ -333,25 +364,3 @@ def test_scenarios_need_exactly_one_target(spark):
 def test_f_text(spark):
     df = spark.createDataFrame([("CC-Fzero", 1e-6), ("Fsq", 0.18234), ("Fmsy", 0.24)], "l string, f double")
     assert [r[0] for r in df.select(forecast.f_text(F.col("l"), F.col("f"))).collect()] == ["0.0", "0.182", "0.24"]
-
-
-def test_projection_steps_equal_a_hand_written_loop(spark):
-    rows = state_rows(spark, 7)
-    state = spark.createDataFrame(rows, STATE).withColumn("scenario", F.lit("s"))
-    targets = lookup(spark, [("s", 0, 0.3), ("s", 1, 0.2)], "scenario string, step int, fval double")
-    out = forecast.project(state, bio_rows(spark), targets, F.lit(40.0), (1, 2), 2020, 1, 3, [2020], 2)
-    got = {(r.draw, r.year): r for r in out.collect()}
-    N = {d: {a: n for e, _, a, n, _ in rows if e == d} for d in range(7)}
-    Fm = {d: {a: f for e, _, a, _, f in rows if e == d} for d in range(7)}
-    for step, target in enumerate((0.3, 0.2)):
-        if step:
-            for d in N:
-                s = {a: N[d][a] * math.exp(-Fm[d][a] - 0.2) for a in (1, 2, 3)}
-                N[d] = {1: 40.0, 2: s[1], 3: s[2] + s[3]}
-        adj = target / np.median([(Fm[d][1] + Fm[d][2]) / 2 for d in Fm])
-        for d in Fm:
-            Fm[d] = {a: f * adj for a, f in Fm[d].items()}
-            r = got[d, 2020 + step]
-            assert r.fbar == pytest.approx((Fm[d][1] + Fm[d][2]) / 2)
-            assert r.tsb == pytest.approx(sum(N[d][a] * 0.1 * a for a in (1, 2, 3)))
-            assert r.rec == pytest.approx(N[d][1])

@@ -118,3 +118,12 @@ def test_tables_are_saved_by_run_and_read_back(spark, tmp_path):
     assert values(spark.read.csv(f"{tmp_path}/c", header=True), "run_id", "year", "v") == [("r1", "1", "2.0"), ("r2", "2", None)]
     tables.write_result(df, f"{tmp_path}/p", "parquet")
     assert spark.read.parquet(f"{tmp_path}/p").count() == 2
+
+
+def test_long_lines_lose_nothing(spark):
+    ages = 10_050
+    line = " ".join(["1"] + ["2.5"] * ages)
+    survey = f"title\n2\nfleet\n2000 2000\n1 1 0 0.5\n1 {ages}\n{line}\n"
+    assert text.parse_survey(spark.createDataFrame([("f", survey)], "file string, text string")).count() == ages
+    matrix = f"t\n1 2\n1 {ages}\n1 1\n5\n" + "\n".join(["3"] * ages)
+    assert text.parse_matrix(spark.createDataFrame([("f", matrix)], "file string, text string")).count() == ages

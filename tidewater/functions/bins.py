@@ -86,15 +86,39 @@ def pretty(lo: float, hi: float, n: int) -> list[float]:
 
 
 def log_breaks(lo: float, hi: float, n: int) -> list[float]:
-    """Powers of ten around the range; 1-2-5 multiples are added when fewer than ``n - 2`` fall inside."""
+    """Break points for a log scale: about ``n``, and ``n - 2`` at least within the range where that can be.
+
+    Powers of ten, every so many decades that there are about ``n``, or more closely if
+    too few lie within the range. If all of them are too few, multiples 2 to 9 are added
+    one by one, always the one that leaves the widest smallest gap on the log scale
+    (3 comes first), and the list is cut to the range with one break beyond each end.
+    """
+    def within(points: list[float]) -> int:
+        return sum(lo * (1 - 1e-12) <= p <= hi * (1 + 1e-12) for p in points)
+
     first, last = math.floor(math.log10(lo)), math.ceil(math.log10(hi))
     if first == last:
         return [10.0**first]
-    step = (last - first) // n + 1
-    powers = [10.0**k for k in range(first, last + 1, step)]
-    if step > 1 or sum(lo <= p <= hi for p in powers) >= n - 2:
-        return powers
-    return [m * 10.0**k for k in range(first, last) for m in (1.0, 2.0, 5.0)] + [10.0**last]
+    for step in range((last - first) // n + 1, 0, -1):
+        powers = [10.0**k for k in range(first, last + 1, step)]
+        if within(powers) >= n - 2:
+            return powers
+    used, left = [1], list(range(2, 10))
+    points = powers
+    while left and within(points) < n - 2:
+        def smallest_gap(m: int) -> float:
+            marks = sorted([*used, m, 10])
+            return round(min(math.log10(b / a) for a, b in zip(marks, marks[1:])), 9)
+
+        best = max(left, key=lambda m: (smallest_gap(m), -m))
+        used.append(best)
+        left.remove(best)
+        points = sorted(m * 10.0**k for k in range(first, last + 1) for m in used)
+    if within(points) < n - 2:
+        return pretty(lo, hi, n)
+    start = max(next(i for i, p in enumerate(points) if p >= lo * (1 - 1e-12)) - 1, 0)
+    stop = max(i for i, p in enumerate(points) if p <= hi * (1 + 1e-12)) + 2
+    return points[start:stop]
 
 
 def auto_breaks(df: DataFrame, col: str, n: int, kind: str = "log", floor: float | None = None) -> list[float]:

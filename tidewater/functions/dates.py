@@ -30,24 +30,3 @@ def week_of_year(date: Column) -> Column:
 def quarter_label(date: Column) -> Column:
     """``q1`` ... ``q4``; NULL for a missing date."""
     return F.concat(F.lit("q"), F.quarter(date).cast("string"))
-
-
-def day_bit(date: Column, year: Column) -> Column:
-    """One bit per calendar day of a week-of-year block, for counting days with ``bit_or``.
-
-    A block holds seven days, so seven bits say which days were fished. The year
-    of the record may differ from the year of the date by up to four years either
-    way; each of those nine years has its own seven bits. Anything further apart
-    stops the job rather than being miscounted.
-    """
-    gap = F.year(date) - year.cast("int")
-    place = F.pmod(F.dayofyear(date) - 1, F.lit(7)) + (gap + 4) * 7
-    checked = F.when(gap.between(-4, 4), place).when(
-        gap.isNotNull(), F.raise_error(F.lit("record year and date are more than four years apart")).cast("int")
-    )
-    return F.call_function("shiftleft", F.lit(1).cast("long"), checked)
-
-
-def count_bits(bits: Column) -> Column:
-    """Days marked in an aggregated bit set; a group of missing dates counts as one."""
-    return F.coalesce(F.bit_count(bits), F.lit(1)).cast("long")

@@ -8,10 +8,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidewater.functions.bins import pretty
-from tidewater.operators.joins import left_join, small_table
+from tidewater.operators.joins import left_join
+from tidewater.session import cut_lineage
 
 MARGIN = "(all)"
-QUANTILE_SLICES = 64
+# Distinct values that one task of an exact quantile numbers, about.
+SLICE_VALUES = 100_000
 
 
 def sum0(x: Column | str) -> Column:
@@ -74,54 +76,66 @@ def margin_totals(df: DataFrame, rows: Sequence[str], cols: Sequence[str], value
     return totals.select(*[F.when(F.col(f"__{k}") == 1, MARGIN).otherwise(F.col(k)).alias(k) for k in keys], value)
 
 
-def crosstab(df: DataFrame, rows: Sequence[str], col: str, value: str, margins: Sequence[str] = (),
-             levels: Sequence[str] | None = None) -> DataFrame:
-    """Row keys by column categories with sums and margins; empty cells are 0."""
-    if levels is None:
-        levels = [r[0] for r in pivot_levels(df, col)]
-    wanted = [str(v) for v in levels] + ([MARGIN] if col in margins else [])
-    totals = margin_totals(df, rows, [col], value, margins)
-    return totals.groupBy(*rows).pivot(col, wanted).agg(F.sum(value)).fillna(0.0, subset=wanted)
+def declared(col: str, levels: Sequence, other: str | None = None) -> Column:
+    """The category if it is one of ``levels``, else ``other``; without ``other`` an undeclared category is an error."""
+    rest = F.lit(other) if other is not None else F.raise_error(F.concat(F.lit(f"{col} has a category that is not declared: "), F.col(col).cast("string")))
+    return F.when(F.col(col).isNull() | F.col(col).isin(list(levels)), F.col(col)).otherwise(rest)
+
 
+def crosstab(df: DataFrame, rows: Sequence[str], col: str, value: str, margins: Sequence[str] = (), *,
+             levels: Sequence[str], other: str | None = None) -> DataFrame:
+    """Row keys by column categories with sums and margins; empty cells are 0.
 
-def pivot_levels(df: DataFrame, col: str, limit: int = 1000) -> list:
-    """Sorted categories that are to become columns; more than ``limit`` is an error."""
-    rows = df.select(col).where(F.col(col).isNotNull()).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{col} has more than {limit} categories, too many for columns")
-    return sorted(rows)
+    Categories that are not among ``levels`` are summed in a column named ``other``, so
+    the columns add up to the margin; without ``other`` they stop the job.
+    """
+    wanted = [*map(str, levels), *([other] if other is not None else [])]
+    named = df.withColumn(col, F.col(col).cast("string")).withColumn(col, declared(col, [str(v) for v in levels], other))
+    totals = margin_totals(named, rows, [col], value, margins)
+    wanted += [MARGIN] if col in margins else []
+    return totals.groupBy(*rows).pivot(col, wanted).agg(F.sum(value)).fillna(0.0, subset=wanted)
 
 
-def concat_agg(df: DataFrame, keys: Sequence[str], order: str, text: Column, sep: str, out: str,
-               limit: int = 10_000) -> DataFrame:
-    """Join the texts of a group in order. A group longer than ``limit`` stops the job."""
+def concat_agg(df: DataFrame, keys: Sequence[str], order: str, text: Column, sep: str, out: str) -> DataFrame:
+    """Join the texts of a group in order."""
     items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), text.alias("t"))))
-    checked = F.when(F.count(F.lit(1)) > limit, F.raise_error(F.lit("group too long for one text")).cast("string"))
-    joined = F.array_join(F.transform(items, lambda s: s["t"]), sep)
-    return df.groupBy(*keys).agg(checked.otherwise(joined).alias(out))
+    return df.groupBy(*keys).agg(F.array_join(F.transform(items, lambda s: s["t"]), sep).alias(out))
 
 
-def quantiles(df: DataFrame, keys: Sequence[str], x: str, probs: Sequence[float], names: Sequence[str],
-              slices: int = QUANTILE_SLICES) -> DataFrame:
-    """Exact interpolated quantiles (position ``1 + (n - 1) p``) of any group size.
+def quantiles(df: DataFrame, keys: Sequence[str], x: str, probs: Sequence[float], names: Sequence[str]) -> DataFrame:
+    """Exact interpolated quantiles (position ``1 + (n - 1) p``), the input read once.
 
-    The values are counted per distinct value, each group is cut into slices at
-    approximate quantiles of its own, and ranks are found from slice totals. Only the
-    slices that hold a wanted rank are numbered, and one slice is about 1/64 of a
-    group's distinct values, so a group holding most of the data is still spread out.
-    The cut points steer the work only; the result does not depend on them.
+    For groups whose distinct values fit in a task, such as draws; partial counts per
+    value come before the shuffle. :func:`quantiles_spread` is for groups of any size.
+    Missing values are left out; a group without values has NULLs.
+    """
+    known = F.when(~F.isnan(x), F.col(x).cast("double"))
+    per = df.groupBy(*keys).agg(F.percentile(known, list(probs)).alias("__q"))
+    return per.select(*keys, *[F.get("__q", F.lit(i)).alias(n) for i, n in enumerate(names)])
+
+
+def quantiles_spread(df: DataFrame, keys: Sequence[str], x: str, probs: Sequence[float], names: Sequence[str],
+                     slice_values: int = SLICE_VALUES) -> DataFrame:
+    """Exact interpolated quantiles of groups of any size, also of the whole table (no keys).
+
+    The values are counted per distinct value and written to the checkpoint folder, so
+    that everything after rests on the same figures. Each group is cut into slices of
+    about ``slice_values`` distinct values at approximate quantiles of its own, and only
+    the slices that hold a wanted rank are numbered. The cut points steer the work; the
+    result does not depend on them. A group without values has NULLs.
     """
     keys = list(keys)
     gkeys = keys or ["__g"]
     src = df if keys else df.withColumn("__g", F.lit(1))
-    vc = (
-        src.where(F.col(x).isNotNull() & ~F.isnan(x))
-        .groupBy(*gkeys, F.col(x).cast("double").alias("__x")).agg(F.count(F.lit(1)).alias("__n"))
-    )
+    known = F.when(~F.isnan(x), F.col(x).cast("double"))
+    vc = cut_lineage(src.groupBy(*gkeys, known.alias("__x")).agg(F.count(F.lit(1)).alias("__n")))
+    largest = vc.groupBy(*gkeys).agg(F.count("__x").alias("n")).agg(F.max("n")).first()[0] or 0
+    slices = max(2, -(-largest // slice_values))
     grid = [i / slices for i in range(1, slices)]
-    cuts = vc.groupBy(*gkeys).agg(
-        F.percentile_approx("__x", grid, 20 * slices).alias("__cuts"), F.sum("__n").alias("__total"))
-    sliced = left_join(vc, cuts, gkeys, null_safe=True).withColumn("__slice", F.expr(_place(0, slices - 1))).drop("__cuts")
+    some = vc.where(F.col("__x").isNotNull())
+    cuts = some.groupBy(*gkeys).agg(F.percentile_approx("__x", grid, 20 * slices).alias("__cuts"), F.sum("__n").alias("__total"))
+    sliced = left_join(some, cuts, gkeys, null_safe=True).withColumn(
+        "__slice", F.size(F.filter("__cuts", lambda c: c < F.col("__x")))).drop("__cuts")
 
     per_slice = sliced.groupBy(*gkeys, "__slice").agg(F.sum("__n").alias("__m"), F.max("__total").alias("__total"))
     before = W.partitionBy(*gkeys).orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)
@@ -149,16 +163,8 @@ def quantiles(df: DataFrame, keys: Sequence[str], x: str, probs: Sequence[float]
         lo, hi = F.floor(h) + 1, F.least(F.floor(h) + 2, F.col("__total"))
         frac = F.max(h - F.floor(h))
         aggs.append((at(lo) + frac * (at(hi) - at(lo))).alias(name))
-    out = ranked.groupBy(*gkeys).agg(*aggs)
-    return out if keys else out.drop("__g")
-
-
-def _place(first: int, last: int) -> str:
-    """How many of the sorted cut points lie below a value: a binary search spelled out as conditions."""
-    if first == last:
-        return str(first)
-    mid = (first + last) // 2
-    return f"CASE WHEN __x <= __cuts[{mid}] THEN {_place(first, mid)} ELSE {_place(mid + 1, last)} END"
+    found = left_join(vc.select(*gkeys).distinct(), ranked.groupBy(*gkeys).agg(*aggs), gkeys, null_safe=True)
+    return found if keys else found.drop("__g")
 
 
 def _null_safe(keys: Sequence[str]) -> Column:
@@ -168,14 +174,14 @@ def _null_safe(keys: Sequence[str]) -> Column:
     return cond
 
 
-def interval(df: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
-    """Median and 95 % interval."""
-    return quantiles(df, keys, x, (0.5, 0.025, 0.975), ("median", "low", "high"))
+def interval(df: DataFrame, keys: Sequence[str], x: str, spread: bool = False) -> DataFrame:
+    """Median and 95 % interval; ``spread`` is for groups too large for one task."""
+    return (quantiles_spread if spread else quantiles)(df, keys, x, (0.5, 0.025, 0.975), ("median", "low", "high"))
 
 
 def box_stats(df: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
     """Box-plot figures: quartiles, whiskers within 1.5 box lengths, count and outliers."""
-    quart = small_table(quantiles(df, keys, x, (0.25, 0.5, 0.75), ("lower", "middle", "upper")))
+    quart = quantiles(df, keys, x, (0.25, 0.5, 0.75), ("lower", "middle", "upper"))
     joined = left_join(df.select(*keys, x).where(F.col(x).isNotNull()), quart, keys, null_safe=True)
     reach = 1.5 * (F.col("upper") - F.col("lower"))
     inside = (F.col(x) >= F.col("lower") - reach) & (F.col(x) <= F.col("upper") + reach)
@@ -206,26 +212,19 @@ def histogram(df: DataFrame, x: str, n: int = 100, round_steps: bool = True) ->
                        (F.col("n") / (total * width)).alias("density"))
 
 
-def corr_pairs(df: DataFrame, key: Sequence[str], series: str, value: str, limit: int = 50) -> DataFrame:
+def corr_pairs(df: DataFrame, key: Sequence[str], series: str, value: str) -> DataFrame:
     """Pairwise-complete correlation of series matched on ``key``; one triangle, long.
 
-    The series become columns (their number is checked) and all pairs are aggregated
-    in one pass, so no rows are paired up.
+    The mean of each series and key is joined to those of the other series of the key,
+    so rows meet within one key only.
     """
-    levels = [r[0] for r in pivot_levels(df, series, limit)]
-    wide = df.groupBy(*key).pivot(series, levels).agg(F.avg(value))
-    names = {lv: f"s{i}" for i, lv in enumerate(levels)}
-    wide = wide.withColumnsRenamed({str(k): v for k, v in names.items()})
-    pairs = list(itertools.combinations(levels, 2))
-    if not pairs:
-        raise ValueError("correlation needs two series")
-    items = F.array(*[
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"),
-                 F.corr(*[F.when(F.col(names[a]).isNotNull() & F.col(names[b]).isNotNull(), F.col(names[c]))
-                          for c in (a, b)]).alias("r"),
-                 F.count(F.when(F.col(names[a]).isNotNull() & F.col(names[b]).isNotNull(), 1)).alias("n"))
-        for a, b in pairs])
-    return wide.agg(items.alias("p")).select(F.inline("p"))
+    key = list(key)
+    mean = df.where(F.col(series).isNotNull()).groupBy(*key, series).agg(F.avg(value).alias("v"))
+    a, b = (mean.select(*key, F.col(series).alias(n), F.col("v").alias(f"v{n}")) for n in "ab")
+    known = F.col("va").isNotNull() & F.col("vb").isNotNull()
+    # Pairs that share no known value are listed too.
+    return a.join(b, key).where(F.col("a") < F.col("b")).groupBy("a", "b").agg(
+        F.corr(F.when(known, F.col("va")), F.when(known, F.col("vb"))).alias("r"), F.count(F.when(known, 1)).alias("n"))
 
 
 def scalar(df: DataFrame, agg: Column) -> Column:

@@ -7,9 +7,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# Above this many values a membership test becomes a semi join.
-INLINE_VALUES = 200
-
 
 def between_open(x: Column, lo: float, hi: float) -> Column:
     """lo < x < hi."""
@@ -19,10 +16,7 @@ def between_open(x: Column, lo: float, hi: float) -> Column:
 def filter_in(df: DataFrame, col: str, values: Iterable | DataFrame) -> DataFrame:
     """Keep rows whose value is in a list, or in the first column of another table."""
     if not isinstance(values, DataFrame):
-        values = list(values)
-        if len(values) <= INLINE_VALUES:
-            return df.where(F.col(col).isin(values))
-        values = F.broadcast(df.sparkSession.createDataFrame([(v,) for v in values], df.select(col).schema))
+        return df.where(F.col(col).isin(list(values)))
     keys = values.select(F.col(values.columns[0]).alias(col))
     return df.join(keys, col, "left_semi")
 

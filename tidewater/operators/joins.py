@@ -1,9 +1,7 @@
 """Joins in the shapes the fishery tables need.
 
-A side is broadcast only when it has been counted: :func:`small_table` looks at no
-more than ``limit + 1`` rows and hands back a local table marked for broadcast. A
-larger side stays distributed and is joined by shuffle, where adaptive execution
-splits hot keys.
+No side is marked for broadcast: adaptive execution sees the size of a finished shuffle
+and broadcasts a short side or splits a hot key of a long one.
 """
 
 from __future__ import annotations
@@ -13,16 +11,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-SMALL_ROWS = 20_000
 PRODUCT_BUCKETS = 64
 
 
-def small_table(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
-    """Materialise and broadcast a table of at most ``limit`` rows; a larger one is returned unchanged."""
-    rows = df.limit(limit + 1).collect()
-    return df if len(rows) > limit else F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
-
-
 def left_join(df: DataFrame, dim: DataFrame, keys: Sequence[str], null_safe: bool = False) -> DataFrame:
     """Left equi-join. With ``null_safe`` a missing key matches a missing key."""
     keys = list(keys)
@@ -81,28 +72,9 @@ def product(left: DataFrame, right: DataFrame, buckets: int = PRODUCT_BUCKETS) -
     return spread.join(dealt, "__b").drop("__b")
 
 
-def grid(dims: Sequence[DataFrame], limit: int = SMALL_ROWS) -> DataFrame:
-    """All combinations of the distinct values of several one-column tables.
-
-    A dimension of at most ``limit`` values is unfolded from a literal list, without
-    any join; a larger one goes through :func:`product`.
-    """
-    out = None
-    for dim in dims:
-        levels = dim.distinct()
-        if out is None:
-            out = levels
-            continue
-        name = levels.columns[0]
-        rows = levels.limit(limit + 1).collect()
-        if len(rows) > limit:
-            out = product(out, levels)
-        else:
-            values = sorted((r[0] for r in rows), key=lambda v: (v is None, v))
-            kind = levels.schema[0].dataType.simpleString()
-            listed = F.array(*[F.lit(v).cast(kind) for v in values]) if values else F.array().cast(f"array<{kind}>")
-            out = out.withColumn(name, F.explode(listed))
-    return out
+def grid(dims: Sequence[DataFrame]) -> DataFrame:
+    """All combinations of the distinct values of several one-column tables, by :func:`product`."""
+    return reduce(product, [dim.distinct() for dim in dims])
 
 
 def raster_lookup(points: DataFrame, raster: DataFrame, lon: str, lat: str, res: float, out: str = "calc_depth") -> DataFrame:
@@ -127,11 +99,10 @@ def full_compare(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
 def group_join(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column]) -> DataFrame:
     """Group results beside every row of the group, without gathering the group in one task.
 
-    The totals are built with map-side partial sums and joined back, by broadcast when
-    they are few. NULL keys form a group of their own.
+    The totals are built with map-side partial sums and joined back. NULL keys form a
+    group of their own.
     """
     if not keys:
         totals = df.agg(*aggs)
         return df.withColumns({c: totals.select(c).scalar() for c in totals.columns})
-    totals = small_table(df.groupBy(*keys).agg(*aggs))
-    return left_join(df, totals, keys, null_safe=True)
+    return left_join(df, df.groupBy(*keys).agg(*aggs), keys, null_safe=True)

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidewater.operators.aggregates import pivot_levels
+from tidewater.operators.aggregates import declared
 from tidewater.operators.joins import grid, left_join
 
 
@@ -19,13 +19,14 @@ def melt(df: DataFrame, ids: Sequence[str], values: Sequence[str] | None = None,
 
 
 def widen(df: DataFrame, keys: Sequence[str], names_from: str, values_from: str | Sequence[str],
-          levels: Sequence | None = None) -> DataFrame:
-    """Long to wide. One value gives columns named by level, several give ``value_level``."""
-    if levels is None:
-        levels = [r[0] for r in pivot_levels(df, names_from)]
+          levels: Sequence) -> DataFrame:
+    """Long to wide. One value gives columns named by level, several give ``value_level``.
+
+    A name that is not among ``levels`` stops the job, so no row is lost.
+    """
     single = isinstance(values_from, str)
     aggs = [F.first(c, ignorenulls=True).alias(c) for c in ([values_from] if single else values_from)]
-    out = df.groupBy(*keys).pivot(names_from, list(levels)).agg(*aggs)
+    out = df.withColumn(names_from, declared(names_from, levels)).groupBy(*keys).pivot(names_from, list(levels)).agg(*aggs)
     if single:
         return out
     return out.select(*keys, *[F.col(f"`{lv}_{v}`").alias(f"{v}_{lv}") for v in values_from for lv in levels])

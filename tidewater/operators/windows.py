@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tidewater.operators.joins import group_join, small_table
+from tidewater.operators.joins import group_join
 from tidewater.session import cut_lineage
 
 
@@ -83,5 +83,5 @@ def row_id(df: DataFrame, order: Sequence[str], out: str = "id") -> DataFrame:
     per_part = placed.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
     # One row per partition of the sort, so this window is short.
     before = W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)
-    starts = small_table(per_part.select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__s")))
+    starts = per_part.select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__s"))
     return placed.join(starts, "__p").withColumn(out, F.col("__s") + F.col("__i") + 1).drop("__p", "__i", "__m", "__s")

@@ -22,6 +22,10 @@ SAMPLING = ("caton", "nooflengthsamples", "nooflengthmeasured", "noofagesamples"
 AREA_CHARS = 6
 
 
+# Name of the column for categories that are not named.
+OTHER = "(other)"
+
+
 def read_catch_by_rect(raw: DataFrame, rect: DataFrame) -> DataFrame:
     """All-text catch rows -> typed, species upper case, rectangle without blanks, positions looked up."""
     df = normalize_names(raw)
@@ -41,35 +45,38 @@ def _whole(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(sum0("catch").cast("long").alias("catch"))
 
 
-def catch_year_country(raw: DataFrame, species: Sequence[str], years: Sequence[int] | None = None,
-                       countries: Sequence[str] | None = None) -> DataFrame:
-    """Year by country with totals. Whole tonnes are taken first, so totals add up to what is shown."""
+def catch_year_country(raw: DataFrame, species: Sequence[str], countries: Sequence[str],
+                       years: Sequence[int] | None = None) -> DataFrame:
+    """Year by country with totals; countries that are not named share a column. Whole tonnes are taken first, so totals add up to what is shown."""
     kept = maybe_filter(maybe_filter(raw, "species", species), "year", years)
-    return crosstab(_whole(kept, ["species", "year", "country"]), ["year"], "country", "catch", ["year", "country"], countries)
+    return crosstab(_whole(kept, ["species", "year", "country"]), ["year"], "country", "catch", ["year", "country"],
+                    levels=countries, other=OTHER)
 
 
-def catch_year_species(raw: DataFrame, years: Sequence[int] | None = None, species: Sequence[str] | None = None) -> DataFrame:
-    """Year by species with totals."""
+def catch_year_species(raw: DataFrame, species: Sequence[str], years: Sequence[int] | None = None) -> DataFrame:
+    """Year by species with totals; species that are not named share a column."""
     kept = maybe_filter(raw, "year", years)
-    return crosstab(_whole(kept, ["species", "year"]), ["year"], "species", "catch", ["year", "species"], species)
+    return crosstab(_whole(kept, ["species", "year"]), ["year"], "species", "catch", ["year", "species"], levels=species, other=OTHER)
 
 
 def catch_by_year(by_rect: DataFrame, species: Sequence[str], years: Sequence[int] | None = None,
                   collapse: bool = False) -> DataFrame:
     """Yearly catch in thousands of tonnes and its height on a map that spans the latitudes of the catch.
 
-    Every wanted year is listed; ``collapse`` puts all years under one ``first-last`` label.
+    The first species is listed in every wanted year, with zero where it has no catch;
+    ``collapse`` puts all years under one ``first-last`` label.
     """
     kept = maybe_filter(maybe_filter(by_rect, "species", species), "year", years)
     lat = kept.agg(F.min("lat").alias("lo"), F.max("lat").alias("hi"))
     lo, hi = lat.select("lo").scalar(), lat.select("hi").scalar()
     if collapse:
         kept = kept.withColumn("year", F.lit(f"{min(years)}-{max(years)}"))
-    per = kept.groupBy("species", "year").agg(sum0("catch").alias("catch"))
+    rows = kept.select("species", "year", "catch")
     if years is not None and not collapse:
-        per = add_year_spine(per, min(years), max(years)).where(F.col("year").isin(list(years)))
-        per = per.withColumns({"species": F.coalesce("species", F.lit(species[0])),
-                               "catch": F.coalesce("catch", F.lit(0.0))})
+        listed = by_rect.sparkSession.range(len(years)).select(
+            F.lit(species[0]).alias("species"), F.get(F.array(*map(F.lit, years)), F.col("id").cast("int")).alias("year"), F.lit(0.0).alias("catch"))
+        rows = rows.unionByName(listed)
+    per = rows.groupBy("species", "year").agg(sum0("catch").alias("catch"))
     per = per.withColumn("catch", (F.col("catch") / 1000).cast("long"))
     return rescale(per, ["species"], "catch", lo, hi, "catch2")
 
@@ -102,15 +109,15 @@ def sampling_overview(t1: DataFrame) -> DataFrame:
     keys = ["catchcategory", "sampledorestimated", "country"]
     names = [*SAMPLING, "noagereadings_kton", "nooflengthmeasured_kton"]
     long = melt(per.withColumns({c: F.col(c).cast("double") for c in names}), keys, names, "variable", "data")
-    return crosstab(long, keys, "variable", "data", ["catchcategory", "sampledorestimated"], names)
+    return crosstab(long, keys, "variable", "data", ["catchcategory", "sampledorestimated"], levels=names)
 
 
-def age_overview(t2: DataFrame, countries: Sequence[str] | None = None) -> DataFrame:
-    """Numbers at age by area and country, with margins."""
+def age_overview(t2: DataFrame, countries: Sequence[str]) -> DataFrame:
+    """Numbers at age by area and country, with margins; countries that are not named share a column."""
     per = t2.withColumn("area", F.substring("area", 1, AREA_CHARS)).groupBy(
         "area", "country", "ageorlength", "sampledorestimated").agg(F.bround(sum0("canum"), 0).alias("canum"))
     return crosstab(per, ["area", "sampledorestimated", "ageorlength"], "country", "canum",
-                    ["area", "sampledorestimated"], countries)
+                    ["area", "sampledorestimated"], levels=countries, other=OTHER)
 
 
 def age_dist(t2: DataFrame, keys: Sequence[str], kind: str | None = None, sampled: str | None = None) -> DataFrame:

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewater.functions.bins import DEPTH_BREAKS, bin_auto, bin_left, cell_key, geo_bin
-from tidewater.functions.dates import count_bits, day_bit
 from tidewater.operators.aggregates import concat_agg, n_distinct, ratio, sum0
 from tidewater.operators.joins import left_join, natural_left
 from tidewater.operators.reshape import melt
@@ -22,13 +21,10 @@ STRATUM = ("year", "month", "week", "depth_cat", "lat", "long", "hset_cat", "fle
 
 
 def vessel_cells(hauls: DataFrame, keys: Sequence[str] = CELL, vessel: str = "vesselid") -> DataFrame:
-    """Per vessel and cell: catch, hours, hauls, days and mean depth, in one shuffle.
-
-    A cell is one week, so its days fit in a bit set and need no distinct pass.
-    """
-    return hauls.withColumn("__d", day_bit(F.col("date"), F.col("year"))).groupBy(*keys, vessel).agg(
+    """Per vessel and cell: catch, hours, hauls, days and mean depth. A missing date counts as one day."""
+    return hauls.groupBy(*keys, vessel).agg(
         sum0("catch").alias("catch"), sum0("duration").alias("duration"), F.count(F.lit(1)).alias("nhauls"),
-        F.bit_or("__d").alias("days"), F.avg("depth").alias("depth")).withColumn("ndays", count_bits(F.col("days")))
+        n_distinct("date").alias("ndays"), F.avg("depth").alias("depth"))
 
 
 def cpue_by_day(hauls: DataFrame, keys: Sequence[str] = CELL) -> DataFrame:
@@ -49,11 +45,8 @@ def cpue_by_day(hauls: DataFrame, keys: Sequence[str] = CELL) -> DataFrame:
 def cpue_by_stratum(hauls: DataFrame, keys: Sequence[str] = STRATUM) -> DataFrame:
     """The earlier method: strata also by month, depth, position and set hour; effort is days per stratum."""
     out = hauls.groupBy(*keys).agg(
-        sum0("catch").alias("catch"), F.count(F.lit(1)).alias("nhauls"), F.countDistinct("vesselid").alias("nvessels"),
-        sum0("duration").alias("duration"),
-        # Days of the month: at most 31, so a bit set again.
-        F.bit_count(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.coalesce(F.col("day"), F.lit(0)))))
-        .cast("long").alias("ndays"))
+        sum0("catch").alias("catch"), F.count(F.lit(1)).alias("nhauls"), n_distinct("vesselid").alias("nvessels"),
+        sum0("duration").alias("duration"), n_distinct("day").alias("ndays"))
     return out.withColumns({
         "effort": F.col("ndays"),
         "cpue": safe_ratio(F.col("catch"), F.col("ndays")),
@@ -82,15 +75,21 @@ def species_catch(hauls: DataFrame, shares: DataFrame, keys: Sequence[str]) -> D
 def fleet_metrics(hauls: DataFrame) -> DataFrame:
     """Vessels, vessel-days, hauls, hours, catch and catch per day, one row per fleet, year and metric.
 
-    One pass over the hauls. A vessel's days are joined over its rectangles week by week
-    (a day in two rectangles is one day at sea); catch per day is over the days in each
-    rectangle, as in the CPUE table.
+    The hauls are summed to rectangle-days, days, vessels and fleets in turn, each far
+    shorter than the one before. A day in two rectangles is one day at sea; catch per day
+    is over the days in each rectangle, as in the CPUE table.
     """
-    weeks = vessel_cells(hauls).groupBy("fleet", "year", "vesselid", "week").agg(
-        F.bit_or("days").alias("days"), F.sum("ndays").alias("celldays"), F.sum("nhauls").alias("nhauls"),
-        F.sum("catch").alias("catch"), F.sum("duration").alias("nhours"))
-    wide = weeks.groupBy("fleet", "year").agg(
-        n_distinct("vesselid").cast("double").alias("nvessels"), F.sum(count_bits(F.col("days"))).cast("double").alias("ndays"),
+    def sums(df: DataFrame, keys: Sequence[str], *more: Column) -> DataFrame:
+        return df.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("catch", "nhours", "nhauls")], *more)
+
+    vessel = ["fleet", "year", "vesselid"]
+    one = hauls.select(*vessel, "week", "rect", "date", F.coalesce("catch", F.lit(0.0)).alias("catch"),
+                       F.coalesce("duration", F.lit(0.0)).alias("nhours"), F.lit(1).cast("long").alias("nhauls"))
+    celldays = sums(one, [*vessel, "week", "rect", "date"])
+    days = sums(celldays, [*vessel, "week", "date"], F.count(F.lit(1)).alias("celldays"))
+    vessels = sums(days, vessel, F.sum("celldays").alias("celldays"), F.count(F.lit(1)).alias("ndays"))
+    wide = vessels.groupBy("fleet", "year").agg(
+        F.count(F.lit(1)).cast("double").alias("nvessels"), F.sum("ndays").cast("double").alias("ndays"),
         F.sum("nhauls").cast("double").alias("nhauls"), F.sum("catch").alias("catch"), F.sum("nhours").alias("nhours"),
         ratio("catch", "celldays").alias("catch_day"))
     return melt(wide, ["fleet", "year"])
@@ -99,11 +98,10 @@ def fleet_metrics(hauls: DataFrame) -> DataFrame:
 def effort_table(hauls: DataFrame, first: int, last: int, day: str = "day") -> DataFrame:
     """Vessels, days, season length, hours, hauls and mean haul duration; years without hauls show zeros.
 
-    ``day`` is the day number as the table carries it (day of the month, up to 31).
+    ``day`` is the day number as the table carries it. A missing vessel or day counts as one.
     """
-    bits = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col(day)))
     out = hauls.groupBy("fleet", "year").agg(
-        F.countDistinct("vesselid").alias("nvessels"), F.bit_count(bits).cast("long").alias("ndays"),
+        n_distinct("vesselid").alias("nvessels"), n_distinct(day).alias("ndays"),
         F.date_diff(F.max("date"), F.min("date")).alias("season"), F.sum("duration").alias("hfished"),
         F.count(F.lit(1)).alias("nhauls"), F.avg("duration").alias("hauldur"))
     return add_zero_rows(out, ["fleet"], first, last,
@@ -138,9 +136,8 @@ def cpue_map(hauls: DataFrame, dx: float = 1.0, dy: float = 0.5, n: int | None =
     lon, lat = geo_bin(F.col("long"), F.col("lat"), dx, dy)
     cells = hauls.where(F.col("long").isNotNull() & F.col("lat").isNotNull() & F.col("year").isNotNull()).withColumns(
         {"lon_mid": lon, "lat_mid": lat})
-    bits = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.coalesce(F.col("day"), F.lit(0))))
     per_vessel = cells.groupBy("fleet", "vesselid", "year", "lon_mid", "lat_mid").agg(
-        sum0("catch").alias("catch"), F.bit_count(bits).alias("ndays"))
+        sum0("catch").alias("catch"), n_distinct("day").alias("ndays"))
     out = per_vessel.groupBy("year", "lon_mid", "lat_mid").agg(
         F.avg(safe_ratio(F.col("catch"), F.col("ndays"))).alias("cpue"))
     out = out.withColumn("cell", cell_key(F.col("lon_mid"), F.col("lat_mid")))

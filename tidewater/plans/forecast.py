@@ -13,14 +13,13 @@ from tidewater.operators.reshape import melt, split_melt, widen
 from tidewater.operators.sets import union_all, union_tagged
 from tidewater.operators.shaping import safe_ratio
 from tidewater.operators.windows import tail
-from tidewater.plans import population as pop
-from tidewater.session import cut_lineage
 
 # Targets a forecast year may set, named F targets, the F steps, and decimals of the summary.
 TARGETS = ("fscale", "catchval", "catchval_exact", "fval", "nextssb", "landval", "cwf")
 NAMED_F = (("Fzero", 0.000001), ("Fmsy", 0.24), ("Fpa", 0.33))
 F_STEPS = 30
 PROBS, PROB_NAMES = (0.5, 0.025, 0.975), ("median", "low", "high")
+SNAP = 9
 DECIMALS = {"fbar": 3, "fbarL": 3, "fbarD": 3, "cwf": 3}
 
 
@@ -65,11 +64,15 @@ def forecast_summary(figures: DataFrame, groups: Sequence[str], variables: Seque
     """Median and 95 % interval over draws, long by variable; F figures to three decimals, the rest whole.
 
     The differences (discards, discarded F) are taken between the rounded summaries of
-    their parts, as in the published tables.
+    their parts, as in the published tables. Figures are snapped to nine decimals first:
+    sums of doubles differ in their last bits with the order of the rows, which would
+    move a tie.
     """
-    long = melt(figures.select(*groups, *variables), groups, variables, "var", "value")
+    snapped = figures.select(*groups, *[F.bround(F.col(v).cast("double"), SNAP).alias(v) for v in variables])
+    long = melt(snapped, groups, variables, "var", "value")
     out = quantiles(long, [*groups, "var"], "value", PROBS, PROB_NAMES)
     fine = F.col("var").isin([v for v in variables if v in DECIMALS])
+    out = out.withColumns({p: F.bround(p, SNAP) for p in PROB_NAMES})
     return out.withColumns({p: F.when(fine, F.bround(p, 3)).otherwise(F.bround(p, 0)) for p in PROB_NAMES})
 
 
@@ -84,8 +87,8 @@ def split_parts(summary: DataFrame, groups: Sequence[str], whole: str, part: str
 
 def catch_age_summary(caught: DataFrame, groups: Sequence[str]) -> DataFrame:
     """Median and 95 % interval of the catch at age over draws."""
-    out = quantiles(caught, [*groups, "age"], "c", PROBS, PROB_NAMES)
-    return out.withColumns({p: F.bround(p, 0) for p in PROB_NAMES})
+    out = quantiles(caught.withColumn("c", F.bround("c", SNAP)), [*groups, "age"], "c", PROBS, PROB_NAMES)
+    return out.withColumns({p: F.bround(F.bround(p, SNAP), 0) for p in PROB_NAMES})
 
 
 def nf_table(state: DataFrame, groups: Sequence[str]) -> DataFrame:
@@ -104,7 +107,7 @@ def long_table(wide: DataFrame, ids: Sequence[str]) -> DataFrame:
 
 def wide_table(summary: DataFrame, ids: Sequence[str], variables: Sequence[str]) -> DataFrame:
     """The inverse of :func:`long_table`."""
-    named = summary.select(*ids, *[F.struct(F.concat(F.col("var"), F.lit(f":{p}")).alias("k"), F.col(p).alias("v")).alias(p)
+    named = summary.where(F.col("var").isin(list(variables))).select(*ids, *[F.struct(F.concat(F.col("var"), F.lit(f":{p}")).alias("k"), F.col(p).alias("v")).alias(p)
                                    for p in PROB_NAMES]).select(*ids, F.inline(F.array(*PROB_NAMES)))
     return widen(named, ids, "k", "v", [f"{v}:{p}" for v in variables for p in PROB_NAMES])
 
@@ -190,25 +193,3 @@ def compare_forecasts(forecasts: Mapping[int, DataFrame], history: DataFrame | N
             F.col("year").cast("int").alias("year"), "age", var.alias("var"), F.col("val").alias("data"),
             last_chars(F.col("file"), 4).alias("assessmentyear"), F.lit("assessment").alias("source")))
     return union_all(*parts)
-
-
-def project(state: DataFrame, bio: DataFrame, scenarios: DataFrame, recruits: Column, ages: tuple[int, int],
-            first_year: int, min_age: int, max_age: int, average_years: Sequence[int], steps: int) -> DataFrame:
-    """Yearly figures of every draw under scenarios that set F (``scenario, step, fval``).
-
-    The draws are input; nothing is simulated. Every year the states move on (not in the
-    first), F is scaled to the scenario's target, and the states are written to the
-    checkpoint folder so that the plan stays one year long.
-    """
-    groups, keys = ["scenario"], ["scenario", "draw"]
-    bio, state, out = pop.small_table(bio), cut_lineage(state), []
-    for step in range(steps):
-        year = first_year + step
-        now = pop.small_table(pop.biology_for(bio, year, average_years))
-        if step > 0:
-            state = pop.advance(state, now, keys, max_age, min_age, recruits)
-        target = scenarios.where(F.col("step") == step).select("scenario", F.col("fval").alias("__target"))
-        state = state.drop("__target").join(pop.small_table(target), "scenario", "left")
-        state = cut_lineage(pop.scale_to_fbar(state, groups, "__target", ages).drop("__target"))
-        out.append(pop.yearly_figures(state, now, [*keys, "year"], ages, recruit_age=min_age))
-    return union_all(*out)

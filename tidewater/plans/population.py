@@ -14,14 +14,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidewater.operators.aggregates import quantiles
-from tidewater.operators.joins import left_join, small_table
+from tidewater.operators.joins import left_join
 from tidewater.operators.shaping import safe_ratio
 from tidewater.session import cut_lineage
 
 # Ages of the mean F, and search range and depth of the multiplier.
 FBAR_AGES = (6, 14)
 SEARCH = (0.0, 100.0)
-MAX_AGES = 400
 BIOLOGY = ("stock_weight", "catch_weight", "maturity", "nat_mort", "land_frac", "land_weight", "prop_m", "prop_f")
 
 
@@ -37,9 +36,9 @@ def spawners(n: Column, f: Column, m: Column, pm: Column, pf: Column, mat: Colum
 
 
 def _bio(state: DataFrame, bio: DataFrame) -> DataFrame:
-    """Attach the biology, counted first and then broadcast."""
+    """Attach the biology."""
     keys = [k for k in ("year", "age") if k in bio.columns]
-    return state.join(small_table(bio), keys, "left")
+    return state.join(bio, keys, "left")
 
 
 def in_fbar(lo: int, hi: int) -> Column:
@@ -72,13 +71,13 @@ def fixed_selection(f_table: DataFrame, years: Sequence[int], ages: tuple[int, i
 
 def apply_selection(state: DataFrame, selection: DataFrame, keys: Sequence[str], ages: tuple[int, int] = FBAR_AGES) -> DataFrame:
     """Replace F at age by a selection pattern at the draw's own mean F."""
-    own = state.withColumn("__fb", _own_fbar(keys, ages)).join(small_table(selection), "age", "left")
+    own = state.withColumn("__fb", _own_fbar(keys, ages)).join(selection, "age", "left")
     return own.withColumn("f", F.col("sel") * F.col("__fb")).drop("__fb", "sel")
 
 
 def weighted_f(state: DataFrame, weights: DataFrame, keys: Sequence[str], out: str = "cwf") -> DataFrame:
     """Sum of F over ages with custom weights (``age, w``)."""
-    return state.join(small_table(weights), "age").groupBy(*keys).agg(F.sum(F.col("f") * F.col("w")).alias(out))
+    return state.join(weights, "age").groupBy(*keys).agg(F.sum(F.col("f") * F.col("w")).alias(out))
 
 
 def catch_at_age(state: DataFrame, bio: DataFrame) -> DataFrame:
@@ -95,7 +94,7 @@ def yearly_figures(state: DataFrame, bio: DataFrame, keys: Sequence[str], ages:
     """
     df = catch_at_age(state, bio)
     if weights is not None:
-        df = df.join(small_table(weights), "age", "left")
+        df = df.join(weights, "age", "left")
     n, f, c = F.col("n"), F.col("f"), F.col("c")
     first = F.min_by("n", "age") if recruit_age is None else F.max(F.when(F.col("age") == recruit_age, n))
     aggs = [
@@ -151,12 +150,14 @@ def recruit_mean(pool: DataFrame) -> Column:
 
 
 def recruit_draws(draws: DataFrame, pool: DataFrame, seed: int = 1) -> DataFrame:
-    """One member of the pool for every draw, chosen by a seeded hash of its keys (the pool has one row per year)."""
-    members = [r[0] for r in pool.orderBy("year").select("rec").limit(MAX_AGES + 1).collect()]
-    if len(members) > MAX_AGES:
-        raise ValueError("the recruitment pool is longer than a series of years")
-    pick = F.pmod(F.xxhash64(F.lit(seed), *draws.columns), F.lit(len(members))).cast("int")
-    return draws.withColumn("rec", F.get(F.array(*[F.lit(float(m)) for m in members]), pick))
+    """One member of the pool for every draw, chosen by a seeded hash of its keys.
+
+    The pool has one row per year; its members are numbered by year.
+    """
+    numbered = pool.select((F.row_number().over(W.orderBy("year")) - 1).alias("__i"), F.col("rec").cast("double").alias("rec"))
+    size = pool.agg(F.count(F.lit(1)).alias("n")).scalar()
+    pick = F.pmod(F.xxhash64(F.lit(seed), *draws.columns), size).cast("int")
+    return draws.withColumn("__i", pick).join(numbered, "__i", "left").drop("__i")
 
 
 def advance(state: DataFrame, bio: DataFrame, keys: Sequence[str], max_age: int, min_age: int,
@@ -164,16 +165,18 @@ def advance(state: DataFrame, bio: DataFrame, keys: Sequence[str], max_age: int,
     """One year on: survivors move up an age, the oldest ages pile up, recruits enter, F at age stays.
 
     ``bio`` gives the new year's natural mortality by age. Each row is sent once to the
-    age it will be counted at and once to the age whose F it carries, so one shuffle
-    does both. ``recruits`` is one value for all, or a table ``keys..., rec``.
+    age it will be counted at, once to the age whose F it carries and once to the
+    youngest age, so one shuffle does it all and every draw gets its recruits.
+    ``recruits`` is one value for all, or a table ``keys..., rec``.
     """
     keys = list(keys)
-    m = small_table(bio.select("age", F.col("nat_mort").alias("__m")))
+    m = bio.select("age", F.col("nat_mort").alias("__m"))
     df = state.join(m, "age", "left")
     sent = F.array(
         F.struct(F.least(F.col("age") + 1, F.lit(max_age)).alias("age"),
                  (F.col("n") * F.exp(-F.col("f") - F.col("__m"))).alias("n"), F.lit(None).cast("double").alias("f")),
-        F.struct(F.col("age").alias("age"), F.lit(None).cast("double").alias("n"), F.col("f").alias("f")))
+        F.struct(F.col("age").alias("age"), F.lit(None).cast("double").alias("n"), F.col("f").alias("f")),
+        F.struct(F.lit(min_age).cast(state.schema["age"].dataType).alias("age"), F.lit(None).cast("double").alias("n"), F.lit(None).cast("double").alias("f")))
     moved = df.select(*keys, (F.col("year") + 1).alias("year"), F.inline(sent))
     out = moved.groupBy(*keys, "year", "age").agg(F.sum("n").alias("n"), F.max("f").alias("f"))
     if isinstance(recruits, DataFrame):
@@ -194,7 +197,7 @@ def scale_to_median(state: DataFrame, per_draw: DataFrame, value: str, groups: S
     target in a column that is constant within a group.
     """
     groups = list(groups)
-    med = small_table(quantiles(per_draw, groups, value, (0.5,), ("__median",)))
+    med = quantiles(per_draw, groups, value, (0.5,), ("__median",))
     scaled = state.join(med, groups, "left") if groups else state.withColumn("__median", med.scalar())
     return scaled.withColumn("f", F.col("f") * safe_ratio(F.col(target), F.col("__median"))).drop("__median")
 
@@ -219,7 +222,6 @@ def solve_multiplier(state: DataFrame, bio: DataFrame, target: float, kind: str
     does not depend on F (recruits' biomass next year). None when the target is outside
     what multipliers up to 100 give.
     """
-    bio = small_table(bio)
     if kind == "ssb" and not bio.where((F.col("prop_m") != 0) | (F.col("prop_f") != 0)).isEmpty():
         raise ValueError("an SSB target needs spawning at the start of the year")
     df = cut_lineage(_bio(state, bio))
@@ -272,25 +274,38 @@ def with_next_biology(bio: DataFrame, max_age: int) -> DataFrame:
         "next_stock_weight": F.when(last, F.col("stock_weight")).otherwise(F.col("next_stock_weight"))})
 
 
-def solve_per_draw(state: DataFrame, bio: DataFrame, target: float, keys: Sequence[str] = ("draw",), steps: int = 60) -> DataFrame:
+def solve_per_draw(state: DataFrame, bio: DataFrame, target: float, keys: Sequence[str] = ("draw",), steps: int = 20) -> DataFrame:
     """For every draw its own F multiplier that gives exactly the target catch.
 
-    The ages of a draw (a short list) are gathered in one row and the multiplier is
-    halved in on within that row. NULL where even the largest multiplier falls short.
+    The ages of a draw (a short list) are gathered in one row. Catch rises with the
+    multiplier, so Newton steps within a shrinking bracket, halving it where a step would
+    leave it, reach the root in a few rounds. NULL where even the largest multiplier
+    falls short.
     """
     df = _bio(state, bio).groupBy(*keys).agg(
         F.collect_list(F.struct("n", "f", F.col("nat_mort").alias("m"), F.col("catch_weight").alias("w"))).alias("a"))
 
-    def total(ages: Column, s: Column) -> Column:
-        each = F.transform(ages, lambda x: baranov(x["n"], x["f"] * s, x["m"]) * x["w"])
-        return F.aggregate(each, F.lit(0.0), lambda acc, v: acc + v)
-
-    def halve(acc: Column, _: Column) -> Column:
-        mid = (acc["lo"] + acc["hi"]) / 2
-        low = total(F.col("a"), mid) < target
-        return F.struct(F.when(low, mid).otherwise(acc["lo"]).alias("lo"), F.when(low, acc["hi"]).otherwise(mid).alias("hi"))
-
-    start = F.struct(F.lit(SEARCH[0]).alias("lo"), F.lit(SEARCH[1]).alias("hi"))
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda acc: (acc["lo"] + acc["hi"]) / 2)
-    reachable = total(F.col("a"), F.lit(SEARCH[1])) >= target
+    def figures(s: Column) -> Column:
+        """Catch at ``s`` and its slope."""
+        def add(acc: Column, x: Column) -> Column:
+            f, z = x["f"] * s, x["f"] * s + x["m"]
+            dead = 1 - F.exp(-z)
+            rise = F.when(z > 0, x["n"] * x["f"] * (x["m"] / (z * z) * dead + f / z * F.exp(-z))).otherwise(F.lit(0.0))
+            return F.struct((acc["c"] + baranov(x["n"], f, x["m"]) * x["w"]).alias("c"), (acc["d"] + rise * x["w"]).alias("d"))
+
+        return F.aggregate(F.col("a"), F.struct(F.lit(0.0).alias("c"), F.lit(0.0).alias("d")), add)
+
+    def narrow(acc: Column, _: Column) -> Column:
+        def step(now: Column) -> Column:
+            low = now["c"] < target
+            lo, hi = F.when(low, acc["s"]).otherwise(acc["lo"]), F.when(low, acc["hi"]).otherwise(acc["s"])
+            new = acc["s"] + F.try_divide(F.lit(target) - now["c"], now["d"])
+            inside = new.isNotNull() & (new >= lo) & (new <= hi)
+            return F.struct(lo.alias("lo"), hi.alias("hi"), F.when(inside, new).otherwise((lo + hi) / 2).alias("s"))
+
+        return F.get(F.transform(F.array(figures(acc["s"])), step), F.lit(0))
+
+    start = F.struct(F.lit(SEARCH[0]).alias("lo"), F.lit(SEARCH[1]).alias("hi"), F.lit(1.0).alias("s"))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, narrow, lambda acc: acc["s"])
+    reachable = figures(F.lit(SEARCH[1]))["c"] >= target
     return df.select(*keys, F.when(reachable, found).alias("multiplier"))

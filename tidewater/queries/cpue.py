@@ -11,7 +11,6 @@ from tidewater.operators.joins import by_keys, left_join
 from tidewater.operators.windows import top_k
 from tidewater.plans import cpue, hauls as prep
 from tidewater.queries import query
-from tidewater.session import cut_lineage
 from tidewater.queries.bindings import (
     BYDAY_SQL, FIRST, HAUL_SQL, LAST, RECT_SQL, SCOPE, SCOPED_SQL, STRATA_SQL, byday, hauls, rects, scoped_hauls, since, strata,
     table, vessels,
@@ -255,7 +254,7 @@ SELECT source, year, lower, middle, upper, min(CASE WHEN ok THEN cpue END) AS ym
        digits={"lower": 6, "middle": 6, "upper": 6, "ymin": 6, "ymax": 6})
 def method_effort_boxes(spark, sf):
     # Box figures need two passes; the cells are few beside the hauls, so they are written once.
-    return box_stats(cut_lineage(methods(spark, sf).select("source", "year", "cpue")), ["source", "year"], "cpue")
+    return box_stats(methods(spark, sf).select("source", "year", "cpue"), ["source", "year"], "cpue")
 
 
 RAW_INDEX_SQL = f"""{STRATA_SQL},

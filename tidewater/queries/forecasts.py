@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewater.operators.aggregates import quantiles
-from tidewater.operators.joins import small_table
 from tidewater.plans import forecast as fc, population as pop
 from tidewater.queries import query
 from tidewater.queries.bindings import since, table
@@ -135,7 +134,7 @@ def biology_of_future_year(spark, sf):
 ADVANCE_SQL = f"""{STATE_SQL}, recruits AS (SELECT avg(n) AS rec FROM (SELECT year, sum(n) AS n FROM states WHERE age = 1 AND year BETWEEN 1996 AND 2000 GROUP BY year)),
 y AS (SELECT * FROM states WHERE year = 2000),
 m AS (SELECT draw, CAST(least(age + 1, 50) AS INTEGER) AS age, sum(n * exp(-f - 0.15)) AS n FROM y GROUP BY 1, 2),
-k AS (SELECT draw, age FROM m UNION SELECT draw, age FROM y)
+k AS (SELECT draw, age FROM m UNION SELECT draw, age FROM y UNION SELECT DISTINCT draw, 1 FROM y)
 SELECT k.draw, 2001::INTEGER AS year, k.age, CASE WHEN k.age = 1 THEN (SELECT rec FROM recruits) ELSE m.n END AS n, y.f
 FROM k LEFT JOIN m ON m.draw = k.draw AND m.age = k.age LEFT JOIN y ON y.draw = k.draw AND y.age = k.age"""
 
@@ -173,7 +172,7 @@ def scaled_by_factor(spark, sf):
 
 def _solved(spark, sf, kind):
     """Half of today's median as target, so the answer lies inside the search range; the yield it leads to."""
-    state, bio = cut_lineage(states(spark, sf, 2000)), small_table(biology(spark, sf))
+    state, bio = cut_lineage(states(spark, sf, 2000)), biology(spark, sf)
     def median(st):
         return quantiles(pop.yearly_figures(st, bio, KEYS, AGES), ["year"], kind, (0.5,), (kind,))
 
@@ -195,7 +194,7 @@ def multiplier_for_landings(spark, sf):
 @query("multiplier_for_next_ssb")
 def multiplier_for_next_ssb(spark, sf):
     bio = biology(spark, sf).withColumns({"prop_m": F.lit(0.0), "prop_f": F.lit(0.0)})
-    bio = small_table(pop.with_next_biology(bio.where(F.col("year") == 2000), 50))
+    bio = pop.with_next_biology(bio.where(F.col("year") == 2000), 50)
     state = cut_lineage(states(spark, sf, 2000))
     target = quantiles(pop.yearly_figures(state, bio, KEYS, AGES), [], "ssb", (0.5,), ("m",)).first()["m"] * 0.7
     s = pop.solve_multiplier(state, bio, target, "ssb")
@@ -244,9 +243,12 @@ def scenario_check(spark, sf):
 
 
 _Q = ", ".join(f"quantile_cont(value, {p}) AS {n}" for p, n in (("0.5", "median"), ("0.025", "low"), ("0.975", "high")))
+_SNAPQ = ", ".join(f"round_even({n}, 9) AS {n}" for n in ("median", "low", "high"))
 SUMMARY_SQL = f"""{FIGURES_SQL},
-long AS (SELECT year, var, value FROM figures UNPIVOT (value FOR var IN ({', '.join(VARS)}))),
-q AS (SELECT year, var, {_Q} FROM long GROUP BY ALL),
+snapped AS (SELECT year, {', '.join(f'round_even({v}::DOUBLE, 9) AS {v}' for v in VARS)} FROM figures),
+long AS (SELECT year, var, value FROM snapped UNPIVOT (value FOR var IN ({', '.join(VARS)}))),
+q0 AS (SELECT year, var, {_Q} FROM long GROUP BY ALL),
+q AS (SELECT year, var, {_SNAPQ} FROM q0),
 summary AS (SELECT year, var, {', '.join(f"CASE WHEN var IN ('fbar', 'fbarL', 'cwf') THEN round_even({p}, 3) ELSE round_even({p}, 0) END AS {p}" for p in ("median", "low", "high"))} FROM q)"""
 
 
@@ -265,8 +267,7 @@ def forecast_discards(spark, sf):
     return fc.split_parts(summary(spark, sf), ["year"], "catch", "land", "Discard")
 
 
-@query("forecast_catch_at_age", f"""WITH {CAUGHT_SQL} SELECT year, age, round_even(quantile_cont(c, 0.5), 0) AS median,
-  round_even(quantile_cont(c, 0.025), 0) AS low, round_even(quantile_cont(c, 0.975), 0) AS high FROM caught GROUP BY ALL""")
+@query("forecast_catch_at_age", f"""WITH {CAUGHT_SQL} SELECT year, age, {', '.join(f"round_even(round_even(quantile_cont(round_even(c, 9), {p}), 9), 0) AS {n}" for p, n in (("0.5", "median"), ("0.025", "low"), ("0.975", "high")))} FROM caught GROUP BY ALL""")
 def forecast_catch_at_age(spark, sf):
     return fc.catch_age_summary(pop.catch_at_age(states(spark, sf), biology(spark, sf)), ["year"])
 
@@ -295,8 +296,10 @@ x AS (SELECT label, ft, draw, s.year, age, n, f * k AS f, b.* EXCLUDE (year, age
 fig AS (SELECT label, ft, draw, year, avg(CASE WHEN age BETWEEN 6 AND 14 THEN f END) AS fbar, min_by(n, age) AS rec,
   sum(n * exp(-prop_m * nat_mort - prop_f * f) * maturity * stock_weight) AS ssb,
   sum(f / (f + nat_mort) * (1 - exp(-(f + nat_mort))) * n * catch_weight) AS catch, sum(n * stock_weight) AS tsb FROM x GROUP BY ALL),
-fl AS (SELECT label, ft, year, var, value FROM fig UNPIVOT (value FOR var IN (fbar, rec, ssb, catch, tsb))),
-fq AS (SELECT label, ft, year, var, {_Q} FROM fl GROUP BY ALL),
+snapped AS (SELECT label, ft, year, {', '.join(f'round_even({v}::DOUBLE, 9) AS {v}' for v in ('fbar', 'rec', 'ssb', 'catch', 'tsb'))} FROM fig),
+fl AS (SELECT label, ft, year, var, value FROM snapped UNPIVOT (value FOR var IN (fbar, rec, ssb, catch, tsb))),
+fq0 AS (SELECT label, ft, year, var, {_Q} FROM fl GROUP BY ALL),
+fq AS (SELECT label, ft, year, var, {_SNAPQ} FROM fq0),
 fc AS (SELECT label, ft, year, var, {', '.join(f"CASE WHEN var = 'fbar' THEN round_even({p}, 3) ELSE round_even({p}, 0) END AS {p}" for p in ("median", "low", "high"))} FROM fq)"""
 
 
@@ -375,15 +378,3 @@ def forecasts_compared(spark, sf):
     history = rbya(spark, sf, run=False).unpivot(["year", "age"], ["n", "f", "oC"], "variable", "val").withColumn(
         "file", F.lit("run_2001"))
     return fc.compare_forecasts({2000: nf.where(F.col("year") <= 2000), 2001: nf}, history)
-
-
-@query("projected_scenarios")
-def projected_scenarios(spark, sf):
-    """Three years on from the states of 2000 under two F targets."""
-    st = states(spark, sf, 2000).withColumn("scenario", F.explode(F.array(F.lit("Fmsy"), F.lit("Fpa"))))
-    targets = lookup(spark, [(s, i, v) for s, v in (("Fmsy", 0.24), ("Fpa", 0.33)) for i in range(3)],
-                     "scenario string, step int, fval double")
-    pool = pop.recruit_pool(recruit_series(spark, sf).withColumn("rec", F.col("rec") / 100), [1996, 1997, 1998, 1999, 2000])
-    mean = pool.agg(F.avg("rec")).first()[0]
-    fig = fc.project(st, biology(spark, sf), targets, F.lit(mean), AGES, 2000, 1, 50, [1998, 1999, 2000], 3)
-    return fc.forecast_summary(fig, ["scenario", "year"], ["fbar", "rec", "ssb", "catch", "tsb"])

@@ -54,7 +54,7 @@ def median_and_interval(spark, sf):
 @query("overall_interval", """SELECT quantile_cont(o_totalprice, 0.5) AS median, quantile_cont(o_totalprice, 0.025) AS low,
   quantile_cont(o_totalprice, 0.975) AS high FROM orders""", digits={"median": 6, "low": 6, "high": 6})
 def overall_interval(spark, sf):
-    return agg.interval(table(spark, sf, "orders"), [], "o_totalprice")
+    return agg.interval(table(spark, sf, "orders"), [], "o_totalprice", spread=True)
 
 
 @query("price_histogram", """WITH r AS (SELECT min(o_totalprice) AS lo, (max(o_totalprice) - min(o_totalprice)) / 100 AS width, count(*) AS total FROM orders),
@@ -176,9 +176,7 @@ UNION ALL SELECT year, 'duration', quantile_cont(duration, 0.5), min(duration),
 def split_names_to_columns(spark, sf):
     h = hauls(spark, sf)
     wide = h.groupBy("year").agg(*[f.alias(f"{c}:{n}") for c in ("catch", "duration") for f, n in (
-        (F.min(c), "low"), (F.max(c), "high"))])
-    for c in ("catch", "duration"):
-        wide = wide.join(agg.quantiles(h, ["year"], c, (0.5,), (f"{c}:median",)), "year")
+        (F.percentile(c, 0.5), "median"), (F.min(c), "low"), (F.max(c), "high"))])
     return reshape.split_melt(wide, ["year"], [c for c in wide.columns if c != "year"])
 
 
@@ -208,10 +206,11 @@ def summary_transposed(spark, sf):
     return reshape.transpose(y, "year", ["catch", "hours"], YEARS)
 
 
-@query("species_by_fleet_table", f"""WITH {HAUL_SQL} SELECT species, {', '.join(f"coalesce(sum(CASE WHEN fleet = '{f}' THEN catch END), 0) AS \"{f}\"" for f in FLEETS)}
+@query("species_by_fleet_table", f"""WITH {HAUL_SQL} SELECT species, {', '.join(f"coalesce(sum(CASE WHEN fleet = '{f}' THEN catch END), 0) AS \"{f}\"" for f in FLEETS[:4])},
+  coalesce(sum(CASE WHEN fleet NOT IN ({', '.join(f"'{f}'" for f in FLEETS[:4])}) THEN catch END), 0) AS "(other)"
 FROM haul GROUP BY species""")
 def species_by_fleet_table(spark, sf):
-    return agg.crosstab(hauls(spark, sf, species=True), ["species"], "fleet", "catch", levels=FLEETS)
+    return agg.crosstab(hauls(spark, sf, species=True), ["species"], "fleet", "catch", levels=FLEETS[:4], other="(other)")
 
 
 @query("sorted_vessel_weeks", f"""WITH {HAUL_SQL} SELECT fleet, year, week, vesselid, sum(catch) AS catch FROM haul GROUP BY ALL ORDER BY fleet, year, week, vesselid""")

@@ -98,7 +98,7 @@ def parse_matrix(files: DataFrame) -> DataFrame:
     years, ages = _tokens(F.get(lines, F.lit(2))), _tokens(F.get(lines, F.lit(3)))
     head = files.select(
         "file", _number(years, 0).cast("int").alias("y0"), _number(years, 1).cast("int").alias("y1"),
-        _number(ages, 0).cast("int").alias("a0"), F.posexplode(F.slice(lines, 6, 1_000_000)).alias("i", "line"))
+        _number(ages, 0).cast("int").alias("a0"), F.posexplode(F.slice(lines, F.lit(6), F.size(lines))).alias("i", "line"))
     cells = head.where(F.col("y0") + F.col("i") <= F.col("y1")).select(
         "file", (F.col("y0") + F.col("i")).alias("year"), "a0", F.posexplode(_tokens(F.col("line"))).alias("j", "t"))
     return cells.select("file", "year", (F.col("a0") + F.col("j")).alias("age"), _value(F.col("t")).alias("value"))
@@ -135,7 +135,7 @@ def parse_survey(files: DataFrame) -> DataFrame:
     rows = tagged.where(F.col("k") > 4).join(heads, ["file", "block"])
     rows = rows.withColumns({"year": F.col("y0") + F.col("k") - 5, "effort": _number(F.col("tok"), 0)})
     cells = rows.where(F.col("year") <= F.col("y1")).select(
-        "file", "fleet", "year", "a0", "t0", "t1", "effort", F.posexplode(F.slice("tok", 2, 10_000)).alias("j", "t"))
+        "file", "fleet", "year", "a0", "t0", "t1", "effort", F.posexplode(F.slice("tok", F.lit(2), F.size("tok"))).alias("j", "t"))
     return cells.select("file", "fleet", "year", F.when(F.col("a0") >= 0, F.col("a0") + F.col("j")).alias("age"),
                         "t0", "t1", "effort", _value(F.col("t")).alias("value"))
 
