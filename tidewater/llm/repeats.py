@@ -25,7 +25,7 @@ from tidewater.llm.hashing import mix, powers, prefix_sums
 #: Bytes of an anchor.
 K = 18
 #: Anchors that a task holds before it sends them on.
-FLUSH = 1 << 20
+FLUSH = 1 << 18
 #: Bytes of one text that are searched at once.
 PIECE = 4 << 20
 #: Contexts that a suffix array is built over at once, if no anchor has more.
@@ -460,28 +460,22 @@ def remove_repeats(docs: DataFrame, min_bytes: int = 50, crowd: int = CROWD) ->
     doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (the remaining bytes). Other columns are ignored.
     """
     texts = keyed(docs)
-    lists = repeated_spans(texts, min_bytes, crowd).groupBy("d", "ver").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-
-    def run(batches):
-        for batch in batches:
-            out = [[], [], [], []]
-            spans, text = batch.column("spans"), batch.column("text")
-            for r in range(batch.num_rows):
-                data, own = text[r].as_py().encode("utf-8", "surrogatepass"), spans[r]
-                n, removed, runs = len(data), 0, 0
-                if own.is_valid:
-                    edge = np.zeros(n + 1, np.int64)
-                    flat = own.values
-                    np.add.at(edge, flat.field(0).to_numpy(), 1)
-                    np.add.at(edge, flat.field(1).to_numpy(), -1)
-                    gone = np.cumsum(edge[:-1]) > 0
-                    removed, runs = int(gone.sum()), int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
-                    data = np.frombuffer(data, np.uint8)[~gone].tobytes()
-                for store, x in zip(out, (n, removed, runs, data), strict=True):
-                    store.append(x)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *[pa.array(x, pa.int64()) for x in out[:3]], pa.array(out[3], pa.binary())],
-                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
-
-    rows = texts.join(lists, ["d", "ver"], "left").select("doc_id", "text", "spans")
-    return map_arrow(rows, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    lists = repeated_spans(texts, min_bytes, crowd).groupBy("d", "ver").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
+    rows = texts.join(lists, ["d", "ver"], "left").select("doc_id", F.col("text").cast("binary").alias("data"), "spans")
+
+    # Walk over the sorted spans: the stretches between them, how far they reach, and how many runs they make.
+    start = F.struct(F.array().cast("array<struct<a:int,b:int>>").alias("gaps"), F.lit(0).alias("reach"), F.lit(0).alias("runs"))
+
+    def take(acc, span):
+        apart = span["start"] > acc["reach"]
+        gaps = F.when(apart, F.concat(acc["gaps"], F.array(F.struct(acc["reach"].alias("a"), span["start"].alias("b"))))).otherwise(acc["gaps"])
+        return F.struct(gaps.alias("gaps"), F.greatest(acc["reach"], span["stop"]).alias("reach"),
+                        (acc["runs"] + (apart | (acc["runs"] == 0)).cast("int")).alias("runs"))
+
+    n = F.length("data")
+    walked = rows.withColumn("walk", F.aggregate("spans", start, take))
+    stretches = F.concat("walk.gaps", F.array(F.struct(F.col("walk.reach").alias("a"), n.alias("b"))))
+    pieces = F.transform(stretches, lambda g: F.hex(F.substring("data", g["a"] + 1, g["b"] - g["a"])))
+    kept = F.when(F.col("walk").isNull(), F.col("data")).otherwise(F.unhex(F.array_join(pieces, "")))
+    return walked.select("doc_id", n.cast("long").alias("n_bytes"), F.coalesce("walk.runs", F.lit(0)).cast("long").alias("n_spans"), kept.alias("kept")).select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), "n_spans", "kept")
