@@ -17,9 +17,18 @@ from tidewater.operators.windows import share
 # Limits of a targeted trip-week.
 MIN_SHARE, MIN_CATCH = 0.05, 50.0
 CELL = ("fleet", "year", "week", "rect")
+# Weeks and latitudes of the index model.
+MODEL_WEEKS = (15, 34)
+MODEL_LATS = ("59.5", "60", "60.5", "61", "61.5", "62", "62.5")
 STRATUM = ("year", "month", "week", "depth_cat", "lat", "long", "hset_cat", "fleet")
 
 
+def as_category(col: str) -> Column:
+    """A number as the text of a category: whole numbers without a decimal point."""
+    x = F.col(col)
+    return F.when(x == F.floor(x), x.cast("long").cast("string")).otherwise(x.cast("string"))
+
+
 def vessel_cells(hauls: DataFrame, keys: Sequence[str] = CELL, vessel: str = "vesselid") -> DataFrame:
     """Per vessel and cell: catch, hours, hauls, days and mean depth. A missing date counts as one day."""
     return hauls.groupBy(*keys, vessel).agg(
@@ -54,6 +63,20 @@ def cpue_by_stratum(hauls: DataFrame, keys: Sequence[str] = STRATUM) -> DataFram
     }).withColumn("lcpue", safe_ratio(F.col("logcatch"), F.col("effort")))
 
 
+def with_position_categories(cells: DataFrame) -> DataFrame:
+    """Year, week and position as categories beside the figures, as an index model takes them."""
+    return cells.withColumns({"year_cat": as_category("year"), "week_cat": as_category("week"),
+                              "long_cat": as_category("long"), "lat_cat": as_category("lat")})
+
+
+def model_table(strata: DataFrame, weeks: tuple[int, int] = MODEL_WEEKS, lats: Sequence[str] = MODEL_LATS) -> DataFrame:
+    """The table an index is fitted on: weeks and latitudes of the fishery, year and week as categories."""
+    kept = strata.withColumn("lat_cat", as_category("lat")).where(
+        F.col("week").between(*weeks) & F.col("lat_cat").isin(list(lats)))
+    return kept.withColumns({"year": as_category("year"), "week": as_category("week")}).drop(
+        "month", "logcatch", "lcpue", "long_cat", "nvessels")
+
+
 def target_tripweeks(hauls: DataFrame, species: Sequence[str], keys: Sequence[str] = ("vesselid", "trip", "year", "week"),
                      min_share: float = MIN_SHARE, min_catch: float = MIN_CATCH) -> DataFrame:
     """Trip-weeks aimed at a species: its share, rounded up to tenths, and its catch pass the limits."""

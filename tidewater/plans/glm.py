@@ -29,7 +29,6 @@ from tidewater.session import cut_lineage
 EPSILON, MAX_STEPS = 1e-8, 100
 # Spread at which the model is the Poisson limit for all practical purposes.
 THETA_MAX = 1e6
-MAX_LEVELS = 1500
 # Fixed value: normal quantile of the published intervals.
 Z95 = 1.96
 
@@ -108,11 +107,8 @@ class _Model:
 
 
 def _few(df: DataFrame) -> list:
-    """Distinct rows of a category column; more than a model can hold is an error."""
-    rows = df.distinct().limit(MAX_LEVELS + 1).collect()
-    if len(rows) > MAX_LEVELS:
-        raise ValueError(f"{df.columns[-1]} has too many categories for a model")
-    return rows
+    """Distinct categories. They are held on the driver, as is one matrix per group as wide as its categories."""
+    return df.distinct().collect()
 
 
 def _natural(v: str) -> tuple:
@@ -275,6 +271,20 @@ def coefficients(df: DataFrame, fits: Sequence[Fit]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "grp string, term string, level string, estimate double, se double")
 
 
+def score_sums(df: DataFrame, y: str, factors: Sequence[str]) -> DataFrame:
+    """Sum of the scores of every category under the fitted model (``term, level, score``); all are 0 at the best fit."""
+    model = _Model(df, y, factors, None)
+    fits = _run(model, factors)
+    mu = F.col("mu")
+    scored = _means(model.cells, fits).withColumn("score", (F.col("sy") - F.col("n") * mu) / (1 + mu / F.lit(fits[0].theta)))
+    parts = []
+    for f in factors:
+        names = df.sparkSession.createDataFrame(
+            [(model.first[(fits[0].group, f)] + i, f, v) for i, v in enumerate(fits[0].levels[f])], f"i_{f} int, term string, level string")
+        parts.append(scored.groupBy(f"i_{f}").agg(F.sum("score").alias("score")).join(names, f"i_{f}").select("term", "level", "score"))
+    return union_all(*parts)
+
+
 def model_table(df: DataFrame, fits: Sequence[Fit], label: str = "model") -> DataFrame:
     rows = [(label, str(f.group), f.n, f.df, f.theta, f.twologlik, f.deviance, f.steps, f.converged) for f in fits]
     return df.sparkSession.createDataFrame(

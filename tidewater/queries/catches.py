@@ -85,6 +85,17 @@ def catch_by_year_scaled(spark, sf):
     return catch.catch_by_year(catch.catch_by_rect(raw_catch(spark, sf)), ["PROMO"], list(range(1996, 2005)))
 
 
+@query("catch_by_year_of_two_species", f"""WITH {CATCH_SQL},
+k AS (SELECT * FROM by_rect WHERE species IN ('PROMO', 'LARGE') AND year BETWEEN 1996 AND 2004 AND NOT (species = 'PROMO' AND year = 1998)),
+r AS (SELECT min(lat) AS lo, max(lat) AS hi FROM k),
+a AS (SELECT species, year, catch FROM k UNION ALL SELECT 'PROMO', CAST(y AS INTEGER), 0 FROM generate_series(1996, 2004) t(y)),
+t AS (SELECT species, year, (floor(sum(catch) / 1000))::BIGINT AS catch FROM a GROUP BY ALL)
+SELECT species, year, catch, lo + catch / max(catch) OVER (PARTITION BY species) * (hi - lo) AS catch2 FROM t, r""", digits={"catch2": 6})
+def catch_by_year_of_two_species(spark, sf):
+    by_rect = catch.catch_by_rect(raw_catch(spark, sf)).where(~((F.col("species") == "PROMO") & (F.col("year") == 1998)))
+    return catch.catch_by_year(by_rect, ["PROMO", "LARGE"], list(range(1996, 2005)))
+
+
 @query("catch_years_collapsed", f"""WITH {CATCH_SQL},
 k AS (SELECT * FROM by_rect WHERE species IN ('PROMO', 'LARGE') AND year BETWEEN 1996 AND 1999),
 t AS (SELECT species, '1996-1999' AS year, (floor(sum(catch) / 1000))::BIGINT AS catch FROM k GROUP BY species)

@@ -74,6 +74,48 @@ def cpue_by_day(spark, sf):
     return byday(spark, sf)
 
 
+_CAT = "CASE WHEN {0} = floor({0}) THEN CAST(CAST({0} AS BIGINT) AS VARCHAR) ELSE CAST({0} AS VARCHAR) END"
+
+
+@query("cpue_by_day_with_positions", f"""WITH {BYDAY_SQL} SELECT b.*, long, lat, {_CAT.format('year')} AS year_cat, {_CAT.format('week')} AS week_cat,
+  {_CAT.format('long')} AS long_cat, {_CAT.format('lat')} AS lat_cat FROM byday b JOIN rect USING (rect)""", digits={"depth": 6, "cpue_day": 6})
+def cpue_by_day_with_positions(spark, sf):
+    return cpue.with_position_categories(cpue.cpue_by_day(scoped_hauls(spark, sf), (*cpue.CELL, "long", "lat")))
+
+
+@query("index_model_table", f"""WITH {STRATA_SQL} SELECT CAST(year AS VARCHAR) AS year, CAST(week AS VARCHAR) AS week, depth_cat, lat, long, hset_cat,
+  fleet, catch, nhauls, duration, ndays, effort, cpue, {_CAT.format('lat')} AS lat_cat FROM strata
+WHERE week BETWEEN 15 AND 34 AND lat IN (59.5, 60, 60.5, 61, 61.5, 62, 62.5)""", digits={"cpue": 6})
+def index_model_table(spark, sf):
+    return cpue.model_table(strata(spark, sf))
+
+
+@query("effort_with_gaps", f"""WITH {SCOPED_SQL}, g AS (SELECT fleet, year, date, duration, CASE WHEN haul = 2 THEN NULL ELSE vesselid END AS vesselid,
+  CASE WHEN haul = 3 THEN NULL WHEN haul = 4 THEN yday ELSE day END AS day FROM scoped),
+e AS (SELECT fleet, year, count(DISTINCT vesselid) + max(CASE WHEN vesselid IS NULL THEN 1 ELSE 0 END) AS nvessels,
+  count(DISTINCT day) + max(CASE WHEN day IS NULL THEN 1 ELSE 0 END) AS ndays, CAST(max(date) - min(date) AS INTEGER) AS season,
+  sum(duration) AS hfished, count(*) AS nhauls, avg(duration) AS hauldur FROM g GROUP BY ALL)
+SELECT f.fleet, CAST(y.year AS INTEGER) AS year, coalesce(nvessels, 0) AS nvessels, coalesce(ndays, 0) AS ndays, coalesce(season, 0) AS season,
+  coalesce(hfished, 0) AS hfished, coalesce(nhauls, 0) AS nhauls, coalesce(hauldur, 0) AS hauldur
+FROM (SELECT DISTINCT fleet FROM e) f CROSS JOIN generate_series({FIRST}, 2003) y(year) LEFT JOIN e ON e.fleet = f.fleet AND e.year = y.year""",
+       digits={"hauldur": 6})
+def effort_with_gaps(spark, sf):
+    """Missing vessels and days count as one each, and days of the year beyond 63 are told apart."""
+    gaps = scoped_hauls(spark, sf).withColumns({
+        "vesselid": F.when(F.col("haul") != 2, F.col("vesselid")),
+        "day": F.when(F.col("haul") == 4, F.col("yday")).when(F.col("haul") != 3, F.col("day"))})
+    return cpue.effort_table(gaps, FIRST, 2003)
+
+
+@query("days_per_vessel_year", f"""WITH {SCOPED_SQL}, g AS (SELECT *, CASE WHEN haul <> 3 THEN date END AS d FROM scoped)
+SELECT fleet, year, vesselid, sum(catch) AS catch, sum(duration) AS duration, count(*) AS nhauls,
+  count(DISTINCT d) + max(CASE WHEN d IS NULL THEN 1 ELSE 0 END) AS ndays, avg(depth) AS depth FROM g GROUP BY ALL""", digits={"depth": 6})
+def days_per_vessel_year(spark, sf):
+    """Cells wider than a week, with missing dates."""
+    gaps = scoped_hauls(spark, sf).withColumn("date", F.when(F.col("haul") != 3, F.col("date")))
+    return cpue.vessel_cells(gaps, ("fleet", "year"))
+
+
 @query("cpue_yearly_mean", f"""WITH {BYDAY_SQL}
 SELECT fleet, year, avg(cpue_day) AS cpue, count(cpue_day) AS n FROM byday GROUP BY ALL""", digits={"cpue": 6})
 def cpue_yearly_mean(spark, sf):

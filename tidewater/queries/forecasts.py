@@ -151,6 +151,15 @@ def advanced_one_year(spark, sf):
 
 
 
+@query("recruits_where_none_were", f"""WITH {STATE_SQL}, y AS (SELECT * FROM states WHERE year = 2000 AND age > 1)
+SELECT draw, 2001::INTEGER AS year, 1::INTEGER AS age, 55.5::DOUBLE AS n FROM (SELECT DISTINCT draw FROM y)""")
+def recruits_where_none_were(spark, sf):
+    """Draws without a row at the youngest age get their recruits too."""
+    old = states(spark, sf, 2000).where(F.col("age") > 1)
+    bio = pop.biology_for(biology(spark, sf), 2001, [1998, 1999, 2000])
+    return pop.advance(old, bio, ["draw"], 50, 1, F.lit(55.5)).where(F.col("age") == 1).drop("f")
+
+
 @query("scaled_to_mean_mortality", f"""WITH {STATE_SQL}, b AS (SELECT draw, year, avg(f) AS fb FROM states WHERE age BETWEEN 6 AND 14 GROUP BY ALL),
 q AS (SELECT year, quantile_cont(fb, 0.5) AS med FROM b GROUP BY year)
 SELECT draw, year, age, n, f * 0.24::DOUBLE / med AS f, 0.24::DOUBLE AS target FROM states JOIN q USING (year)""", digits={"f": 9})
@@ -181,17 +190,39 @@ def _solved(spark, sf, kind):
     return median(pop.scale_f(state, s)).withColumns({"target": F.lit(target), "multiplier": F.lit(s)})
 
 
-@query("multiplier_for_catch")
+def _solved_sql(kind, weight):
+    """Bisection on the median over draws, after the definition."""
+    per = "n * f * {s} / (f * {s} + nat_mort) * (1 - exp(-(f * {s} + nat_mort))) * " + weight
+    mid = "((s.lo + s.hi) / 2)"
+    return f"""WITH RECURSIVE {CAUGHT_SQL}, y AS (SELECT * FROM caught WHERE year = 2000),
+t AS (SELECT quantile_cont(v, 0.5) / 2 AS target FROM (SELECT draw, sum(c * {weight}) AS v FROM y GROUP BY draw)),
+solve(step, lo, hi) AS (SELECT 0, 0.0::DOUBLE, 100.0::DOUBLE UNION ALL
+  SELECT step + 1, CASE WHEN m < target THEN (lo + hi) / 2 ELSE lo END, CASE WHEN m < target THEN hi ELSE (lo + hi) / 2 END
+  FROM (SELECT step, lo, hi, quantile_cont(v, 0.5) AS m FROM (SELECT s.step, s.lo, s.hi, draw, sum({per.format(s=mid)}) AS v
+    FROM solve s CROSS JOIN y WHERE s.step < 45 GROUP BY ALL) GROUP BY step, lo, hi), t)
+SELECT 2000::INTEGER AS year, target AS {kind}, target, (lo + hi) / 2 AS multiplier FROM solve, t WHERE step = 45"""
+
+
+@query("multiplier_for_catch", _solved_sql("catch", "catch_weight"), digits={"catch": 2, "target": 6, "multiplier": 4})
 def multiplier_for_catch(spark, sf):
     return _solved(spark, sf, "catch")
 
 
-@query("multiplier_for_landings")
+@query("multiplier_for_landings", _solved_sql("land", "land_frac * land_weight"), digits={"land": 2, "target": 6, "multiplier": 4})
 def multiplier_for_landings(spark, sf):
     return _solved(spark, sf, "land")
 
 
-@query("multiplier_for_next_ssb")
+@query("multiplier_for_next_ssb", f"""WITH RECURSIVE {STATE_SQL}, {BIO_SQL}, b AS (SELECT * FROM bio WHERE year = 2000),
+nb AS (SELECT b.*, CASE WHEN b.age >= 50 THEN b.maturity * b.stock_weight ELSE nx.maturity * nx.stock_weight END AS w2
+  FROM b LEFT JOIN b nx ON nx.age = b.age + 1),
+y AS (SELECT s.*, nat_mort, w2, maturity * stock_weight AS w1 FROM states s LEFT JOIN nb USING (year, age) WHERE s.year = 2000),
+t AS (SELECT quantile_cont(v, 0.5) * 0.7 AS target FROM (SELECT draw, sum(n * w1) AS v FROM y GROUP BY draw)),
+solve(step, lo, hi) AS (SELECT 0, 0.0::DOUBLE, 100.0::DOUBLE UNION ALL
+  SELECT step + 1, CASE WHEN m > target THEN (lo + hi) / 2 ELSE lo END, CASE WHEN m > target THEN hi ELSE (lo + hi) / 2 END
+  FROM (SELECT step, lo, hi, quantile_cont(v, 0.5) AS m FROM (SELECT s.step, s.lo, s.hi, draw, sum(n * exp(-f * (s.lo + s.hi) / 2 - nat_mort) * w2) AS v
+    FROM solve s CROSS JOIN y WHERE s.step < 45 GROUP BY ALL) GROUP BY step, lo, hi), t)
+SELECT target, (lo + hi) / 2 AS multiplier FROM solve, t WHERE step = 45""", digits={"target": 6, "multiplier": 4})
 def multiplier_for_next_ssb(spark, sf):
     bio = biology(spark, sf).withColumns({"prop_m": F.lit(0.0), "prop_f": F.lit(0.0)})
     bio = pop.with_next_biology(bio.where(F.col("year") == 2000), 50)

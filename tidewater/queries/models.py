@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewater.plans import glm
 from tidewater.queries import query
-from tidewater.queries.bindings import byday, strata
+from tidewater.queries.bindings import BYDAY_SQL, byday, strata
 
 FACTORS = ["year", "week", "depth_cat"]
 REFERENCE = {"week": "29", "depth_cat": "[700,2.5e+03)"}
@@ -49,3 +49,33 @@ def index_model_comparison(spark, sf):
 @query("cpue_distribution_fit")
 def cpue_distribution_fit(spark, sf):
     return glm.fit_nb_dist(strata(spark, sf), "cpue")
+
+
+# A model of one factor has closed-form means, whatever the spread: the group means.
+@query("index_of_one_factor", f"""WITH {BYDAY_SQL}, m AS (SELECT year, avg(cpue_day) AS m FROM byday GROUP BY year),
+b AS (SELECT min_by(m, year) AS base, min(year) AS y0 FROM m)
+SELECT '(Intercept)' AS term, NULL::VARCHAR AS level, ln(base) AS estimate FROM b
+UNION ALL SELECT 'year', CAST(year AS VARCHAR), ln(m / base) FROM m, b WHERE year > y0""", digits={"estimate": 6})
+def index_of_one_factor(spark, sf):
+    cells = byday(spark, sf)
+    return glm.coefficients(cells, glm.nb_glm(cells, "cpue_day", ["year"])).select("term", "level", "estimate")
+
+
+@query("index_of_one_factor_by_fleet", f"""WITH {BYDAY_SQL} SELECT fleet, CAST(week AS VARCHAR) AS week, avg(cpue_day) AS cpue FROM byday GROUP BY ALL""",
+       digits={"cpue": 5})
+def index_of_one_factor_by_fleet(spark, sf):
+    return glm.standardised_index(byday(spark, sf), "cpue_day", ["week"], {}, by="fleet").select("fleet", "week", "cpue")
+
+
+@query("predicted_yearly_index", f"""WITH {BYDAY_SQL} SELECT CAST(year AS VARCHAR) AS year, avg(cpue_day) AS cpue FROM byday GROUP BY year""",
+       digits={"cpue": 5})
+def predicted_yearly_index(spark, sf):
+    return glm.standardised_index(byday(spark, sf), "cpue_day", ["year"], {}).select("year", "cpue")
+
+
+@query("index_score_sums", f"""WITH {BYDAY_SQL}, l AS (SELECT 'year' AS term, CAST(year AS VARCHAR) AS level FROM byday WHERE depth_cat IS NOT NULL
+UNION SELECT 'week', CAST(week AS VARCHAR) FROM byday WHERE depth_cat IS NOT NULL UNION SELECT 'depth_cat', depth_cat FROM byday WHERE depth_cat IS NOT NULL)
+SELECT term, level, 0.0::DOUBLE AS score FROM l""", digits={"score": 3})
+def index_score_sums(spark, sf):
+    """At the best fit of several factors the scores of every category add up to 0."""
+    return glm.score_sums(byday(spark, sf), "cpue_day", FACTORS)

@@ -12,6 +12,7 @@ from tidewater.queries import query
 from tidewater.queries.bindings import HAUL_SQL, hauls, table
 from tidewater.queries.catches import SAMPLING_SQL, sampling
 from tidewater.sources import text
+from tidewater.sources.tables import load_table
 
 FIRST, LAST, AGES = 1995, 2001, 50
 
@@ -117,3 +118,16 @@ def report_catch_section(spark, sf):
   CAST(ageorlength AS VARCHAR) AS age, sum(canum) AS canum FROM samples GROUP BY ALL""")
 def report_sample_section(spark, sf):
     return report_tables(spark, sf)["sample"].withColumn("canum", F.col("canum").try_cast("double"))
+
+
+@query("files_by_pattern", """SELECT 'supplier' AS source, count(*) AS n, min(s_suppkey) AS lowest, max(s_suppkey) AS highest FROM supplier""")
+def files_by_pattern(spark, sf):
+    """Parquet files found by a pattern, with the file that each row came from."""
+    rows = text.read_many(spark, sf, "supplier.parquet", "s_suppkey long, s_nationkey long", kind="parquet")
+    source = F.regexp_extract("file", r"([^/]+)\.parquet$", 1).alias("source")
+    return rows.groupBy(source).agg(F.count(F.lit(1)).alias("n"), F.min("s_suppkey").alias("lowest"), F.max("s_suppkey").alias("highest"))
+
+
+@query("table_loaded", "SELECT r_regionkey, r_name FROM region")
+def table_loaded(spark, sf):
+    return load_table(spark, f"{sf}/region.parquet").select("r_regionkey", "r_name")

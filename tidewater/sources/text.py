@@ -48,10 +48,12 @@ def parse_delimited(lines: DataFrame, schema: StructType | str, sep: str = "\t",
 
 
 def read_many(spark: SparkSession, folder: str, pattern: str, schema: StructType | str, sep: str = ",",
-              recursive: bool = True) -> DataFrame:
-    """All files of a folder that match a pattern, stacked, with the file each row came from."""
-    out = spark.read.csv(folder, schema=schema, sep=sep, header=True, pathGlobFilter=pattern,
-                         recursiveFileLookup=recursive)
+              recursive: bool = True, kind: str = "csv") -> DataFrame:
+    """All files of a folder that match a pattern, stacked, with the file each row came from; delimited text or Parquet."""
+    options = {"pathGlobFilter": pattern, "recursiveFileLookup": recursive}
+    if kind == "csv":
+        options |= {"sep": sep, "header": True}
+    out = spark.read.format(kind).schema(schema).options(**options).load(folder)
     return out.select("*", F.col("_metadata.file_path").alias("file"))
 
 
