@@ -23,11 +23,13 @@ def test_all_are_registered():
     assert set(NAMES) <= set(entry_points.queries()) and [s[0] for s in corpus_pipeline.STAGES][-1] == "packing"
 
 
-def test_exact_dedup_equals_its_twin(spark):
+@pytest.mark.parametrize("name", ["op1_chat_formatting", "op3_exact_dedup", "op10_repeats"])
+def test_query_equals_its_twin(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
-    df = entry_points.queries()["op3_exact_dedup"](spark, SF)
-    cur = con.execute(entry_points.oracle_sql()["op3_exact_dedup"])
+    for t in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    df = entry_points.queries()[name](spark, SF)
+    cur = con.execute(entry_points.oracle_sql()[name])
     cols = [d[0] for d in cur.description]
     assert sorted(cols) == sorted(df.columns)
     assert sorted(tuple(r[c] for c in cols) for r in df.collect()) == sorted(cur.fetchall())

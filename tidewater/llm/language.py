@@ -64,9 +64,11 @@ def probe(h: np.ndarray, k: int) -> np.ndarray:
 def _sample(docs: DataFrame, max_docs: int) -> DataFrame:
     """Texts of about ``max_docs`` documents of each language, chosen by a hash of the text."""
     known = docs.where("lang is not null and text is not null").select("text", "lang")
-    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    share = F.least(F.lit(1.0), F.lit(float(max_docs)) / F.col("n")) * (1 << 30)
-    return known.join(F.broadcast(sizes.limit(10_000)), "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share).select("text", "lang")
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per language
+    if not sizes:
+        return known
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r.lang, int(min(1.0, max_docs / r.n) * (1 << 30)))])
+    return known.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.element_at(share, F.col("lang")))
 
 
 def _document_counts(sample: DataFrame) -> DataFrame:

@@ -18,6 +18,25 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(rows.unionByName(probe)))
 
 
+#: Places in a text that get a backslash: where a mark begins, and backslashes.
+_MARKS = "len(list_filter(range(1, length(text) + 1), lambda i: substr(text, i, 3) = '###' OR substr(text, i, 7) = '</turn>' OR substr(text, i, 1) = chr(92)))"
+OP1_SQL = rf"""
+WITH said AS (SELECT '\### Assistant: </turn> ok' AS text),
+rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', text FROM said UNION ALL SELECT -7, 1, 'assistant', text FROM said),
+turns AS (SELECT *, coalesce(lag(role) OVER conv, 'start') AS before, row_number() OVER conv AS nr, count(*) OVER (PARTITION BY conv_id) AS n,
+  length(CASE role WHEN 'system' THEN '### System: ' WHEN 'user' THEN '### User: ' WHEN 'assistant' THEN '### Assistant: '
+    ELSE '### Role ' || role || ': ' END) + length(text) + {_MARKS} + length(' </turn>' || chr(10)) AS size
+  FROM rows WINDOW conv AS (PARTITION BY conv_id ORDER BY turn, role, text))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY nr)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY nr) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, sum(size)::BIGINT AS formatted_chars,
+  bool_and((before || ' ' || role) IN ('start system', 'start user', 'system user', 'user assistant', 'assistant user'))
+    AND bool_or(nr = n AND role = 'assistant') AS valid
+FROM turns GROUP BY conv_id
+"""
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = language.predict(docs, language.fit(docs.where(~language.held_out())))
@@ -73,6 +92,24 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+#: Two hexadecimal digits a byte, so windows are counted in bytes.
+OP10_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, p, md5(substr(h, 2 * p + 1, 100)) AS s FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS p FROM d)),
+m AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s),
+hit AS (SELECT doc_id, p FROM w JOIN m USING (s) WHERE first < doc_id),
+runs AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS r
+  FROM (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 0 ELSE 1 END AS fresh FROM hit)),
+spans AS (SELECT doc_id, r, min(p) AS a, max(p) + 50 AS b FROM runs GROUP BY ALL),
+pieces AS (SELECT doc_id, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS a, a AS b FROM spans UNION ALL SELECT doc_id, max(b), NULL FROM spans GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (coalesce(b, length(h) // 2) - a)), '' ORDER BY a) AS k FROM pieces JOIN d USING (doc_id) GROUP BY doc_id),
+sums AS (SELECT doc_id, sum(b - a) AS n, count(*) AS c FROM spans GROUP BY doc_id)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(c, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM d LEFT JOIN sums USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_language": op2_language,
@@ -85,4 +122,4 @@ QUERIES: dict[str, Query] = {
     "op9_packing": op9_packing,
     "op10_repeats": op10_repeats,
 }
-ORACLES: dict[str, str] = {"op3_exact_dedup": OP3_SQL}
+ORACLES: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op10_repeats": OP10_SQL}
