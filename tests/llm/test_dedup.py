@@ -169,3 +169,10 @@ def test_empty_tables(spark):
     assert digests.open_index(spark, buckets=2).absorb(none).count() == 0
     assert simhash.near_groups(none).count() == 0
     assert repeats.remove_repeats(none).count() == 0
+
+
+def test_fingerprints_of_pieces(monkeypatch):
+    monkeypatch.setattr(simhash, "_PIECE", 40)
+    for text in (prose(8, 200), "a" * 300 + " b c", "", " \n", "one two", "x " * 100, " a  b\tc\nd e " * 9):
+        for n in (1, 2, 4):
+            assert simhash.fingerprint(text, n).hex() == f"{fingerprint(text, n):016x}"

@@ -19,7 +19,7 @@ def tokenizer():
 
 
 TEXTS = ["", "Hello, WORLD!! it's we're 12.5 <|endoftext|> x", "a<|endoftext|>b", "ǅ İstanbul ﬁn Ǆ", "é ñ", "tab\tnl\nnbsp\xa0x\x1cy\x85z", "漢字 かな 🙂🙂",
-         "don't'll 's'S 'RE ²½ ª º × ÷ ß ÿ", "x" * 500, "...,,,!!!", "Σας ΟΔΟΣ", prose(3, 400)]
+         "don't'll 's'S 'RE ²½ ª º × ÷ ß ÿ", "x" * 500, "...,,,!!!", "Σας ΟΔΟΣ", "a \x00 b\x00c — “quoted” e\u0301 \u0301x", "x" * 70 + " — " * 40, prose(3, 400)]
 
 
 def test_ids_are_the_tokenizers(tokenizer, monkeypatch):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +17,9 @@ SEED = 42
 #: Fingerprints in a tile, and the rows and columns of the blocks that a tile pair is compared by.
 TILE = 32768
 ROWS, COLS = 64, 512
-#: Shingles whose bits are counted at once.
-_COUNTED = 1 << 16
+#: Bytes of a text whose shingles are hashed at once.
+_PIECE = 1 << 19
+_BLANK = re.compile(rb"[\x20\x09-\x0d]")
 #: Links of a tile pair that are held before they are reduced to a forest.
 _HELD = 1 << 20
 
@@ -27,19 +29,31 @@ def fingerprint(text: str, n: int) -> bytes:
 
     A-Z are lower-cased; words are runs without ASCII blanks. Fewer words than ``n`` are one shingle; none give zero.
     """
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return bytes(8)
+    data = text.encode("utf-8", "surrogatepass").lower()
+    counts, total, at, words = np.zeros(64, np.int64), 0, 0, []
+    while at < len(data):  # a long text is read piece by piece, the last words of one going on with the next
+        blank = _BLANK.search(data, at + _PIECE) if len(data) - at > _PIECE else None
+        end = blank.end() if blank else len(data)
+        words += data[at:end].split()
+        at = end
+        if len(words) >= n:
+            counts += _bit_counts(words, n)
+            total += len(words) - n + 1
+            words = words[len(words) - n + 1 :]
+    if not total:
+        if not words:
+            return bytes(8)
+        counts, total = _bit_counts(words, len(words)), 1
+    return np.packbits(counts * 2 > total).tobytes()
+
+
+def _bit_counts(words: list[bytes], n: int) -> np.ndarray:
+    """In how many hashes of the ``n``-grams of ``words`` each bit is set."""
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1]).tolist()
-    last = ends[n - 1 :].tolist() or [len(joined)]
-    digest, total = xxhash.xxh64_digest, len(last)
-    counts = np.zeros(64, np.int64)
-    for first in range(0, total, _COUNTED):
-        raw = b"".join([digest(joined[s:e], SEED) for s, e in zip(starts[first : first + _COUNTED], last[first : first + _COUNTED], strict=False)])
-        counts += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(counts * 2 > total).tobytes()
+    starts, digest = np.concatenate([[0], ends[:-1] + 1]).tolist(), xxhash.xxh64_digest
+    raw = b"".join([digest(joined[s:e], SEED) for s, e in zip(starts, ends[n - 1 :].tolist(), strict=False)])
+    return np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
 
 
 def fingerprints(docs: DataFrame, n: int = 4) -> DataFrame:

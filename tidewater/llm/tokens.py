@@ -12,9 +12,10 @@ from tokenizers import Tokenizer, pre_tokenizers
 REMEMBERED = 700_000
 #: Characters handled at once; a longer text is cut at white space, where no token crosses.
 PIECE_CHARS = 1 << 19
-#: Any character beyond plain ASCII and the Latin-1 letters sends its text to the tokenizer as it is.
+#: A stretch without blanks that has any character beyond plain ASCII and the Latin-1 letters goes to the tokenizer as it is.
 _ODD = re.compile(r"[^\t\n\r -~À-ÖØ-öø-ÿ]")
 _BLANK = re.compile(r"[ \n]")
+_BLANKS = re.compile(r"[ \t\n\r]+")
 #: How the lower-case word tokenizer cuts a text of the other characters before its merges.
 _WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 
@@ -65,6 +66,18 @@ class WordEncoder:
                 self.known[w] = raw[first:end]
                 first = end
 
+    def _cut(self, piece: str) -> list[str]:
+        """The words of a piece as they are remembered; odd stretches are kept whole behind a zero character."""
+        if not _ODD.search(piece) and not any(s in piece for s in self.special):
+            return _WORDS.findall(piece.lower())
+        out = []
+        for stretch in _BLANKS.split(piece):
+            if _ODD.search(stretch) or any(s in stretch for s in self.special):
+                out.append("\0" + stretch)
+            else:
+                out += _WORDS.findall(stretch.lower())
+        return out
+
     def _pieces(self, text: str) -> list[str]:
         out, first = [], 0
         while len(text) - first > PIECE_CHARS:
@@ -85,13 +98,17 @@ class WordEncoder:
         for text in texts:
             parts = []
             for piece in self._pieces(text) if len(text) > PIECE_CHARS else (text,):
-                if not self.by_word or _ODD.search(piece) or any(s in piece for s in self.special):
-                    parts.append(np.array(self.whole.encode(piece, add_special_tokens=False).ids, np.uint32).tobytes())
-                else:
-                    parts.append(words := _WORDS.findall(piece.lower()))
+                if self.by_word:
+                    parts.append(words := self._cut(piece))
                     new.update(words)
+                else:
+                    parts.append(np.array(self.whole.encode(piece, add_special_tokens=False).ids, np.uint32).tobytes())
             found.append(parts)
         new.difference_update(self.known)
+        if odd := [w for w in new if w[0] == "\0"]:
+            for w, got in zip(odd, self.whole.encode_batch_fast([w[1:] for w in odd], add_special_tokens=False), strict=True):
+                self.known[w] = np.array(got.ids, np.uint32).tobytes()
+            new.difference_update(odd)
         if new:
             self._learn(list(new))
         get = self.known.__getitem__
