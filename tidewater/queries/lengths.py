@@ -70,9 +70,9 @@ def samples_per_year(spark, sf):
     return lengths.samples_per_year(wide, ["ageorlength"])
 
 
-def landings_wide(spark, sf):
-    per = sampling(spark, sf).select(F.concat_ws(" ", F.regexp_replace("fleet", " ", ""), "country").alias("Year"),
-                                     F.col("year").alias("y"), "caton").groupBy("Year", "y").agg(F.sum("caton").alias("c"))
+def landings_wide(samples):
+    per = samples.select(F.concat_ws(" ", F.regexp_replace("fleet", " ", ""), "country").alias("Year"),
+                         F.col("year").alias("y"), "caton").groupBy("Year", "y").agg(F.sum("caton").alias("c"))
     return widen(per, ["Year"], "y", "c", YEARS)
 
 
@@ -82,11 +82,13 @@ landings AS (SELECT year, replace(fleet, ' ', '') AS area, sum(caton) AS catch F
 
 @query("landings_by_area", f"WITH {LANDINGS_SQL} SELECT year, area, catch, 'catch' AS type FROM landings")
 def landings_by_area(spark, sf):
-    return lengths.landings_by_area(landings_wide(spark, sf))
+    return lengths.landings_by_area(landings_wide(sampling(spark, sf)))
 
 
 def raised(spark, sf):
-    s = sampling(spark, sf)
+    # All parts come from one table of sums, so its shuffle is made once.
+    s = sampling(spark, sf).groupBy("catchcategory", "year", "country", "fleet", "ageorlength").agg(
+        F.sum("canum").alias("canum"), F.sum("caton").alias("caton"))
     freqs = s.select(F.col("catchcategory").alias("species"), "year",
                      F.concat(F.lit("27."), F.regexp_replace("fleet", " ", "")).alias("division"),
                      F.col("ageorlength").alias("length"), F.col("canum").alias("catchnumber"))
@@ -97,7 +99,7 @@ def raised(spark, sf):
     smaller = [(F.col("year") == 1995, {"prop": F.col("prop") / 3})]
     group = lengths.proportions_long(wide, ["length"], "ASIA", "group", smaller)
     other = lengths.proportions_long(wide, ["length"], "NOWHERE", "group").where(F.col("year") == 1996)
-    return lengths.raise_lengths([group, trips, other], lengths.landings_by_area(landings_wide(spark, sf)).drop("type"))
+    return lengths.raise_lengths([group, trips, other], lengths.landings_by_area(landings_wide(s)).drop("type"))
 
 
 RAISED_SQL = f"""{LANDINGS_SQL},
