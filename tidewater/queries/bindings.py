@@ -102,6 +102,18 @@ HSET_CAT_SQL = """CASE WHEN {x} BETWEEN 0 AND 2 THEN '[0,2]'
   WHEN {x} > 2 AND {x} <= 24 THEN '(' || CAST(((CAST({x} AS INTEGER) + 1) // 2) * 2 - 2 AS VARCHAR) || ',' ||
        CAST(((CAST({x} AS INTEGER) + 1) // 2) * 2 AS VARCHAR) || ']' END"""
 
+def round_steps_sql(lo: str, hi: str, n: int) -> str:
+    """One row (unit, k0, k1): a step of 1, 2 or 5 times a power of ten near the nth part of a range, and the first and last edge in steps."""
+    return f"""SELECT unit, floor({lo} / unit + 1e-7)::BIGINT AS k0, ceil({hi} / unit - 1e-7)::BIGINT AS k1 FROM (
+  SELECT CASE WHEN raw > 7 * base THEN 10 * base WHEN raw > 2.8 * base THEN 5 * base WHEN raw > 1.4 * base THEN 2 * base ELSE base END AS unit
+  FROM (SELECT ({hi} - {lo}) / {n} AS raw, 10.0::DOUBLE ** floor(log10(({hi} - {lo}) / {n})) AS base))"""
+
+
+def edge_sql(x: str) -> str:
+    """An edge as text: whole numbers without a decimal point."""
+    return f"CASE WHEN {x} = floor({x}) THEN CAST(CAST({x} AS BIGINT) AS VARCHAR) ELSE CAST({x} AS VARCHAR) END"
+
+
 # The years of the generated data; the reports' own default starts later.
 FIRST, LAST = 1996, 2000
 SCOPE = {"first_year": FIRST}

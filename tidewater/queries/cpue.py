@@ -12,7 +12,7 @@ from tidewater.operators.windows import top_k
 from tidewater.plans import cpue, hauls as prep
 from tidewater.queries import query
 from tidewater.queries.bindings import (
-    BYDAY_SQL, FIRST, HAUL_SQL, LAST, RECT_SQL, SCOPE, SCOPED_SQL, STRATA_SQL, byday, hauls, rects, scoped_hauls, since, strata,
+    BYDAY_SQL, FIRST, HAUL_SQL, LAST, RECT_SQL, SCOPE, SCOPED_SQL, STRATA_SQL, byday, hauls, rects, edge_sql, round_steps_sql, scoped_hauls, since, strata,
     table, vessels,
 )
 
@@ -249,7 +249,14 @@ def cpue_map(spark, sf):
     return cpue.cpue_map(scoped_hauls(spark, sf), n=None)
 
 
-@query("cpue_map_classes")
+@query("cpue_map_classes", f"""WITH {MAP_SQL}, r AS (SELECT greatest(max(cpue), 1) AS hi FROM cells),
+sets(s, m) AS (VALUES (1, 1), (2, 1), (2, 3), (3, 1), (3, 3), (3, 5), (4, 1), (4, 2), (4, 3), (4, 5)),
+points AS (SELECT s, m * 10.0::DOUBLE ** k AS p FROM sets, r, generate_series(0, ceil(log10(hi))::BIGINT) t(k)),
+best AS (SELECT min(s) AS s FROM (SELECT s, count(*) FILTER (WHERE p <= hi * (1 + 1e-12)) AS n FROM points, r GROUP BY s) WHERE n >= 5),
+edges AS (SELECT p AS b, lag(p) OVER (ORDER BY p) AS a FROM points JOIN best USING (s)),
+c AS (SELECT year, cpue, a, b FROM cells JOIN edges ON (cpue > a OR (a = 1 AND cpue = 1)) AND cpue <= b)
+SELECT year, CASE WHEN a = 1 THEN '[' ELSE '(' END || {edge_sql('a')} || ',' || {edge_sql('b')} || ']' AS cpue_cat, count(*) AS cells, avg(cpue) AS cpue
+FROM c GROUP BY ALL""", digits={"cpue": 6})
 def cpue_map_classes(spark, sf):
     out = cpue.cpue_map(scoped_hauls(spark, sf), n=7)
     return out.groupBy("year", "cpue_cat").agg(F.count(F.lit(1)).alias("cells"), F.avg("cpue").alias("cpue"))
@@ -334,7 +341,12 @@ def top_species_per_fleet(spark, sf):
     return top_k(per, ["fleet"], [F.col("catch").desc(), F.col("species")], 5)
 
 
-@query("effort_classes")
+@query("effort_classes", f"""WITH {STRATA_SQL}, r AS (SELECT min(effort)::DOUBLE AS lo, max(effort)::DOUBLE AS hi FROM strata),
+p AS ({round_steps_sql('(SELECT lo FROM r)', '(SELECT hi FROM r)', 6)}),
+k AS (SELECT year, catch, unit, k0, greatest(ceil(effort / unit), k0 + 1) AS k FROM strata, p),
+e AS (SELECT *, round((k - 1) * unit, 12) AS a, round(k * unit, 12) AS b FROM k)
+SELECT year, CASE WHEN k = k0 + 1 THEN '[' ELSE '(' END || {edge_sql('a')} || ',' || {edge_sql('b')} || ']' AS effort_cat,
+  count(*) AS n, sum(catch) AS catch FROM e GROUP BY ALL""")
 def effort_classes(spark, sf):
     cells = strata(spark, sf)
     breaks = auto_breaks(cells, "effort", 6, "pretty")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewater.operators import aggregates as agg, reshape, windows
 from tidewater.queries import query
-from tidewater.queries.bindings import HAUL_SQL, RECT_SQL, hauls, table
+from tidewater.queries.bindings import HAUL_SQL, RECT_SQL, hauls, table, round_steps_sql
 from tidewater.queries.catches import FLEETS
 
 YEARS = list(range(1995, 2002))
@@ -65,7 +65,11 @@ def price_histogram(spark, sf):
     return agg.histogram(table(spark, sf, "orders"), "o_totalprice", 100, round_steps=False)
 
 
-@query("cpue_histogram_round_steps")
+@query("cpue_histogram_round_steps", f"""WITH {HAUL_SQL}, x AS (SELECT catch / duration AS x FROM haul), r AS (SELECT min(x) AS lo, max(x) AS hi FROM x),
+p AS ({round_steps_sql('(SELECT lo FROM r)', '(SELECT hi FROM r)', 100)}),
+c AS (SELECT least(greatest(ceil((x - k0 * unit) / unit - 1e-9) - 1, 0), k1 - k0 - 1)::INTEGER AS bin, count(*) AS n FROM x, p WHERE x IS NOT NULL GROUP BY 1)
+SELECT b::INTEGER AS bin, (k0 + b + 0.5) * unit AS mid, coalesce(n, 0) AS n, coalesce(n, 0) / ((SELECT sum(n) FROM c) * unit) AS density
+FROM p, generate_series(0, (SELECT k1 - k0 - 1 FROM p)) t(b) LEFT JOIN c ON c.bin = b""", digits={"mid": 9, "density": 9})
 def cpue_histogram_round_steps(spark, sf):
     return agg.histogram(hauls(spark, sf).withColumn("cpue", F.col("catch") / F.col("duration")), "cpue", 100)
 
