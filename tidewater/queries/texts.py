@@ -14,8 +14,6 @@ from tidewater.queries.catches import SAMPLING_SQL, sampling
 from tidewater.sources import text
 from tidewater.sources.tables import load_table
 
-FIRST, LAST, AGES = 1995, 2001, 50
-
 
 def joined(df: DataFrame, keys: list[str], order: list[str], value: Column, sep: str, out: str) -> DataFrame:
     """Values of a short group in order, as one text."""
@@ -35,16 +33,18 @@ def delimited_lines_parsed(spark, sf):
 
 
 def cells(spark, sf):
-    """Numbers by fleet, year and age; small ones are unknown."""
+    """Numbers by fleet, year and age over the years and ages there are, with their first and last; unknown where there are none."""
     per = sampling(spark, sf).groupBy("fleet", "year", F.col("ageorlength").alias("age")).agg(F.sum("canum").alias("v"))
-    full = per.select("fleet").distinct().select("fleet", F.explode(F.sequence(F.lit(FIRST), F.lit(LAST))).alias("year")).select(
-        "fleet", "year", F.explode(F.sequence(F.lit(1), F.lit(AGES))).alias("age"))
-    return full.join(per, ["fleet", "year", "age"], "left").withColumn("v", F.when(F.col("v") >= 400, F.col("v")))
+    ends = per.agg(F.struct(F.min("year").alias("y0"), F.max("year").alias("y1"), F.min("age").alias("a0"), F.max("age").alias("a1"))).scalar()
+    full = per.select("fleet").distinct().select("fleet", ends.alias("e")).select("fleet", "e.*").select(
+        "*", F.explode(F.sequence("y0", "y1")).alias("year")).select("*", F.explode(F.sequence("a0", "a1")).alias("age"))
+    return full.join(per, ["fleet", "year", "age"], "left")
 
 
 CELLS_SQL = f"""{SAMPLING_SQL}, per AS (SELECT fleet, year, ageorlength AS age, sum(canum) AS v FROM samples GROUP BY ALL),
-cells AS (SELECT f.fleet, CAST(y AS INTEGER) AS year, CAST(a AS INTEGER) AS age, CASE WHEN v >= 400 THEN v END AS v
-  FROM (SELECT DISTINCT fleet FROM per) f CROSS JOIN generate_series({FIRST}, {LAST}) t(y) CROSS JOIN generate_series(1, {AGES}) u(a)
+cells AS (SELECT f.fleet, CAST(y AS INTEGER) AS year, CAST(a AS INTEGER) AS age, v
+  FROM (SELECT DISTINCT fleet FROM per) f CROSS JOIN generate_series((SELECT min(year) FROM per), (SELECT max(year) FROM per)) t(y)
+  CROSS JOIN generate_series((SELECT min(age) FROM per), (SELECT max(age) FROM per)) u(a)
   LEFT JOIN per ON per.fleet = f.fleet AND per.year = y AND per.age = a)"""
 
 
@@ -53,10 +53,11 @@ def coded(v: str) -> Column:
 
 
 def matrix_files(spark, sf) -> DataFrame:
-    lines = joined(cells(spark, sf), ["fleet", "year"], ["age"], coded("v"), " \t ", "line").withColumn(
+    ends = ["y0", "y1", "a0", "a1"]
+    lines = joined(cells(spark, sf), ["fleet", *ends, "year"], ["age"], coded("v"), " \t ", "line").withColumn(
         "line", F.concat(F.lit("   "), "line", F.lit("  #"), F.col("year").cast("string")))
-    body = joined(lines, ["fleet"], ["year"], F.col("line"), "\r\n", "body")
-    head = F.concat(F.lit(f"Catch in numbers\r\n  1  2\r\n {FIRST}  {LAST}\r\n 1  {AGES}\r\n 1\r\n"), F.col("body"), F.lit("\r\n"))
+    body = joined(lines, ["fleet", *ends], ["year"], F.col("line"), "\r\n", "body")
+    head = F.format_string("Catch in numbers\r\n  1  2\r\n %d  %d\r\n %d  %d\r\n 1\r\n%s\r\n", *ends, "body")
     return body.select(F.col("fleet").alias("file"), head.alias("text"))
 
 
@@ -68,10 +69,11 @@ def matrix_files_parsed(spark, sf):
 @query("series_files_parsed", f"WITH {HAUL_SQL} SELECT fleet AS file, year, sum(catch) AS value FROM haul GROUP BY ALL")
 def series_files_parsed(spark, sf):
     per = hauls(spark, sf).groupBy("fleet", "year").agg(F.sum("catch").alias("v"))
+    ends = per.groupBy("fleet").agg(F.min("year").alias("y0"), F.max("year").alias("y1"))
     body = joined(per.withColumn("v", F.concat_ws("  #", F.col("v").cast("string"), F.col("year").cast("string"))),
-                  ["fleet"], ["year"], F.col("v"), "\r\n   ", "body")
-    files = body.select(F.col("fleet").alias("file"), F.concat(
-        F.lit(f"Landings(tonnes)\r\n 1 1\r\n {FIRST} {LAST}\r\n 5 21\r\n 5\r\n   "), F.col("body")).alias("text"))
+                  ["fleet"], ["year"], F.col("v"), "\r\n   ", "body").join(ends, "fleet")
+    files = body.select(F.col("fleet").alias("file"), F.format_string(
+        "Landings(tonnes)\r\n 1 1\r\n %d %d\r\n 5 21\r\n 5\r\n   %s", "y0", "y1", "body").alias("text"))
     return text.parse_series(files)
 
 
@@ -82,11 +84,10 @@ def survey_files_parsed(spark, sf):
     c = cells(spark, sf)
     biomass = F.col("fleet") == "ASIA"
     c = c.where((biomass & (F.col("age") == 5)) | (~biomass & F.col("age").between(5, 12)))
-    lines = joined(c, ["fleet", "year"], ["age"], coded("v"), "\t\t", "line")
-    blocks = joined(lines.withColumn("line", F.concat(F.lit("  0.5   "), F.col("line"))), ["fleet"], ["year"], F.col("line"), "\n", "body")
-    biomass_head = f"\n {FIRST} {LAST}\n 1 1 0 1\n -1 -1\n"
-    age_head = f"\n {FIRST} {LAST}\n 1 1 0.6 0.7\n 5 12\n"
-    blocks = blocks.withColumn("block", F.concat("fleet", F.when(biomass, biomass_head).otherwise(age_head), "body"))
+    lines = joined(c, ["fleet", "y0", "y1", "year"], ["age"], coded("v"), "\t\t", "line")
+    blocks = joined(lines.withColumn("line", F.concat(F.lit("  0.5   "), F.col("line"))), ["fleet", "y0", "y1"], ["year"], F.col("line"), "\n", "body")
+    layout = F.when(biomass, "1 1 0 1\n -1 -1\n").otherwise("1 1 0.6 0.7\n 5 12\n")
+    blocks = blocks.withColumn("block", F.concat("fleet", F.format_string("\n %d %d\n ", "y0", "y1"), layout, "body"))
     files = joined(blocks.withColumn("file", F.lit("index")), ["file"], ["fleet"], F.col("block"), "\n", "body")
     return text.parse_survey(files.select("file", F.concat(F.lit("Index files\n   105\n"), F.col("body")).alias("text")))
 
