@@ -399,10 +399,16 @@ def compare_models(df: DataFrame, y: str, models: Sequence[Sequence[str]]) -> Da
         rows, "model string, theta double, resid_df int, twologlik double, df int, lr double, p double")
 
 
+def with_nb_density(df: DataFrame, m: str, size: Column, mu: Column, out: str = "fit") -> DataFrame:
+    """Negative-binomial density at ``m``, which need not be whole, for a spread and a mean."""
+    df = df.withColumns({"__size": size, "__mu": mu}).withColumns({"__a": F.col(m) + F.col("__size"), "__b": F.col(m) + 1})
+    s, u = F.col("__size"), F.col("__mu")
+    log = lgamma("__a") - lgamma("__size") - lgamma("__b") + s * F.log(s / (s + u)) + F.col(m) * F.log(u / (s + u))
+    return df.withColumn(out, F.exp(log)).drop("__a", "__b", "__size", "__mu")
+
+
 def fit_nb_dist(df: DataFrame, x: str, n: int = 100) -> DataFrame:
     """Histogram density of ``x`` beside the negative-binomial density fitted to its rounded values."""
     fit = nb_glm(df.select(F.bround(x).alias("y")), "y", [])[0]
     bins = histogram(df, x, n).withColumns({"size": F.lit(fit.theta), "mu": F.lit(float(math.exp(fit.beta[0])))})
-    size, mu, m = F.col("size"), F.col("mu"), F.col("mid")
-    density = F.exp(lgamma("__a") - lgamma("size") - lgamma("__b") + size * F.log(size / (size + mu)) + m * F.log(mu / (size + mu)))
-    return bins.withColumns({"__a": m + size, "__b": m + 1}).withColumn("fit", density).drop("__a", "__b")
+    return with_nb_density(bins, "mid", F.col("size"), F.col("mu"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewater.plans import glm
 from tidewater.queries import query
-from tidewater.queries.bindings import BYDAY_SQL, byday, strata
+from tidewater.queries.bindings import BYDAY_SQL, HAUL_SQL, byday, hauls, strata
 
 FACTORS = ["year", "week", "depth_cat"]
 REFERENCE = {"week": "29", "depth_cat": "[700,2.5e+03)"}
@@ -79,3 +79,12 @@ SELECT term, level, 0.0::DOUBLE AS score FROM l""", digits={"score": 3})
 def index_score_sums(spark, sf):
     """At the best fit of several factors the scores of every category add up to 0."""
     return glm.score_sums(byday(spark, sf), "cpue_day", FACTORS)
+
+
+@query("density_of_given_spread", f"""WITH {HAUL_SQL}, m AS (SELECT avg(catch) AS mu FROM haul), x AS (SELECT catch, count(*) AS n FROM haul GROUP BY catch)
+SELECT catch, n, exp(lgamma(catch + 2.5) - lgamma(2.5) - lgamma(catch + 1) + 2.5 * ln(2.5 / (2.5 + mu)) + catch * ln(mu / (2.5 + mu))) AS fit FROM x, m""",
+       digits={"fit": 9})
+def density_of_given_spread(spark, sf):
+    h = hauls(spark, sf)
+    counts = h.groupBy("catch").agg(F.count(F.lit(1)).alias("n"))
+    return glm.with_nb_density(counts, "catch", F.lit(2.5), h.agg(F.avg("catch").alias("m")).scalar())
