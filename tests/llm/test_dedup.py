@@ -176,3 +176,16 @@ def test_fingerprints_of_pieces(monkeypatch):
     for text in (prose(8, 200), "a" * 300 + " b c", "", " \n", "one two", "x " * 100, " a  b\tc\nd e " * 9):
         for n in (1, 2, 4):
             assert simhash.fingerprint(text, n).hex() == f"{fingerprint(text, n):016x}"
+
+
+def test_the_index_is_not_shuffled(spark):
+    index = digests.open_index(spark, buckets=3)
+    index.absorb(documents(spark, [(1, "one"), (2, "two")]))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        batch = spark.createDataFrame([("x",)], "digest string").repartition(index.buckets, "digest")
+        plan = batch.join(spark.table(index.table).hint("merge"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange") == 1 and "Bucketed: true" in plan and "SortMergeJoin" in plan

@@ -54,11 +54,12 @@ class DigestIndex:
             rows.groupBy("digest").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
             .select("digest", "group_size", (-F.col("best.low")).alias("keep_id"), (-F.col("best.row")).alias("keep_row")),
             "digest-groups")
-        fresh = groups.join(self.spark.table(self.table).hint("merge"), "digest", "left_anti")
+        dealt = groups.repartition(self.buckets, "digest")  # as the index lies, whatever the number of shuffle partitions
+        fresh = dealt.join(self.spark.table(self.table).hint("merge"), "digest", "left_anti")
         self._append(fresh.select("digest", "keep_id", "keep_row", F.lit(batch).alias("batch")))
         known = self.spark.table(self.table).hint("merge")
         verdicts = written(
-            groups.select("digest", "group_size").join(known, "digest")
+            dealt.select("digest", "group_size").join(known, "digest")
             .withColumn("keep_row", F.when(F.col("batch") == batch, F.col("keep_row"))).drop("batch"), "digest-verdicts")
         return rows.join(verdicts, "digest").select(
             "doc_id", "keep_id", "group_size", F.coalesce(F.col("row") == F.col("keep_row"), F.lit(False)).alias("kept"),
