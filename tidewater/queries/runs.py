@@ -79,7 +79,7 @@ def observed_catch_biomass(spark, sf):
 
 
 @query("stacked_runs", f"""WITH {RBYA1_SQL} SELECT 'first' AS file, * FROM rbya UNION ALL SELECT 'second', * FROM rbya WHERE year > 1996""",
-       digits={"f": 9, "cW": 9})
+       digits={"f": 9, "cW": 12})
 def stacked_runs(spark, sf):
     one = rbya(spark, sf, run=False)
     return a.stack_runs({"first": one, "second": one.where(F.col("year") > 1996)})
