@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewater.operators.aggregates import sum0
+from tidewater.operators.aggregates import declared, sum0
 from tidewater.operators.reshape import melt, widen
 from tidewater.plans import lengths
 from tidewater.queries import query
@@ -24,7 +24,7 @@ def wide_lengths(spark, sf):
     per = sampling(spark, sf).groupBy(*keys, F.col("ageorlength").alias("size")).agg(
         sum0("canum").alias("canum"), sum0("nooflengthmeasured").alias("m"))
     ids = ["stock", "year", "season", "area", "country", "catchcat"]
-    wide = per.groupBy(*ids).pivot("size", SIZES).agg(F.sum("canum")).withColumnsRenamed(
+    wide = per.withColumn("size", declared("size", SIZES)).groupBy(*ids).pivot("size", SIZES).agg(F.sum("canum")).withColumnsRenamed(
         {str(s): f"UndeterminedLngt{s * 10}" for s in SIZES})
     return wide.join(per.groupBy(*ids).agg(F.sum("m").alias("numlengthmeasurements")), ids)
 
