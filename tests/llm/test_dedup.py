@@ -83,6 +83,14 @@ def test_one_document_of_each_near_group_stays(spark):
     assert kept.schema == docs.schema and sorted(r.doc_id for r in kept.collect()) == [2, 7, 9]
 
 
+def test_groups_without_an_own_doc_id_stay(spark):
+    """Unlinked groups without doc_id, and two unlinked groups whose smallest doc_id is the same, keep a row each."""
+    one, two = prose(21, 60), prose(22, 60)
+    rows = [(None, one), (None, one), (None, two), (7, prose(23, 60)), (7, prose(24, 60)), (8, prose(24, 60)), (None, prose(24, 60))]
+    kept = [(r.doc_id, r.text) for r in simhash.drop_near_copies(documents(spark, rows), 4, 4).collect()]
+    assert sorted(kept, key=str) == sorted([(None, one), (None, two), (7, prose(23, 60)), (7, prose(24, 60))], key=str)
+
+
 def test_tiles_lose_no_link():
     r = np.random.default_rng(1)
     base = r.integers(0, 1 << 63, 40, dtype=np.uint64)

@@ -189,6 +189,18 @@ def links(classes: DataFrame, radius: int) -> DataFrame:
     return map_arrow(spread, compare, "a long, b long")
 
 
+def _linked(docs: DataFrame, n: int, radius: int) -> DataFrame:
+    """doc_id, text_key, fp, root (a fingerprint that names the group) and component_id of every row."""
+    fps = written(fingerprints(docs, n), "fingerprints")
+    classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "fingerprint-classes")
+    roots = components(links(classes, radius))
+    rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    rooted = written(rooted, "fingerprint-roots")
+    lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    named = written(rooted.join(lowest, "root").select("fp", "root", "component_id"), "fingerprint-components")
+    return fps.join(named, "fp")
+
+
 def near_groups(docs: DataFrame, n: int = 4, radius: int = 4) -> DataFrame:
     """Group documents whose SimHash fingerprints are linked by ``radius`` or fewer differing bits, over any chain.
 
@@ -197,19 +209,15 @@ def near_groups(docs: DataFrame, n: int = 4, radius: int = 4) -> DataFrame:
     component_id (the smallest doc_id reachable; missing only if the whole group has none). Other columns of ``docs``
     are ignored. An empty table gives no rows.
     """
-    fps = written(fingerprints(docs, n), "fingerprints")
-    classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "fingerprint-classes")
-    roots = components(links(classes, radius))
-    rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    rooted = written(rooted, "fingerprint-roots")
-    lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = written(rooted.join(lowest, "root").select("fp", "component_id"), "fingerprint-components")
-    return fps.join(named, "fp").select("doc_id", "text_key", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return _linked(docs, n, radius).select("doc_id", "text_key", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, n: int = 4, radius: int = 4) -> DataFrame:
-    """Of each group the row with the smallest ``doc_id`` stays, with all its columns."""
-    groups = near_groups(docs, n, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    # Rows may share the smallest doc_id: the one with the smallest fingerprint and text hash stays.
-    first = groups.groupBy("component_id").agg(F.min(F.struct("fingerprint", "text_key")).alias("best"))
-    return keep_rows(docs, first.select(F.col("component_id").alias("doc_id"), F.col("best.text_key").alias("text_key")))
+    """Of each group the row with the smallest ``doc_id`` stays, with all its columns; a missing one comes last.
+
+    Groups may have no ``doc_id``, or the same smallest one: each is told by its root. Of rows that share the smallest
+    ``doc_id`` the one with the smallest fingerprint and text hash stays.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.lpad(F.hex("fp"), 16, "0").alias("fingerprint"), "text_key")
+    first = _linked(docs, n, radius).groupBy("root").agg(F.min(order).alias("best"))
+    return keep_rows(docs, first.select("best.doc_id", "best.text_key"))
