@@ -83,6 +83,23 @@ def test_offending_sentences_are_found(spark, model):
     assert [(r.doc_id, text[r.start : r.stop], r.sentence) for r in got] == [(1, " You are verminous and dull", " You are verminous and dull")]
 
 
+def test_a_repeated_word_counts_once_in_a_sentence(spark):
+    """Fit and score give the same value for a bag: its set of features, however often a word occurs."""
+    model = toxicity.Model({"dolt": 1.5, "dol*": 0.7, "gees*": 0.4, "river": -2.0}, -3.0)
+    index = {f: i for i, f in enumerate(model.weights)}
+    texts = ["geese watch " * 400, "dolt dolts dolt " + "river " * 300, "a dolt. Geese geese! the river river", "geesely\nmuddy", "nothing"]
+    docs = documents(spark, list(enumerate(texts)))
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    found = {r.doc_id: r.score for r in toxicity.locate(docs, model, 0.0).collect() if r.doc_id < 2}
+    for k, text in enumerate(texts):
+        empty, bags = toxicity._bags(text, index)
+        z = [model.bias] * empty + [model.bias + sum(list(model.weights.values())[i] for i in bag) for bag in bags]
+        assert got[k] == pytest.approx(1 - np.prod([1 / (1 + np.exp(x)) for x in z]), abs=1e-12)
+        if k in found:
+            assert found[k] == pytest.approx(got[k], abs=1e-12)
+    assert {r.doc_id for r in toxicity.drop_toxic(docs, model).collect()} == {k for k in got if got[k] < 0.3} and 0 in found
+
+
 def test_toxicity_of_awkward_texts(spark, model, monkeypatch):
     rows = [(1, None), (2, ""), (3, "\n\n..!"), (None, insulted(1, True)), (5, insulted(7, True)), (5, insulted(7, True)), (6, "x" * 100_000)]
     docs = documents(spark, rows)

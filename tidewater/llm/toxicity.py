@@ -50,35 +50,55 @@ class Model:
 
 
 class _Memory(dict):
-    """Weight of each word seen; ends of sentences weigh nan."""
+    """Place of each word seen among the sets of known features that words have; 0 for none, -1 for ends of sentences."""
 
     def __init__(self, model: Model):
         super().__init__()
-        self.model = model
-
-    def __missing__(self, word: str) -> float:
+        self.bias = model.bias
+        self.index = {f: i for i, f in enumerate(model.weights)}
+        self.weights = np.array([*model.weights.values(), 0.0])
+        self.clear()
+
+    def clear(self) -> None:
+        super().clear()
+        self.places, self.sets = {(): 0}, np.full((64, 4), -1, np.int64)
+
+    def __missing__(self, word: str) -> int:
+        if word[0] in ".!?\n":
+            self[word] = -1
+            return -1
+        known = tuple(self.index[f] for f in features(word) if f in self.index)
+        place = self.places.setdefault(known, len(self.places))
+        if place == len(self.sets):
+            self.sets = np.concatenate([self.sets, np.full_like(self.sets, -1)])
+        self.sets[place, : len(known)] = known
+        self[word] = place
+        return place
+
+    def sentences(self, text: str) -> np.ndarray:
+        """The logistic sum of each sentence with words of a lower-case piece, over the set of its features as in ``_bags``."""
         if len(self) > _REMEMBERED:
             self.clear()
-        get = self.model.weights.get
-        self[word] = w = math.nan if word[0] in ".!?\n" else sum(get(f, 0.0) for f in features(word))
-        return w
+        tokens = _TOKEN.findall(text)
+        place = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+        words = place >= 0
+        starts = words & np.concatenate([[True], ~words[:-1]])[: len(words)]
+        n = int(starts.sum())
+        hit = np.flatnonzero(place > 0)
+        found = self.sets[place[hit]]
+        pairs = ((np.cumsum(starts)[hit] - 1) * len(self.weights))[:, None] + found
+        pairs = np.unique(pairs[found >= 0])
+        return np.bincount(pairs // len(self.weights), self.weights[pairs % len(self.weights)], n) + self.bias
 
 
 def _log_clean(memory: _Memory, text: str) -> float:
     """Sum over the sentences of the logarithm of not being toxic; a text without words is one empty sentence."""
     total, sentences = 0.0, 0
     for piece in pieces(text.lower()):
-        tokens = _TOKEN.findall(piece)
-        if not tokens:
-            continue
-        w = np.fromiter(map(memory.__getitem__, tokens), float, len(tokens))
-        ends = np.isnan(w)
-        starts = np.flatnonzero(~ends & np.concatenate([[True], ends[:-1]]))
-        if len(starts):
-            z = np.add.reduceat(np.where(ends, 0.0, w), starts) + memory.model.bias
-            total -= float(np.logaddexp(0.0, z).sum())
-            sentences += len(starts)
-    return total if sentences else -float(np.logaddexp(0.0, memory.model.bias))
+        z = memory.sentences(piece)
+        total -= float(np.logaddexp(0.0, z).sum())
+        sentences += len(z)
+    return total if sentences else -float(np.logaddexp(0.0, memory.bias))
 
 
 def _bags(text: str, index: dict[str, int]) -> tuple[int, list[list[int]]]:
@@ -225,15 +245,18 @@ def locate(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
             ids, out = batch.column("doc_id").to_pylist(), []
             for first, _, texts in row_slices(batch.column("text")):
                 for doc_id, text in zip(ids[first:], texts, strict=False):
-                    at = 0
-                    for m in [*_END.finditer(text), None]:
-                        stop = m.start() if m else len(text)
-                        words = _TOKEN.findall(text[at:stop].lower())
-                        if words:
-                            p = 1 / (1 + math.exp(-sum(map(memory.__getitem__, words)) - memory.model.bias))
-                            if p >= threshold:
-                                out.append((doc_id, at, stop, text[at:stop], p))
-                        at = m.end() if m else stop
+                    begin = 0
+                    for piece in pieces(text):
+                        at = 0
+                        for m in [*_END.finditer(piece), None]:
+                            stop = m.start() if m else len(piece)
+                            z = memory.sentences(piece[at:stop].lower())
+                            if len(z):
+                                p = math.exp(-np.logaddexp(0.0, -z[0]))
+                                if p >= threshold:
+                                    out.append((doc_id, begin + at, begin + stop, piece[at:stop], p))
+                            at = m.end() if m else stop
+                        begin += len(piece)
             if out:
                 kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "start", "stop", "sentence", "score"])
