@@ -192,6 +192,56 @@ def test_recall_of_edited_items():
     assert near > 100 and found >= 0.9 * near
 
 
+def found_items(tables, *texts):
+    raw = [t.lower().encode() for t in texts]
+    got = decontaminate.matches(tables, np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    return {(row, item): d for row, item, d in got}
+
+
+def edited(text, edits, r, kinds="sid"):
+    """``text`` with an edit of the given kinds at each of the places ``edits``."""
+    out = list(text)
+    for place in sorted(edits, reverse=True):
+        kind = r.choice(kinds)
+        out[place : place + 1] = ["q"] if kind == "s" else [out[place], "q"] if kind == "i" else []
+    return "".join(out)
+
+
+def test_recall_of_character_edits():
+    """Edits of single characters up to the threshold: what the exact distance to every item tells is found, no less."""
+    r = random.Random(6)
+    items = [(k, prose(300 + k, r.randrange(3, 50))) for k in range(80)]
+    tables = decontaminate.ItemTables(items, 0.8)
+    near = 0
+    for rate in (0.03, 0.1, 0.15, 0.18, 0.2):
+        docs = [f"{prose(k, 20)} {edited(t, r.sample(range(len(t)), int(rate * len(t))), r)} {prose(k + 50, 20)}" for k, t in items]
+        want = {(d, i): x for d, doc in enumerate(docs) for i, (_, t, _, most) in enumerate(tables.items)
+                if abs(d - i) < 3 and (x := decontaminate.edit_distance(t, doc)) <= most}
+        got = found_items(tables, *docs)
+        assert {k: v for k, v in got.items() if abs(k[0] - k[1]) < 3} == want
+        near += sum(d == i for d, i in want)
+    assert near > 380
+
+
+def test_one_wrong_letter_in_every_word():
+    item = "another wonderful morning brought several travellers towards distant northern harbours"
+    wrong = " ".join(w[:3] + "q" + w[4:] for w in item.split())
+    assert found_items(decontaminate.ItemTables([(1, item)], 0.8), f"before it {wrong} and after") == {(0, 0): len(item.split())}
+
+
+def test_many_hits_and_long_texts_lose_nothing(monkeypatch, spark):
+    items = [(k, prose(60 + k, 20)) for k in range(10)]
+    text = " ".join(prose(k, 40) + " \n\t " * 40 + t.replace(" ", " " * 30) for k, t in items) + " é " + prose(99, 200)
+    monkeypatch.setattr(decontaminate, "HITS", 50)
+    monkeypatch.setattr(decontaminate, "PIECE", 1500)
+    batch = documents(spark, [(1, text), (2, None), (3, "é" + items[4][1])]).toArrow().to_batches()[0]
+    tables = decontaminate.ItemTables(items, 0.8)
+    row = batch.column("doc_id").to_pylist().index(1)
+    assert {i: d for (r, i), d in decontaminate._found(tables, batch.slice(row, 1)).items()} == dict.fromkeys(range(10), 0)
+    monkeypatch.setattr(decontaminate, "PIECE", 4 << 20)
+    assert {i for r, i in found_items(tables, text, "", "é" + items[4][1]) if r == 0} == set(range(10))
+
+
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("com", "/de/", "block"), ("a.com", "/d", "allow")]
 URLS = ["http://X.Example.ORG/es/1?q=1", "https://example.org/es", "https://org/", "http://borg/", "ftp://u.a.com/de/2#x", "//a.com/de/", None, "", "http://",
         "http://a.com?x/de/", "x://y.com/de/%20é?a&b&c", "a://b://c.com/de/", "http://a.com/de/" + "z1" * 3000, "HTTP://B.com/de/\nx"]

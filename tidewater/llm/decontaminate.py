@@ -1,10 +1,9 @@
-"""Benchmark decontamination: CGK random walks, bit-sampling tables over item-sized windows, edit verification."""
+"""Benchmark decontamination: rare character grams of the items, counted by diagonals, then edit verification."""
 
 from __future__ import annotations
 
 import math
-import re
-from dataclasses import dataclass
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -12,36 +11,53 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from tidewater.llm.common import filter_rows, map_arrow, text_key, text_slices
-from tidewater.llm.hashing import mix, prefix_hashes
 
-#: Random walks, tables for each walk and size of window, sampled steps of a table, longest walk.
-WALKS, TABLES, SAMPLED, STEPS = 2, 4, 3, 16
 #: Bytes of benchmark text that one pass over the documents looks for; more items take more passes.
 BLOCK_BYTES = 4 << 20
 #: Bytes of one text that are searched at once.
 PIECE = 4 << 20
-#: Words of an item's window that the walks must meet at equal steps before a candidate is verified.
-AGREE = 4
+#: Longest grams, and the grams of long items, of which one in ``SHARE`` characters is looked for.
+GRAM, RARE, SHARE = 8, 5, 3
+#: Standard deviations that the grams to be met lie below those that random edits at the threshold leave, and most of them.
+SPREAD, MOST_NEED = 1.6, 14
+#: Equal grams of a stretch of text and items that are held at once, about.
+HITS = 1 << 21
 _SLOTS = 20
-_RUN = re.compile(rb"[^0-9a-z\x80-\xff]+")
-_WORD = np.zeros(256, bool)
-_WORD[[*b"0123456789abcdefghijklmnopqrstuvwxyz", *range(128, 256)]] = True
-
-
-def words(data: np.ndarray, offsets: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first byte and end of the words of lower-case UTF-8: runs of a-z, 0-9 and all beyond ASCII.
-
-    With ``offsets`` the data are joined texts, and no word runs from one into the next.
-    """
-    inside = np.zeros(len(data) + 2, np.int8)
-    inside[1:-1] = _WORD[data]
-    edge = np.diff(inside)
-    first, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    if offsets is not None and len(offsets) > 2:
-        cuts = np.unique(offsets[(offsets > 0) & (offsets < len(data))])
-        cuts = cuts[_WORD[data[cuts - 1]] & _WORD[data[cuts]]]
-        first, end = np.sort(np.concatenate([first, cuts])), np.sort(np.concatenate([end, cuts]))
-    return prefix_hashes(data, first, end), first, end
+#: Bits of a key for the diagonal; those above are the item.
+_SHIFT = 41
+_BLANK = 32
+_rng = np.random.default_rng(8)
+_FACTORS = _rng.integers(1, 1 << 31, GRAM, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+#: Each character, or a blank for all that stand between words: punctuation, symbols, blanks and controls.
+_FOLD = np.arange(0x110000, dtype=np.uint32)
+_FOLD[[i for i in range(0x110000) if unicodedata.category(chr(i))[0] in "PSZC"]] = _BLANK
+
+
+def fold(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Characters of joined lower-case UTF-8 with one blank for all between words, and where each text begins in them."""
+    begins = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
+    points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32)
+    out = _FOLD[points]
+    word = out != _BLANK
+    keep = word.copy()
+    keep[1:] |= word[:-1]
+    keep[:1] = True
+    return out[keep], np.concatenate([[0], np.cumsum(keep)])[np.minimum(begins, len(keep))]
+
+
+def _string(points: np.ndarray) -> str:
+    return points.tobytes().decode("utf-32-le", "surrogatepass")
+
+
+def slots(points: np.ndarray, q: int) -> np.ndarray:
+    """Hash of the gram of ``q`` characters from each place."""
+    n = max(0, len(points) - q + 1)
+    h = np.zeros(n, np.uint32)
+    for j in range(q):
+        h += points[j : j + n] * _FACTORS[j]
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(0x9E3779B1)
+    return h >> np.uint32(32 - _SLOTS)
 
 
 def edit_distance(pattern: str, text: str) -> int:
@@ -65,172 +81,142 @@ def edit_distance(pattern: str, text: str) -> int:
     return best
 
 
-@dataclass
-class Table:
-    """One table of sampled steps: keys of the items' windows, with the item and the window's first word."""
-
-    walk: int
-    steps: tuple[int, ...]
-    factors: np.ndarray
-    keys: np.ndarray
-    item: np.ndarray
-    offset: np.ndarray
-    slots: np.ndarray
-    size: int
-
-
 class ItemTables:
-    """Embeddings of all windows of a block of benchmark items.
+    """Grams of a block of benchmark items, by hash.
 
-    A walk over a sequence of word hashes stands at a word for each step and goes on or stays by a random bit of the
-    word and the step. Sequences at a small edit distance meet again after an edit, so the words at equal steps agree
-    often. A table keys a window by the words at a few steps; what shares a key must agree in ``AGREE`` words in all. An
-    item gives a window for each of its words that the walk fits behind, so an edit spoils only the windows around it.
+    A passage within ``most`` edits of an item holds grams of it as they are, and their diagonals (place in the text less
+    place in the item) lie within ``most`` of one another. Passages with ``need`` such grams or more are verified.
+
+    Of a short item's disjoint grams each edit spoils one at most, so of ``most + need`` grams ``need`` are always met.
+    Of a long item the rarest grams are taken, and ``need`` is set for a recall: so many are met unless edits at the
+    threshold hit far more of them than edits at random places do. What is met is then held against all disjoint grams.
     """
 
     def __init__(self, items: list[tuple[int, str]], similarity: float):
-        rng = np.random.default_rng(8)
-        self.seeds = rng.integers(1, 1 << 62, WALKS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.items, hashes = [], []
+        if not 0 < similarity <= 1:
+            raise ValueError("similarity must be above 0 and at most 1")
+        self.items, points = [], []
         for item_id, text in items:
-            raw = text.lower().encode("utf-8", "surrogatepass")
-            h, _, _ = words(np.frombuffer(raw, np.uint8))
-            if len(h):
-                clean = _RUN.sub(b" ", raw).strip().decode("utf-8", "replace")
-                self.items.append((item_id, clean, len(h), math.floor(len(clean) * (1 - similarity) + 1e-9)))
-                hashes.append(h)
-        every = [np.unique(h) for h in hashes]
-        known, seen = np.unique(np.concatenate(every), return_counts=True) if every else (np.zeros(0, np.uint64), np.zeros(0))
-        common = known[seen > max(3, 0.05 * len(hashes))]
-        sizes = [min(STEPS, 1 << (len(h).bit_length() - 1)) for h in hashes]
-        self.sizes = sizes
-        gap = np.zeros(STEPS, np.uint64)
-        self.joined = np.concatenate([x for h in hashes for x in (h, gap)]) if hashes else gap
-        self.begin = np.cumsum([0, *[len(h) + STEPS for h in hashes]])[:-1]
-        self.tables = [
-            self._table(w, steps, rng.integers(1, 1 << 62, len(steps), dtype=np.uint64) * np.uint64(2) + np.uint64(1), size, hashes, sizes, common)
-            for size in sorted(set(sizes)) for w in range(WALKS) for steps in self._samples(size, rng)]
-
-    def _samples(self, size: int, rng) -> list[tuple[int, ...]]:
-        k = min(SAMPLED, size)
-        chosen = set()
-        for _ in range(200):
-            steps = np.sort(rng.choice(size, k, replace=False))
-            if k == 1 or np.diff(steps).min() >= min(3, size // k):
-                chosen.add(tuple(int(s) for s in steps))
-            if len(chosen) == TABLES:
-                break
-        return sorted(chosen)
-
-    def walk(self, h: np.ndarray, walk: int, steps: int):
-        """Places of a walk from every word at each step; the words end in ``steps`` missing ones."""
-        bits = (mix(h * self.seeds[walk]) >> np.uint64(64 - STEPS)).astype(np.uint16)  # bit j of a word is its step j
-        at = np.arange(len(h) - steps, dtype=np.int32)
-        for j in range(steps):
-            yield j, at
-            if j + 1 < steps:
-                at = at + ((bits[at] >> j) & 1)
-
-    def _table(self, walk, steps, factors, size, hashes, sizes, common) -> Table:
-        keys, item, offset = [], [], []
-        for k, h in enumerate(hashes):
-            if sizes[k] != size:
-                continue
-            padded = np.append(h, np.zeros(size, np.uint64))
-            places = [at.copy() for j, at in self.walk(padded, walk, size) if j in steps]
-            key = sum((padded[at] * f for at, f in zip(places, factors, strict=True)), np.zeros(len(h), np.uint64))
-            fits = np.arange(len(h)) <= len(h) - size
-            rare = np.stack([~np.isin(padded[at], common) for at in places])
-            apart = np.stack([np.ones(len(h), bool), *[b > a for a, b in zip(places[:-1], places[1:], strict=True)]])
-            telling = fits & ((rare & apart).sum(axis=0) >= min(2, len(steps)))
-            use = telling if telling.any() else fits  # an item of common words alone is still looked for
-            keys.append(mix(key[use]))
-            item.append(np.full(int(use.sum()), k))
-            offset.append(np.flatnonzero(use))
-        keys, item, offset = (np.concatenate(x) for x in (keys, item, offset))
-        order = np.argsort(keys, kind="stable")
-        slots = np.zeros(1 << _SLOTS, bool)
-        slots[keys >> np.uint64(64 - _SLOTS)] = True
-        return Table(walk, steps, factors, keys[order], item[order], offset[order], slots, size)
-
-    def embedding(self, h: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """The words at all steps of all walks from the words ``at``, and their places; ``h`` ends in missing words."""
-        out, places = np.empty((len(at), WALKS, size), np.uint64), np.empty((len(at), WALKS, size), np.int64)
-        for w, seed in enumerate(self.seeds):
-            place = at
-            for j in range(size):
-                seen = h[place]
-                out[:, w, j], places[:, w, j] = seen, place
-                place = place + ((mix(seen * seed) >> np.uint64(64 - STEPS + j)) & np.uint64(1)).astype(np.int64)
-        return out.reshape(len(at), -1), places.reshape(len(at), -1)
-
-    def candidates(self, h: np.ndarray) -> np.ndarray:
-        """Distinct (item, first word) of the windows of ``h`` that share a key with an item's."""
-        if not len(h):
-            return np.zeros((0, 2), np.int64)
-        padded = np.append(h, np.zeros(STEPS, np.uint64))
+            raw = pc.utf8_lower(pa.scalar(text)).as_py().encode("utf-8", "surrogatepass")
+            clean = _string(fold(np.frombuffer(raw, np.uint8), np.zeros(1, np.int64))[0]).strip(" ")
+            if clean:
+                self.items.append((item_id, clean, len(clean), math.floor(len(clean) * (1 - similarity) + 1e-9)))
+                points.append(np.frombuffer(clean.encode("utf-32-le", "surrogatepass"), np.uint32))
+        self.length, self.most = (np.array([i[k] for i in self.items], np.int64) for k in (2, 3))
+        self.longest, self.widest = int(self.length.max(initial=0)), int(self.most.max(initial=0))
+        self.reach = self.longest + 2 * self.widest + GRAM
+        self.gap = self.longest + self.widest + 1  # between the diagonals of texts
+        self.left = similarity**RARE  # share of the grams that random edits leave
+        plans = [self._plan(n, most) for _, _, n, most in self.items]
+        self.need = np.array([p[1] for p in plans], np.int64)
+        self.whole = [np.unique(slots(p, 4)[::4]) for p in points]
+        self.tables = {}
+        for q in sorted({p[0] for p in plans}):
+            own = [k for k, plan in enumerate(plans) if plan[0] == q]
+            often, parts = (np.bincount(np.concatenate([slots(p, g) for p in points]), minlength=1 << _SLOTS) for g in (q, min(q, 3)))
+            slot, entry = [], []
+            for k in own:
+                n, hashes = len(points[k]), slots(points[k], q)
+                inner = np.log(parts[slots(points[k], min(q, 3))])
+                weight = np.log(often[hashes]) + sum(inner[j : j + len(hashes)] for j in range(max(1, q - 2)))
+                if plans[k][2]:
+                    places = self._rarest(weight, n // SHARE)
+                else:
+                    best = min(range(n % q + 1), key=lambda phase: weight[phase::q][: n // q].sum())
+                    places = best + q * np.arange(n // q)
+                    places = places[np.argsort(weight[places], kind="stable")][: int(self.most[k]) + plans[k][1]]
+                slot.append(hashes[places])
+                entry.append((k << _SHIFT) + self.longest - places)
+            slot, entry = np.concatenate(slot), np.concatenate(entry).astype(np.int64)
+            order = np.argsort(slot, kind="stable")
+            count = np.bincount(slot, minlength=1 << _SLOTS).astype(np.int32)
+            self.tables[q] = (count > 0, count, (np.cumsum(count) - count).astype(np.int32), entry[order])
+
+    @staticmethod
+    def _rarest(weight: np.ndarray, n: int) -> np.ndarray:
+        """The ``n`` places of least weight, about, no two of them neighbours."""
+        free, out = np.ones(len(weight) + 1, bool), []
+        for place in np.argsort(weight, kind="stable").tolist():
+            if free[place]:
+                out.append(place)
+                free[max(0, place - 1) : place + 2] = False
+                if len(out) == n:
+                    break
+        return np.array(out)
+
+    def _plan(self, n: int, most: int) -> tuple[int, int, bool]:
+        """Size of the grams, how many must be met, and whether they are the rarest or disjoint ones."""
+        grams, p = n // SHARE, self.left
+        # Neighbouring grams share letters and are spoiled together, which doubles the variance about.
+        need = min(MOST_NEED, math.floor(grams * p - SPREAD * math.sqrt(2 * grams * p * (1 - p))))
+        if need >= 2:
+            return RARE, need, True
+        for need in (4, 2, 1) if n >= 40 else (2, 1) if n >= 12 else (1,):
+            for q in range(min(GRAM, n), 0, -1):  # the longest grams of which enough are left after the edits
+                if n // q - most >= need:
+                    return q, need, False
+        raise AssertionError("single characters are always left")
+
+    def _keys(self, points: np.ndarray, places: np.ndarray, begin: int, end: int) -> list[np.ndarray]:
+        """Item and diagonal of enough grams met, sorted, for each stretch and gram size."""
         found = []
-        for w in range(WALKS):
-            tables = [t for t in self.tables if t.walk == w]
-            sums = [np.zeros(len(h), np.uint64) for _ in tables]
-            for j, at in self.walk(padded, w, STEPS):
-                users = [(s, t.factors[t.steps.index(j)]) for s, t in zip(sums, tables, strict=True) if j in t.steps]
-                if users:
-                    seen = padded[at]
-                    for s, f in users:
-                        s += seen * f
-            for key, t in zip(sums, tables, strict=True):
-                key = mix(key)
-                hit = np.flatnonzero(t.slots[key >> np.uint64(64 - _SLOTS)])
-                low, high = np.searchsorted(t.keys, key[hit], "left"), np.searchsorted(t.keys, key[hit], "right")
-                n = high - low
-                if n.any():
-                    at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                    found.append(np.stack([t.item[at], np.repeat(hit, n), t.offset[at]], axis=1))
+        for q, (known, count, start, entry) in self.tables.items():
+            slot = slots(points[begin:end], q)
+            hit = np.flatnonzero(known[slot])
+            n = count[slot[hit]].astype(np.int64)
+            total = int(n.sum())
+            if total > HITS and end - begin > 4 * self.reach:
+                middle = (begin + end) // 2
+                return self._keys(points, places, begin, middle + self.reach) + self._keys(points, places, middle, end)
+            if not total:
+                continue
+            at = np.repeat(start[slot[hit]] - (np.cumsum(n) - n), n) + np.arange(total)
+            keys = entry[at]
+            keys += np.repeat(places[begin + hit], n)
+            keys.sort()
+            item = keys >> _SHIFT
+            last = np.arange(total) + self.need[item] - 1
+            far = keys[np.minimum(last, total - 1)]
+            found.append(keys[(last < total) & (far - keys <= self.most[item])])
+        return found
+
+    def search(self, points: np.ndarray, begins: np.ndarray) -> dict[tuple[int, int], int]:
+        """Least distance of each text of folded characters and item that it holds."""
+        best: dict[tuple[int, int], int] = {}
+        if not len(points) or not self.items:
+            return best
+        rows = len(begins) - 1
+        places = np.arange(len(points)) + np.repeat(np.arange(rows) * self.gap, np.diff(begins))
+        found = self._keys(points, places, 0, len(points))
         if not found:
-            return np.zeros((0, 2), np.int64)
-        item, at, offset = np.unique(np.concatenate(found), axis=0).T
-        keep = np.zeros(len(item), bool)
-        sizes = np.array(self.sizes)[item]
-        for size in np.unique(sizes):
-            k = np.flatnonzero(sizes == size)
-            own, places = self.embedding(self.joined, self.begin[item[k]] + offset[k], size)
-            met = _distinct(np.where(own == self.embedding(padded, at[k], size)[0], places, -1))
-            keep[k] = met >= np.minimum(AGREE, _distinct(places))
-        return np.unique(np.stack([item, at - offset], axis=1)[keep], axis=0)
-
-
-def _distinct(places: np.ndarray) -> np.ndarray:
-    """How many different places, -1 left out, each row has."""
-    row = np.sort(places, axis=1)
-    return (row[:, 0] >= 0) + ((np.diff(row, axis=1) > 0) & (row[:, 1:] >= 0)).sum(axis=1)
+            return best
+        keys = np.unique(np.concatenate(found))
+        item, at = keys >> _SHIFT, (keys & ((1 << _SHIFT) - 1)) - self.longest
+        row = np.searchsorted(begins[:-1] + np.arange(rows) * self.gap - self.longest, at, "right") - 1
+        at -= row * self.gap
+        # Neighbouring diagonals are read as one stretch.
+        fresh = np.flatnonzero(np.concatenate([[True], (np.diff(item) > 0) | (np.diff(row) > 0) | (np.diff(at) > self.most[item[1:]])])) if len(keys) else []
+        last = np.concatenate([fresh[1:], [len(keys)]]) - 1 if len(keys) else []
+        for i, j in zip(fresh, last, strict=True):
+            r, k = int(row[i]), int(item[i])
+            if best.get((r, k)) == 0:
+                continue
+            _, text, n, most = self.items[k]
+            near = points[max(begins[r], at[i] - most) : min(begins[r + 1], at[j] + n + most)]
+            # Each edit spoils one of the disjoint grams at most; equal ones are counted once.
+            whole = self.whole[k]
+            if n // 4 > most and np.isin(whole, slots(near, 4)).sum() < len(whole) - most:
+                continue
+            part = _string(near)
+            distance = 0 if text in part else edit_distance(text, part)
+            if distance <= most:
+                best[r, k] = min(distance, best.get((r, k), distance))
+        return best
 
 
 def matches(tables: ItemTables, data: np.ndarray, offsets: np.ndarray):
     """Items found in joined lower-case texts: (row, item, distance), the least distance of each row and item."""
-    h, first, end = words(data, offsets)
-    if not len(h):
-        return
-    bounds = np.searchsorted(first, offsets)
-    found = tables.candidates(h)
-    best: dict[tuple[int, int], int] = {}
-    tried: dict[tuple[int, int], int] = {}
-    for item, at in found.tolist():
-        _, text, n, most = tables.items[item]
-        row = int(np.searchsorted(bounds, min(max(at, 0) + n // 2, len(h) - 1), "right")) - 1
-        slack = max(2, n // 5 + 1)
-        # Windows that begin within the slack of one another are read as one.
-        if (done := tried.get((row, item))) is not None and at - done <= slack // 2:
-            continue
-        tried[row, item] = at
-        low, high = max(bounds[row], at - slack), min(bounds[row + 1], at + n + 2 * slack)
-        if low >= high or best.get((row, item)) == 0:
-            continue
-        part = _RUN.sub(b" ", data[first[low] : end[high - 1]].tobytes()).decode("utf-8", "replace")
-        distance = 0 if text in part else edit_distance(text, part)
-        if distance <= most:
-            best[row, item] = min(distance, best.get((row, item), distance))
-    for (row, item), distance in best.items():
+    for (row, item), distance in tables.search(*fold(data, offsets)).items():
         yield row, item, distance
 
 
@@ -238,10 +224,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8)
     """Documents that hold a benchmark item (item_id, text), or nearly: one row for each document and item.
 
     Case and everything between words are ignored. An item is held if some part of the text is at an edit distance,
-    in characters, of at most 1 - ``similarity`` of the item's length. Candidates come from the tables, which reach
-    all but heavily edited items (recall is measured in the tests); every one is verified. Items without words cannot be
-    found; items of fewer words than a walk's sampled steps are found where these words agree. The items are looked for
-    in blocks of bounded size, one pass over the documents each. Gives doc_id, text_key, item_id, distance, similarity.
+    in characters, of at most 1 - ``similarity`` of the item's length, be it within a word. Candidates come from the
+    tables, which miss none; every one is verified. Items without letters or digits cannot be found. The items are looked
+    for in blocks of bounded size, one pass over the documents each. Gives doc_id, text_key, item_id, distance, similarity.
     Missing texts hold nothing; repeated rows give repeated rows; other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long"), text_key().alias("text_key"), F.col("text").cast("string"))
@@ -266,14 +251,23 @@ def _blocks(benchmark: DataFrame, similarity: float) -> list:
 
 def _found(tables: ItemTables, batch: pa.RecordBatch) -> dict[tuple[int, int], int]:
     """Least distance of each row of a batch and item that it holds."""
-    overlap = 4 * max([len(t.encode()) for _, t, _, _ in tables.items], default=0) + 1024
     out: dict[tuple[int, int], int] = {}
     for first, last, data, offsets in text_slices(pc.utf8_lower(pc.fill_null(batch.column("text"), "")), 1 << 19):
-        step = PIECE if last - first == 1 else max(1, len(data))  # a long text is searched piece by piece
-        for begin in range(0, len(data), step):
-            part = data[begin : begin + step + overlap]
-            for row, item, distance in matches(tables, part, offsets if step >= len(data) else np.array([0, len(part)])):
-                out[first + row, item] = min(distance, out.get((first + row, item), distance))
+        if last - first > 1 or len(data) <= PIECE:
+            out.update({(first + row, item): distance for row, item, distance in matches(tables, data, offsets)})
+            continue
+        begin, held = 0, np.zeros(0, np.uint32)
+        while begin < len(data):  # a long text is searched piece by piece, the end of one before the next
+            end = min(len(data), begin + PIECE)
+            while end < len(data) and data[end] & 0xC0 == 0x80:
+                end += 1
+            points = fold(data[begin:end], np.zeros(1, np.int64))[0]
+            if len(held) and held[-1] == _BLANK == points[0]:
+                points = points[1:]
+            points = np.concatenate([held, points])
+            for (_, item), distance in tables.search(points, np.array([0, len(points)])).items():
+                out[first, item] = min(distance, out.get((first, item), distance))
+            begin, held = end, points[-tables.reach :]
     return out
 
 
