@@ -229,6 +229,15 @@ def test_one_wrong_letter_in_every_word():
     assert found_items(decontaminate.ItemTables([(1, item)], 0.8), f"before it {wrong} and after") == {(0, 0): len(item.split())}
 
 
+@pytest.mark.parametrize("n", range(3, 16))
+def test_an_edit_of_any_word_of_a_short_item(n):
+    item = " ".join(["harbour", "lantern", "meadow", "quarry", "thistle", "granite", "orchard", "saddle", "timber", "village", "whistle", "copper", "feather", "island", "journal"][:n])
+    tables = decontaminate.ItemTables([(1, item)], 0.8)
+    for place in range(len(item)):
+        if item[place] != " ":
+            assert found_items(tables, f"some text {item[:place]}x{item[place + 1 :]} more text").get((0, 0)) == 1
+
+
 def test_many_hits_and_long_texts_lose_nothing(monkeypatch, spark):
     items = [(k, prose(60 + k, 20)) for k in range(10)]
     text = " ".join(prose(k, 40) + " \n\t " * 40 + t.replace(" ", " " * 30) for k, t in items) + " é " + prose(99, 200)
