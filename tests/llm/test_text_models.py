@@ -238,6 +238,14 @@ def test_an_edit_of_any_word_of_a_short_item(n):
             assert found_items(tables, f"some text {item[:place]}x{item[place + 1 :]} more text").get((0, 0)) == 1
 
 
+def test_exact_copies_in_texts_without_blanks(spark):
+    items = [(1, "春天的河水从旧石桥下缓缓流过七只灰雁在泥岸上看着"), (2, "「川は古い橋の下を流れる」と彼は言った。"), (3, "สายน้ำไหลผ่านใต้สะพานหินเก่า"), (4, "the river runs under an old bridge")]
+    texts = [(1, "昨日我们去了城外，春天的河水从旧石桥下缓缓流过七只灰雁在泥岸上看着，没有人数它们。"), (2, "昔々、「川は古い橋の下を流れる」と彼は言った。そして夜になった"),
+             (3, "วันนี้สายน้ำไหลผ่านใต้สะพานหินเก่าและเงียบสงบ"), (4, "he said—\u201cthe river runs\u00a0under\u2014an old bridge\u201d\u2026and left"), (5, "春天，没有人。")]
+    got = decontaminate.contaminated(documents(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.distance) for r in got) == [(k, k, 0) for k in (1, 2, 3, 4)]
+
+
 def test_many_hits_and_long_texts_lose_nothing(monkeypatch, spark):
     items = [(k, prose(60 + k, 20)) for k in range(10)]
     text = " ".join(prose(k, 40) + " \n\t " * 40 + t.replace(" ", " " * 30) for k, t in items) + " é " + prose(99, 200)
