@@ -225,7 +225,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8)
 
     Case and everything between words are ignored. An item is held if some part of the text is at an edit distance,
     in characters, of at most 1 - ``similarity`` of the item's length, be it within a word. Candidates come from the
-    tables, which miss none; every one is verified. Items without letters or digits cannot be found. The items are looked
+    tables, which miss none of short items, and of long ones those whose edits spoil nearly all grams looked for (README);
+    every one is verified. Items without letters or digits cannot be found. The items are looked
     for in blocks of bounded size, one pass over the documents each. Gives doc_id, text_key, item_id, distance, similarity.
     Missing texts hold nothing; repeated rows give repeated rows; other columns are ignored.
     """
