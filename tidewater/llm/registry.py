@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewater.llm import chat, decontaminate, digests, language, packing, repeats, simhash, token_files, toxicity, urls
+from tidewater.llm import byte_bpe, centroids, chat, decontaminate, digests, fim, language, packing, repeats, simhash, token_files, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -110,6 +110,58 @@ FROM d LEFT JOIN sums USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=40, rounds=5, seed=2)
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(F.array_join("centroid", ","), 256).alias("centroid_sha256"))
+
+
+def _op11_sql(k: int = 40, rounds: int = 5) -> str:
+    """Components in long form; one assignment and one mean a round."""
+    nearest = """near{r} AS MATERIALIZED (SELECT id, min_by(c, (d, c)) AS c, min(d) AS d
+  FROM (SELECT x.id, m.c, sum((x.x - m.x) * (x.x - m.x))::BIGINT AS d FROM cells x JOIN mid{r} m USING (i) GROUP BY ALL) GROUP BY id)"""
+    mean = """sums{r} AS (SELECT c, i, sum(x)::BIGINT AS s, count(*)::BIGINT AS n FROM near{p} JOIN cells USING (id) GROUP BY ALL),
+mid{r} AS MATERIALIZED (SELECT c, i, CASE WHEN n IS NULL THEN x ELSE (s - ((s % n) + n) % n) // n END AS x FROM mid{p} LEFT JOIN sums{r} USING (c, i))"""
+    steps = [nearest.format(r=0)]
+    for r in range(1, rounds + 1):
+        steps += [mean.format(r=r, p=r - 1), nearest.format(r=r)]
+    return f"""
+WITH whole AS MATERIALIZED (SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+cells AS MATERIALIZED (SELECT id, unnest(range(1, 65)) AS i, unnest(v) AS x FROM whole),
+start AS (SELECT v, row_number() OVER (ORDER BY sha256('2:' || vec_id) NULLS LAST, v) - 1 AS c FROM whole QUALIFY c < {k}),
+mid0 AS MATERIALIZED (SELECT c, unnest(range(1, 65)) AS i, unnest(v) AS x FROM start),
+{", ".join(steps)},
+names AS (SELECT c, sha256(string_agg(x, ',' ORDER BY i)) AS h FROM mid{rounds} GROUP BY c)
+SELECT vec_id, c::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, h AS centroid_sha256
+FROM near{rounds} JOIN whole USING (id) JOIN names USING (c)
+"""
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = fim.transform(spark.read.parquet(f"{sf_dir}/documents.parquet"), rate=50, spm_rate=80, seed=42)
+    return moved.select("doc_id", "n", "form", "prefix_chars", "middle_chars",
+                        F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(), 256).alias("restored_sha256"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+u AS (SELECT doc_id, t, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w,
+  list_transform(range(4), lambda i: ('0x' || substr(h, 8 * i + 1, 8))::BIGINT) AS g FROM d),
+c AS (SELECT *, len(w) AS n, least(g[1] % (len(w) + 1), g[2] % (len(w) + 1)) AS a, greatest(g[1] % (len(w) + 1), g[2] % (len(w) + 1)) AS b FROM u),
+p AS (SELECT doc_id, t, n, array_to_string(w[:a], '') AS pre, array_to_string(w[a + 1:b], '') AS mid, array_to_string(w[b + 1:], '') AS suf,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR g[3] % 100 >= 50 THEN 'plain' WHEN g[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid ELSE '<P>' || pre || '<S>' || suf || '<M>' || mid END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p
+"""
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = byte_bpe.decode(byte_bpe.encode(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_language": op2_language,
@@ -121,5 +173,9 @@ QUERIES: dict[str, Query] = {
     "op8_decontamination": op8_decontamination,
     "op9_packing": op9_packing,
     "op10_repeats": op10_repeats,
+    "op11_centroids": op11_centroids,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_byte_bpe": op13_byte_bpe,
 }
-ORACLES: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op10_repeats": OP10_SQL}
+ORACLES: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op10_repeats": OP10_SQL,
+                           "op11_centroids": _op11_sql(), "op12_fill_in_middle": OP12_SQL}
