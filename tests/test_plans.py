@@ -283,6 +283,49 @@ def test_ssb_multiplier_needs_spawning_at_the_start(spark):
         pop.solve_multiplier(state, bio.withColumn("prop_m", F.lit(0.5)), 5.0, "ssb")
 
 
+def test_many_targets_are_solved_together(spark):
+    rows = [(label, *r) for label, k in (("a", 1.0), ("b", 2.0)) for r in [(d, y, a, n * k, f) for d, y, a, n, f in state_rows(spark, 9)]]
+    state = spark.createDataFrame(rows, "label string, " + STATE)
+    med = float(np.median(list(py_catch([r[1:] for r in rows if r[0] == "a"]).values())))
+    goals = [("a", 1, "catch", 0.5 * med), ("a", 2, "catch", 1e9), ("a", 3, "land", 0.8 * 0.9 * med), ("b", 4, "catch", 0.5 * med),
+             ("b", 5, "catch", None), ("c", 6, "catch", 1.0), ("a", 7, "ssb", 5.0), ("a", 8, "ssb", 5.0 + 0.3 * 0.1 / 3 * 50)]
+    targets = spark.createDataFrame(goals, "label string, nr int, kind string, target double")
+    bio = pop.with_next_biology(bio_rows(spark), 3)
+    out = {r.nr: r for r in pop.solve_multipliers(state, bio, targets).collect()}
+    assert {k: r.status for k, r in out.items()} == {1: "solved", 2: "unreachable", 3: "solved", 4: "solved", 5: "no data", 6: "no data", 7: "solved", 8: "solved"}
+    for nr, label in ((1, "a"), (4, "b")):
+        own = [r[1:] for r in rows if r[0] == label]
+        assert np.median(list(py_catch(own, out[nr].multiplier).values())) == pytest.approx(0.5 * med, rel=1e-6)
+    assert out[3].multiplier == pytest.approx(pop.solve_multiplier(state.where("label = 'a'"), bio, 0.72 * med, "land"), rel=1e-9)
+    scaled = pop.scale_to_targets(state, spark.createDataFrame([("a", 1, "catch", 1.0, 2.0, "solved"), ("a", 2, "catch", 1.0, None, "unreachable")],
+                                                               "label string, nr int, kind string, target double, multiplier double, status string"))
+    assert scaled.count() == 2 * 27 and scaled.where("f IS NULL").count() == 27
+
+
+def test_recruits_count_towards_next_years_ssb(spark):
+    state, bio = spark.createDataFrame(state_rows(spark, 5), STATE), pop.with_next_biology(bio_rows(spark), 3)
+    year = bio.select("year").first()[0]
+    state = state.withColumn("year", F.lit(year))
+    targets = spark.createDataFrame([(year, "ssb", 6.0)], "year int, kind string, target double")
+    recruits = spark.range(5).select(F.col("id").cast("int").alias("draw"), F.lit(year).alias("year"), F.lit(30.0).alias("rec"))
+    w = bio.where((F.col("age") == 1) & (F.col("year") == year)).select((F.col("maturity") * F.col("stock_weight")).alias("w")).first()["w"]
+    got = pop.solve_multipliers(state, bio, targets, recruits=recruits, min_age=1).first()["multiplier"]
+    assert got == pytest.approx(pop.solve_multiplier(state, bio, 6.0, "ssb", added=30.0 * w), rel=1e-9)
+
+
+def test_the_number_of_jobs_does_not_grow_with_the_targets(spark):
+    state = spark.createDataFrame(state_rows(spark, 5), STATE)
+    year, tracker = state.first()["year"], spark.sparkContext.statusTracker()
+    jobs = []
+    for n in (2, 40):
+        targets = spark.createDataFrame([(year, i, "catch", 1.0 + i / 50) for i in range(n)], "year int, nr int, kind string, target double")
+        spark.sparkContext.setJobGroup(f"targets{n}", "")
+        pop.solve_multipliers(state, bio_rows(spark), targets).collect()
+        jobs.append(len(tracker.getJobIdsForGroup(f"targets{n}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[1] <= jobs[0] + 2
+
+
 def test_multiplier_per_draw_is_exact(spark):
     rows = state_rows(spark)
     out = pop.solve_per_draw(spark.createDataFrame(rows, STATE), bio_rows(spark), 8.0)

@@ -213,53 +213,109 @@ def scale_to_weighted_f(state: DataFrame, weights: DataFrame, groups: Sequence[s
     return scale_to_median(state, weighted_f(state, weights, [*groups, draw]), "cwf", groups, target)
 
 
-def solve_multiplier(state: DataFrame, bio: DataFrame, target: float, kind: str = "catch", draw: str = "draw",
-                     points: int = 16, rounds: int = 4, added: float = 0.0) -> float | None:
-    """F multiplier at which the median over draws of catch, landings or next year's SSB meets a target.
-
-    Every round works out a row of multipliers in one aggregation per draw, takes the
-    medians and narrows the bracket; the last bracket is interpolated. ``added`` is what
-    does not depend on F (recruits' biomass next year). None when the target is outside
-    what multipliers up to 100 give.
+def solve_multipliers(state: DataFrame, bio: DataFrame, targets: DataFrame, draw: str = "draw", points: int = 16, rounds: int = 4,
+                      recruits: DataFrame | None = None, min_age: int | None = None) -> DataFrame:
+    """For every target the F multiplier at which the median over draws meets it, all targets at once.
+
+    ``targets`` has ``kind`` (catch, land or ssb, next year's), ``target`` and any further columns; those that ``state``
+    has too (a year, a scenario) say which states a target is about. A bracket table holds a row of multipliers per
+    target; each round joins it to the states, works out every row of it in one aggregation per draw, takes the medians
+    and narrows the brackets, so the number of jobs depends on ``rounds`` alone. The last bracket is interpolated.
+
+    With ``recruits`` (``rec`` by draw and any of the shared columns), next year's SSB counts them at ``min_age``; a draw
+    without a row has none. Gives the columns of ``targets`` and ``multiplier``, ``status``: "solved", "unreachable" (no
+    multiplier up to 100 gives it; the multiplier is NULL) or "no data" (no states, or no target).
     """
-    if kind == "ssb" and not bio.where((F.col("prop_m") != 0) | (F.col("prop_f") != 0)).isEmpty():
+    if not targets.where(F.col("kind") == "ssb").isEmpty() and not bio.where((F.col("prop_m") != 0) | (F.col("prop_f") != 0)).isEmpty():
         raise ValueError("an SSB target needs spawning at the start of the year")
-    df = cut_lineage(_bio(state, bio))
+    shared = [c for c in targets.columns if c in state.columns and c not in ("kind", "target", draw, "age", "n", "f")]
+    if not shared:
+        raise ValueError("targets and states need a common column, such as the year")
+    used = [c for c in ("nat_mort", "catch_weight", "land_frac", "land_weight", "next_maturity", "next_stock_weight")]
+    full = _bio(state, bio)
+    df = cut_lineage(full.select(*shared, draw, "n", "f", *[c if c in full.columns else F.lit(None).cast("double").alias(c) for c in used]))
     lo, hi = SEARCH
     # Dense near the usual range, reaching to the limit.
     grid = [lo] + [hi * 10.0 ** (-4 * (points - 1 - k) / (points - 1)) for k in range(points)]
-    for _ in range(rounds):
-        medians = _median_yields(df, grid, kind, draw, added)
-        cross = next((k for k in range(len(grid) - 1)
-                      if min(medians[k], medians[k + 1]) <= target <= max(medians[k], medians[k + 1])), None)
-        if cross is None:
-            return None
-        lo, hi, a, b = grid[cross], grid[cross + 1], medians[cross], medians[cross + 1]
-        grid = [lo + (hi - lo) * k / points for k in range(points + 1)]
-    return lo if a == b else lo + (hi - lo) * (target - a) / (b - a)
-
-
-def _median_yields(df: DataFrame, grid: Sequence[float], kind: str, draw: str, added: float) -> list[float]:
-    """Median over draws for each multiplier.
-
-    The multipliers are unfolded before the ages are summed; partial sums bring this
-    back to one row per draw and multiplier before anything is shuffled.
+    bracket = cut_lineage(targets.withColumns({
+        "__id": F.monotonically_increasing_id(), "__grid": F.lit(np.array(grid)), "__found": F.lit(None).cast("struct<lo:double,hi:double,a:double,b:double>")}))
+    entering = None
+    if recruits is not None:
+        weight = bio.where(F.col("age") == min_age).select(*[c for c in ("year",) if c in bio.columns and c in shared],
+                                                             (F.col("maturity") * F.col("stock_weight")).alias("__w"))
+        by = [c for c in weight.columns if c != "__w"]
+        joined = recruits.join(weight, by, "left") if by else recruits.withColumn("__w", weight.agg(F.max("__w").alias("w")).scalar())
+        keys = [c for c in joined.columns if c in (*shared, draw)]
+        entering = cut_lineage(joined.groupBy(*keys).agg(F.sum(F.col("rec") * F.col("__w")).alias("__added")))
+    for k in range(rounds):
+        still = bracket if k == 0 else bracket.where(F.col("__found").isNotNull())
+        tried = df.join(still.select("__id", "kind", "__grid", *shared), shared)
+        per_draw = tried.groupBy("__id", "kind", *shared, draw).agg(
+            *[F.sum(_at(F.col("kind"), F.get("__grid", F.lit(i)))).alias(f"y{i}") for i in range(points + 1)])
+        added = F.lit(0.0)
+        if entering is not None:
+            per_draw = left_join(per_draw, entering, [c for c in entering.columns if c != "__added"])
+            added = F.when(F.col("kind") == "ssb", F.coalesce("__added", F.lit(0.0))).otherwise(F.lit(0.0))
+        long = per_draw.select("__id", F.posexplode(F.array(*[F.col(f"y{i}") + added for i in range(points + 1)])).alias("i", "y"))
+        medians = quantiles(long, ["__id", "i"], "y", (0.5,), ("m",)).groupBy("__id").agg(
+            F.array_sort(F.collect_list(F.struct("i", "m"))).alias("__m"))  # one short row per target
+        bracket = cut_lineage(_narrowed(bracket.join(medians, "__id", "left"), points, first=k == 0).select(*bracket.columns, "__m").drop("__m"))
+    f = F.col("__found")
+    at = F.when(f["a"] == f["b"], f["lo"]).otherwise(f["lo"] + (f["hi"] - f["lo"]) * (F.col("target") - f["a"]) / (f["b"] - f["a"]))
+    status = F.when(f.isNotNull(), "solved").when(F.col("__grid").isNull(), "no data").otherwise("unreachable")
+    return bracket.select(*targets.columns, at.alias("multiplier"), status.alias("status"))
+
+
+def _narrowed(df: DataFrame, points: int, first: bool) -> DataFrame:
+    """Each bracket cut to its first part whose ends enclose the target; one that has no such part stays as it is.
+
+    In the first round a target without medians loses its row of multipliers.
+    """
+    def median(i: Column) -> Column:
+        return F.get("__m", i)["m"]
+
+    def encloses(i: Column) -> Column:
+        a, b = median(i), median(i + 1)
+        return F.coalesce((F.least(a, b) <= F.col("target")) & (F.col("target") <= F.greatest(a, b)), F.lit(False))
+
+    k = F.array_position(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), encloses), True).cast("int") - 1
+    df = df.withColumn("__k", F.when(k >= 0, k))
+    new = F.when(F.col("__k").isNotNull(), F.struct(
+        F.get("__grid", F.col("__k")).alias("lo"), F.get("__grid", F.col("__k") + 1).alias("hi"),
+        median(F.col("__k")).alias("a"), median(F.col("__k") + 1).alias("b")))
+    df = df.withColumn("__found", F.coalesce(new, F.col("__found")))
+    lo, hi = F.col("__found")["lo"], F.col("__found")["hi"]
+    parts = F.transform(F.sequence(F.lit(0), F.lit(points)), lambda i: lo + (hi - lo) * i / points)
+    blank = (F.col("__m").isNull() | F.col("target").isNull()) & F.lit(first)
+    return df.withColumn("__grid", F.when(blank, None).when(F.col("__k").isNotNull(), parts).otherwise(F.col("__grid")))
+
+
+def solve_multiplier(state: DataFrame, bio: DataFrame, target: float, kind: str = "catch", draw: str = "draw",
+                     points: int = 16, rounds: int = 4, added: float = 0.0) -> float | None:
+    """:func:`solve_multipliers` for one target over all of ``state``; None when it is out of reach.
+
+    ``added`` is what does not depend on F (recruits' biomass next year).
+    """
+    one = state.sparkSession.createDataFrame([(0, kind, float(target) - added)], "__all int, kind string, target double")
+    return solve_multipliers(state.withColumn("__all", F.lit(0)), bio, one, draw, points, rounds).first()["multiplier"]
+
+
+def scale_to_targets(state: DataFrame, solved: DataFrame) -> DataFrame:
+    """F scaled by the multipliers of :func:`solve_multipliers`: every state once for each target about it.
+
+    The states of a target that is not solved have no F.
     """
-    tried = df.select("*", F.posexplode(F.lit(np.array(grid))).alias("i", "s"))
-    per_draw = tried.groupBy(draw, "i").agg(F.sum(_at(kind, F.col("s"))).alias("y"))
-    rows = quantiles(per_draw, ["i"], "y", (0.5,), ("median",)).collect()
-    out = {r["i"]: r["median"] + added for r in rows}
-    return [out[i] for i in range(len(grid))]
+    shared = [c for c in solved.columns if c in state.columns and c not in ("kind", "target")]
+    return state.join(solved, shared).withColumn("f", F.col("f") * F.col("multiplier"))
 
 
-def _at(kind: str, s: Column) -> Column:
+def _at(kind: Column, s: Column) -> Column:
     """What one age contributes at F times ``s``; for SSB its survivors count at the age they reach."""
     n, f, m = F.col("n"), F.col("f") * s, F.col("nat_mort")
-    if kind == "catch":
-        return baranov(n, f, m) * F.col("catch_weight")
-    if kind == "land":
-        return baranov(n, f, m) * F.col("land_frac") * F.col("land_weight")
-    return n * F.exp(-f - m) * F.col("next_maturity") * F.col("next_stock_weight")
+    caught = baranov(n, f, m)
+    return (F.when(kind == "catch", caught * F.col("catch_weight"))
+            .when(kind == "land", caught * F.col("land_frac") * F.col("land_weight"))
+            .when(kind == "ssb", n * F.exp(-f - m) * F.col("next_maturity") * F.col("next_stock_weight")))
 
 
 def with_next_biology(bio: DataFrame, max_age: int) -> DataFrame:

@@ -187,6 +187,8 @@ def _solved(spark, sf, kind):
 
     target = median(state).first()[kind] / 2
     s = pop.solve_multiplier(state, bio, target, kind)
+    if s is None:
+        raise ValueError("no multiplier meets the target")
     return median(pop.scale_f(state, s)).withColumns({"target": F.lit(target), "multiplier": F.lit(s)})
 
 
@@ -232,6 +234,44 @@ def multiplier_for_next_ssb(spark, sf):
     return lookup(spark, [(target, s)], "target double, multiplier double")
 
 
+def _scenario_targets(spark, sf, state, bio):
+    """Four targets a year: catch, landings, next year's SSB, and a catch that no multiplier gives."""
+    med = pop.yearly_figures(state, bio, KEYS, AGES)
+    med = med.groupBy("year").agg(*[F.percentile(v, F.lit(0.5)).alias(v) for v in ("catch", "land", "ssb")])
+    aims = [("half", "catch", F.col("catch") / 2), ("landed", "land", F.col("land") * 0.3), ("stock", "ssb", F.col("ssb") * 0.8),
+            ("beyond", "catch", F.col("catch") * 1000)]
+    return med.select("year", F.inline(F.array(*[F.struct(F.lit(n).alias("label"), F.lit(k).alias("kind"), t.alias("target")) for n, k, t in aims])))
+
+
+SCENARIO_YEARS = (1997, 2000)
+SCENARIOS_SQL = f"""{STATE_SQL}, {BIO_SQL},
+nb AS (SELECT b.*, b.maturity * b.stock_weight AS w1, CASE WHEN b.age >= 50 THEN b.maturity * b.stock_weight ELSE nx.maturity * nx.stock_weight END AS w2
+  FROM bio b LEFT JOIN bio nx ON nx.year = b.year AND nx.age = b.age + 1),
+y AS MATERIALIZED (SELECT s.*, nat_mort, catch_weight, land_frac * land_weight AS lw, w1, w2 FROM states s LEFT JOIN nb USING (year, age) WHERE s.year BETWEEN {SCENARIO_YEARS[0]} AND {SCENARIO_YEARS[1]}),
+per AS (SELECT year, draw, sum(n * f / (f + nat_mort) * (1 - exp(-(f + nat_mort))) * catch_weight) AS catch,
+  sum(n * f / (f + nat_mort) * (1 - exp(-(f + nat_mort))) * lw) AS land, sum(n * w1) AS ssb FROM y GROUP BY ALL),
+med AS (SELECT year, quantile_cont(catch, 0.5) AS catch, quantile_cont(land, 0.5) AS land, quantile_cont(ssb, 0.5) AS ssb FROM per GROUP BY year),
+goal AS MATERIALIZED (SELECT year, 'half' AS label, 'catch' AS kind, catch / 2 AS target FROM med UNION ALL SELECT year, 'landed', 'land', land * 0.3::DOUBLE FROM med
+  UNION ALL SELECT year, 'stock', 'ssb', ssb * 0.8::DOUBLE FROM med UNION ALL SELECT year, 'beyond', 'catch', catch * 1000 FROM med),
+solve(step, year, label, kind, target, lo, hi) AS (SELECT 0, year, label, kind, target, 0.0::DOUBLE, 100.0::DOUBLE FROM goal UNION ALL
+  SELECT step + 1, year, label, kind, target, CASE WHEN (m < target) = (kind <> 'ssb') THEN (lo + hi) / 2 ELSE lo END, CASE WHEN (m < target) = (kind <> 'ssb') THEN hi ELSE (lo + hi) / 2 END
+  FROM (SELECT step, year, label, kind, target, lo, hi, quantile_cont(v, 0.5) AS m FROM (
+    SELECT s.step, s.year, s.label, s.kind, s.target, s.lo, s.hi, y.draw, sum(CASE WHEN s.kind = 'ssb' THEN y.n * exp(-y.f * (s.lo + s.hi) / 2 - nat_mort) * w2 + CASE WHEN y.age = 1 THEN y.n * w1 ELSE 0 END
+      ELSE y.n * y.f * (s.lo + s.hi) / 2 / (y.f * (s.lo + s.hi) / 2 + nat_mort) * (1 - exp(-(y.f * (s.lo + s.hi) / 2 + nat_mort))) * CASE WHEN s.kind = 'catch' THEN catch_weight ELSE lw END END) AS v
+    FROM solve s JOIN y ON y.year = s.year WHERE s.step < 45 GROUP BY ALL) GROUP BY ALL))"""
+
+
+@query("multipliers_of_scenarios", f"""WITH RECURSIVE {SCENARIOS_SQL} SELECT year, label, kind, target,
+  CASE WHEN label <> 'beyond' THEN (lo + hi) / 2 END AS multiplier, CASE WHEN label = 'beyond' THEN 'unreachable' ELSE 'solved' END AS status
+FROM solve WHERE step = 45""", digits={"target": 6, "multiplier": 4})
+def multipliers_of_scenarios(spark, sf):
+    """All targets of all years solved together; one of them is out of reach each year."""
+    bio = pop.with_next_biology(biology(spark, sf).withColumns({"prop_m": F.lit(0.0), "prop_f": F.lit(0.0)}), 50)
+    state = cut_lineage(states(spark, sf).where(F.col("year").between(*SCENARIO_YEARS)))
+    recruits = state.where(F.col("age") == 1).select("draw", "year", F.col("n").alias("rec"))
+    return pop.solve_multipliers(state, bio, _scenario_targets(spark, sf, state, bio), recruits=recruits, min_age=1)
+
+
 @query("multiplier_per_draw", f"""WITH RECURSIVE {CAUGHT_SQL}, y AS (SELECT * FROM caught WHERE year = 2000),
 solve(step, draw, lo, hi) AS (SELECT 0, draw, 0.0::DOUBLE, 100.0::DOUBLE FROM (SELECT DISTINCT draw FROM y)
   UNION ALL SELECT step + 1, s.draw, CASE WHEN t < 300 THEN (lo + hi) / 2 ELSE lo END, CASE WHEN t < 300 THEN hi ELSE (lo + hi) / 2 END
