@@ -1,9 +1,11 @@
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import values
 from tidewater.sources import tables, text
+from tidewater.sources.arrivals import absorb_new_files
 
 MATRIX = """Catch in numbers   1/1/2021
     1       2
@@ -120,6 +122,55 @@ def test_tables_are_saved_by_run_and_read_back(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/p").count() == 2
 
 
+def test_a_run_replaces_only_itself(spark, tmp_path):
+    def save(*rows):
+        tables.save_table(spark.createDataFrame(list(rows), "run_id string, year int, v double"), f"{tmp_path}/t")
+
+    def stored():
+        return values(tables.load_table(spark, f"{tmp_path}/t", "run_id string, year int, v double"), "run_id", "year", "v")
+
+    save(("2020", 1, 1.0), ("2020", 2, 2.0))
+    save(("2021", 1, 3.0), (None, 1, 9.0))
+    assert stored() == [(None, 1, 9.0), ("2020", 1, 1.0), ("2020", 2, 2.0), ("2021", 1, 3.0)]
+    save(("2020", 7, 7.0))
+    save()  # a save without rows changes nothing
+    assert stored() == [(None, 1, 9.0), ("2020", 7, 7.0), ("2021", 1, 3.0)]
+    with pytest.raises(Exception):  # a save that fails leaves the runs as they were
+        bad = spark.createDataFrame([("2021", 1, 0.0)], "run_id string, year int, v double")
+        tables.save_table(bad.withColumn("v", F.raise_error(F.lit("stop")).cast("double")), f"{tmp_path}/t")
+    assert stored() == [(None, 1, 9.0), ("2020", 7, 7.0), ("2021", 1, 3.0)]
+
+
+def test_unknown_kind_of_result(spark, tmp_path):
+    with pytest.raises(ValueError, match="xlsx"):
+        tables.write_result(spark.range(1), f"{tmp_path}/x", "xlsx")
+
+
+def test_csv_results_of_awkward_texts(spark, tmp_path):
+    tables.write_csv(spark.createDataFrame([(1, ""), (2, None), (3, 'a "b", c')], "i int, t string").coalesce(1), f"{tmp_path}/c")
+    assert sorted(r.value for r in spark.read.text(f"{tmp_path}/c").collect())[:2] == ['1,""', "2,"]
+    assert values(text.read_delimited(spark, f"{tmp_path}/c", "i int, t string", ",")) == [(1, None), (2, None), (3, 'a "b", c')]
+
+
+def test_files_are_absorbed_once(spark, tmp_path):
+    def absorb():
+        return values(absorb_new_files(spark, f"{tmp_path}/in", "catch*.csv", "year int, catch double", f"{tmp_path}/store", f"{tmp_path}/log", files_per_batch=1), "year", "catch")
+
+    os.makedirs(f"{tmp_path}/in")
+    assert absorb() == []
+    write(tmp_path, "in/catch1.csv", "year,catch\n2001,1.5\n2002,2.5\n")
+    write(tmp_path, "in/other.csv", "year,catch\n1900,0\n")
+    assert absorb() == [(2001, 1.5), (2002, 2.5)] == absorb()
+    write(tmp_path, "in/b/catch2.csv", "year,catch\n2003,3.5\n2001,1.5\n")
+    write(tmp_path, "in/c/catch3.csv", "year,catch\n")
+    want = [(2001, 1.5), (2001, 1.5), (2002, 2.5), (2003, 3.5)]
+    assert absorb() == want
+    # The commit of the last batch is lost, as when a job dies behind its write: the batch is done again and adds nothing.
+    last = max(int(f) for f in os.listdir(f"{tmp_path}/log/commits") if f.isdigit())
+    os.remove(f"{tmp_path}/log/commits/{last}")
+    assert absorb() == want
+
+
 def test_long_lines_lose_nothing(spark):
     ages = 10_050
     line = " ".join(["1"] + ["2.5"] * ages)

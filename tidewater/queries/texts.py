@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidewater.queries import query
 from tidewater.queries.bindings import HAUL_SQL, hauls, table
 from tidewater.queries.catches import SAMPLING_SQL, sampling
+from tidewater.session import scratch_path
 from tidewater.sources import text
-from tidewater.sources.tables import load_table
+from tidewater.sources.arrivals import absorb_new_files
+from tidewater.sources.tables import load_table, save_table, write_csv, write_result
 
 
 def joined(df: DataFrame, keys: list[str], order: list[str], value: Column, sep: str, out: str) -> DataFrame:
@@ -132,3 +134,67 @@ def files_by_pattern(spark, sf):
 @query("table_loaded", "SELECT r_regionkey, r_name FROM region")
 def table_loaded(spark, sf):
     return load_table(spark, f"{sf}/region.parquet").select("r_regionkey", "r_name")
+
+
+SUPPLIER_CSV = "s_suppkey long, s_acctbal double"
+
+
+def supplier_files(spark, sf, folder: str, regions: Column | None = None) -> None:
+    """Suppliers as delimited files with headers, in one folder per nation."""
+    rows = table(spark, sf, "supplier").where(F.lit(True) if regions is None else regions)
+    rows.select("s_suppkey", "s_acctbal", F.col("s_nationkey").alias("nation")).repartition("nation").write.partitionBy(
+        "nation").options(header=True, sep=";").mode("append").csv(folder)
+
+
+NATION = F.regexp_extract("file", r"nation=([0-9]+)/", 1).cast("int").alias("nation")
+
+
+@query("delimited_files_in_folders", "SELECT s_nationkey AS nation, count(*) AS n, sum(s_acctbal) AS balance FROM supplier GROUP BY ALL", digits={"balance": 4})
+def delimited_files_in_folders(spark, sf):
+    """Many delimited files in folders, among others that the pattern leaves out."""
+    folder = scratch_path(spark, "suppliers")
+    supplier_files(spark, sf, folder)
+    write_result(table(spark, sf, "nation"), f"{folder}/nations", "parquet")
+    rows = text.read_many(spark, folder, "part-*.csv", SUPPLIER_CSV, sep=";")
+    return rows.groupBy(NATION).agg(F.count(F.lit(1)).alias("n"), F.sum("s_acctbal").alias("balance"))
+
+
+@query("files_without_match", "SELECT NULL::BIGINT AS s_suppkey, NULL::DOUBLE AS s_acctbal WHERE false")
+def files_without_match(spark, sf):
+    folder = scratch_path(spark, "suppliers")
+    supplier_files(spark, sf, folder)
+    return text.read_many(spark, folder, "catch*.csv", SUPPLIER_CSV, sep=";").drop("file")
+
+
+@query("files_that_arrive_later", "SELECT s_nationkey AS nation, count(*) AS n, sum(s_acctbal) AS balance FROM supplier GROUP BY ALL", digits={"balance": 4})
+def files_that_arrive_later(spark, sf):
+    """Files come in twice; each run reads the new ones, and a run without new files adds nothing."""
+    folder, store, log = (scratch_path(spark, n) for n in ("arrivals", "store", "log"))
+    for some in (F.col("s_nationkey") < 10, F.col("s_nationkey") >= 10, F.lit(False)):
+        supplier_files(spark, sf, folder, some)
+        rows = absorb_new_files(spark, folder, "part-*.csv", SUPPLIER_CSV, store, log, sep=";", files_per_batch=20)
+    return rows.groupBy(NATION).agg(F.count(F.lit(1)).alias("n"), F.sum("s_acctbal").alias("balance"))
+
+
+@query("saved_runs_reloaded", f"""WITH {HAUL_SQL} SELECT CAST(year AS VARCHAR) AS run_id, fleet, sum(catch) * CASE WHEN year = 1998 THEN 2 ELSE 1 END AS catch
+FROM haul WHERE year BETWEEN 1996 AND 1999 GROUP BY year, fleet""")
+def saved_runs_reloaded(spark, sf):
+    """Runs saved one after the other into one store; one of them is saved again with other figures."""
+    store = scratch_path(spark, "runs")
+    per = hauls(spark, sf).groupBy(F.col("year").cast("string").alias("run_id"), "fleet").agg(F.sum("catch").alias("catch"))
+    for run, k in (("1998", 1), ("1996", 1), ("1999", 1), ("1998", 2), ("1997", 1)):
+        save_table(per.where(F.col("run_id") == run).withColumn("catch", F.col("catch") * k), store)
+    return load_table(spark, store, per.schema).select("run_id", "fleet", "catch")
+
+
+@query("results_written_and_reread", f"""WITH {HAUL_SQL}, r AS (SELECT fleet, year, sum(catch) AS catch, CASE WHEN year > 1996 THEN 'x;' || fleet END AS note FROM haul GROUP BY fleet, year)
+SELECT *, 'csv' AS kind FROM r UNION ALL SELECT *, 'parquet' FROM r""")
+def results_written_and_reread(spark, sf):
+    """A result table as CSV and as Parquet, each read back as it was."""
+    per = hauls(spark, sf).groupBy("fleet", "year").agg(F.sum("catch").alias("catch")).withColumn(
+        "note", F.when(F.col("year") > 1996, F.concat(F.lit("x;"), "fleet")))
+    csv, parquet = scratch_path(spark, "result"), scratch_path(spark, "result")
+    write_csv(per, csv)
+    write_result(per, parquet, "parquet")
+    return text.read_delimited(spark, csv, per.schema, ",").withColumn("kind", F.lit("csv")).unionByName(
+        load_table(spark, parquet).withColumn("kind", F.lit("parquet")))
