@@ -226,3 +226,50 @@ def test_raster_lookup_flips_height(spark):
     pts = spark.createDataFrame([(-17.3, 60.1), (4.9, 60.1)], "lon double, lat double")
     ras = spark.createDataFrame([(-18, 60, -350.0)], "ix int, iy int, height double")
     assert values(joins.raster_lookup(pts, ras, "lon", "lat", 1.0), "lon", "calc_depth") == [(-17.3, 350.0), (4.9, None)]
+
+
+def test_days_in_masks(spark):
+    rows = [("a", 2001, d) for d in (10, 74, None, 10, None)] + [("b", 2001, None), ("c", 2001, 0), ("c", 2001, 383), ("c", 2001, 383), ("d", 2001, -5)]
+    rows += [("e", 2001, d) for d in range(1, 367)]
+    df = spark.createDataFrame(rows, "k string, year int, day int")
+    want = [("a", 3), ("b", 1), ("c", 2), ("d", 1), ("e", 366)]
+    assert values(agg.with_days(df, ["k", "year"], "day", "n"), "k", "n") == want
+    assert values(agg.with_days(df, ["k"], "day", "n"), "k", "n") == want
+    fine = df.groupBy("k", "year", (F.col("day") % 7).alias("part")).agg(*agg.day_masks(F.col("day")))
+    merged = fine.groupBy("k").agg(*agg.merged_masks()).select("k", agg.days_in_masks().alias("n"))
+    assert values(merged, "k", "n") == want
+    dates = spark.createDataFrame([(2000, "2000-12-31"), (2000, "2000-01-01"), (2000, None), (2000, "2000-01-01")], "year int, d string")
+    assert values(agg.with_days(dates.withColumn("d", F.col("d").cast("date")), ["year"], "d", "n"), "n") == [(3,)]
+
+
+def test_masks_refuse_days_they_cannot_tell_apart(spark):
+    df = spark.createDataFrame([(2001, 1), (2001, 385)], "year int, day int")
+    with pytest.raises(Exception, match="too far apart"):
+        agg.with_days(df, ["year"], "day", "n").collect()
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_texts_of_a_large_group_are_joined_in_order(spark, parts):
+    rows = [("hot", i % 997, f"t{i}") for i in range(3000)] + [("a", 2, "y"), ("a", 1, "x"), ("a", 1, "w"), ("n", 1, None), ("n", 2, None), ("m", 1, None), ("m", 2, "z"), (None, 1, "q")]
+    df = spark.createDataFrame(rows, "k string, o int, t string").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.k: r.s for r in agg.concat_spread(df, ["k"], ["o"], F.col("t"), ",", "s", parts).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    hot = ",".join(t for _, t in sorted((o, t) for k, o, t in rows if k == "hot"))
+    assert got == {"hot": hot, "a": "w,x,y", "n": "", "m": "z", None: "q"}
+    same = {r.k: r.s for r in agg.concat_agg(df, ["k"], "o", F.col("t"), ",", "s").collect()}
+    assert same == got
+
+
+def test_box_figures_of_a_hot_group(spark):
+    r = np.random.default_rng(3)
+    rows = [("hot", float(x)) for x in r.normal(size=2000)] + [("one", 5.0), ("none", None), ("nan", float("nan")), (None, 1.0), (None, 3.0)]
+    got = {x.k: x for x in agg.box_stats(spark.createDataFrame(rows, "k string, x double"), ["k"], "x").collect()}
+    v = np.array([x for k, x in rows if k == "hot"])
+    lo, mid, up = np.quantile(v, [0.25, 0.5, 0.75])
+    inside = v[(v >= lo - 1.5 * (up - lo)) & (v <= up + 1.5 * (up - lo))]
+    assert (got["hot"].lower, got["hot"].middle, got["hot"].upper) == pytest.approx((lo, mid, up), rel=1e-12)
+    assert (got["hot"].ymin, got["hot"].ymax, got["hot"].n, got["hot"].n_outliers) == (inside.min(), inside.max(), 2000, 2000 - len(inside))
+    assert (got["one"].ymin, got["one"].n, got[None].middle, got[None].n) == (5.0, 1, 2.0, 2) and "none" not in got and "nan" not in got

@@ -26,6 +26,53 @@ def n_distinct(x: Column | str, count_null: bool = True) -> Column:
     return F.countDistinct(F.struct(x) if count_null else x)
 
 
+#: Days that the masks of one group can tell apart.
+MASK_DAYS = 384
+
+
+def day_masks(day: Column, prefix: str = "days") -> list[Column]:
+    """Aggregates that hold the distinct day numbers of a group in six 64-bit masks, with the first and last day and whether one is missing.
+
+    They have a fixed size and stay in generated code, so days are counted in the shuffle of the group itself. The
+    masks of a finer grouping add up to those of a coarser one by :func:`merged_masks`.
+    """
+    d = day.cast("long")
+    words, place = MASK_DAYS // 64, F.pmod(d, F.lit(MASK_DAYS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(d, F.lit(64)).cast("int"))
+    masks = [F.bit_or(F.when(F.floor(place / 64) == k, bit)).alias(f"{prefix}_{k}") for k in range(words)]
+    return [*masks, F.min(d).alias(f"{prefix}_first"), F.max(d).alias(f"{prefix}_last"), F.max(d.isNull()).alias(f"{prefix}_missing")]
+
+
+def merged_masks(prefix: str = "days") -> list[Column]:
+    """The masks of finer groups put together."""
+    masks = [F.bit_or(f"{prefix}_{k}").alias(f"{prefix}_{k}") for k in range(MASK_DAYS // 64)]
+    return [*masks, F.min(f"{prefix}_first").alias(f"{prefix}_first"), F.max(f"{prefix}_last").alias(f"{prefix}_last"),
+            F.max(f"{prefix}_missing").alias(f"{prefix}_missing")]
+
+
+def days_in_masks(prefix: str = "days") -> Column:
+    """Number of distinct days in the masks of a row; a missing one counts as one day.
+
+    Days of one group that lie 384 days or more apart end the job with an error, as masks cannot tell them apart; keys
+    with a year or a week rule that out, and :func:`n_distinct` counts any others.
+    """
+    n = sum((F.coalesce(F.bit_count(f"{prefix}_{k}"), F.lit(0)) for k in range(MASK_DAYS // 64)), F.col(f"{prefix}_missing").cast("int"))
+    far = F.col(f"{prefix}_last") - F.col(f"{prefix}_first") >= MASK_DAYS
+    return F.when(far, F.raise_error(F.lit("days of one group are too far apart for masks")).cast("long")).otherwise(n.cast("long"))
+
+
+def with_days(df: DataFrame, keys: Sequence[str], day: str, out: str, *more: Column) -> DataFrame:
+    """Group by ``keys`` with the aggregates ``more`` and the number of distinct days, a date or a day number.
+
+    One shuffle where a year or week among the keys holds the days of a group together, else a distinct count.
+    """
+    if not {"year", "week"} & set(keys):
+        return df.groupBy(*keys).agg(*more, n_distinct(day).alias(out))
+    number = F.unix_date(day) if df.schema[day].dataType.simpleString() == "date" else F.col(day)
+    held = df.groupBy(*keys).agg(*more, *day_masks(number, "__d"))
+    return held.withColumn(out, days_in_masks("__d")).drop(*[c for c in held.columns if c.startswith("__d_")])
+
+
 def sum_cols(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(*[sum0(c).alias(c) for c in cols])
 
@@ -102,6 +149,23 @@ def concat_agg(df: DataFrame, keys: Sequence[str], order: str, text: Column, sep
     return df.groupBy(*keys).agg(F.array_join(F.transform(items, lambda s: s["t"]), sep).alias(out))
 
 
+def concat_spread(df: DataFrame, keys: Sequence[str], order: Sequence[str], text: Column, sep: str, out: str, parts: int | None = None) -> DataFrame:
+    """As :func:`concat_agg`, for groups of any size: texts are joined in slices, then the slices.
+
+    Rows are range-sorted by keys, order and text, so a slice is what one task holds of a group; a group that fills a
+    third of the table is joined by a third of the tasks, and only the joined slices meet. Missing texts are left out.
+    """
+    names = [f"__o{i}" for i in range(len(order))]
+    rows = df.select(*keys, *[F.col(o).alias(n) for o, n in zip(order, names)], text.alias("__t"))
+    cols = [*keys, *names, "__t"]
+    dealt = rows.repartitionByRange(parts, *cols) if parts else rows.repartitionByRange(*cols)
+    items = F.array_sort(F.collect_list(F.when(F.col("__t").isNotNull(), F.struct(*names, "__t"))))
+    slices = dealt.withColumn("__s", F.spark_partition_id()).groupBy(*keys, "__s").agg(items.alias("__i")).select(
+        *keys, "__s", F.when(F.size("__i") > 0, F.array_join(F.transform("__i", lambda s: s["__t"]), sep)).alias("__p"))
+    held = F.array_sort(F.collect_list(F.struct("__s", "__p")))
+    return slices.groupBy(*keys).agg(F.array_join(F.transform(held, lambda s: s["__p"]), sep).alias(out))
+
+
 def quantiles(df: DataFrame, keys: Sequence[str], x: str, probs: Sequence[float], names: Sequence[str]) -> DataFrame:
     """Exact interpolated quantiles (position ``1 + (n - 1) p``), the input read once.
 
@@ -124,11 +188,19 @@ def quantiles_spread(df: DataFrame, keys: Sequence[str], x: str, probs: Sequence
     the slices that hold a wanted rank are numbered. The cut points steer the work; the
     result does not depend on them. A group without values has NULLs.
     """
-    keys = list(keys)
-    gkeys = keys or ["__g"]
+    return _spread_quantiles(_value_counts(df, keys, x), keys, probs, names, slice_values)
+
+
+def _value_counts(df: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
+    """How often each value of ``x`` occurs in a group, written to the checkpoint folder: keys, ``__x``, ``__n``."""
     src = df if keys else df.withColumn("__g", F.lit(1))
     known = F.when(~F.isnan(x), F.col(x).cast("double"))
-    vc = cut_lineage(src.groupBy(*gkeys, known.alias("__x")).agg(F.count(F.lit(1)).alias("__n")))
+    return cut_lineage(src.groupBy(*(keys or ["__g"]), known.alias("__x")).agg(F.count(F.lit(1)).alias("__n")))
+
+
+def _spread_quantiles(vc: DataFrame, keys: Sequence[str], probs: Sequence[float], names: Sequence[str], slice_values: int = SLICE_VALUES) -> DataFrame:
+    keys = list(keys)
+    gkeys = keys or ["__g"]
     largest = vc.groupBy(*gkeys).agg(F.count("__x").alias("n")).agg(F.max("n")).first()[0] or 0
     slices = max(2, -(-largest // slice_values))
     grid = [i / slices for i in range(1, slices)]
@@ -180,14 +252,24 @@ def interval(df: DataFrame, keys: Sequence[str], x: str, spread: bool = False) -
 
 
 def box_stats(df: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
-    """Box-plot figures: quartiles, whiskers within 1.5 box lengths, count and outliers."""
-    quart = quantiles(df, keys, x, (0.25, 0.5, 0.75), ("lower", "middle", "upper"))
-    joined = left_join(df.select(*keys, x).where(F.col(x).isNotNull()), quart, keys, null_safe=True)
+    """Box-plot figures: quartiles, whiskers within 1.5 box lengths, count and outliers.
+
+    The input is read once, for its value counts; quartiles, whiskers and outliers all come from these, and no group is
+    gathered in one task. Missing values are left out, and so is a group without values.
+    """
+    keys = list(keys)
+    counts = _value_counts(df, keys, x)
+    quart = _spread_quantiles(counts, keys, (0.25, 0.5, 0.75), ("lower", "middle", "upper"))
+    known = counts.where(F.col("__x").isNotNull())
+    if keys:
+        joined = left_join(known, quart, keys, null_safe=True)
+    else:
+        joined = known.withColumn("__q", quart.select(F.struct("lower", "middle", "upper").alias("q")).scalar()).select("__x", "__n", "__q.*")
     reach = 1.5 * (F.col("upper") - F.col("lower"))
-    inside = (F.col(x) >= F.col("lower") - reach) & (F.col(x) <= F.col("upper") + reach)
+    inside = (F.col("__x") >= F.col("lower") - reach) & (F.col("__x") <= F.col("upper") + reach)
     return joined.groupBy(*keys, "lower", "middle", "upper").agg(
-        F.min(F.when(inside, F.col(x))).alias("ymin"), F.max(F.when(inside, F.col(x))).alias("ymax"),
-        F.count(F.lit(1)).alias("n"), F.count(F.when(~inside, 1)).alias("n_outliers"))
+        F.min(F.when(inside, F.col("__x"))).alias("ymin"), F.max(F.when(inside, F.col("__x"))).alias("ymax"),
+        F.sum("__n").alias("n"), F.coalesce(F.sum(F.when(~inside, F.col("__n"))), F.lit(0).cast("long")).alias("n_outliers"))
 
 
 def histogram(df: DataFrame, x: str, n: int = 100, round_steps: bool = True) -> DataFrame:

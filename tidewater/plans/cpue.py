@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewater.functions.bins import DEPTH_BREAKS, bin_auto, bin_left, cell_key, geo_bin
-from tidewater.operators.aggregates import concat_agg, n_distinct, ratio, sum0
+from tidewater.operators.aggregates import concat_agg, n_distinct, ratio, sum0, with_days
 from tidewater.operators.joins import left_join, natural_left
 from tidewater.operators.reshape import melt
 from tidewater.operators.sets import add_zero_rows, union_tagged
@@ -31,9 +31,8 @@ def as_category(col: str) -> Column:
 
 def vessel_cells(hauls: DataFrame, keys: Sequence[str] = CELL, vessel: str = "vesselid") -> DataFrame:
     """Per vessel and cell: catch, hours, hauls, days and mean depth. A missing date counts as one day."""
-    return hauls.groupBy(*keys, vessel).agg(
-        sum0("catch").alias("catch"), sum0("duration").alias("duration"), F.count(F.lit(1)).alias("nhauls"),
-        n_distinct("date").alias("ndays"), F.avg("depth").alias("depth"))
+    return with_days(hauls, [*keys, vessel], "date", "ndays", sum0("catch").alias("catch"), sum0("duration").alias("duration"),
+                     F.count(F.lit(1)).alias("nhauls"), F.avg("depth").alias("depth"))
 
 
 def cpue_by_day(hauls: DataFrame, keys: Sequence[str] = CELL) -> DataFrame:
@@ -53,9 +52,8 @@ def cpue_by_day(hauls: DataFrame, keys: Sequence[str] = CELL) -> DataFrame:
 
 def cpue_by_stratum(hauls: DataFrame, keys: Sequence[str] = STRATUM) -> DataFrame:
     """The earlier method: strata also by month, depth, position and set hour; effort is days per stratum."""
-    out = hauls.groupBy(*keys).agg(
-        sum0("catch").alias("catch"), F.count(F.lit(1)).alias("nhauls"), n_distinct("vesselid").alias("nvessels"),
-        sum0("duration").alias("duration"), n_distinct("day").alias("ndays"))
+    out = with_days(hauls, keys, "day", "ndays", sum0("catch").alias("catch"), F.count(F.lit(1)).alias("nhauls"),
+                    n_distinct("vesselid").alias("nvessels"), sum0("duration").alias("duration"))
     return out.withColumns({
         "effort": F.col("ndays"),
         "cpue": safe_ratio(F.col("catch"), F.col("ndays")),
@@ -123,8 +121,8 @@ def effort_table(hauls: DataFrame, first: int, last: int, day: str = "day") -> D
 
     ``day`` is the day number as the table carries it. A missing vessel or day counts as one.
     """
-    out = hauls.groupBy("fleet", "year").agg(
-        n_distinct("vesselid").alias("nvessels"), n_distinct(day).alias("ndays"),
+    out = with_days(
+        hauls, ["fleet", "year"], day, "ndays", n_distinct("vesselid").alias("nvessels"),
         F.date_diff(F.max("date"), F.min("date")).alias("season"), F.sum("duration").alias("hfished"),
         F.count(F.lit(1)).alias("nhauls"), F.avg("duration").alias("hauldur"))
     return add_zero_rows(out, ["fleet"], first, last,
@@ -159,8 +157,7 @@ def cpue_map(hauls: DataFrame, dx: float = 1.0, dy: float = 0.5, n: int | None =
     lon, lat = geo_bin(F.col("long"), F.col("lat"), dx, dy)
     cells = hauls.where(F.col("long").isNotNull() & F.col("lat").isNotNull() & F.col("year").isNotNull()).withColumns(
         {"lon_mid": lon, "lat_mid": lat})
-    per_vessel = cells.groupBy("fleet", "vesselid", "year", "lon_mid", "lat_mid").agg(
-        sum0("catch").alias("catch"), n_distinct("day").alias("ndays"))
+    per_vessel = with_days(cells, ["fleet", "vesselid", "year", "lon_mid", "lat_mid"], "day", "ndays", sum0("catch").alias("catch"))
     out = per_vessel.groupBy("year", "lon_mid", "lat_mid").agg(
         F.avg(safe_ratio(F.col("catch"), F.col("ndays"))).alias("cpue"))
     out = out.withColumn("cell", cell_key(F.col("lon_mid"), F.col("lat_mid")))

@@ -233,3 +233,22 @@ def box_figures_by_fleet(spark, sf):
     return agg.box_stats(hauls(spark, sf), ["fleet"], "catch")
 
 
+
+
+@query("days_that_roll_up", f"""WITH {HAUL_SQL}, h AS (SELECT fleet, year, rect, CASE WHEN haul <> 7 THEN date END AS d FROM haul)
+SELECT fleet, year, count(DISTINCT d) + max(CASE WHEN d IS NULL THEN 1 ELSE 0 END) AS ndays FROM h GROUP BY ALL""")
+def days_that_roll_up(spark, sf):
+    """Distinct days by rectangle, put together to those of the fleet; missing dates count as one day."""
+    day = F.unix_date(F.when(F.col("haul") != 7, F.col("date")))
+    cells = hauls(spark, sf).groupBy("fleet", "year", "rect").agg(*agg.day_masks(day))
+    return cells.groupBy("fleet", "year").agg(*agg.merged_masks()).select("fleet", "year", agg.days_in_masks().alias("ndays"))
+
+
+@query("texts_of_large_groups", """WITH t AS (SELECT l_returnflag AS flag, string_agg(l_orderkey || '.' || l_linenumber, ',' ORDER BY l_shipdate, l_orderkey, l_linenumber) AS t
+FROM lineitem WHERE l_linenumber <> 3 GROUP BY 1) SELECT flag, length(t) AS size, md5(t) AS digest FROM t""")
+def texts_of_large_groups(spark, sf):
+    """All lines of a flag, a third of the table each, named in order of date and key."""
+    li = table(spark, sf, "lineitem")
+    name = F.when(F.col("l_linenumber") != 3, F.concat_ws(".", "l_orderkey", "l_linenumber"))
+    joined = agg.concat_spread(li, ["l_returnflag"], ["l_shipdate", "l_orderkey", "l_linenumber"], name, ",", "t")
+    return joined.select(F.col("l_returnflag").alias("flag"), F.length("t").cast("long").alias("size"), F.md5("t").alias("digest"))
