@@ -179,3 +179,32 @@ def test_long_lines_lose_nothing(spark):
     assert text.parse_survey(spark.createDataFrame([("f", survey)], "file string, text string")).count() == ages
     matrix = f"t\n1 2\n1 {ages}\n1 1\n5\n" + "\n".join(["3"] * ages)
     assert text.parse_matrix(spark.createDataFrame([("f", matrix)], "file string, text string")).count() == ages
+
+
+@pytest.mark.parametrize("size", [3, 50_000])
+def test_lines_are_numbered_across_blocks(spark, tmp_path, size):
+    want = [f"line {i}" + "x" * (i % 50) for i in range(1, 2001)]
+    write(tmp_path, "f/a.txt", "\r\n".join(want) + "\r\n")
+    write(tmp_path, "f/b.txt", "one\n\nthree")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        lines = text.read_lines(spark, f"{tmp_path}/f")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    got = {f: [r.line for r in sorted(lines.where(F.col("file").endswith(f)).collect(), key=lambda r: r.line_no)] for f in ("a.txt", "b.txt")}
+    assert got == {"a.txt": want, "b.txt": ["one", "", "three"]}
+    mark = F.when(F.col("line").rlike("^line [0-9]*00x*$"), F.substring("line", 1, 9))
+    for r in text.carry_forward(lines.where(F.col("file").endswith("a.txt")), mark, range_lines=size).collect():
+        assert r.mark_no == (r.line_no // 100 * 100 or None)
+
+
+@pytest.mark.parametrize("size", [2, 5, 50_000])
+def test_blocks_and_sections_do_not_depend_on_the_ranges(spark, size):
+    head = "\n".join(["names"] * 7)
+    report = f"x\nTABLE 1.{head}\na\t1\nb\t2\nno tab\nc\t3\nTABLE 1.{head}\nz\t9\nTABLE 2.{head}\nd\t4\ne\t5\nTABLE 3.\nf\t6"
+    files = spark.createDataFrame([("r", report), ("empty", ""), ("none", "a\tb")], "file string, text string")
+    found = text.section_lines(text.numbered_lines(files), {"one": r"^TABLE 1\.", "two": r"^TABLE 2\.", "three": r"^TABLE 3\."}, range_lines=size)
+    assert values(found, "file", "section", "line") == [("r", "one", "a\t1"), ("r", "one", "b\t2"), ("r", "two", "d\t4"), ("r", "two", "e\t5")]
+    survey = text.numbered_lines(spark.createDataFrame([("s", SURVEY)], "file string, text string"))
+    whole = text.parse_survey(spark.createDataFrame([("s", SURVEY)], "file string, text string"))
+    assert sorted(text.parse_survey_lines(survey, size).collect(), key=str) == sorted(whole.collect(), key=str) and whole.count() == 8

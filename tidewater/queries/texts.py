@@ -123,6 +123,30 @@ def report_sample_section(spark, sf):
     return report_tables(spark, sf)["sample"].withColumn("canum", F.col("canum").try_cast("double"))
 
 
+@query("long_report_by_lines", f"""WITH {HAUL_SQL} SELECT n_name AS section, count(*) AS n, sum(l_quantity) AS catch, min(l_orderkey) AS lowest, max(l_orderkey) AS highest
+FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE n_nationkey < 5 GROUP BY 1""")
+def long_report_by_lines(spark, sf):
+    """Reports with a title, notes and a line per haul, written by Spark and cut by their titles line by line."""
+    nations = table(spark, sf, "nation").where("n_nationkey < 5")
+    rows = table(spark, sf, "lineitem").join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(
+        nations, F.col("s_nationkey") == F.col("n_nationkey"))
+    report = nations.select(F.col("n_nationkey").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("part"), "n_name")
+    head = report.select("k", "part", F.posexplode(F.array(
+        F.concat(F.lit("TABLE "), "n_name"), F.lit("a note"), F.lit("key\tcatch"))).alias("j", "value")).withColumn("j", F.col("j") - 4)
+    body = rows.select(F.col("n_nationkey").alias("k"), F.pmod("l_orderkey", F.lit(8)).cast("int").alias("part"), F.lit(0).alias("j"),
+                       F.concat_ws("\t", "l_orderkey", "l_quantity").alias("value"))
+    tail = report.select("k", "part", F.lit(1).alias("j"), F.lit("end of table").alias("value"))
+    folder = scratch_path(spark, "report")
+    lines = head.unionByName(body).unionByName(tail).repartition("k", "part").sortWithinPartitions("k", "part", "j")
+    lines.select("k", "part", "value").write.partitionBy("k", "part").text(folder)
+    names = [r[0] for r in nations.select("n_name").collect()]  # five titles
+    found = text.section_lines(text.read_lines(spark, folder), {n: f"^TABLE {n}$" for n in names}, offset=3, range_lines=500)
+    cut = F.split("line", "\t")
+    return found.groupBy("section").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(cut[1].cast("double")).alias("catch"), F.min(cut[0].cast("long")).alias("lowest"),
+        F.max(cut[0].cast("long")).alias("highest"))
+
+
 @query("files_by_pattern", """SELECT 'supplier' AS source, count(*) AS n, min(s_suppkey) AS lowest, max(s_suppkey) AS highest FROM supplier""")
 def files_by_pattern(spark, sf):
     """Parquet files found by a pattern, with the file that each row came from."""
