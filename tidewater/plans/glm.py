@@ -29,6 +29,7 @@ from tidewater.session import cut_lineage
 EPSILON, MAX_STEPS = 1e-8, 100
 # Spread at which the model is the Poisson limit for all practical purposes.
 THETA_MAX = 1e6
+_LEFT_OUT = "(left out)"
 # Fixed value: normal quantile of the published intervals.
 Z95 = 1.96
 
@@ -58,36 +59,48 @@ class Fit:
 class _Model:
     """The two small tables behind a fit: cells of categories and counts of values.
 
-    ``g`` numbers the groups, ``i_<factor>`` the categories of a factor over all groups.
+    ``g`` numbers the groups, ``i_<factor>`` the categories of a factor over all groups. Groups are those of a column, or
+    with ``models`` several models of the same rows, each with some of the factors; a factor that a model leaves out
+    has one category in it. All groups are fitted in the same jobs.
     """
 
-    def __init__(self, df: DataFrame, y: str, factors: Sequence[str], by: str | None):
-        self.factors = tuple(factors)
+    def __init__(self, df: DataFrame, y: str, factors: Sequence[str], by: str | None, models: dict[str, Sequence[str]] | None = None):
+        self.factors, self.models = tuple(factors), models
         group = F.col(by).cast("string") if by else F.lit("all")
         rows = df.select(group.alias("group"), F.col(y).cast("double").alias("y"),
                          *[F.col(f).cast("string").alias(f"f_{f}") for f in factors]).dropna()
         # One pass over the input; everything else comes from this table.
         base = cut_lineage(rows.groupBy(*[c for c in rows.columns]).agg(F.count(F.lit(1)).cast("double").alias("n")))
         keys = ["group", *[f"f_{f}" for f in factors]]
-        cells = base.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("y")).alias("sy"),
-                                        F.sum(F.col("n") * F.col("y") * F.col("y")).alias("syy"))
-        self.groups = sorted(r[0] for r in _few(base.select("group")))
-        self.levels, self.first = self._read_levels(base)
-        spark = df.sparkSession
-        numbers = spark.createDataFrame(list(enumerate(self.groups)), "g int, group string")
+        sums = [F.sum("n").alias("n"), F.sum(F.col("n") * F.col("y")).alias("sy"), F.sum(F.col("n") * F.col("y") * F.col("y")).alias("syy")]
+        cells = base.groupBy(*keys).agg(*sums)
+        values = base.groupBy("group", "y").agg(F.sum("n").alias("n"))
+        self.levels, self.first = {}, {}
+        if models:
+            self.groups = list(models)
+            each = F.explode(F.array(*[F.struct(F.lit(m).alias("group"), *[
+                (F.col(f"f_{f}") if f in own else F.lit(_LEFT_OUT)).alias(f"f_{f}") for f in factors]) for m, own in models.items()]))
+            cells = cells.select("n", "sy", "syy", each.alias("__m")).select("__m.*", "n", "sy", "syy").groupBy(*keys).agg(
+                *[F.sum(c).alias(c) for c in ("n", "sy", "syy")])
+            values = values.select("y", "n", F.explode(F.array(*[F.lit(m) for m in models])).alias("group"))
+        else:
+            self.groups = sorted(r[0] for r in _few(base.select("group")))
+        self._read_levels(base)
+        numbers = df.sparkSession.createDataFrame(list(enumerate(self.groups)), "g int, group string")
         self.cells = cut_lineage(self._indexed(cells.join(F.broadcast(numbers), "group")).drop("group"))
-        self.values = cut_lineage(base.groupBy("group", "y").agg(F.sum("n").alias("n")).join(
-            F.broadcast(numbers), "group").drop("group"))
+        self.values = cut_lineage(values.join(F.broadcast(numbers), "group").drop("group"))
 
-    def _read_levels(self, base: DataFrame) -> tuple[dict[tuple[str, str], list], dict[tuple[str, str], int]]:
-        levels, first = {}, {}
+    def _read_levels(self, base: DataFrame) -> None:
         for f in self.factors:
             found, start = _few(base.select("group", f"f_{f}")), 0
             for g in self.groups:
-                levels[(g, f)] = sorted((r[1] for r in found if r[0] == g), key=_natural)
-                first[(g, f)] = start
-                start += len(levels[(g, f)])
-        return levels, first
+                if self.models:
+                    own = [r[1] for r in found] if f in self.models[g] else [_LEFT_OUT]
+                else:
+                    own = [r[1] for r in found if r[0] == g]
+                self.levels[(g, f)] = sorted(own, key=_natural)
+                self.first[(g, f)] = start
+                start += len(own)
 
     def _indexed(self, cells: DataFrame) -> DataFrame:
         """Replace categories by their numbers, from small local tables."""
@@ -153,18 +166,41 @@ def _weights(cells: DataFrame, fits: Sequence[Fit], first: bool) -> DataFrame:
     return c.withColumns({"w": w, "wz": w * (F.col("eta") + (F.col("sy") / F.col("n") - F.col("mu")) / F.col("mu"))})
 
 
-def _step(model: _Model, fits: Sequence[Fit], first: bool) -> None:
-    """One weighted least-squares step for all groups: one job, then a small solve per group."""
+def _step(model: _Model, fits: Sequence[Fit], first: bool, spread: bool) -> None:
+    """One weighted least-squares step and, with ``spread``, one Newton step of the spread parameter of all groups.
+
+    All sums are taken at the same means, in one pass over the cells and one over the value counts that are collected
+    together: at most one row per pair of categories. A small solve per group follows.
+    """
     factors = fits[0].factors
     cols = [f"i_{f}" for f in factors]
     sets = [[], *[[c] for c in cols], *[list(p) for p in itertools.combinations(cols, 2)]]
-    sums = _weights(model.cells, fits, first).groupingSets(
+    n, mu, sy, syy, th = (F.col(c) for c in ("n", "mu", "sy", "syy", "th"))
+    yt = sy + n * th
+    start = spread and any(math.isinf(f.theta) for f in fits)
+    newton = spread and not start and any(f.theta < THETA_MAX for f in fits)
+    # At the first time from moments; without more spread than a Poisson sample has, the best fit is the limit itself.
+    terms = {"n": n, "d": syy / (mu * mu) - 2 * sy / mu + n, "excess": syy - 2 * mu * sy + n * mu * mu - sy} if start else {}
+    if newton:
+        terms = {"s": n * (F.log(th) + 1 - F.log(mu + th)) - yt / (mu + th), "i": n * (2 / (mu + th) - 1 / th) - yt / ((mu + th) * (mu + th))}
+    weighted = _weights(model.cells, fits, first).withColumn("th", _per_group(fits, lambda f: f.theta))
+    sums = weighted.groupingSets(
         [[F.col("g"), *[F.col(c) for c in s]] for s in sets], F.col("g"), *[F.col(c) for c in cols]).agg(
-        F.sum("w").alias("w"), F.sum("wz").alias("wz")).collect()
+        F.sum("w").alias("w"), F.sum("wz").alias("wz"), *[F.sum(t).alias(f"t_{k}") for k, t in terms.items()])
+    if newton:
+        single = _with_theta(model.values, fits).groupBy("g").agg(
+            F.sum(n * (digamma("yt") - digamma("th"))).alias("t_s"), F.sum(n * (trigamma("th") - trigamma("yt"))).alias("t_i"))
+        sums = sums.unionByName(single, allowMissingColumns=True)
     mats = [(np.zeros((len(f.beta),) * 2), np.zeros(len(f.beta))) for f in fits]
-    for r in sums:
+    spreads: list[dict] = [{} for _ in fits]
+    for r in sums.collect():
         fit, (a, b) = fits[r["g"]], mats[r["g"]]
         at = [(f, r[f"i_{f}"] - model.first[(fit.group, f)]) for f in factors if r[f"i_{f}"] is not None]
+        if not at:
+            for k in terms:
+                spreads[r["g"]][k] = spreads[r["g"]].get(k, 0.0) + r[f"t_{k}"]
+            if r["w"] is None:  # the sums over single values
+                continue
         cells = [fit.offsets[f] + i for f, i in at if i > 0]
         if len(cells) < len(at):
             continue
@@ -177,9 +213,14 @@ def _step(model: _Model, fits: Sequence[Fit], first: bool) -> None:
         else:
             j, k = cells
             a[j, k] = a[k, j] = r["w"]
-    for fit, (a, b) in zip(fits, mats):
+    for fit, (a, b), t in zip(fits, mats, spreads):
         fit.cov = np.linalg.pinv(a, hermitian=True)
         fit.beta = fit.cov @ b
+        if start:
+            fit.theta = t["n"] / max(t["d"], 1e-12) if t["excess"] > 0 else THETA_MAX
+        elif newton and fit.theta < THETA_MAX:
+            new = fit.theta + t["s"] / t["i"] if t["i"] > 0 else fit.theta * 2
+            fit.theta = min(new if new > 0 else fit.theta / 2, THETA_MAX)
 
 
 def _with_theta(values: DataFrame, fits: Sequence[Fit]) -> DataFrame:
@@ -187,32 +228,6 @@ def _with_theta(values: DataFrame, fits: Sequence[Fit]) -> DataFrame:
         {"yt": F.col("y") + F.col("th"), "y1": F.col("y") + 1})
 
 
-def _theta_step(model: _Model, fits: Sequence[Fit]) -> None:
-    """One Newton step of the spread parameter, from value sums and cell sums."""
-    if any(math.isinf(f.theta) for f in fits):
-        n, mu, sy, syy = (F.col(c) for c in ("n", "mu", "sy", "syy"))
-        for r in _means(model.cells, fits).groupBy("g").agg(
-                F.sum("n").alias("n"), F.sum(syy / (mu * mu) - 2 * sy / mu + n).alias("d"),
-                F.sum(syy - 2 * mu * sy + n * mu * mu - sy).alias("excess")).collect():
-            # Without more spread than a Poisson sample has, the best fit is the limit itself.
-            fits[r["g"]].theta = r["n"] / max(r["d"], 1e-12) if r["excess"] > 0 else THETA_MAX
-        return
-    if all(f.theta >= THETA_MAX for f in fits):
-        return
-    n, mu, th = F.col("n"), F.col("mu"), F.col("th")
-    yt = F.col("sy") + n * th
-    single = _with_theta(model.values, fits).select(
-        "g", (n * (digamma("yt") - digamma("th"))).alias("s"), (n * (trigamma("th") - trigamma("yt"))).alias("i"))
-    cell = _means(model.cells, fits).withColumn("th", _per_group(fits, lambda f: f.theta)).select(
-        "g", (n * (F.log(th) + 1 - F.log(mu + th)) - yt / (mu + th)).alias("s"),
-        (n * (2 / (mu + th) - 1 / th) - yt / ((mu + th) * (mu + th))).alias("i"))
-    for r in single.unionByName(cell).groupBy("g").agg(F.sum("s").alias("s"), F.sum("i").alias("i")).collect():
-        f, score, info = fits[r["g"]], r["s"], r["i"]
-        new = f.theta + score / info if info > 0 else f.theta * 2
-        if f.theta < THETA_MAX:
-            f.theta = min(new if new > 0 else f.theta / 2, THETA_MAX)
-
-
 def _figures(model: _Model, fits: Sequence[Fit]) -> None:
     """Deviance and log-likelihood of the fitted groups."""
     n, y, mu, sy, th, yt = (F.col(c) for c in ("n", "y", "mu", "sy", "th", "yt"))
@@ -227,20 +242,23 @@ def _figures(model: _Model, fits: Sequence[Fit]) -> None:
         f.n, f.deviance, f.twologlik = int(r["n"]), 2 * r["d"], 2 * r["l"]
 
 
-def _run(model: _Model, factors: Sequence[str], theta: dict | None = None) -> list[Fit]:
+def _run(model: _Model, factors: Sequence[str], shared: str | None = None) -> list[Fit]:
+    """Fit all groups; with ``shared`` every group takes the spread of that one."""
     fits = [model.start(g, factors) for g in model.groups]
     for f in fits:
-        f.theta = theta[f.group] if theta else math.inf
+        f.theta = math.inf
     for step in range(1, MAX_STEPS + 1):
         before = [(f.beta.copy(), f.theta) for f in fits]
-        _step(model, fits, first=step == 1)
         # The spread is searched once the means have settled roughly.
-        if theta is None and step >= 3:
-            _theta_step(model, fits)
+        _step(model, fits, first=step == 1, spread=step >= 4)
+        if shared is not None:
+            own = next(f.theta for f in fits if f.group == shared)
+            for f in fits:
+                f.theta = own
         moved = max(
             max(np.abs(f.beta - b).max(), 0.0 if f.theta == t else abs(f.theta - t) / (1 + min(f.theta, t)))
             for f, (b, t) in zip(fits, before))
-        if step > 3 and moved < EPSILON:
+        if step > 4 and moved < EPSILON:
             for f in fits:
                 f.converged = True
             break
@@ -336,10 +354,12 @@ def standardised_index(df: DataFrame, y: str, factors: Sequence[str], reference:
 
 
 def deviance_table(df: DataFrame, y: str, factors: Sequence[str]) -> DataFrame:
-    """Deviance taken up as the factors enter one by one, the spread held at the full model's."""
-    model = _Model(df, y, factors, None)
-    theta = {f.group: f.theta for f in _run(model, factors)}
-    seen = [_run(model, factors[:k], theta)[0] for k in range(len(factors) + 1)]
+    """Deviance taken up as the factors enter one by one, the spread held at the full model's.
+
+    All models are fitted together, stacked as groups over the same cells.
+    """
+    steps = {str(k): factors[:k] for k in range(len(factors) + 1)}
+    seen = _run(_Model(df, y, factors, None, steps), factors, shared=str(len(factors)))
     spread = max(f.deviance for f in seen) - min(f.deviance for f in seen)
     rows = [(0, "NULL", None, None, seen[0].n - seen[0].df, seen[0].deviance, None)]
     for k, f in enumerate(factors, start=1):
@@ -385,11 +405,12 @@ def chi_square_tail(x: float, df: int) -> float:
 def compare_models(df: DataFrame, y: str, models: Sequence[Sequence[str]]) -> DataFrame:
     """Nested models side by side: spread, log-likelihood and the likelihood-ratio test against the one before.
 
-    All models use the rows that are complete in every factor.
+    All models use the rows that are complete in every factor and are fitted together, stacked as groups.
     """
     order = sorted(models, key=len)
-    shared = _Model(df, y, list(dict.fromkeys(f for m in order for f in m)), None)
-    fits = [(" + ".join(m), _run(shared, m)[0]) for m in order]
+    factors = list(dict.fromkeys(f for m in order for f in m))
+    named = {" + ".join(m): m for m in order}
+    fits = [(f.group, f) for f in _run(_Model(df, y, factors, None, named), factors)]
     rows = []
     for i, (name, f) in enumerate(fits):
         lr = f.twologlik - fits[i - 1][1].twologlik if i else None

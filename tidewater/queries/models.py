@@ -81,6 +81,50 @@ def index_score_sums(spark, sf):
     return glm.score_sums(byday(spark, sf), "cpue_day", FACTORS)
 
 
+# Models whose means are closed-form: one mean for all, yearly means, and means of year and week. The spread is the root
+# of the score, found by bisection; digamma is its asymptotic series above x + 8.
+def _digamma_sql(x: str) -> str:
+    z = f"({x} + 8)"
+    series = f"(1.0::DOUBLE / 12 - (1.0::DOUBLE / 120 - (1.0::DOUBLE / 252 - (1.0::DOUBLE / 240 - 1.0::DOUBLE / 132 / ({z} * {z})) / ({z} * {z})) / ({z} * {z})) / ({z} * {z}))"
+    return f"(ln({z}) - 0.5::DOUBLE / {z} - {series} / ({z} * {z}) - " + " - ".join(f"1.0::DOUBLE / ({x} + {k})" for k in range(8)) + ")"
+
+
+NESTED = ["year", "season"]
+NESTED_SQL = f"""{BYDAY_SQL}, obs AS (SELECT cpue_day AS y, year, season, avg(cpue_day) OVER () AS m0, avg(cpue_day) OVER (PARTITION BY year) AS m1,
+  avg(cpue_day) OVER (PARTITION BY year, season) AS m2 FROM (SELECT cpue_day, year, week // 4 AS season FROM byday)),
+means AS MATERIALIZED (SELECT k, y, CASE k WHEN 0 THEN m0 WHEN 1 THEN m1 ELSE m2 END AS mu FROM obs CROSS JOIN (VALUES (0), (1), (2)) t(k)),
+sizes AS (SELECT 0 AS k, 1 AS p UNION ALL SELECT 1, count(DISTINCT year) FROM obs UNION ALL SELECT 2, count(DISTINCT (year, season)) FROM obs),
+solve(step, k, lo, hi) AS (SELECT 0, k, -5.0::DOUBLE, 12.0::DOUBLE FROM sizes UNION ALL
+  SELECT step + 1, k, CASE WHEN score > 0 THEN (lo + hi) / 2 ELSE lo END, CASE WHEN score > 0 THEN hi ELSE (lo + hi) / 2 END
+  FROM (SELECT step, k, lo, hi, sum({_digamma_sql('(y + th)')} - {_digamma_sql('th')} + ln(th) + 1 - ln(th + mu) - (y + th) / (mu + th)) AS score
+    FROM (SELECT s.step, s.k, s.lo, s.hi, exp((s.lo + s.hi) / 2) AS th, y, mu FROM solve s JOIN means USING (k) WHERE s.step < 50) GROUP BY step, k, lo, hi)),
+spread AS (SELECT k, exp((lo + hi) / 2) AS th FROM solve WHERE step = 50)"""
+
+
+def nested_cells(spark, sf):
+    """Cells whose season is a category within its year, so that the model of both is one mean per season."""
+    return byday(spark, sf).withColumn("season", F.concat_ws("-", "year", F.floor(F.col("week") / 4)))
+
+
+@query("deviance_of_nested_models", f"""WITH RECURSIVE {NESTED_SQL},
+dev AS (SELECT k, p, count(*) AS n, 2 * sum(y * ln(greatest(y, 1.0) / mu) - (y + th) * ln((y + th) / (mu + th))) AS dev
+  FROM means JOIN sizes USING (k), (SELECT th FROM spread WHERE k = 2) GROUP BY k, p),
+steps AS (SELECT *, lag(p) OVER (ORDER BY k) AS p0, lag(dev) OVER (ORDER BY k) AS dev0 FROM dev)
+SELECT CAST(k AS INTEGER) AS step, ['NULL', 'year', 'season'][k + 1] AS term, CAST(p - p0 AS INTEGER) AS df, dev0 - dev AS deviance, CAST(n - p AS INTEGER) AS resid_df, dev AS resid_dev,
+  100 * (dev0 - dev) / (SELECT max(dev) - min(dev) FROM dev) AS percdevexp FROM steps""", digits={"deviance": 3, "resid_dev": 3, "percdevexp": 4})
+def deviance_of_nested_models(spark, sf):
+    return glm.deviance_table(nested_cells(spark, sf), "cpue_day", NESTED)
+
+
+@query("nested_models_compared", f"""WITH RECURSIVE {NESTED_SQL},
+fit AS (SELECT k, p, th, count(*) AS n, 2 * sum(lgamma(y + th) - lgamma(th) - lgamma(y + 1) + th * ln(th) + y * ln(mu) - (y + th) * ln(mu + th)) AS l
+  FROM means JOIN sizes USING (k) JOIN spread USING (k) WHERE k > 0 GROUP BY k, p, th)
+SELECT ['year', 'year + season'][k] AS model, th AS theta, CAST(n - p AS INTEGER) AS resid_df, l AS twologlik, CAST(p - lag(p) OVER (ORDER BY k) AS INTEGER) AS df,
+  l - lag(l) OVER (ORDER BY k) AS lr FROM fit""", digits={"theta": 6, "twologlik": 3, "lr": 3})
+def nested_models_compared(spark, sf):
+    return glm.compare_models(nested_cells(spark, sf), "cpue_day", [["year"], NESTED]).drop("p")
+
+
 @query("density_of_given_spread", f"""WITH {HAUL_SQL}, m AS (SELECT avg(catch) AS mu FROM haul), x AS (SELECT catch, count(*) AS n FROM haul GROUP BY catch)
 SELECT catch, n, exp(lgamma(catch + 2.5) - lgamma(2.5) - lgamma(catch + 1) + 2.5 * ln(2.5 / (2.5 + mu)) + catch * ln(mu / (2.5 + mu))) AS fit FROM x, m""",
        digits={"fit": 9})
