@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import values
-from tidewater.plans import assessment, catch, cpue, forecast, glm, hauls, lengths, population as pop
+from tidewater.plans import absorbed, assessment, catch, cpue, forecast, glm, hauls, lengths, population as pop
 from tidewater.sources.tables import lookup
 
 HAUL = "fleet string, vesselid string, date date, year int, week int, rect string, long double, lat double, catch double, duration double, depth double, day int, month int, hset_cat string, depth_cat string"
@@ -127,6 +127,43 @@ def test_index_model_matches_numpy(spark):
     assert pred[1].upr == pytest.approx(math.exp(x @ b + 1.96 * se), rel=1e-6)
 
 
+@pytest.mark.parametrize("absorb", ["vessel", "week"])
+def test_absorbing_a_factor_gives_the_same_model(spark, absorb):
+    rng = np.random.default_rng(8)
+    rows = []
+    for _ in range(1500):
+        v, y, w = int(rng.integers(0, 25)), int(rng.integers(2000, 2005)), int(rng.integers(15, 19))
+        mu = math.exp(1.5 + 0.05 * v + 0.2 * (y - 2000) - 0.1 * (w - 15))
+        rows.append((str(v), str(y), str(w), float(rng.poisson(rng.gamma(3.0, mu / 3.0)))))
+    df = spark.createDataFrame([*rows, (None, "2000", "15", 1.0), ("1", "2000", "15", None)], "vessel string, year string, week string, y double")
+    factors = ["vessel", "year", "week"]
+    dense, fit = glm.nb_glm(df, "y", factors)[0], absorbed.absorbed_glm(df, "y", factors, absorb)
+    assert fit.converged and fit.n == dense.n == 1500
+    assert (fit.theta, fit.deviance, fit.twologlik) == pytest.approx((dense.theta, dense.deviance, dense.twologlik), rel=1e-8)
+    asked = spark.createDataFrame([("3", "2002", "16", 1), ("0", "2000", "15", 2), ("24", "2004", "18", 3), ("99", "2000", "15", 4), ("1", "1900", "15", 5)],
+                                  "vessel string, year string, week string, nr int")
+    got = {r.nr: r for r in absorbed.predict_rows(asked, fit).collect()}
+    want = {r.nr: r for r in glm.predict_grid(asked, dense).collect()}
+    assert set(got) == set(want) == {1, 2, 3}
+    for k, r in want.items():
+        assert (got[k].cpue, got[k].lwr, got[k].upr) == pytest.approx((r.cpue, r.lwr, r.upr), rel=1e-7)
+    assert max(abs(r.score) for r in absorbed.absorbed_scores(fit).collect()) < 1e-5
+    effects = {(r.term, r.level): r.estimate for r in absorbed.absorbed_effects(fit).collect()}
+    first = dense.levels[absorb][0]
+    assert effects[absorb, first] == pytest.approx(dense.beta[0], rel=1e-7)
+
+
+def test_a_factor_of_many_categories(spark):
+    n = 20_000
+    df = spark.range(n * 4).select((F.col("id") % n).cast("string").alias("vessel"), F.floor(F.col("id") / n).cast("string").alias("year"),
+                                   (F.pmod(F.hash("id"), F.lit(30)) + 1).cast("double").alias("y"))
+    fit = absorbed.absorbed_glm(df, "y", ["vessel", "year"], "vessel")
+    assert fit.converged and fit.cov.shape == (3, 3) and fit.levels.count() == n
+    assert absorbed.absorbed_scores(fit).agg(F.max(F.abs("score")).alias("m")).first()["m"] < 1e-4
+    with pytest.raises(ValueError, match="only one factor"):
+        absorbed.absorbed_glm(df, "y", ["vessel", "year"], "year")
+
+
 def test_index_model_per_group_equals_separate_fits(spark):
     rows = nb_sample(600, 3)
     df = spark.createDataFrame(rows, "year string, week string, fleet string, y double")

@@ -328,19 +328,34 @@ def predict_grid(combos: DataFrame, fit: Fit, **reference: str) -> DataFrame:
     for f in fit.factors:
         dim = spark.createDataFrame([(str(v), i) for i, v in enumerate(fit.levels[f])], f"{f} string, i_{f} int")
         df = df.join(F.broadcast(dim), f)
-    p = len(fit.beta)
-    flat = F.lit(np.ascontiguousarray(fit.cov).ravel())
-    # Columns of the design a row switches on; NULL for a base category.
-    on = [F.lit(0)] + [F.when(F.col(f"i_{f}") > 0, F.lit(fit.offsets[f]) + F.col(f"i_{f}")) for f in fit.factors]
-    variance = F.lit(0.0)
-    for i, a in enumerate(on):
-        variance = variance + F.coalesce(F.get(flat, a * p + a), F.lit(0.0))
-        for b in on[i + 1:]:
-            variance = variance + 2 * F.coalesce(F.get(flat, a * p + b), F.lit(0.0))
+    variance = F.lit(float(fit.cov[0, 0]))
+    for f in fit.factors:
+        own = _rows_of(fit, f)
+        variance = variance + F.get(F.lit(2 * _entries(fit, [0], own)[0] + np.array([0.0 if j is None else fit.cov[j, j] for j in own])), F.col(f"i_{f}"))
+    # Only the entries that the asked rows need: a line per category beside a fixed one, a short table for two that vary.
+    fixed = {f: fit.levels[f].index(v) for f, v in reference.items() if f in fit.factors and v in fit.levels[f]}
+    for f, h in itertools.combinations(fit.factors, 2):
+        if f in fixed or h in fixed:
+            still, other = (f, h) if f in fixed else (h, f)
+            variance = variance + F.get(F.lit(2 * _entries(fit, [_rows_of(fit, still)[fixed[still]]], _rows_of(fit, other))[0]), F.col(f"i_{other}"))
+        else:
+            pairs = [(i, j, float(2 * c)) for i, line in enumerate(_entries(fit, _rows_of(fit, f), _rows_of(fit, h))) for j, c in enumerate(line)]
+            df = df.join(spark.createDataFrame(pairs, f"i_{f} int, i_{h} int, c_{f}_{h} double"), [f"i_{f}", f"i_{h}"])
+            variance = variance + F.col(f"`c_{f}_{h}`")
     df = df.withColumns({"g": F.lit(0)}).withColumns({"fit": _eta([fit]), "se": F.sqrt(F.greatest(variance, F.lit(0.0)))})
     return df.withColumns({
         "cpue": F.exp("fit"), "lwr": F.exp(F.col("fit") - Z95 * F.col("se")), "upr": F.exp(F.col("fit") + Z95 * F.col("se")),
-    }).drop("g", "fit", "se", *[f"i_{f}" for f in fit.factors])
+    }).select(*combos.columns, "cpue", "lwr", "upr")
+
+
+def _rows_of(fit: Fit, factor: str) -> list[int | None]:
+    """The columns of a factor's categories; the first has none."""
+    return [None, *range(fit.offsets[factor] + 1, fit.offsets[factor] + len(fit.levels[factor]))]
+
+
+def _entries(fit: Fit, rows: Sequence[int | None], cols: Sequence[int | None]) -> np.ndarray:
+    """Covariances between columns; 0 for a category without one."""
+    return np.array([[0.0 if i is None or j is None else fit.cov[i, j] for j in cols] for i in rows])
 
 
 def standardised_index(df: DataFrame, y: str, factors: Sequence[str], reference: dict[str, str],

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewater.plans import glm
+from tidewater.plans import absorbed, glm
 from tidewater.queries import query
-from tidewater.queries.bindings import BYDAY_SQL, HAUL_SQL, byday, hauls, strata
+from tidewater.queries.bindings import BYDAY_SQL, HAUL_SQL, SCOPED_SQL, byday, hauls, scoped_hauls, strata
 
 FACTORS = ["year", "week", "depth_cat"]
 REFERENCE = {"week": "29", "depth_cat": "[700,2.5e+03)"}
@@ -125,6 +125,19 @@ def nested_models_compared(spark, sf):
     return glm.compare_models(nested_cells(spark, sf), "cpue_day", [["year"], NESTED]).drop("p")
 
 
+@query("vessel_effects_score_sums", f"""WITH {SCOPED_SQL} SELECT CAST(vesselid AS VARCHAR) AS level, 0.0::DOUBLE AS score FROM scoped WHERE depth_cat IS NOT NULL GROUP BY 1""", digits={"score": 3})
+def vessel_effects_score_sums(spark, sf):
+    """An effect for every vessel beside year, week and depth; at the best fit the scores of each vessel add up to 0."""
+    return absorbed.absorbed_scores(absorbed.absorbed_glm(scoped_hauls(spark, sf), "catch", ["vesselid", *FACTORS], "vesselid"))
+
+
+@query("vessel_means", f"""WITH {SCOPED_SQL} SELECT CAST(vesselid AS VARCHAR) AS level, avg(catch) AS cpue FROM scoped GROUP BY 1""", digits={"cpue": 6})
+def vessel_means(spark, sf):
+    """A model of the vessel alone has the vessels' means."""
+    fit = absorbed.absorbed_glm(scoped_hauls(spark, sf), "catch", ["vesselid"], "vesselid")
+    return absorbed.absorbed_effects(fit).select("level", F.exp("estimate").alias("cpue"))
+
+
 @query("density_of_given_spread", f"""WITH {HAUL_SQL}, m AS (SELECT avg(catch) AS mu FROM haul), x AS (SELECT catch, count(*) AS n FROM haul GROUP BY catch)
 SELECT catch, n, exp(lgamma(catch + 2.5) - lgamma(2.5) - lgamma(catch + 1) + 2.5 * ln(2.5 / (2.5 + mu)) + catch * ln(mu / (2.5 + mu))) AS fit FROM x, m""",
        digits={"fit": 9})
