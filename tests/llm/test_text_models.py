@@ -49,6 +49,31 @@ def test_grams_stay_within_texts():
     assert joined.tolist() == [x for t in texts for x in language.grams([t])[0].tolist()] and sizes.tolist() == [len(language.grams([t])[0]) for t in texts]
 
 
+def test_languages_against_counting(spark, filters):
+    """Every n-gram of a text is looked up bit by bit; the counts are corrected and compared in plain Python."""
+    table = [int(x) for x in filters.table[:, 0]]
+    full = 1 << language.ADDRESS
+    rate = [(sum(row >> k & 1 for row in table) / full) ** language.PROBES for k in range(3)]
+    rows = [(k, invented(lang, 700 + k, 3) + " " + invented(other, 800 + k, 2)) for k, (lang, other) in enumerate([("aa", "bb"), ("bb", "cc"), ("cc", "aa")] * 8)]
+    got = {r.doc_id: r for r in language.predict(documents(spark, rows), filters).collect()}
+    for i, text in rows:
+        counts, padded = [0.0] * 3, f" {text.lower()} "
+        for j in range(len(padded) - language.N + 1):
+            h = int(language.grams([padded[j : j + language.N]])[0][1])  # between the blanks put around it
+            for k in range(3):
+                counts[k] += all(table[h >> p * language.ADDRESS & full - 1] >> k & 1 for p in range(language.PROBES))
+        n = len(padded) - language.N + 1
+        counts = [max(0.0, (c - n * r) / (1 - r)) for c, r in zip(counts, rate, strict=True)]
+        assert got[i].lang_pred == ["aa", "bb", "cc"][counts.index(max(counts))]
+        assert got[i].score == pytest.approx(max(counts) / sum(counts), rel=1e-9)
+
+
+def test_samples_stay_bounded_when_rows_repeat(spark):
+    rows = [(k, "one text in a third of all rows" if k % 3 else f"text {k}", "aa") for k in range(6000)] + [(7, "again", "aa")] * 3000 + [(None, "none", "aa")] * 3000
+    sample = language._sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 100)
+    assert 10 < sample.count() < 200 and sample.columns == ["text", "lang"]
+
+
 def test_without_known_languages(spark):
     docs = documents(spark, [(1, "text"), (2, None)])
     got = {r.doc_id: (r.lang_pred, r.score) for r in language.predict(docs, language.fit(docs.where("lang is null"))).collect()}
@@ -299,3 +324,22 @@ def test_longest_rule_wins_over_order(spark):
     pages = spark.createDataFrame([(1, "http://s.a.com/de/")], "page_id long, url string")
     for rules, rule in ((RULES, "a.com/d"), ([("a.com", "/", "allow"), ("com", "/de/", "block")], "com/de/")):  # equal lengths go by name
         assert urls.judge(pages, rules).first().rule == rule
+
+
+def test_one_url_in_a_third_of_the_pages(spark, monkeypatch):
+    sizes = []
+    keep = urls.written
+    monkeypatch.setattr(urls, "written", lambda df, name: (sizes.append(df.count()) if name == "url-train" else None) or keep(df, name))
+    rows = [(k, "http://a.org/hot" if k % 3 == 0 else f"http://{'ab'[k % 2]}{k % 50}.{'org' if k % 2 else 'com/de'}/{k}") for k in range(6000)] + [(1, "http://b.com/de/x")] * 3000
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string"), RULES, max_urls=300)
+    assert got.count() == 9000 and 30 < sizes[0] < 600
+
+
+def test_shares_leave_out_the_rows_own_fold(spark):
+    rows = [(k, f"http://{'x' if k < 40 else 'y'}.com/{k}", float(k < 40)) for k in range(80)] + [(100, "http://lone.net/", 1.0), (101, "http://new.dev/", None)]
+    host, path = urls.host_and_path(urls.F.col("url"))
+    pages = urls.lexical(spark.createDataFrame(rows, "page_id long, url string, label double").withColumns({"host": host, "path": path}))
+    got = {r.page_id: r for r in urls.with_shares(pages, pages.where("label is not null")).collect()}
+    mean = 41 / 81
+    assert got[100].domain_share == pytest.approx(mean) and got[101].domain_share == pytest.approx(mean)  # nothing but its own label, or none
+    assert all(got[k].domain_share > mean for k in range(40)) and all(got[k].domain_share < mean for k in range(40, 80))

@@ -8,7 +8,7 @@ from helpers import awkward, documents, prose
 from tokenizers import Tokenizer
 
 from tidewater.llm import packing, token_files, tokens
-from tidewater.llm.common import shared_folder
+from tidewater.llm.common import open_folder, qualified, shared_folder
 
 NAME = "word_bpe_49k.json"
 
@@ -96,3 +96,10 @@ def test_documents_run_over_blocks(spark, tmp_path, block):
 def test_empty_tables(spark):
     none = documents(spark, [])
     assert packing.pack(none).count() == 0 and token_files.token_counts(spark, none).count() == 0
+
+
+def test_paths_without_a_scheme_lie_in_the_default_file_system(spark, tmp_path):
+    assert qualified(spark, str(tmp_path)) == f"file:{tmp_path}" and qualified(spark, f"file://{tmp_path}").startswith("file:/")
+    system, path = open_folder(qualified(spark, str(tmp_path)))
+    assert path == str(tmp_path) and system.type_name == "local"
+    assert shared_folder(spark, "x").startswith("file:/")

@@ -35,8 +35,14 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     if not root:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-        _own_folder = root = _own_folder or tempfile.mkdtemp(prefix="run-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        _own_folder = root = _own_folder or "file:" + tempfile.mkdtemp(prefix="run-")
+    return f"{qualified(spark, root).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with its scheme: one without a scheme lies in the default file system, for tasks as for Spark itself."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -118,12 +124,14 @@ def text_key() -> F.Column:
 def keep_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose ``doc_id`` and text hash are in ``keys`` (doc_id, text_key), one for each key.
 
-    Of rows that repeat a key, the one with the greatest columns stays. All columns of ``docs`` are kept.
+    Of rows that repeat a key, the one whose other columns have the greatest hash stays. All columns of ``docs`` are kept,
+    whatever their types.
     """
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id")  # plain equality, so texts are shuffled once
-    own = docs.select(name, text_key().alias("_key"), F.struct(*[f"`{c}`" for c in docs.columns]).alias("_row"))
+    others = F.to_json(F.struct(*[f"`{c}`" for c in docs.columns if c not in ("doc_id", "text")], F.lit(0).alias("_")))
+    own = docs.select(name, text_key().alias("_key"), F.struct(*[f"`{c}`" for c in docs.columns]).alias("_row"), F.xxhash64(others).alias("_turn"))
     held = own.join(keys.select(name, F.col("text_key").alias("_key")), ["_key", "_id"], "left_semi")
-    return held.groupBy("_key", "_id").agg(F.max("_row").alias("_row")).select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
+    return held.groupBy("_key", "_id").agg(F.max_by("_row", "_turn").alias("_row")).select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
 def filter_rows(docs: DataFrame, keep: Callable) -> DataFrame:

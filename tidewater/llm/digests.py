@@ -34,15 +34,22 @@ class DigestIndex:
         out = rows.write.bucketBy(self.buckets, "digest").sortBy("digest").mode("append")
         (out.option("path", self.path) if self.path else out).saveAsTable(self.table)
 
-    def absorb(self, docs: DataFrame) -> DataFrame:
+    def drop(self) -> None:
+        """Take the table out of the catalog; results of :meth:`absorb` do not need it any more."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
+    def absorb(self, docs: DataFrame, batch: str | None = None) -> DataFrame:
         """Decide which rows of ``docs`` (doc_id, text) stay, and add their digests to the index.
 
         Of equal texts the row with the most code points stays, then the smallest ``doc_id``, then any one of repeated
         rows; a row without ``doc_id`` yields to one with it. A text known from an earlier batch goes, and ``keep_id``
         names the document that brought it. Gives one row per row of ``docs``: doc_id, keep_id, group_size (rows of
         this batch with that text), kept, text_sha256. Other columns of ``docs`` are ignored. An empty batch gives no rows.
+
+        A ``batch`` that has a name may be absorbed again, as after a failure: digests that it brought itself count as new,
+        and none is added twice.
         """
-        batch = uuid.uuid4().hex
+        batch = batch or uuid.uuid4().hex
         rows = written(
             docs.select(
                 "doc_id", digest(F.col("text")).alias("digest"),
@@ -57,10 +64,12 @@ class DigestIndex:
         dealt = groups.repartition(self.buckets, "digest")  # as the index lies, whatever the number of shuffle partitions
         fresh = dealt.join(self.spark.table(self.table).hint("merge"), "digest", "left_anti")
         self._append(fresh.select("digest", "keep_id", "keep_row", F.lit(batch).alias("batch")))
-        known = self.spark.table(self.table).hint("merge")
+        known = self.spark.table(self.table).hint("merge").select("digest", F.col("keep_id").alias("known_id"), "batch")
+        own = F.col("batch") == batch
         verdicts = written(
-            dealt.select("digest", "group_size").join(known, "digest")
-            .withColumn("keep_row", F.when(F.col("batch") == batch, F.col("keep_row"))).drop("batch"), "digest-verdicts")
+            dealt.join(known, "digest").select(
+                "digest", "group_size", F.when(own, F.col("keep_id")).otherwise(F.col("known_id")).alias("keep_id"),
+                F.when(own, F.col("keep_row")).alias("keep_row")), "digest-verdicts")
         return rows.join(verdicts, "digest").select(
             "doc_id", "keep_id", "group_size", F.coalesce(F.col("row") == F.col("keep_row"), F.lit(False)).alias("kept"),
             F.col("digest").alias("text_sha256"), "text_key")

@@ -62,13 +62,17 @@ def probe(h: np.ndarray, k: int) -> np.ndarray:
 
 
 def _sample(docs: DataFrame, max_docs: int) -> DataFrame:
-    """Texts of about ``max_docs`` documents of each language, chosen by a hash of the text."""
-    known = docs.where("lang is not null and text is not null").select("text", "lang")
+    """Texts of at most about ``max_docs`` documents of each language, chosen by a hash of ``doc_id`` and text.
+
+    A text that many documents share is drawn as often as its share of them; rows that are repeated whole count once.
+    """
+    known = docs.where("lang is not null and text is not null").select("text", "lang", "doc_id")
     sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per language
     if not sizes:
-        return known
+        return known.select("text", "lang")
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r.lang, int(min(1.0, max_docs / r.n) * (1 << 30)))])
-    return known.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.element_at(share, F.col("lang")))
+    drawn = known.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.element_at(share, F.col("lang")))
+    return drawn.dropDuplicates(["doc_id", "text", "lang"]).select("text", "lang")
 
 
 def _document_counts(sample: DataFrame) -> DataFrame:

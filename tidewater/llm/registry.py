@@ -44,7 +44,10 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests.open_index(spark).absorb(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_key")
+    index = digests.open_index(spark)
+    found = index.absorb(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_key")
+    index.drop()
+    return found
 
 
 OP3_SQL = r"""

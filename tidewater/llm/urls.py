@@ -17,6 +17,8 @@ MAX_URLS = 20_000
 TREES, DEPTH, STEP = 12, 4, 0.3
 #: Weight of the overall share in the share of a suffix.
 PRIOR = 20.0
+#: Parts of the labelled URLs; a row is judged by the suffix shares of the others.
+FOLDS = 5
 SUFFIXES = ("top", "domain", "folder", "ending")
 LEXICAL = ("length", "host_length", "path_length", "depth", "labels", "digits", "host_digits", "hyphens", "entropy", "parameters", "query_length", "secure")
 
@@ -71,22 +73,32 @@ def with_shares(pages: DataFrame, labelled: DataFrame) -> DataFrame:
     """Add for each kind of suffix the share of ``labelled`` rows (``label`` 1) with that suffix, drawn to the overall share.
 
     Shares are counted over all labelled rows, with partial sums before the shuffle; a suffix unknown there has the
-    overall share.
+    overall share. A row with a label has the share among the rows of the other folds, so its own label, and those of
+    rows that repeat its URL, are no part of it.
     """
     overall = written(labelled.agg(F.coalesce(F.avg("label"), F.lit(0.5)).alias("overall")), "url-overall")
     mean = overall.first()[0]
+    fold = F.pmod(F.xxhash64(F.lit("fold"), F.coalesce("url", F.lit(""))), F.lit(FOLDS)).cast("int")
+    pages = pages.withColumn("_fold", F.when(F.col("label").isNotNull(), fold))
     for kind in SUFFIXES:
-        seen = labelled.groupBy(F.col(kind).alias(f"_{kind}")).agg(((F.sum("label") + PRIOR * mean) / (F.count(F.lit(1)) + PRIOR)).alias(f"{kind}_share"))
+        per = [f(F.when(fold == k, F.col("label"))) for k in range(FOLDS) for f in (F.sum, F.count)]
+        seen = labelled.groupBy(F.col(kind).alias(f"_{kind}")).agg(
+            F.sum("label").alias("_sum"), F.count("label").cast("double").alias("_n"),
+            F.array(*[F.struct(F.coalesce(s, F.lit(0.0)).alias("sum"), n.cast("double").alias("n")) for s, n in zip(per[::2], per[1::2], strict=True)]).alias("_folds"))
         seen = written(seen, "url-shares")
-        pages = pages.join(seen, F.col(kind) == F.col(f"_{kind}"), "left").drop(f"_{kind}").withColumn(f"{kind}_share", F.coalesce(f"{kind}_share", F.lit(mean)))
-    return pages
+        out = F.get("_folds", F.col("_fold"))
+        share = (F.col("_sum") - F.coalesce(out["sum"], F.lit(0.0)) + PRIOR * mean) / (F.col("_n") - F.coalesce(out["n"], F.lit(0.0)) + PRIOR)
+        pages = pages.join(seen, F.col(kind) == F.col(f"_{kind}"), "left").withColumn(f"{kind}_share", F.coalesce(share, F.lit(mean)))
+        pages = pages.drop(f"_{kind}", "_sum", "_n", "_folds")
+    return pages.drop("_fold")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], max_urls: int = MAX_URLS) -> DataFrame:
     """Judge every page by its URL: page_id, host, path, rule, verdict, score (the trees' chance of block).
 
     The verdict is that of the longest rule that fits. Pages that a rule decides are the labelled URLs; the trees are
-    grown on about ``max_urls`` of them, chosen by a hash of the URL, and judge all pages without a rule: block at 0.5
+    grown on at most about ``max_urls`` of them, chosen by a hash of page_id and URL, rows that are repeated whole
+    counting once, and judge all pages without a rule: block at 0.5
     or more. Without labelled URLs of both kinds the one kind there is holds for all, or allow. A missing URL, or one
     without ``://``, has an empty host and path. Other columns are ignored; repeated rows give repeated rows.
     """
@@ -103,7 +115,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], max_urls: int = M
         shared = with_shares(rows.withColumn("label", (F.col("ruling") == "block").cast("double")), labelled)
         columns = [*LEXICAL, *(f"{k}_share" for k in SUFFIXES)]
         assembler = VectorAssembler(inputCols=columns, outputCol="features")
-        train = shared.where(F.col("label").isNotNull() & (F.pmod(F.xxhash64("url"), F.lit(1 << 30)) < share))
+        train = shared.where(F.col("label").isNotNull() & (F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 30)) < share)).dropDuplicates(["page_id", "url"])
         train = written(train.select("label", *columns), "url-train")
         trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=6).fit(assembler.transform(train))
         judged = trees.transform(assembler.transform(shared)).withColumn("score", vector_to_array("probability")[1])
