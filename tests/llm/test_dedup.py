@@ -230,3 +230,12 @@ def test_the_index_is_not_shuffled(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert plan.count("Exchange") == 1 and "Bucketed: true" in plan and "SortMergeJoin" in plan
+
+
+def test_many_removed_runs_in_one_text(spark):
+    shared = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(60))
+    n = 40_000
+    text = "".join(f"{i:06d}{shared}" for i in range(n))
+    got = {r.doc_id: r for r in repeats.remove_repeats(documents(spark, [(1, shared), (2, text)])).collect()}
+    assert (got[2].n_spans, got[2].n_removed, got[2].n_bytes) == (n, 60 * n, 66 * n)
+    assert bytes(got[2].kept).decode() == "".join(f"{i:06d}" for i in range(n)) and got[1].n_removed == 0

@@ -103,3 +103,10 @@ def test_paths_without_a_scheme_lie_in_the_default_file_system(spark, tmp_path):
     system, path = open_folder(qualified(spark, str(tmp_path)))
     assert path == str(tmp_path) and system.type_name == "local"
     assert shared_folder(spark, "x").startswith("file:/")
+
+
+def test_ids_that_do_not_fit_are_an_error():
+    assert token_files._narrow(np.array([0, 65_535], "<u4").tobytes(), 2) == np.array([0, 65_535], "<u2").tobytes()
+    with pytest.raises(ValueError, match="2 bytes"):
+        token_files._narrow(np.array([7, 65_536], "<u4").tobytes(), 2)
+    assert token_files._narrow(b"", 2) == b""

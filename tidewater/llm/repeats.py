@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tidewater.llm.common import map_arrow, text_slices, written
 from tidewater.llm.hashing import mix, powers, prefix_sums
@@ -460,22 +460,18 @@ def remove_repeats(docs: DataFrame, min_bytes: int = 50, crowd: int = CROWD) ->
     doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (the remaining bytes). Other columns are ignored.
     """
     texts = keyed(docs)
-    lists = repeated_spans(texts, min_bytes, crowd).groupBy("d", "ver").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
-    rows = texts.join(lists, ["d", "ver"], "left").select("doc_id", F.col("text").cast("binary").alias("data"), "spans")
-
-    # Walk over the sorted spans: the stretches between them, how far they reach, and how many runs they make.
-    start = F.struct(F.array().cast("array<struct<a:int,b:int>>").alias("gaps"), F.lit(0).alias("reach"), F.lit(0).alias("runs"))
-
-    def take(acc, span):
-        apart = span["start"] > acc["reach"]
-        gaps = F.when(apart, F.concat(acc["gaps"], F.array(F.struct(acc["reach"].alias("a"), span["start"].alias("b"))))).otherwise(acc["gaps"])
-        return F.struct(gaps.alias("gaps"), F.greatest(acc["reach"], span["stop"]).alias("reach"),
-                        (acc["runs"] + (apart | (acc["runs"] == 0)).cast("int")).alias("runs"))
-
+    # The spans of a document in order: where a span begins behind all before it, a stretch is left between.
+    before = W.partitionBy("d", "ver").orderBy("start", "stop").rowsBetween(W.unboundedPreceding, -1)
+    reach = F.max("stop").over(before)
+    walked = repeated_spans(texts, min_bytes, crowd).select("d", "ver", "start", "stop", reach.alias("reach"))
+    apart = F.col("start") > F.coalesce("reach", F.lit(0))
+    runs = walked.groupBy("d", "ver").agg(
+        F.array_sort(F.collect_list(F.when(apart, F.struct(F.coalesce("reach", F.lit(0)).alias("a"), F.col("start").alias("b"))))).alias("gaps"),
+        F.max("stop").alias("reach"), F.sum((apart | F.col("reach").isNull()).cast("long")).alias("runs"))
+    rows = texts.join(runs, ["d", "ver"], "left").select("doc_id", F.col("text").cast("binary").alias("data"), "gaps", "reach", "runs")
     n = F.length("data")
-    walked = rows.withColumn("walk", F.aggregate("spans", start, take))
-    stretches = F.concat("walk.gaps", F.array(F.struct(F.col("walk.reach").alias("a"), n.alias("b"))))
+    stretches = F.concat("gaps", F.array(F.struct(F.col("reach").alias("a"), n.alias("b"))))
     pieces = F.transform(stretches, lambda g: F.hex(F.substring("data", g["a"] + 1, g["b"] - g["a"])))
-    kept = F.when(F.col("walk").isNull(), F.col("data")).otherwise(F.unhex(F.array_join(pieces, "")))
-    return walked.select("doc_id", n.cast("long").alias("n_bytes"), F.coalesce("walk.runs", F.lit(0)).cast("long").alias("n_spans"), kept.alias("kept")).select(
+    kept = F.when(F.col("runs").isNull(), F.col("data")).otherwise(F.unhex(F.array_join(pieces, "")))
+    return rows.select("doc_id", n.cast("long").alias("n_bytes"), F.coalesce("runs", F.lit(0)).cast("long").alias("n_spans"), kept.alias("kept")).select(
         "doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), "n_spans", "kept")

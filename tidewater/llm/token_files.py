@@ -16,6 +16,14 @@ from tidewater.llm.tokens import encoder
 BLOCK_BYTES = 4 << 20
 
 
+def _narrow(ids: bytes, width: int) -> bytes:
+    """The ids in ``width`` bytes each; one that does not fit is an error."""
+    wide = np.frombuffer(ids, "<u4")
+    if wide.max(initial=0) >> (8 * width):
+        raise ValueError(f"an id does not fit in {width} bytes")
+    return wide.astype(f"<u{width}").tobytes()
+
+
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int, width: int = 2) -> DataFrame:
     """Write the token ids of ``docs``, each document followed by ``end_id``, to flat little-endian files in ``folder``.
 
@@ -31,7 +39,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
         try:
             for batch in batches:
                 for _, _, texts in row_slices(batch.column("text")):
-                    data = b"".join(np.frombuffer(ids, np.uint32).astype(f"<u{width}").tobytes() + end for ids in enc.encode(texts))
+                    data = b"".join(_narrow(ids, width) + end for ids in enc.encode(texts))
                     out = out or system.open_output_stream(f"{root}/{name}")
                     out.write(data)
                     size += len(data)
@@ -85,17 +93,18 @@ def count_documents(blocks: DataFrame) -> DataFrame:
     document that is not terminated; two separators in a row enclose a document of no tokens.
     """
     before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    sized = blocks.withColumn("n_ends", F.size("ends")).withColumn("at", F.coalesce(F.sum("n_tokens").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    placed = (sized.withColumn("last_end", F.when(F.col("n_ends") > 0, F.col("at") + F.element_at("ends", -1)))
-              .withColumn("ordinal", F.coalesce(F.sum("n_ends").over(before), F.lit(0)))
-              .withColumn("carry", F.col("at") - F.coalesce(F.max("last_end").over(before) + 1, F.lit(0))))
+    # The scan runs over a few numbers a block; the places of the separators stay with their block.
+    sizes = blocks.select("file", "block", "n_tokens", F.size("ends").cast("long").alias("n_ends"), F.try_element_at("ends", F.lit(-1)).alias("own_end"))
+    sized = sizes.withColumn("at", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).withColumn("last_end", F.col("at") + F.col("own_end"))
+    scanned = (sized.withColumn("ordinal", F.coalesce(F.sum("n_ends").over(before), F.lit(0)))
+               .withColumn("carry", F.col("at") - F.coalesce(F.max("last_end").over(before) + 1, F.lit(0))))
+    placed = blocks.select("file", "block", "ends").join(scanned.select("file", "block", "ordinal", "carry"), ["file", "block"])
     # Each block gives the documents that end in it; lengths are gaps between separators, the first one with the carry.
     gaps = F.expr("transform(ends, (e, i) -> if(i = 0, e + carry, e - ends[i - 1] - 1))")
     ended = placed.select("file", "ordinal", F.posexplode(gaps).alias("k", "n_tokens")).select(
         "file", (F.col("ordinal") + F.col("k")).alias("ordinal"), "n_tokens", F.lit(True).alias("terminated"))
-    rest = blocks.groupBy("file").agg(F.sum("n_tokens").alias("n"), F.sum(F.size("ends")).cast("long").alias("ordinal"))
-    lasts = placed.groupBy("file").agg(F.max("last_end").alias("last_end"))
-    open_ended = rest.join(lasts, "file").select("file", "ordinal", (F.col("n") - F.coalesce(F.col("last_end") + 1, F.lit(0))).alias("n_tokens"), F.lit(False).alias("terminated"))
+    rest = sized.groupBy("file").agg(F.sum("n_tokens").alias("n"), F.sum("n_ends").alias("ordinal"), F.max("last_end").alias("last_end"))
+    open_ended = rest.select("file", "ordinal", (F.col("n") - F.coalesce(F.col("last_end") + 1, F.lit(0))).alias("n_tokens"), F.lit(False).alias("terminated"))
     return ended.unionByName(open_ended.where("n_tokens > 0"))
 
 
