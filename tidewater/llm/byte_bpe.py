@@ -6,6 +6,7 @@ import base64
 import heapq
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from tidewater.llm.common import map_arrow, row_slices
 from tidewater.llm.tokens import public_path
 
 #: Pieces that a worker remembers before it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 #: Characters cut into pieces at once; a longer text is parted before a blank between two non-blanks, where no piece crosses.
 SPAN_CHARS = 1 << 18
 #: Cells of a matrix of pieces.
@@ -91,7 +92,6 @@ class ByteBPE:
         missing = [b for b in range(256) if bytes([b]) not in self.ranks]
         if missing:
             raise ValueError("the rank file lacks single bytes")
-        self.pairs = PairTable(self.ranks)
         self.first = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.pattern = regex.compile(pattern)
         tokens = sorted(self.ranks.items(), key=lambda t: t[1])
@@ -101,6 +101,11 @@ class ByteBPE:
         self.bytes = np.frombuffer(b"".join(t for t, _ in tokens), np.uint8)
         self.known: dict[str, bytes] = {}
 
+    @cached_property
+    def pairs(self) -> PairTable:
+        """The hash table of pairs, which only encoding needs."""
+        return PairTable(self.ranks)
+
     def pieces(self, text: str) -> Iterator[list[str]]:
         """The matches of the pattern, a span of the text at a time."""
         first = 0
