@@ -2,6 +2,8 @@
 
 import glob
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -10,7 +12,8 @@ import __spark_entry__ as entry_points
 
 SF = "/root/testdata/sf0.001"
 CHOSEN = ["haul_preparation", "cpue_by_day", "fleet_metrics", "effort_table", "catch_by_rect", "sampling_overview",
-          "median_and_interval", "raised_length_totals", "process_error", "yearly_figures", "advice_table", "survey_files_parsed"]
+          "median_and_interval", "raised_length_totals", "process_error", "yearly_figures", "advice_table", "survey_files_parsed",
+          "saved_runs_reloaded", "files_that_arrive_later", "long_report_by_lines", "texts_of_large_groups", "days_that_roll_up"]
 
 
 @pytest.fixture(scope="module")
@@ -25,6 +28,11 @@ def test_every_twin_belongs_to_a_query():
     assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
 
 
+def test_the_registry_needs_no_session():
+    code = "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(entry_points.__file__), timeout=120)
+
+
 def test_entry_returns_rows(spark):
     df = entry_points.entry(spark)
     assert df.columns == ["fleet", "year", "cpue", "n"] and df.count() > 0

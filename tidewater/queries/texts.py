@@ -170,7 +170,8 @@ def supplier_files(spark, sf, folder: str, regions: Column | None = None) -> Non
         "nation").options(header=True, sep=";").mode("append").csv(folder)
 
 
-NATION = F.regexp_extract("file", r"nation=([0-9]+)/", 1).cast("int").alias("nation")
+def nation_of_file() -> Column:
+    return F.regexp_extract("file", r"nation=([0-9]+)/", 1).cast("int").alias("nation")
 
 
 @query("delimited_files_in_folders", "SELECT s_nationkey AS nation, count(*) AS n, sum(s_acctbal) AS balance FROM supplier GROUP BY ALL", digits={"balance": 4})
@@ -180,7 +181,7 @@ def delimited_files_in_folders(spark, sf):
     supplier_files(spark, sf, folder)
     write_result(table(spark, sf, "nation"), f"{folder}/nations", "parquet")
     rows = text.read_many(spark, folder, "part-*.csv", SUPPLIER_CSV, sep=";")
-    return rows.groupBy(NATION).agg(F.count(F.lit(1)).alias("n"), F.sum("s_acctbal").alias("balance"))
+    return rows.groupBy(nation_of_file()).agg(F.count(F.lit(1)).alias("n"), F.sum("s_acctbal").alias("balance"))
 
 
 @query("files_without_match", "SELECT NULL::BIGINT AS s_suppkey, NULL::DOUBLE AS s_acctbal WHERE false")
@@ -197,7 +198,7 @@ def files_that_arrive_later(spark, sf):
     for some in (F.col("s_nationkey") < 10, F.col("s_nationkey") >= 10, F.lit(False)):
         supplier_files(spark, sf, folder, some)
         rows = absorb_new_files(spark, folder, "part-*.csv", SUPPLIER_CSV, store, log, sep=";", files_per_batch=20)
-    return rows.groupBy(NATION).agg(F.count(F.lit(1)).alias("n"), F.sum("s_acctbal").alias("balance"))
+    return rows.groupBy(nation_of_file()).agg(F.count(F.lit(1)).alias("n"), F.sum("s_acctbal").alias("balance"))
 
 
 @query("saved_runs_reloaded", f"""WITH {HAUL_SQL} SELECT CAST(year AS VARCHAR) AS run_id, fleet, sum(catch) * CASE WHEN year = 1998 THEN 2 ELSE 1 END AS catch
