@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidewater.functions.bins import bin_log10
 from tidewater.functions.text import strip_spaces
-from tidewater.operators.aggregates import crosstab, sum0, sum_cols, wmean
+from tidewater.operators.aggregates import crosstab, quantiles_spread, sum0, sum_cols, wmean
 from tidewater.operators.filters import maybe_filter
 from tidewater.operators.joins import left_join
 from tidewater.operators.reshape import melt
@@ -148,11 +148,9 @@ def sop_share(t2: DataFrame) -> DataFrame:
 
 
 def order_by_total(df: DataFrame, key: str, value: str, by_median: bool = False) -> DataFrame:
-    """Categories in order of their total, or of the median of their values."""
+    """Categories in order of their total, or of the median of their values; a category may hold any number of rows."""
     if by_median:
-        from tidewater.operators.aggregates import quantiles
-
-        per = quantiles(df, [key], value, (0.5,), (value,))
+        per = quantiles_spread(df, [key], value, (0.5,), (value,))
     else:
         per = df.groupBy(key).agg(F.sum(value).alias(value))
     return per.orderBy(value, key)
