@@ -160,9 +160,9 @@ def _spread(fit: AbsorbedFit, values: DataFrame, search: bool) -> float:
 def _figures(fit: AbsorbedFit, values: DataFrame) -> None:
     n, y, yt, th = F.col("n"), F.col("y"), F.col("yt"), F.col("th")
     one = values.withColumns({"th": F.lit(fit.theta), "yt": y + F.lit(fit.theta), "y1": y + 1}).agg(
-        F.sum("n").alias("n"), F.sum(n * (y * F.log(F.greatest(y, F.lit(1.0))) - yt * F.log(yt))).alias("d"),
-        F.sum(n * (lgamma("yt") - lgamma("th") - lgamma("y1") + th * F.log(th))).alias("l")).first()
-    of_mean = F.col("sy") * F.col("eta") - (F.col("sy") + n * fit.theta) * F.log(F.exp("eta") + fit.theta)
+        F.sum("n").alias("n"), F.sum(n * (y * F.log(F.greatest(y, F.lit(1.0))) - yt * F.log1p(y / th))).alias("d"),
+        F.sum(n * (lgamma("yt") - lgamma("th") - lgamma("y1") - y * F.log(th))).alias("l")).first()
+    of_mean = F.col("sy") * F.col("eta") - (F.col("sy") + n * fit.theta) * F.log1p(F.exp("eta") / fit.theta)
     m = fit.cells.agg(F.sum(of_mean).alias("m")).first()["m"]
     if one["n"] is not None:
         fit.n, fit.deviance, fit.twologlik = int(one["n"]), 2 * (one["d"] - m), 2 * (one["l"] + m)

@@ -229,12 +229,12 @@ def _with_theta(values: DataFrame, fits: Sequence[Fit]) -> DataFrame:
 
 
 def _figures(model: _Model, fits: Sequence[Fit]) -> None:
-    """Deviance and log-likelihood of the fitted groups."""
+    """Deviance and log-likelihood of the fitted groups; the logarithm of the spread cancels out and is left out, as it would drown the rest."""
     n, y, mu, sy, th, yt = (F.col(c) for c in ("n", "y", "mu", "sy", "th", "yt"))
     single = _with_theta(model.values, fits).select(
-        "g", n.alias("n"), (n * (y * F.log(F.greatest(y, F.lit(1.0))) - yt * F.log(yt))).alias("d"),
-        (n * (lgamma("yt") - lgamma("th") - lgamma("y1") + th * F.log(th))).alias("l"))
-    of_mean = sy * F.log(mu) - (sy + n * th) * F.log(mu + th)
+        "g", n.alias("n"), (n * (y * F.log(F.greatest(y, F.lit(1.0))) - yt * F.log1p(y / th))).alias("d"),
+        (n * (lgamma("yt") - lgamma("th") - lgamma("y1") - y * F.log(th))).alias("l"))
+    of_mean = sy * F.log(mu) - (sy + n * th) * F.log1p(mu / th)
     cell = _means(model.cells, fits).withColumn("th", _per_group(fits, lambda f: f.theta)).select(
         "g", F.lit(0.0).alias("n"), (-of_mean).alias("d"), of_mean.alias("l"))
     for r in single.unionByName(cell).groupBy("g").agg(*[F.sum(c).alias(c) for c in ("n", "d", "l")]).collect():

@@ -82,7 +82,7 @@ def index_score_sums(spark, sf):
 
 
 # Models whose means are closed-form: one mean for all, yearly means, and means of year and week. The spread is the root
-# of the score, found by bisection; digamma is its asymptotic series above x + 8.
+# of the score, found by bisection up to 1e6, the model's Poisson limit; digamma is its asymptotic series above x + 8.
 def _digamma_sql(x: str) -> str:
     z = f"({x} + 8)"
     series = f"(1.0::DOUBLE / 12 - (1.0::DOUBLE / 120 - (1.0::DOUBLE / 252 - (1.0::DOUBLE / 240 - 1.0::DOUBLE / 132 / ({z} * {z})) / ({z} * {z})) / ({z} * {z})) / ({z} * {z}))"
@@ -94,7 +94,7 @@ NESTED_SQL = f"""{BYDAY_SQL}, obs AS (SELECT cpue_day AS y, year, season, avg(cp
   avg(cpue_day) OVER (PARTITION BY year, season) AS m2 FROM (SELECT cpue_day, year, week // 4 AS season FROM byday)),
 means AS MATERIALIZED (SELECT k, y, CASE k WHEN 0 THEN m0 WHEN 1 THEN m1 ELSE m2 END AS mu FROM obs CROSS JOIN (VALUES (0), (1), (2)) t(k)),
 sizes AS (SELECT 0 AS k, 1 AS p UNION ALL SELECT 1, count(DISTINCT year) FROM obs UNION ALL SELECT 2, count(DISTINCT (year, season)) FROM obs),
-solve(step, k, lo, hi) AS (SELECT 0, k, -5.0::DOUBLE, 12.0::DOUBLE FROM sizes UNION ALL
+solve(step, k, lo, hi) AS (SELECT 0, k, -5.0::DOUBLE, ln(1e6) FROM sizes UNION ALL
   SELECT step + 1, k, CASE WHEN score > 0 THEN (lo + hi) / 2 ELSE lo END, CASE WHEN score > 0 THEN hi ELSE (lo + hi) / 2 END
   FROM (SELECT step, k, lo, hi, sum({_digamma_sql('(y + th)')} - {_digamma_sql('th')} + ln(th) + 1 - ln(th + mu) - (y + th) / (mu + th)) AS score
     FROM (SELECT s.step, s.k, s.lo, s.hi, exp((s.lo + s.hi) / 2) AS th, y, mu FROM solve s JOIN means USING (k) WHERE s.step < 50) GROUP BY step, k, lo, hi)),
