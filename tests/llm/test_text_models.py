@@ -2,6 +2,7 @@
 
 import random
 import re
+from itertools import accumulate
 
 import numpy as np
 import pytest
@@ -248,6 +249,52 @@ def test_recall_of_character_edits():
     assert near > 380
 
 
+@pytest.mark.parametrize("least,most", [(5, 5), (6, 6), (4, 6), (5, 6), (3, 7)])
+@pytest.mark.parametrize("kinds", ["s", "sid"])
+def test_recall_of_evenly_spread_edits(least, most, kinds):
+    """Edits at even gaps leave few clean stretches: of the items within the threshold, 0.9 and more are found."""
+    r = random.Random(10 * least + most)
+    items = [(k, prose(500 + k, r.randrange(25, 70))) for k in range(80)]
+    tables = decontaminate.ItemTables(items, 0.8)
+    near = found = 0
+    for k, text, n, allowed in tables.items:
+        places = list(accumulate(r.randint(least, most) for _ in range(n)))
+        wrong = edited(text, [p for p in places if p < n][:allowed], r, kinds)
+        doc = f"{prose(k, 30)} {wrong} {prose(k + 99, 30)}"
+        if decontaminate.edit_distance(text, doc) <= allowed:
+            near += 1
+            found += (0, k) in found_items(tables, doc)
+    assert near >= 40 and found >= 0.9 * near, (found, near)
+
+
+def test_recall_of_a_replaced_block():
+    r = random.Random(17)
+    items = [(k, prose(500 + k, r.randrange(25, 70))) for k in range(80)]
+    tables = decontaminate.ItemTables(items, 0.8)
+    for k, text, n, allowed in tables.items:
+        first = r.randrange(n - allowed)
+        assert (0, k) in found_items(tables, f"{prose(k, 30)} {text[:first]}{'q' * allowed}{text[first + allowed :]} {prose(k + 99, 30)}")
+
+
+def test_a_walk_emits_its_sampled_steps():
+    """The table of triples takes the steps that the rule takes one by one."""
+    rng = np.random.default_rng([8, 3])
+    steps = 3 * decontaminate.ROUNDS
+    sampled = set(rng.choice(steps, decontaminate.SAMPLED, replace=False).tolist())
+    go, value = rng.integers(0, 2, (steps, 32), dtype=np.uint32), rng.integers(0, 1 << 30, (steps, 32), dtype=np.uint32)
+    text = prose(3, 12)
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    starts = np.arange(len(text))
+    for start, key in zip(starts, decontaminate.Walk(3).keys(decontaminate.triples(points), starts), strict=True):
+        at, parts = start, [0] * decontaminate.ROUNDS
+        for step in range(steps):
+            c = ord(text[at]) & 31 if at < len(text) else 0
+            parts[step // 3] += int(value[step, c]) * (step in sampled)
+            at += int(go[step, c])
+        want = sum(part % (1 << 30) for part in parts) * 0x9E3779B1 % (1 << 32)
+        assert key == want ^ want >> 15
+
+
 def test_one_wrong_letter_in_every_word():
     item = "another wonderful morning brought several travellers towards distant northern harbours"
     wrong = " ".join(w[:3] + "q" + w[4:] for w in item.split())

@@ -1,9 +1,10 @@
-"""Benchmark decontamination: rare character grams of the items, counted by diagonals, then edit verification."""
+"""Benchmark decontamination: random-walk embedding, repeated bit sampling over item-sized windows, edit verification."""
 
 from __future__ import annotations
 
 import math
 import unicodedata
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -13,13 +14,15 @@ from pyspark.sql import DataFrame, functions as F
 from tidewater.llm.common import filter_rows, map_arrow, text_key, text_slices
 
 #: Bytes of benchmark text that one pass over the documents looks for; more items take more passes.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 256 << 10
 #: Bytes of one text that are searched at once.
 PIECE = 4 << 20
-#: Longest grams, and the grams of long items, of which one in ``SHARE`` characters is looked for.
-GRAM, RARE, SHARE = 8, 5, 3
-#: Standard deviations that the grams to be met lie below those that random edits at the threshold leave, and most of them.
-SPREAD, MOST_NEED = 1.6, 14
+#: Longest grams of short items, and the length from which items are found by walks.
+GRAM, WALK_FROM = 8, 64
+#: Random walks, their rounds of three steps, the steps of each that are sampled, and the characters between starts in a text.
+WALKS, ROUNDS, SAMPLED, STRIDE = 20, 10, 14, 4
+#: Places with equal keys that a window must hold, and how many of so many parts of its length they must lie in (short and long items).
+NEED, SPREAD, PARTS, LONG = 4, (3, 4), 8, 128
 #: Equal grams of a stretch of text and items that are held at once, about.
 HITS = 1 << 21
 _SLOTS = 20
@@ -70,26 +73,74 @@ def edit_distance(pattern: str, text: str) -> int:
         masks[c] = masks.get(c, 0) | 1 << i
     full, high = (1 << m) - 1, 1 << (m - 1)
     up, down, score, best = full, 0, m, m
-    for c in text:
-        eq = masks.get(c, 0)
+    for eq in map(masks.get, text, repeat(0)):
         diagonal = (((eq & up) + up) ^ up) | eq | down
         horizontal_up, horizontal_down = down | (full & ~(diagonal | up)), up & diagonal
-        score += bool(horizontal_up & high) - bool(horizontal_down & high)
-        best = min(best, score)
-        horizontal_up, horizontal_down = (horizontal_up << 1) & full, (horizontal_down << 1) & full
-        up, down = horizontal_down | (full & ~(diagonal | horizontal_up)), horizontal_up & diagonal
+        if horizontal_up & high:
+            score += 1
+        elif horizontal_down & high:
+            score -= 1
+            if score < best:
+                best = score
+        horizontal_up <<= 1
+        up, down = horizontal_down << 1 & full | (full & ~(diagonal | horizontal_up)), horizontal_up & diagonal & full
     return best
 
 
+class Walk:
+    """A random walk over characters (CGK), of which some steps are sampled.
+
+    At each step the walk emits the character that it stands on and, by a random bit drawn for the step and the character,
+    stays or goes on to the next. Two texts that differ by an edit fall out of step there and in step again by chance, so
+    their edit distance becomes a number of steps that differ. The sampled steps of a walk are its key. Three steps read
+    three characters at most, so a table of all triples (five bits a character) takes them at once.
+    """
+
+    def __init__(self, seed: int):
+        rng = np.random.default_rng([8, seed])
+        sampled = np.zeros(3 * ROUNDS, bool)
+        sampled[rng.choice(3 * ROUNDS, SAMPLED, replace=False)] = True
+        go = rng.integers(0, 2, (3 * ROUNDS, 32), dtype=np.uint32)
+        value = rng.integers(0, 1 << 30, (3 * ROUNDS, 32), dtype=np.uint32) << np.uint32(2)
+        triples = np.stack([np.arange(1 << 15) >> shift & 31 for shift in (10, 5, 0)])
+        self.rounds = []
+        for first in range(0, 3 * ROUNDS, 3):
+            place, key = np.zeros(1 << 15, np.uint32), np.zeros(1 << 15, np.uint32)
+            for step in range(first, first + 3):
+                here = triples[place, np.arange(1 << 15)]
+                key += value[step, here] * sampled[step]
+                place += go[step, here]
+            self.rounds.append(key | place)  # the low two bits are the characters gone
+
+    def keys(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Key of the walk from each start, over the triples of :func:`triples`."""
+        out = np.zeros(len(starts), np.uint32)
+        for first in range(0, len(starts), 1 << 14):  # as many as the caches hold
+            at, key = starts[first : first + (1 << 14)].copy(), out[first : first + (1 << 14)]
+            for table in self.rounds:
+                taken = table.take(codes.take(at))
+                key += taken >> np.uint32(2)
+                at += taken & np.uint32(3)
+        out *= np.uint32(0x9E3779B1)
+        return out ^ out >> np.uint32(15)
+
+
+def triples(points: np.ndarray) -> np.ndarray:
+    """Five bits of each character and the two behind it; blanks follow the end."""
+    c = np.concatenate([points & 31, np.zeros(3 * ROUNDS + 2, np.uint32)]).astype(np.uint16)
+    return c[:-2] << np.uint16(10) | c[1:-1] << np.uint16(5) | c[2:]
+
+
 class ItemTables:
-    """Grams of a block of benchmark items, by hash.
+    """Keys of a block of benchmark items.
 
-    A passage within ``most`` edits of an item holds grams of it as they are, and their diagonals (place in the text less
-    place in the item) lie within ``most`` of one another. Passages with ``need`` such grams or more are verified.
+    Where a text holds an item with edits, walks that start at the same place of both meet in many keys, and the diagonals
+    of these (place in the text less place in the item) lie within ``most`` edits of one another, so an item-sized window
+    holds them. Windows with ``need`` equal keys or more are verified. Walks start at every place of an item and at every
+    ``STRIDE``-th of a text, since over a whole item two walks are seldom in step at one edit in five.
 
-    Of a short item's disjoint grams each edit spoils one at most, so of ``most + need`` grams ``need`` are always met.
-    Of a long item the rarest grams are taken, and ``need`` is set for a recall: so many are met unless edits at the
-    threshold hit far more of them than edits at random places do. What is met is then held against all disjoint grams.
+    An item of fewer than ``WALK_FROM`` characters has too few starts. It is found by disjoint grams instead: each edit
+    spoils one at most, so of ``most + need`` grams ``need`` are always met.
     """
 
     def __init__(self, items: list[tuple[int, str]], similarity: float):
@@ -104,27 +155,23 @@ class ItemTables:
                 points.append(np.frombuffer(clean.encode("utf-32-le", "surrogatepass"), np.uint32))
         self.length, self.most = (np.array([i[k] for i in self.items], np.int64) for k in (2, 3))
         self.longest, self.widest = int(self.length.max(initial=0)), int(self.most.max(initial=0))
-        self.reach = self.longest + 2 * self.widest + GRAM
+        self.reach = self.longest + 2 * self.widest + 3 * ROUNDS
         self.gap = self.longest + self.widest + 1  # between the diagonals of texts
-        self.left = similarity**RARE  # share of the grams that random edits leave
         plans = [self._plan(n, most) for _, _, n, most in self.items]
-        self.need = np.array([p[1] for p in plans], np.int64)
-        self.whole = [np.unique(slots(p, 4)[::4]) for p in points]
+        self.need = np.array([need for _, need in plans], np.int64)
+        self.spread = np.array([1 if q else SPREAD[int(n >= LONG)] for (q, _), n in zip(plans, self.length, strict=True)])
+        self.whole = [[(q, np.unique(slots(p, q)[::q])) for q in (4, 3)] for p in points]
+        self._seen = np.zeros(1 << _SLOTS, bool)
+        self.walks = self._walk_tables([k for k, (q, _) in enumerate(plans) if not q], points)
         self.tables = {}
-        for q in sorted({p[0] for p in plans}):
-            own = [k for k, plan in enumerate(plans) if plan[0] == q]
-            often, parts = (np.bincount(np.concatenate([slots(p, g) for p in points]), minlength=1 << _SLOTS) for g in (q, min(q, 3)))
+        for q in sorted({q for q, _ in plans if q}):
+            often = np.bincount(np.concatenate([slots(p, q) for p in points]), minlength=1 << _SLOTS)
             slot, entry = [], []
-            for k in own:
+            for k in [k for k, plan in enumerate(plans) if plan[0] == q]:
                 n, hashes = len(points[k]), slots(points[k], q)
-                inner = np.log(parts[slots(points[k], min(q, 3))])
-                weight = np.log(often[hashes]) + sum(inner[j : j + len(hashes)] for j in range(max(1, q - 2)))
-                if plans[k][2]:
-                    places = self._rarest(weight, n // SHARE)
-                else:
-                    best = min(range(n % q + 1), key=lambda phase: weight[phase::q][: n // q].sum())
-                    places = best + q * np.arange(n // q)
-                    places = places[np.argsort(weight[places], kind="stable")][: int(self.most[k]) + plans[k][1]]
+                best = min(range(n % q + 1), key=lambda phase: often[hashes[phase::q][: n // q]].sum())
+                places = best + q * np.arange(n // q)
+                places = places[np.argsort(often[hashes[places]], kind="stable")][: int(self.most[k]) + plans[k][1]]
                 slot.append(hashes[places])
                 entry.append((k << _SHIFT) + self.longest - places)
             slot, entry = np.concatenate(slot), np.concatenate(entry).astype(np.int64)
@@ -132,54 +179,90 @@ class ItemTables:
             count = np.bincount(slot, minlength=1 << _SLOTS).astype(np.int32)
             self.tables[q] = (count > 0, count, (np.cumsum(count) - count).astype(np.int32), entry[order])
 
-    @staticmethod
-    def _rarest(weight: np.ndarray, n: int) -> np.ndarray:
-        """The ``n`` places of least weight, about, no two of them neighbours."""
-        free, out = np.ones(len(weight) + 1, bool), []
-        for place in np.argsort(weight, kind="stable").tolist():
-            if free[place]:
-                out.append(place)
-                free[max(0, place - 1) : place + 2] = False
-                if len(out) == n:
-                    break
-        return np.array(out)
-
-    def _plan(self, n: int, most: int) -> tuple[int, int, bool]:
-        """Size of the grams, how many must be met, and whether they are the rarest or disjoint ones."""
-        grams, p = n // SHARE, self.left
-        # Neighbouring grams share letters and are spoiled together, which doubles the variance about.
-        need = min(MOST_NEED, math.floor(grams * p - SPREAD * math.sqrt(2 * grams * p * (1 - p))))
-        if need >= 2:
-            return RARE, need, True
+    def _walk_tables(self, own: list[int], points: list[np.ndarray]) -> list[tuple]:
+        """For each walk: itself, a bit for the low part of each key, the distinct keys, where their entries begin, entries."""
+        if not own:
+            return []
+        codes = [triples(points[k]) for k in own]
+        # A walk that runs far over the end of an item meets no text.
+        starts = [np.arange(len(points[k]) - ROUNDS) for k in own]
+        entry = np.concatenate([(k << _SHIFT) + self.longest - at for k, at in zip(own, starts, strict=True)])
+        bits = max(16, int(len(entry) * 16 - 1).bit_length())
+        out = []
+        for seed in range(WALKS):
+            walk = Walk(seed)
+            key = np.concatenate([walk.keys(c, at) for c, at in zip(codes, starts, strict=True)])
+            order = np.argsort(key, kind="stable")
+            distinct, first = np.unique(key[order], return_index=True)
+            known = np.zeros(1 << bits, bool)
+            known[distinct & np.uint32((1 << bits) - 1)] = True
+            out.append((walk, known, distinct, np.append(first, len(key)), entry[order]))
+        return out
+
+    def _plan(self, n: int, most: int) -> tuple[int, int]:
+        """Size of the grams, 0 for walks, and how many equal keys must be met."""
+        if n >= WALK_FROM:
+            return 0, NEED
         for need in (4, 2, 1) if n >= 40 else (2, 1) if n >= 12 else (1,):
             for q in range(min(GRAM, n), 0, -1):  # the longest grams of which enough are left after the edits
                 if n // q - most >= need:
-                    return q, need, False
+                    return q, need
         raise AssertionError("single characters are always left")
 
-    def _keys(self, points: np.ndarray, places: np.ndarray, begin: int, end: int) -> list[np.ndarray]:
-        """Item and diagonal of enough grams met, sorted, for each stretch and gram size."""
-        found = []
+    def _met(self, points: np.ndarray, begin: int, end: int):
+        """Places of ``points[begin:end]`` and their entries, as runs, for each gram size and for all walks together."""
         for q, (known, count, start, entry) in self.tables.items():
             slot = slots(points[begin:end], q)
             hit = np.flatnonzero(known[slot])
-            n = count[slot[hit]].astype(np.int64)
-            total = int(n.sum())
+            yield [(begin + hit, start[slot[hit]], count[slot[hit]].astype(np.int64), entry)]
+        if self.walks:
+            codes, starts, out = triples(points[begin:end]), np.arange(-begin % STRIDE, end - begin, STRIDE), []
+            for walk, known, distinct, first, entry in self.walks:
+                key = walk.keys(codes, starts)
+                maybe = np.flatnonzero(known[key & np.uint32(len(known) - 1)])
+                at = np.minimum(np.searchsorted(distinct, key[maybe]), len(distinct) - 1)
+                equal = distinct[at] == key[maybe]
+                at = at[equal]
+                out.append((begin + starts[maybe[equal]], first[at], first[at + 1] - first[at], entry))
+            yield out
+
+    def _keys(self, points: np.ndarray, places: np.ndarray, begin: int, end: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Item with diagonal, and place, of enough equal keys, for each stretch and kind of key."""
+        found = []
+        for runs in self._met(points, begin, end):
+            total = int(sum(n.sum() for _, _, n, _ in runs))
             if total > HITS and end - begin > 4 * self.reach:
                 middle = (begin + end) // 2
                 return self._keys(points, places, begin, middle + self.reach) + self._keys(points, places, middle, end)
             if not total:
                 continue
-            at = np.repeat(start[slot[hit]] - (np.cumsum(n) - n), n) + np.arange(total)
-            keys = entry[at]
-            keys += np.repeat(places[begin + hit], n)
-            keys.sort()
+            parts = []
+            for hit, start, n, entry in runs:
+                at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                place = np.repeat(places[hit], n)
+                parts.append((entry[at] + place, place))
+            keys, place = (np.concatenate(p) for p in zip(*parts, strict=True))
+            order = np.lexsort((place, keys))
+            keys, place = keys[order], place[order]
+            # Equal keys of several walks at one place count once.
+            fresh = np.concatenate([[True], (np.diff(keys) > 0) | (np.diff(place) > 0)])
+            keys, place, total = keys[fresh], place[fresh], int(fresh.sum())
             item = keys >> _SHIFT
             last = np.arange(total) + self.need[item] - 1
-            far = keys[np.minimum(last, total - 1)]
-            found.append(keys[(last < total) & (far - keys <= self.most[item])])
+            near = (last < total) & (keys[np.minimum(last, total - 1)] - keys <= self.most[item])
+            # All keys of a window that holds enough of them.
+            ends = np.cumsum(np.bincount(np.flatnonzero(near), minlength=total) - np.bincount(last[near] + 1, minlength=total + 1)[:total])
+            found.append((keys[ends > 0], place[ends > 0]))
         return found
 
+    def _enough(self, near: np.ndarray, q: int, whole: np.ndarray, enough: int) -> bool:
+        """Whether ``near`` holds so many of the grams of ``q`` characters in ``whole``."""
+        own = slots(near, q)
+        self._seen[own] = True
+        count = np.count_nonzero(self._seen[whole])
+        self._seen[own] = False
+        return count >= enough
+
     def search(self, points: np.ndarray, begins: np.ndarray) -> dict[tuple[int, int], int]:
         """Least distance of each text of folded characters and item that it holds."""
         best: dict[tuple[int, int], int] = {}
@@ -188,15 +271,20 @@ class ItemTables:
         rows = len(begins) - 1
         places = np.arange(len(points)) + np.repeat(np.arange(rows) * self.gap, np.diff(begins))
         found = self._keys(points, places, 0, len(points))
-        if not found:
+        keys, place = (np.concatenate(p) for p in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+        if not len(keys):
             return best
-        keys = np.unique(np.concatenate(found))
+        order = np.argsort(keys)
+        keys, place = keys[order], place[order]
         item, at = keys >> _SHIFT, (keys & ((1 << _SHIFT) - 1)) - self.longest
         row = np.searchsorted(begins[:-1] + np.arange(rows) * self.gap - self.longest, at, "right") - 1
         at -= row * self.gap
-        # Neighbouring diagonals are read as one stretch.
-        fresh = np.flatnonzero(np.concatenate([[True], (np.diff(item) > 0) | (np.diff(row) > 0) | (np.diff(at) > self.most[item[1:]])])) if len(keys) else []
-        last = np.concatenate([fresh[1:], [len(keys)]]) - 1 if len(keys) else []
+        # Neighbouring diagonals are read as one stretch, if its keys lie in enough parts of an item.
+        fresh = np.flatnonzero(np.concatenate([[True], (np.diff(item) > 0) | (np.diff(row) > 0) | (np.diff(at) > self.most[item[1:]])]))
+        last = np.append(fresh[1:], len(keys)) - 1
+        parts = np.bitwise_or.reduceat(np.uint64(1) << (place * PARTS // self.length[item] % 64).astype(np.uint64), fresh)
+        wide = np.bitwise_count(parts) >= self.spread[item[fresh]]
+        fresh, last = fresh[wide], last[wide]
         for i, j in zip(fresh, last, strict=True):
             r, k = int(row[i]), int(item[i])
             if best.get((r, k)) == 0:
@@ -204,8 +292,7 @@ class ItemTables:
             _, text, n, most = self.items[k]
             near = points[max(begins[r], at[i] - most) : min(begins[r + 1], at[j] + n + most)]
             # Each edit spoils one of the disjoint grams at most; equal ones are counted once.
-            whole = self.whole[k]
-            if n // 4 > most and np.isin(whole, slots(near, 4)).sum() < len(whole) - most:
+            if any(len(whole) > most and not self._enough(near, q, whole, len(whole) - most) for q, whole in self.whole[k]):
                 continue
             part = _string(near)
             distance = 0 if text in part else edit_distance(text, part)
@@ -225,10 +312,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8)
 
     Case and everything between words are ignored. An item is held if some part of the text is at an edit distance,
     in characters, of at most 1 - ``similarity`` of the item's length, be it within a word. Candidates come from the
-    tables, which miss none of short items, and of long ones those whose edits spoil nearly all grams looked for (README);
-    every one is verified. Items without letters or digits cannot be found. The items are looked
+    tables: grams miss none of short items, walks find the others with a high probability that depends on the edits
+    (README); every one is verified. Items without letters or digits cannot be found. The items are looked
     for in blocks of bounded size, one pass over the documents each. Gives doc_id, text_key, item_id, distance, similarity.
-    Missing texts hold nothing; repeated rows give repeated rows; other columns are ignored.
+    Missing texts hold nothing; a missing item_id is given as -1; repeated rows give repeated rows; other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long"), text_key().alias("text_key"), F.col("text").cast("string"))
     parts = [map_arrow(rows, _search(tables), "doc_id long, text_key long, item_id long, distance int, similarity double") for tables in _blocks(benchmark, similarity)]
@@ -287,7 +374,7 @@ def _search(shared):
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, with all their columns."""
+    """The rows of ``docs`` that hold no benchmark item, with all their columns; missing and empty texts stay."""
     for shared in _blocks(benchmark, similarity):
         docs = filter_rows(docs, _clean(shared))
     return docs
