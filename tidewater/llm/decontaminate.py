@@ -101,26 +101,29 @@ class Walk:
         sampled = np.zeros(3 * ROUNDS, bool)
         sampled[rng.choice(3 * ROUNDS, SAMPLED, replace=False)] = True
         go = rng.integers(0, 2, (3 * ROUNDS, 32), dtype=np.uint32)
-        value = rng.integers(0, 1 << 30, (3 * ROUNDS, 32), dtype=np.uint32) << np.uint32(2)
+        value = rng.integers(0, 1 << 30, (3 * ROUNDS, 32), dtype=np.uint32).astype(np.int64)
         triples = np.stack([np.arange(1 << 15) >> shift & 31 for shift in (10, 5, 0)])
         self.rounds = []
         for first in range(0, 3 * ROUNDS, 3):
-            place, key = np.zeros(1 << 15, np.uint32), np.zeros(1 << 15, np.uint32)
+            place, key = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int64)
             for step in range(first, first + 3):
                 here = triples[place, np.arange(1 << 15)]
                 key += value[step, here] * sampled[step]
                 place += go[step, here]
-            self.rounds.append(key | place)  # the low two bits are the characters gone
+            self.rounds.append((key % (1 << 30)) << 32 | place)  # key above, characters gone below, so one sum adds both
 
     def keys(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Key of the walk from each start, over the triples of :func:`triples`."""
         out = np.zeros(len(starts), np.uint32)
-        for first in range(0, len(starts), 1 << 14):  # as many as the caches hold
-            at, key = starts[first : first + (1 << 14)].copy(), out[first : first + (1 << 14)]
+        at, taken = np.empty(1 << 15, np.int64), np.empty(1 << 15, np.int64)
+        for first in range(0, len(starts), 1 << 15):  # as many as the caches hold; no index is out of range, so clip checks least
+            state = starts[first : first + (1 << 15)].copy()
+            here, there = at[: len(state)], taken[: len(state)]
             for table in self.rounds:
-                taken = table.take(codes.take(at))
-                key += taken >> np.uint32(2)
-                at += taken & np.uint32(3)
+                np.bitwise_and(state, 0xFFFFFFFF, out=here)
+                codes.take(here, out=there, mode="clip")
+                state += table.take(there, out=here, mode="clip")
+            out[first : first + (1 << 15)] = state >> 32
         out *= np.uint32(0x9E3779B1)
         return out ^ out >> np.uint32(15)
 
@@ -128,7 +131,7 @@ class Walk:
 def triples(points: np.ndarray) -> np.ndarray:
     """Five bits of each character and the two behind it; blanks follow the end."""
     c = np.concatenate([points & 31, np.zeros(3 * ROUNDS + 2, np.uint32)]).astype(np.uint16)
-    return c[:-2] << np.uint16(10) | c[1:-1] << np.uint16(5) | c[2:]
+    return (c[:-2] << np.uint16(10) | c[1:-1] << np.uint16(5) | c[2:]).astype(np.int64)
 
 
 class ItemTables:
