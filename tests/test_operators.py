@@ -105,6 +105,21 @@ def test_quantiles_hold_under_a_filter_and_any_layout(spark):
     assert len(seen) == 1
 
 
+def test_values_are_sliced_by_ranges_of_bounded_size(spark):
+    """No row is compared with all cut points, and no task holds all values of a large group."""
+    df = spark.range(20_000).select(F.when(F.col("id") % 4 > 0, "hot").alias("k"), F.pmod(F.xxhash64("id"), F.lit(10**9)).alias("x"))
+    for keys in ([], ["k"]):
+        counts = agg._value_counts(df, keys, "x", slice_values=500)
+        slices = counts.groupBy(*keys, "__slice").agg(F.min("__x").alias("lo"), F.max("__x").alias("hi"), F.count("__x").alias("n")).collect()
+        assert len({r["__slice"] for r in slices}) >= 30 and max(r.n for r in slices) <= 2000 and sum(r.n for r in slices) == 20_000
+        for k in {r.k if keys else None for r in slices}:
+            own = sorted((r for r in slices if not keys or r.k == k), key=lambda r: r["__slice"])
+            assert all(a.hi < b.lo for a, b in zip(own, own[1:]))
+    x = [r.x for r in df.collect()]
+    got = agg.quantiles_spread(df, [], "x", (0.025, 0.5), ("a", "b"), slice_values=500).first()
+    assert np.allclose((got.a, got.b), np.quantile(x, (0.025, 0.5)))
+
+
 def test_quantiles_of_a_hot_group_and_of_everything(spark):
     df = spark.range(20000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("k"),
                                    F.pmod(F.xxhash64("id"), F.lit(977)).cast("double").alias("x"))
