@@ -58,6 +58,17 @@ def test_target_share_is_rounded_up(spark):
     assert values(cpue.target_tripweeks(df, ["arg"])) == [("v", "t", 2020, 15)]
 
 
+
+def test_target_tripweeks_are_worked_out_in_tasks_of_bounded_size(spark):
+    df = spark.createDataFrame([(f"v{i % 7}", f"t{i}", 2020, 15, "arg" if i % 3 else "oth", 60.0) for i in range(40)] + [
+        ("v0", "t0", 2020, 15, "arg", 60.0), (None, "t0", 2020, 15, "arg", 60.0)],
+        "vesselid string, trip string, year int, week int, species string, catch double")
+    want = values(cpue.target_tripweeks(df, ["arg"]))
+    dealt = cpue.target_tripweeks(df, ["arg"], rows=4_500_000)
+    assert len(want) == 28 and values(dealt) == want
+    assert dealt.rdd.getNumPartitions() == 9
+
+
 def nb_sample(n=900, seed=7):
     rng = np.random.default_rng(seed)
     year, week, fleet = rng.integers(0, 4, n), rng.integers(0, 5, n), rng.integers(0, 2, n)

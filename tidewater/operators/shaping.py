@@ -15,6 +15,18 @@ HEADER_NOISE = r"[?\s._()]"
 SURVEY_HEADER_NOISE = r"\?|\s+|\.+|_+|\(|\)/"
 # Fixed value: first calendar year behind a year index counted from 1.
 YEAR_INDEX_BASE = 1994
+# Rows of a grouping with nearly as many groups as rows that one task holds, about.
+TASK_ROWS = 500_000
+
+
+def deal_out(df: DataFrame, keys: Sequence[str], rows: int, task_rows: int = TASK_ROWS) -> DataFrame:
+    """The same rows dealt out by ``keys``, about ``task_rows`` of the ``rows`` (an estimate) to a task.
+
+    For groupings, windows and joins by these keys that hold nearly every row in memory: tasks filled up to a size in
+    bytes, as adaptive execution does, would hold several million rows of few columns.
+    """
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // task_rows))
+    return df.repartition(tasks, *keys)
 
 
 def _renamed(df: DataFrame, names: list[str]) -> DataFrame:

@@ -11,7 +11,7 @@ from tidewater.operators.aggregates import concat_agg, n_distinct, ratio, sum0,
 from tidewater.operators.joins import left_join, natural_left
 from tidewater.operators.reshape import melt
 from tidewater.operators.sets import add_zero_rows, union_tagged
-from tidewater.operators.shaping import safe_ratio
+from tidewater.operators.shaping import deal_out, safe_ratio
 from tidewater.operators.windows import share
 
 # Limits of a targeted trip-week.
@@ -76,8 +76,14 @@ def model_table(strata: DataFrame, weeks: tuple[int, int] = MODEL_WEEKS, lats: S
 
 
 def target_tripweeks(hauls: DataFrame, species: Sequence[str], keys: Sequence[str] = ("vesselid", "trip", "year", "week"),
-                     min_share: float = MIN_SHARE, min_catch: float = MIN_CATCH) -> DataFrame:
-    """Trip-weeks aimed at a species: its share, rounded up to tenths, and its catch pass the limits."""
+                     min_share: float = MIN_SHARE, min_catch: float = MIN_CATCH, rows: int | None = None) -> DataFrame:
+    """Trip-weeks aimed at a species: its share, rounded up to tenths, and its catch pass the limits.
+
+    With ``rows``, about the number of hauls, they are dealt out to tasks of bounded size first, in the one shuffle of
+    both steps: there are nearly as many trip-weeks as hauls, so sums before a shuffle save nothing.
+    """
+    if rows is not None:
+        hauls = deal_out(hauls.select(*keys, "species", "catch"), keys, rows)
     by_species = hauls.groupBy(*keys, "species").agg(sum0("catch").alias("catch"))
     # A trip-week has as many rows as species were caught, so the window is short.
     shares = share(by_species, keys, "catch", bounded=True)

@@ -137,7 +137,12 @@ target AS (SELECT vesselid, trip, year, week FROM shares
 
 
 def tripweeks(spark, sf):
-    return cpue.target_tripweeks(hauls(spark, sf, species=True), ["PROMO", "SMALL"], min_catch=20.0)
+    return cpue.target_tripweeks(hauls(spark, sf, species=True), ["PROMO", "SMALL"], min_catch=20.0, rows=n_hauls(spark, sf))
+
+
+def n_hauls(spark, sf):
+    """Number of hauls, about: line items, as the footers of the files tell."""
+    return table(spark, sf, "lineitem").count()
 
 
 @query("target_tripweeks", f"WITH {TRIPWEEK_SQL} SELECT * FROM target")
