@@ -8,6 +8,7 @@ from tidewater.functions.bins import auto_breaks, bin_right
 from tidewater.operators import filters
 from tidewater.operators.aggregates import box_stats, sum0
 from tidewater.operators.joins import by_keys, left_join
+from tidewater.operators.shaping import deal_out
 from tidewater.operators.windows import top_k
 from tidewater.plans import cpue, hauls as prep
 from tidewater.queries import query
@@ -164,7 +165,9 @@ def hauls_of_target_tripweeks(spark, sf):
 SELECT vesselid, fleet, count(*) AS nhauls, sum(catch) AS catch FROM haul h
 WHERE (vesselid, trip, year, week) IN (SELECT vesselid, trip, year, week FROM target) GROUP BY ALL""")
 def hauls_in_target_tripweeks_only(spark, sf):
-    found = by_keys(tripweeks(spark, sf), hauls(spark, sf), ["vesselid", "trip", "year", "week"], facts_only=True)
+    keys = ["vesselid", "trip", "year", "week"]
+    facts = deal_out(hauls(spark, sf).select(*keys, "fleet", "catch"), keys, n_hauls(spark, sf))
+    found = by_keys(tripweeks(spark, sf), facts, keys, facts_only=True)
     return found.groupBy("vesselid", "fleet").agg(F.count(F.lit(1)).alias("nhauls"), F.sum("catch").alias("catch"))
 
 
