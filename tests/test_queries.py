@@ -79,6 +79,6 @@ def of_own_rows(spark, own, name):
     return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
 
 
-@pytest.mark.parametrize("name", ["hauls_in_target_tripweeks_only"])
+@pytest.mark.parametrize("name", ["hauls_in_target_tripweeks_only", "hauls_of_target_tripweeks"])
 def test_hauls_meet_their_tripweeks_in_tasks_of_bounded_size(spark, own, name):
     assert of_own_rows(spark, own, name).count("REPARTITION_BY_NUM") == 2

@@ -157,7 +157,8 @@ SELECT k.vesselid, k.trip, k.year, k.week, count(h.haul) AS nhauls, sum(h.catch)
 GROUP BY ALL""")
 def hauls_of_target_tripweeks(spark, sf):
     keys = ["vesselid", "trip", "year", "week"]
-    found = by_keys(tripweeks(spark, sf), hauls(spark, sf), keys)
+    facts = deal_out(hauls(spark, sf).select(*keys, "haul", "catch"), keys, n_hauls(spark, sf))
+    found = by_keys(tripweeks(spark, sf), facts, keys)
     return found.groupBy(*keys).agg(F.count("haul").alias("nhauls"), F.sum("catch").alias("catch"))
 
 
