@@ -82,3 +82,7 @@ def of_own_rows(spark, own, name):
 @pytest.mark.parametrize("name", ["hauls_in_target_tripweeks_only", "hauls_of_target_tripweeks"])
 def test_hauls_meet_their_tripweeks_in_tasks_of_bounded_size(spark, own, name):
     assert of_own_rows(spark, own, name).count("REPARTITION_BY_NUM") == 2
+
+
+def test_two_level_totals_hold_no_row_per_day(spark, own):
+    assert of_own_rows(spark, own, "two_level_totals").count("HashAggregate(") == 4  # both levels, before and after a shuffle

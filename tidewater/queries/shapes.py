@@ -91,8 +91,7 @@ def groups_over_threshold(spark, sf):
   FROM haul GROUP BY ALL) SELECT fleet, year, sum(catch) AS catch, avg(depth) AS depth, CAST(sum(d) AS BIGINT) AS ndays FROM v GROUP BY ALL""",
        digits={"depth": 6})
 def two_level_totals(spark, sf):
-    v = hauls(spark, sf).groupBy("fleet", "year", "vesselid").agg(
-        agg.sum0("catch").alias("catch"), F.avg("depth").alias("depth"), agg.n_distinct("date").alias("d"))
+    v = agg.with_days(hauls(spark, sf), ["fleet", "year", "vesselid"], "date", "d", agg.sum0("catch").alias("catch"), F.avg("depth").alias("depth"))
     return v.groupBy("fleet", "year").agg(F.sum("catch").alias("catch"), F.avg("depth").alias("depth"), F.sum("d").alias("ndays"))
 
 
