@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import values
 from tidewater.plans import absorbed, assessment, catch, cpue, forecast, glm, hauls, lengths, population as pop
+from tidewater.session import cut_lineage
 from tidewater.sources.tables import lookup
 
 HAUL = "fleet string, vesselid string, date date, year int, week int, rect string, long double, lat double, catch double, duration double, depth double, day int, month int, hset_cat string, depth_cat string"
@@ -374,6 +375,21 @@ def test_the_number_of_jobs_does_not_grow_with_the_targets(spark):
     assert jobs[1] <= jobs[0] + 2
 
 
+
+def test_draws_of_one_year_are_solved_by_many_tasks(spark, monkeypatch):
+    """Every round's states lie by draw, and no round sends all draws of a year to one task; the biology is worked out once."""
+    written = []
+    monkeypatch.setattr(pop, "cut_lineage", lambda df: written.append(df) or cut_lineage(df))
+    state = spark.createDataFrame([(d, 2020, a, 100.0 + d, 0.2) for d in range(40) for a in (1, 2, 3)], "draw long, year int, age int, n double, f double")
+    targets = spark.createDataFrame([(2020, "catch", 20.0)], "year int, kind string, target double")
+    assert pop.solve_multipliers(state, bio_rows(spark), targets, rounds=2).first()["status"] == "solved"
+    plans = [df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1] for df in written]
+    states = [df for df, plan in zip(written, plans) if "REPARTITION" in plan]
+    assert len(states) == 1 and states[0].select("draw", F.spark_partition_id().alias("p")).distinct().count() == 40
+    rounds = [plan for plan in plans if "posexplode" in plan]
+    assert len(rounds) == 2 and not any("SortMergeJoin [year" in plan for plan in rounds)
+
+
 def test_multiplier_per_draw_is_exact(spark):
     rows = state_rows(spark)
     out = pop.solve_per_draw(spark.createDataFrame(rows, STATE), bio_rows(spark), 8.0)
