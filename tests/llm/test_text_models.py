@@ -295,6 +295,23 @@ def test_a_walk_emits_its_sampled_steps():
         assert key == want ^ want >> 15
 
 
+def test_walks_that_go_on_are_all_that_may_end_at_a_key_of_an_item():
+    """Most walks over a text stop early; those with the key of an item never do, and their keys are the whole walk's."""
+    rng = np.random.default_rng(5)
+    item, text = rng.integers(97, 123, 400).astype(np.uint32), rng.integers(97, 123, 90_000).astype(np.uint32)
+    text[30_001:30_401], text[60_000:60_200] = item, item[100:300]
+    walk, early = decontaminate.Walk(3), np.zeros(1 << 16, bool)
+    inside = np.arange(len(item) - decontaminate.ROUNDS)
+    walk.mark(decontaminate.triples(item), inside, early)
+    starts = np.arange(0, len(text), 1)
+    every = walk.keys(decontaminate.triples(text), starts)
+    likely, keys = walk.likely_keys(decontaminate.triples(text), starts, early)
+    assert (every[likely] == keys).all() and len(likely) < len(starts) / 10
+    equal = np.flatnonzero(np.isin(every, walk.keys(decontaminate.triples(item), inside)))
+    assert len(equal) > 400 and np.isin(equal, likely).all()
+
+
+
 def test_one_wrong_letter_in_every_word():
     item = "another wonderful morning brought several travellers towards distant northern harbours"
     wrong = " ".join(w[:3] + "q" + w[4:] for w in item.split())

@@ -21,6 +21,8 @@ PIECE = 4 << 20
 GRAM, WALK_FROM = 8, 64
 #: Random walks, their rounds of three steps, the steps of each that are sampled, and the characters between starts in a text.
 WALKS, ROUNDS, SAMPLED, STRIDE = 20, 10, 14, 4
+#: Rounds after which a text's walk goes on only if one of the items has the same samples, and walks taken at once (as many as the caches hold).
+EARLY, CHUNK = 7, 1 << 15
 #: Places with equal keys that a window must hold, and how many of so many parts of its length they must lie in (short and long items).
 NEED, SPREAD, PARTS, LONG = 4, (3, 4), 8, 128
 #: Equal grams of a stretch of text and items that are held at once, about.
@@ -114,18 +116,41 @@ class Walk:
 
     def keys(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Key of the walk from each start, over the triples of :func:`triples`."""
-        out = np.zeros(len(starts), np.uint32)
-        at, taken = np.empty(1 << 15, np.int64), np.empty(1 << 15, np.int64)
-        for first in range(0, len(starts), 1 << 15):  # as many as the caches hold; no index is out of range, so clip checks least
-            state = starts[first : first + (1 << 15)].copy()
-            here, there = at[: len(state)], taken[: len(state)]
-            for table in self.rounds:
-                np.bitwise_and(state, 0xFFFFFFFF, out=here)
-                codes.take(here, out=there, mode="clip")
-                state += table.take(there, out=here, mode="clip")
-            out[first : first + (1 << 15)] = state >> 32
-        out *= np.uint32(0x9E3779B1)
-        return out ^ out >> np.uint32(15)
+        parts = [self._walked(codes, starts[first : first + CHUNK].copy(), 0, ROUNDS) for first in range(0, len(starts), CHUNK)]
+        return _mixed(np.concatenate([np.zeros(0, np.int64), *parts]))
+
+    def mark(self, codes: np.ndarray, starts: np.ndarray, early: np.ndarray) -> None:
+        """Marks where the walk from each start is after ``EARLY`` rounds."""
+        early[self._walked(codes, starts.copy(), 0, EARLY) >> 32 & len(early) - 1] = True
+
+    def likely_keys(self, codes: np.ndarray, starts: np.ndarray, early: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The starts whose walk is after ``EARLY`` rounds where one of the marked walks is, by index, and their keys.
+
+        Equal samples are equal from the first on, so most walks need not be walked to their end.
+        """
+        kept, parts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for first in range(0, len(starts), CHUNK):
+            state = self._walked(codes, starts[first : first + CHUNK].copy(), 0, EARLY)
+            near = np.flatnonzero(early.take(state >> 32 & len(early) - 1, mode="clip"))
+            kept.append(first + near)
+            parts.append(self._walked(codes, state[near], EARLY, ROUNDS))
+        return np.concatenate(kept), _mixed(np.concatenate(parts))
+
+    def _walked(self, codes: np.ndarray, state: np.ndarray, first: int, last: int) -> np.ndarray:
+        """The states after some more rounds, in place."""
+        here, there = np.empty(len(state), np.int64), np.empty(len(state), np.int64)
+        for table in self.rounds[first:last]:
+            np.bitwise_and(state, 0xFFFFFFFF, out=here)
+            codes.take(here, out=there, mode="clip")  # no index is out of range, so clip checks least
+            state += table.take(there, out=here, mode="clip")
+        return state
+
+
+def _mixed(state: np.ndarray) -> np.ndarray:
+    """The keys in walk states, well spread over 32 bits."""
+    out = (state >> 32).astype(np.uint32)
+    out *= np.uint32(0x9E3779B1)
+    return out ^ out >> np.uint32(15)
 
 
 def triples(points: np.ndarray) -> np.ndarray:
@@ -183,7 +208,7 @@ class ItemTables:
             self.tables[q] = (count > 0, count, (np.cumsum(count) - count).astype(np.int32), entry[order])
 
     def _walk_tables(self, own: list[int], points: list[np.ndarray]) -> list[tuple]:
-        """For each walk: itself, a bit for the low part of each key, the distinct keys, where their entries begin, entries."""
+        """For each walk: itself, a mark for the low part of each early key and of each key, the distinct keys, where their entries begin, entries."""
         if not own:
             return []
         codes = [triples(points[k]) for k in own]
@@ -197,9 +222,11 @@ class ItemTables:
             key = np.concatenate([walk.keys(c, at) for c, at in zip(codes, starts, strict=True)])
             order = np.argsort(key, kind="stable")
             distinct, first = np.unique(key[order], return_index=True)
-            known = np.zeros(1 << bits, bool)
+            known, early = np.zeros(1 << bits, bool), np.zeros(1 << bits, bool)
             known[distinct & np.uint32((1 << bits) - 1)] = True
-            out.append((walk, known, distinct, np.append(first, len(key)), entry[order]))
+            for c, at in zip(codes, starts, strict=True):
+                walk.mark(c, at, early)
+            out.append((walk, early, known, distinct, np.append(first, len(key)), entry[order]))
         return out
 
     def _plan(self, n: int, most: int) -> tuple[int, int]:
@@ -220,13 +247,14 @@ class ItemTables:
             yield [(begin + hit, start[slot[hit]], count[slot[hit]].astype(np.int64), entry)]
         if self.walks:
             codes, starts, out = triples(points[begin:end]), np.arange(-begin % STRIDE, end - begin, STRIDE), []
-            for walk, known, distinct, first, entry in self.walks:
-                key = walk.keys(codes, starts)
-                maybe = np.flatnonzero(known[key & np.uint32(len(known) - 1)])
-                at = np.minimum(np.searchsorted(distinct, key[maybe]), len(distinct) - 1)
-                equal = distinct[at] == key[maybe]
+            for walk, early, known, distinct, first, entry in self.walks:
+                likely, key = walk.likely_keys(codes, starts, early)
+                maybe = np.flatnonzero(known.take(key & np.uint32(len(known) - 1)))
+                likely, key = likely[maybe], key[maybe]
+                at = np.minimum(np.searchsorted(distinct, key), len(distinct) - 1)
+                equal = distinct[at] == key
                 at = at[equal]
-                out.append((begin + starts[maybe[equal]], first[at], first[at + 1] - first[at], entry))
+                out.append((begin + starts[likely[equal]], first[at], first[at + 1] - first[at], entry))
             yield out
 
     def _keys(self, points: np.ndarray, places: np.ndarray, begin: int, end: int) -> list[tuple[np.ndarray, np.ndarray]]:
