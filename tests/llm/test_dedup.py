@@ -1,6 +1,7 @@
 """Exact dedup, SimHash groups and repeat removal against brute force."""
 
 import hashlib
+import os
 import re
 
 import numpy as np
@@ -232,6 +233,23 @@ def test_the_index_is_not_shuffled(spark):
     assert plan.count("Exchange") == 1 and "Bucketed: true" in plan and "SortMergeJoin" in plan
 
 
+def test_a_batch_leaves_one_file_a_bucket(spark, monkeypatch):
+    """Also where the session deals rows out to more tasks than asked for, as a setting of its shuffles."""
+    frame, before = type(spark.range(0)), spark.conf.get("spark.sql.shuffle.partitions")
+    plain = frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda self, n, *cols: plain(self, max(n, 80) if cols and isinstance(n, int) else n, *cols))
+    spark.conf.set("spark.sql.shuffle.partitions", "80")
+    try:
+        index = digests.open_index(spark)
+        got = index.absorb(documents(spark, [(k, f"text {k % 400}") for k in range(800)])).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    files = [f for _, _, names in os.walk(index.path.removeprefix("file:")) for f in names if f.endswith(".parquet")]
+    assert len(got) == 800 and sorted(r.doc_id for r in got if r.kept) == list(range(400))
+    assert 0 < len(files) <= 81  # the empty table may have a file
+    assert spark.table(index.table).count() == 400
+
+
 def test_many_removed_runs_in_one_text(spark):
     shared = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(60))
     n = 40_000

@@ -1,5 +1,6 @@
 """Language, toxicity, decontamination and URL operators on small fixtures."""
 
+import pickle
 import random
 import re
 from itertools import accumulate
@@ -224,6 +225,19 @@ def found_items(tables, *texts):
     return {(row, item): d for row, item, d in got}
 
 
+def test_tables_are_sent_without_what_can_be_drawn_again():
+    """Every executor keeps a copy on its disk: the walks' own tables alone would be 52 MB."""
+    items = [(k, prose(700 + k, 40)) for k in range(50)] + [(50, "a short item")]
+    tables = decontaminate.ItemTables(items, 0.8)
+    sent = pickle.dumps(tables)
+    assert len(sent) < 24_000_000
+    got, texts = pickle.loads(sent), [f"{prose(k, 20)} {t} {prose(k + 99, 20)}" for k, t in items]
+    for (walk, *own), (other, *rest) in zip(tables.walks, got.walks, strict=True):
+        assert all((a == b).all() for a, b in zip(walk.rounds, other.rounds, strict=True))
+        assert all(a.dtype == b.dtype and (a == b).all() for a, b in zip(own, rest, strict=True))
+    assert len(found_items(tables, *texts)) >= 51 and found_items(got, *texts) == found_items(tables, *texts)
+
+
 def edited(text, edits, r, kinds="sid"):
     """``text`` with an edit of the given kinds at each of the places ``edits``."""
     out = list(text)

@@ -99,6 +99,7 @@ class Walk:
     """
 
     def __init__(self, seed: int):
+        self.seed = seed
         rng = np.random.default_rng([8, seed])
         sampled = np.zeros(3 * ROUNDS, bool)
         sampled[rng.choice(3 * ROUNDS, SAMPLED, replace=False)] = True
@@ -114,6 +115,9 @@ class Walk:
                 place += go[step, here]
             self.rounds.append((key % (1 << 30)) << 32 | place)  # key above, characters gone below, so one sum adds both
 
+    def __reduce__(self):
+        return Walk, (self.seed,)  # the tables are drawn again where they are read
+
     def keys(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Key of the walk from each start, over the triples of :func:`triples`."""
         parts = [self._walked(codes, starts[first : first + CHUNK].copy(), 0, ROUNDS) for first in range(0, len(starts), CHUNK)]
@@ -207,6 +211,15 @@ class ItemTables:
             count = np.bincount(slot, minlength=1 << _SLOTS).astype(np.int32)
             self.tables[q] = (count > 0, count, (np.cumsum(count) - count).astype(np.int32), entry[order])
 
+    def __getstate__(self) -> dict:
+        """Without what is empty or drawn from a seed, and a bit for each mark, as every executor keeps a copy on its disk."""
+        walks = [(walk, np.packbits(early), np.packbits(known), *rest) for walk, early, known, *rest in self.walks]
+        return {k: v for k, v in self.__dict__.items() if k != "_seen"} | {"walks": walks}
+
+    def __setstate__(self, state: dict) -> None:
+        walks = [(walk, np.unpackbits(early).view(bool), np.unpackbits(known).view(bool), *rest) for walk, early, known, *rest in state["walks"]]
+        self.__dict__.update(state, walks=walks, _seen=np.zeros(1 << _SLOTS, bool))
+
     def _walk_tables(self, own: list[int], points: list[np.ndarray]) -> list[tuple]:
         """For each walk: itself, a mark for the low part of each early key and of each key, the distinct keys, where their entries begin, entries."""
         if not own:

@@ -75,8 +75,13 @@ class DigestIndex:
             F.col("digest").alias("text_sha256"), "text_key")
 
 
-def open_index(spark: SparkSession, name: str = "digest_index", buckets: int = 64) -> DigestIndex:
-    """A new, empty index whose files lie in the shared folder."""
+def open_index(spark: SparkSession, name: str = "digest_index", buckets: int | None = None) -> DigestIndex:
+    """A new, empty index whose files lie in the shared folder.
+
+    It has as many buckets as the session has shuffle partitions, and 64 at least: a batch dealt out to more tasks than there
+    are buckets would leave a small file for each task and bucket.
+    """
+    buckets = buckets or max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return DigestIndex(spark, f"{name}_{uuid.uuid4().hex}", buckets, shared_folder(spark, name))
 
 
